@@ -83,7 +83,7 @@ def session_span(
         "_span_sk",
         trunc_ts("_s", bucket).alias("time_start"),
         trunc_ts("_e", bucket).alias("time_end"),
-        F.timestamp_diff("SECOND", F.col("_s"), F.col("_e")).cast("int").alias("total_time"),
+        secs("_e", "_s").cast("int").alias("total_time"),
     )
     return _expand(spans, keys, "_span_sk")
 

@@ -59,3 +59,120 @@ QUERIES: dict[str, Query] = {
     "sample_rate": q_sample_rate,
     "game_clock": q_game_clock,
 }
+
+
+# ---- frames (hourly buckets: the events are a few per user-hour) ----------
+from chronoframe.config import DEFAULT_GRAINS  # noqa: E402
+from chronoframe.operators import frames  # noqa: E402
+from chronoframe.plans.common import FRAME_BUCKET as B  # noqa: E402
+
+
+def q_session_span(spark, sf_dir):
+    return summary.session_span(derived(spark, sf_dir), KEYS, VOCAB, B)
+
+
+def q_time_spine(spark, sf_dir):
+    spans = summary.session_span(derived(spark, sf_dir), KEYS, VOCAB, B)
+    return frames.time_spine(spans, KEYS, B).select(*KEYS, "second")
+
+
+def q_object_template(spark, sf_dir):
+    return frames.object_template(derived(spark, sf_dir), KEYS)
+
+
+def q_object_activity(spark, sf_dir):
+    return frames.object_activity(derived(spark, sf_dir), KEYS, VOCAB, B)
+
+
+def q_first_per_key(spark, sf_dir):
+    log = derived(spark, sf_dir)
+    return frames.first_per_key(log, [*KEYS, "Event"], cols=["_ord", "Timestamp", "MolePositionWorldX"])
+
+
+def q_distinct_buckets(spark, sf_dir):
+    return frames.distinct_buckets(derived(spark, sf_dir), KEYS, B)
+
+
+def q_pointer_track(spark, sf_dir):
+    return summary.pointer_track(derived(spark, sf_dir), KEYS, VOCAB, B)
+
+
+def q_pointer_mean(spark, sf_dir):
+    return rounded(summary.pointer_mean(derived(spark, sf_dir), KEYS, B), ["laser_x", "laser_y"])
+
+
+def _template(log):
+    return frames.object_template(log, KEYS).unionByName(frames.pointer_template(log, KEYS))
+
+
+def q_dense_frames(spark, sf_dir):
+    log = derived(spark, sf_dir)
+    spans = summary.session_span(log, KEYS, VOCAB, B)
+    return frames.dense_frames(_template(log), spans, KEYS, B).select(*KEYS, "id", "x", "y", "size", "second")
+
+
+def q_overlay_anti(spark, sf_dir):
+    log = derived(spark, sf_dir)
+    spans = summary.session_span(log, KEYS, VOCAB, B)
+    dense = frames.dense_frames(_template(log), spans, KEYS, B)
+    act = frames.object_activity(log, KEYS, VOCAB, B)
+    return frames.overlay_anti(dense, act, KEYS).select(*KEYS, "id", "second")
+
+
+def q_fill_down(spark, sf_dir):
+    log = derived(spark, sf_dir)
+    out = frames.fill_down(log, ["MoleId"], KEYS, "Timestamp", "_ord", DEFAULT_GRAINS)
+    return out.select("_ord", *KEYS, F.col("MoleId").alias("last_object"))
+
+
+def q_animation_frames(spark, sf_dir):
+    return frames.animation_frames(derived(spark, sf_dir), KEYS, VOCAB, B)
+
+
+def q_animation_frames_v2(spark, sf_dir):
+    return frames.animation_frames_v2(derived(spark, sf_dir), KEYS, VOCAB, B)
+
+
+def q_pointer_frames_v2(spark, sf_dir):
+    out = frames.pointer_frames_v2(derived(spark, sf_dir), KEYS, VOCAB, B)
+    return rounded(out, ["laser_x", "laser_y"])
+
+
+def q_axis_range(spark, sf_dir):
+    return summary.axis_range(derived(spark, sf_dir))
+
+
+def q_spawn_points(spark, sf_dir):
+    return frames.spawn_points(derived(spark, sf_dir), KEYS)
+
+
+def q_sample_rate_series(spark, sf_dir):
+    return frames.sample_rate_series(derived(spark, sf_dir), KEYS)
+
+
+def q_trace_union(spark, sf_dir):
+    return frames.trace_union(derived(spark, sf_dir), KEYS, VOCAB, B)
+
+
+QUERIES.update(
+    {
+        "session_span": q_session_span,
+        "time_spine": q_time_spine,
+        "object_template": q_object_template,
+        "object_activity": q_object_activity,
+        "first_per_key": q_first_per_key,
+        "distinct_buckets": q_distinct_buckets,
+        "pointer_track": q_pointer_track,
+        "pointer_mean": q_pointer_mean,
+        "dense_frames": q_dense_frames,
+        "overlay_anti": q_overlay_anti,
+        "fill_down": q_fill_down,
+        "animation_frames": q_animation_frames,
+        "animation_frames_v2": q_animation_frames_v2,
+        "pointer_frames_v2": q_pointer_frames_v2,
+        "axis_range": q_axis_range,
+        "spawn_points": q_spawn_points,
+        "sample_rate_series": q_sample_rate_series,
+        "trace_union": q_trace_union,
+    }
+)

@@ -110,3 +110,218 @@ SELECT a."Participant", a."Condition", "MoleHitCount",
 FROM agg a JOIN ends e
   ON a."Participant" IS NOT DISTINCT FROM e."Participant" AND a."Condition" IS NOT DISTINCT FROM e."Condition"
 WHERE _has_start"""
+
+# ---- frames, hourly buckets -------------------------------------------------
+KEYS_EQ = 'a."Participant" = b."Participant" AND a."Condition" = b."Condition"'
+
+FRAMES = (
+    DLOG
+    + r""",
+spans AS (
+  SELECT "Participant", "Condition", date_trunc('hour', s) AS time_start,
+         date_trunc('hour', e) AS time_end,
+         CAST(trunc((epoch_us(e) - epoch_us(s)) / 1e6) AS INTEGER) AS total_time
+  FROM (SELECT "Participant", "Condition",
+               MIN(CASE WHEN "Event" = 'signup' THEN "Timestamp" END) AS s,
+               MIN(CASE WHEN "Event" = 'purchase' THEN "Timestamp" END) AS e
+        FROM dlog GROUP BY "Participant", "Condition")
+  WHERE s IS NOT NULL AND e IS NOT NULL
+),
+tmpl AS (
+  SELECT "Participant", "Condition", x, y, id, CAST(NULL AS DOUBLE) AS size, 'Active Mole' AS name
+  FROM (SELECT "Participant", "Condition", "MolePositionWorldX" AS x, "MolePositionWorldY" AS y, "MoleId" AS id,
+               ROW_NUMBER() OVER (PARTITION BY "Participant", "Condition", "MoleId"
+                                  ORDER BY "Timestamp" ASC NULLS LAST, "_ord" ASC NULLS LAST) AS rn
+        FROM dlog WHERE "MoleId" IS NOT NULL)
+  WHERE rn = 1
+),
+ptmpl AS (
+  SELECT DISTINCT "Participant", "Condition", CAST(NULL AS DOUBLE) AS x, CAST(NULL AS DOUBLE) AS y,
+         'laser' AS id, CAST(0.0 AS DOUBLE) AS size, 'Laser' AS name
+  FROM dlog
+),
+alltmpl AS (SELECT * FROM tmpl UNION ALL SELECT * FROM ptmpl),
+dense AS (
+  SELECT t."Participant", t."Condition", t.x, t.y, t.id, t.size, t.name, sp.time_start, sp.total_time,
+         sp.time_start + to_hours(CAST(g.k AS BIGINT)) AS second
+  FROM alltmpl t JOIN spans sp ON t."Participant" = sp."Participant" AND t."Condition" = sp."Condition",
+       LATERAL generate_series(0, CAST(floor(sp.total_time / 3600) AS BIGINT)) AS g(k)
+  WHERE sp.total_time >= 0
+),
+act AS (
+  SELECT "Participant", "Condition", "Event", "MolePositionWorldX" AS x, "MolePositionWorldY" AS y,
+         "MoleId" AS id,
+         CASE WHEN "Event" = 'click' THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS size,
+         date_trunc('hour', "Timestamp") AS second, 'Active Mole' AS name, "_ord"
+  FROM dlog WHERE "Event" IN ('click', 'error')
+),
+gp AS (SELECT *, date_trunc('hour', "Timestamp") AS second FROM dlog WHERE "PlayPeriod" = 'Game'),
+track AS (
+  SELECT l."Participant", l."Condition", l.second, (h.flag IS NOT NULL) AS has_hit,
+         CASE WHEN h.flag IS NOT NULL THEN h.hx ELSE l.lx END AS x,
+         CASE WHEN h.flag IS NOT NULL THEN h.hy ELSE l.ly END AS y,
+         'laser' AS id, 'Laser' AS name, CAST(1.0 AS DOUBLE) AS size
+  FROM (SELECT "Participant", "Condition", second, "RightControllerLaserPosWorldX" AS lx,
+               "RightControllerLaserPosWorldY" AS ly
+        FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY "Participant", "Condition", second
+                                           ORDER BY "Timestamp" DESC NULLS FIRST, "_ord" DESC NULLS FIRST) AS rn
+              FROM gp) WHERE rn = 1) l
+  LEFT JOIN (SELECT "Participant", "Condition", second, 1 AS flag, "RightControllerLaserPosWorldX" AS hx,
+                    "RightControllerLaserPosWorldY" AS hy
+             FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY "Participant", "Condition", second
+                                                ORDER BY "Timestamp" ASC NULLS LAST, "_ord" ASC NULLS LAST) AS rn
+                   FROM gp WHERE "Event" = 'click') WHERE rn = 1) h
+    ON l."Participant" = h."Participant" AND l."Condition" = h."Condition" AND l.second = h.second
+),
+act_s AS (SELECT a.*, sp.time_start, sp.total_time FROM act a JOIN spans sp
+          ON a."Participant" = sp."Participant" AND a."Condition" = sp."Condition"),
+track_s AS (SELECT t.*, sp.time_start, sp.total_time FROM track t JOIN spans sp
+            ON t."Participant" = sp."Participant" AND t."Condition" = sp."Condition")"""
+)
+
+SQL["session_span"] = f"""WITH {FRAMES}
+SELECT "Participant", "Condition", time_start, time_end, total_time FROM spans"""
+
+SQL["time_spine"] = f"""WITH {FRAMES}
+SELECT sp."Participant", sp."Condition", sp.time_start + to_hours(CAST(g.k AS BIGINT)) AS second
+FROM spans sp, LATERAL generate_series(0, CAST(floor(sp.total_time / 3600) AS BIGINT)) AS g(k)
+WHERE sp.total_time >= 0"""
+
+SQL["object_template"] = f"""WITH {FRAMES} SELECT * FROM tmpl"""
+
+SQL["object_activity"] = f"""WITH {FRAMES} SELECT * FROM act"""
+
+SQL["first_per_key"] = f"""WITH {DLOG}
+SELECT "Participant", "Condition", "Event", "_ord", "Timestamp", "MolePositionWorldX"
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY "Participant", "Condition", "Event"
+                                   ORDER BY "Timestamp" ASC NULLS LAST, "_ord" ASC NULLS LAST) AS rn
+      FROM dlog) WHERE rn = 1"""
+
+SQL["distinct_buckets"] = f"""WITH {DLOG}
+SELECT DISTINCT "Participant", "Condition", date_trunc('hour', "Timestamp") AS second FROM dlog"""
+
+SQL["pointer_track"] = f"""WITH {FRAMES} SELECT * FROM track"""
+
+SQL["pointer_mean"] = f"""WITH {DLOG}
+SELECT "Participant", "Condition", date_trunc('hour', "Timestamp") AS second,
+       ROUND(AVG("RightControllerLaserPosWorldX"), 6) AS laser_x,
+       ROUND(AVG("RightControllerLaserPosWorldY"), 6) AS laser_y
+FROM dlog WHERE "PlayPeriod" = 'Game' GROUP BY 1, 2, 3"""
+
+SQL["dense_frames"] = f"""WITH {FRAMES}
+SELECT "Participant", "Condition", id, x, y, size, second FROM dense"""
+
+SQL["overlay_anti"] = f"""WITH {FRAMES}
+SELECT d."Participant", d."Condition", d.id, d.second FROM dense d
+WHERE NOT EXISTS (SELECT 1 FROM act a WHERE a."Participant" = d."Participant" AND a."Condition" = d."Condition"
+                  AND a.second = d.second AND a.id = d.id)"""
+
+SQL["fill_down"] = f"""WITH {DLOG}
+SELECT "_ord", "Participant", "Condition",
+       LAST_VALUE("MoleId" IGNORE NULLS) OVER ({SESSION_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+         AS last_object
+FROM dlog"""
+
+SQL["animation_frames"] = f"""WITH {FRAMES},
+f1 AS (
+  SELECT d."Participant", d."Condition", d.x, d.y, d.id, d.size, d.name, d.second,
+         CAST(NULL AS VARCHAR) AS "Event", CAST(NULL AS BIGINT) AS "_ord", d.time_start, d.total_time
+  FROM dense d
+  WHERE NOT EXISTS (SELECT 1 FROM act_s a WHERE a."Participant" = d."Participant" AND a."Condition" = d."Condition"
+                    AND a.second = d.second AND a.id = d.id)
+  UNION ALL
+  SELECT "Participant", "Condition", x, y, id, size, name, second, "Event", "_ord", time_start, total_time
+  FROM act_s
+),
+f2 AS (
+  SELECT "Participant", "Condition", x, y, id, name, second, "Event", time_start, total_time,
+         COALESCE(size,
+                  LAST_VALUE(size IGNORE NULLS) OVER (
+                    PARTITION BY "Participant", "Condition", id ORDER BY second ASC NULLS LAST, "_ord" ASC NULLS LAST
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+                  CAST(0.0 AS DOUBLE)) AS size
+  FROM f1
+),
+f3 AS (
+  SELECT f."Participant", f."Condition", f.x, f.y, f.id, f.size, f.name, f.second, f."Event",
+         CAST(NULL AS BOOLEAN) AS has_hit, f.time_start, f.total_time
+  FROM f2 f
+  WHERE NOT EXISTS (SELECT 1 FROM track_s t WHERE t."Participant" = f."Participant" AND t."Condition" = f."Condition"
+                    AND t.second = f.second AND t.id = f.id)
+  UNION ALL
+  SELECT "Participant", "Condition", x, y, id, size, name, second, CAST(NULL AS VARCHAR), has_hit,
+         time_start, total_time
+  FROM track_s
+)
+SELECT "Participant", "Condition", x, y, id, size, name,
+       (epoch_us(second) - epoch_us(time_start)) / 1e6 AS second, "Event", has_hit
+FROM f3
+WHERE (epoch_us(second) - epoch_us(time_start)) / 1e6 <= floor(total_time / 3600) * 3600"""
+
+V2 = r""",
+dense0 AS (
+  SELECT t."Participant", t."Condition", t.x, t.y, t.id, sp.time_start,
+         sp.time_start + to_hours(CAST(g.k AS BIGINT)) AS second
+  FROM tmpl t JOIN spans sp ON t."Participant" = sp."Participant" AND t."Condition" = sp."Condition",
+       LATERAL generate_series(0, CAST(floor(sp.total_time / 3600) AS BIGINT)) AS g(k)
+  WHERE sp.total_time >= 0
+),
+v2j AS (
+  SELECT d."Participant", d."Condition", d.id, d.second, d.time_start, d.x, d.y,
+         a."Event", a.x AS _ax, a.y AS _ay, a."_ord"
+  FROM dense0 d LEFT JOIN act a
+    ON a."Participant" = d."Participant" AND a."Condition" = d."Condition" AND a.second = d.second AND a.id = d.id
+),
+v2 AS (
+  SELECT "Participant", "Condition", id, second, time_start, COALESCE(x, _ax) AS x, COALESCE(y, _ay) AS y,
+         COALESCE("Event", LAST_VALUE("Event" IGNORE NULLS) OVER (
+           PARTITION BY "Participant", "Condition", id ORDER BY second ASC NULLS LAST, "_ord" ASC NULLS LAST
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS "Event"
+  FROM v2j
+)"""
+
+SQL["animation_frames_v2"] = f"""WITH {FRAMES}{V2}
+SELECT "Participant", "Condition", id, (epoch_us(second) - epoch_us(time_start)) / 1e6 AS second, x, y, "Event",
+       CASE WHEN "Event" = 'click' THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS size
+FROM v2"""
+
+SQL["pointer_frames_v2"] = f"""WITH {FRAMES}{V2},
+pmean AS (
+  SELECT "Participant", "Condition", date_trunc('hour', "Timestamp") AS second,
+         AVG("RightControllerLaserPosWorldX") AS laser_x, AVG("RightControllerLaserPosWorldY") AS laser_y
+  FROM dlog WHERE "PlayPeriod" = 'Game' GROUP BY 1, 2, 3
+)
+SELECT v."Participant", v."Condition", v.id, (epoch_us(v.second) - epoch_us(v.time_start)) / 1e6 AS second,
+       v.x, v.y, v."Event",
+       CASE WHEN v."Event" = 'click' THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS size,
+       ROUND(p.laser_x, 6) AS laser_x, ROUND(p.laser_y, 6) AS laser_y
+FROM v2 v LEFT JOIN pmean p
+  ON v."Participant" = p."Participant" AND v."Condition" = p."Condition" AND v.second = p.second"""
+
+SQL["axis_range"] = f"""WITH {DLOG}
+SELECT MIN("MolePositionWorldX") - 1 AS x_min, MAX("MolePositionWorldX") + 1 AS x_max,
+       MIN("MolePositionWorldY") - 1 AS y_min, MAX("MolePositionWorldY") + 1 AS y_max
+FROM dlog"""
+
+
+def _txt(c: str) -> str:
+    return f"COALESCE(regexp_replace(CAST({c} AS VARCHAR), '\\.0$', ''), 'NA')"
+
+
+SQL["spawn_points"] = f"""WITH {DLOG}
+SELECT "Participant", "Condition", "MoleId", "MolePositionWorldX", "MolePositionWorldY",
+       concat_ws(' ', {_txt('"MoleId"')}, {_txt('"MolePositionWorldX"')}, {_txt('"MolePositionWorldY"')}) AS label,
+       CAST(32.0 AS DOUBLE) AS marker_size
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY "Participant", "Condition", "MoleId"
+                                   ORDER BY "Timestamp" ASC NULLS LAST, "_ord" ASC NULLS LAST) AS rn
+      FROM dlog WHERE "PlayPeriod" = 'Game') WHERE rn = 1"""
+
+SQL["sample_rate_series"] = f"""WITH {DLOG}
+SELECT "Participant", "Condition", "_ord", "GameTimeSpent", "Hz",
+       concat_ws(' ', {_txt('"Participant"')}, {_txt('"Condition"')}) AS series
+FROM dlog WHERE "PlayPeriod" = 'Game'"""
+
+SQL["trace_union"] = f"""WITH {FRAMES}
+SELECT "Participant", "Condition", 'laser' AS trace, second, x FROM track
+UNION ALL
+SELECT "Participant", "Condition", 'moles' AS trace, second, x FROM act"""
