@@ -176,3 +176,96 @@ QUERIES.update(
         "trace_union": q_trace_union,
     }
 )
+
+
+# ---- sources, scalars, curves ----------------------------------------------
+from chronoframe.functions import scalars  # noqa: E402
+from chronoframe.operators import curves  # noqa: E402
+from chronoframe.sources import csv_sessions  # noqa: E402
+from chronoframe.sources.tables import events_as_log, load  # noqa: E402
+
+THRESHOLD_LEVELS = (0.0, 0.2, 0.55, 0.85, 1.1)
+THRESHOLD_LABELS = ("g0", "g1", "g2", "g3", "g4")
+
+
+def q_merge_logs(spark, sf_dir):
+    """Event and sample logs with different columns, unioned, joined to meta."""
+    log = events_as_log(load(spark, sf_dir, "events"))
+    ev = log.where(F.col("Event") != "view").select(
+        "Timestamp", "Event", "SessionID", "MoleId", "MolePositionWorldX", "MolePositionWorldY", "_ord"
+    )
+    sa = log.where(F.col("Event") == "view").select(
+        "Timestamp", "Event", "SessionID", "RightControllerLaserPosWorldX", "RightControllerLaserPosWorldY",
+        "WorldGazeHitPositionX", "GazeConfidence", "_ord",
+    )
+    meta = load(spark, sf_dir, "customer").select(
+        F.col("c_custkey").cast("string").alias("SessionID"),
+        F.col("c_mktsegment").alias("Timestamp"),
+        F.col("c_name").alias("Email"),
+        F.col("c_nationkey").cast("string").alias("Framecount"),
+        F.col("c_custkey").cast("string").alias("ParticipantID"),
+    )
+    return csv_sessions.merge_sessions(csv_sessions.rename_meta(meta), ev, sa)
+
+
+def q_path_fields(spark, sf_dir):
+    pages = load(spark, sf_dir, "pages").select("page_id", "url")
+    return csv_sessions.path_fields(pages, "url")
+
+
+def q_parse_and_cast(spark, sf_dir):
+    e = load(spark, sf_dir, "events")
+    ts_text = (
+        F.when(F.col("event_type") == "error", F.lit("not a time"))
+        .when(F.col("event_type") == "view", F.concat(F.col("ts").cast("string"), F.lit(" +junk")))
+        .otherwise(F.col("ts").cast("string"))
+    )
+    val_text = F.when(F.col("event_type") == "click", F.lit("n/a")).otherwise(F.col("value").cast("string"))
+    return e.select(
+        "event_id",
+        scalars.parse_log_ts(ts_text).alias("Timestamp"),
+        scalars.to_numeric(val_text).alias("value_num"),
+    )
+
+
+def q_label_text(spark, sf_dir):
+    log = derived(spark, sf_dir)
+    return log.select(
+        "_ord", scalars.label_text("Participant", "Condition", "MoleId", "MolePositionWorldX").alias("label")
+    )
+
+
+def q_clip_values(spark, sf_dir):
+    e = load(spark, sf_dir, "events").select("event_id", (F.col("value") / 100).alias("x"))
+    return e.withColumn("clipped", scalars.clip_values("x", 0.0, 1.0))
+
+
+def q_threshold_label(spark, sf_dir):
+    e = load(spark, sf_dir, "events").select("event_id", (F.col("value") / 100).alias("x"))
+    return e.withColumn("label", scalars.threshold_label("x", THRESHOLD_LEVELS, THRESHOLD_LABELS))
+
+
+def q_linear_curve(spark, sf_dir):
+    li = load(spark, sf_dir, "lineitem")
+    out = curves.linear_curve(li, "l_extendedprice", "l_quantity", ["l_returnflag"])
+    return out.select("l_returnflag", F.round("x", 6).alias("x"), F.round("y", 3).alias("y"))
+
+
+def q_smooth_curve(spark, sf_dir):
+    li = load(spark, sf_dir, "lineitem")
+    out = curves.smooth_curve(li, "l_extendedprice", "l_quantity", spar=0.5, keys=["l_returnflag"])
+    return out.select("l_returnflag", "x", F.round("y", 3).alias("y"))
+
+
+QUERIES.update(
+    {
+        "merge_logs": q_merge_logs,
+        "path_fields": q_path_fields,
+        "parse_and_cast": q_parse_and_cast,
+        "label_text": q_label_text,
+        "clip_values": q_clip_values,
+        "threshold_label": q_threshold_label,
+        "linear_curve": q_linear_curve,
+        "smooth_curve": q_smooth_curve,
+    }
+)

@@ -325,3 +325,60 @@ SQL["trace_union"] = f"""WITH {FRAMES}
 SELECT "Participant", "Condition", 'laser' AS trace, second, x FROM track
 UNION ALL
 SELECT "Participant", "Condition", 'moles' AS trace, second, x FROM act"""
+
+# ---- sources, scalars, curves ----------------------------------------------
+SQL["merge_logs"] = f"""WITH {RAW},
+ev AS (SELECT "Timestamp", "Event", "SessionID", "MoleId", "MolePositionWorldX", "MolePositionWorldY", "_ord"
+       FROM raw WHERE "Event" <> 'view'),
+sa AS (SELECT "Timestamp", "Event", "SessionID", "RightControllerLaserPosWorldX", "RightControllerLaserPosWorldY",
+              "WorldGazeHitPositionX", "GazeConfidence", "_ord"
+       FROM raw WHERE "Event" = 'view'),
+logs AS (SELECT * FROM ev UNION ALL BY NAME SELECT * FROM sa),
+meta AS (SELECT CAST(c_custkey AS VARCHAR) AS "SessionID", c_mktsegment AS "MetaTimestamp", c_name AS "MetaEmail",
+                CAST(c_nationkey AS VARCHAR) AS "MetaFramecount", CAST(c_custkey AS VARCHAR) AS "ParticipantID"
+         FROM customer)
+SELECT l.*, m."MetaTimestamp", m."MetaEmail", m."MetaFramecount", m."ParticipantID"
+FROM logs l LEFT JOIN meta m ON l."SessionID" IS NOT DISTINCT FROM m."SessionID\""""
+
+_US = ", ".join(f"string_split(url, '_')[{i + 1}] AS i{i + 5}" for i in range(9))
+_SL = ", ".join(f"string_split(url, '/')[{i + 1}] AS i{i}" for i in range(5))
+SQL["path_fields"] = f"""SELECT page_id, {_US}, {_SL} FROM pages"""
+
+SQL["parse_and_cast"] = r"""
+SELECT event_id,
+  TRY_CAST(regexp_extract(
+    CASE WHEN event_type = 'error' THEN 'not a time'
+         WHEN event_type = 'view' THEN CAST(ts AS VARCHAR) || ' +junk'
+         ELSE CAST(ts AS VARCHAR) END,
+    '^\s*\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(\.\d+)?', 0) AS TIMESTAMP) AS "Timestamp",
+  TRY_CAST(CASE WHEN event_type = 'click' THEN 'n/a' ELSE CAST(value AS VARCHAR) END AS DOUBLE) AS value_num
+FROM events"""
+
+SQL["label_text"] = f"""WITH {DLOG}
+SELECT "_ord", concat_ws(' ', {_txt('"Participant"')}, {_txt('"Condition"')}, {_txt('"MoleId"')},
+                         {_txt('"MolePositionWorldX"')}) AS label
+FROM dlog"""
+
+SQL["clip_values"] = """
+SELECT event_id, x,
+  CASE WHEN x IS NULL OR isnan(x) THEN CAST(NULL AS DOUBLE)
+       WHEN x <= 0 THEN CAST(0.0 AS DOUBLE) WHEN x >= 1 THEN CAST(1.0 AS DOUBLE) ELSE x END AS clipped
+FROM (SELECT event_id, value / 100 AS x FROM events)"""
+
+SQL["threshold_label"] = """
+SELECT event_id, x,
+  CASE WHEN isnan(x) THEN NULL WHEN x <= 0 THEN 'g0' WHEN x <= 0.2 THEN 'g1' WHEN x <= 0.55 THEN 'g2'
+       WHEN x <= 0.85 THEN 'g3' WHEN x <= 1.1 THEN 'g4' END AS label
+FROM (SELECT event_id, value / 100 AS x FROM events)"""
+
+SQL["linear_curve"] = """
+WITH fit AS (
+  SELECT l_returnflag, regr_slope(l_extendedprice, l_quantity) AS slope,
+         regr_intercept(l_extendedprice, l_quantity) AS icept, AVG(l_extendedprice) AS ybar,
+         MIN(l_quantity) * 100 AS lo, MAX(l_quantity) * 100 AS hi
+  FROM lineitem GROUP BY l_returnflag
+)
+SELECT l_returnflag, ROUND((lo + k) / CAST(100 AS DOUBLE), 6) AS x,
+       ROUND(COALESCE(icept, ybar) + COALESCE(slope, 0) * ((lo + k) / CAST(100 AS DOUBLE)), 3) AS y
+FROM fit, LATERAL generate_series(0, CAST(floor(hi - lo + 1e-9) AS BIGINT)) AS g(k)
+WHERE lo IS NOT NULL"""

@@ -6,3 +6,11 @@ from chronoframe.sources.tables import (  # noqa: F401
     read_table,
     write_table,
 )
+from chronoframe.sources.csv_sessions import (  # noqa: F401,E402
+    merge_sessions,
+    path_fields,
+    read_kind,
+    read_session_dir,
+    read_session_files,
+    rename_meta,
+)
