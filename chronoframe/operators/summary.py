@@ -36,7 +36,10 @@ def session_summary(
     """
     game = dlog.where(F.col("PlayPeriod") == GAME).withColumn("_sum_sk", _sk(keys))
     is_start = in_set(EVENT, vocab.start)
-    gaze = [nan_to_null(to_numeric(c)) for c in GAZE_COLUMNS]
+    # optional columns: a log without them gets NULL means
+    gaze = [
+        nan_to_null(to_numeric(c)) if c in dlog.columns else F.lit(None).cast("double") for c in GAZE_COLUMNS
+    ]
     agg = game.groupBy("_sum_sk").agg(
         F.count_if(F.col(EVENT) == vocab.hit).alias("MoleHitCount"),
         F.sum("Time_delta").alias("PlayTime_delta"),

@@ -269,3 +269,22 @@ QUERIES.update(
         "smooth_curve": q_smooth_curve,
     }
 )
+
+
+# ---- mixed models -----------------------------------------------------------
+from chronoframe.operators import mixed  # noqa: E402
+
+LME_SPEC = mixed.LmeSpec(
+    responses=["l_discount", "l_extendedprice"],
+    random=["l_linestatus", "ship_year"],
+    fixed=["l_quantity", "l_tax"],
+    null="l_returnflag",
+)
+
+
+def q_mixed_model_select(spark, sf_dir):
+    li = load(spark, sf_dir, "lineitem").withColumn("ship_year", F.year("l_shipdate").cast("string"))
+    return mixed.mixed_model_select(li, LME_SPEC)
+
+
+QUERIES["mixed_model_select"] = q_mixed_model_select
