@@ -80,8 +80,11 @@ class EventVocab:
 GAME_VOCAB = EventVocab()
 
 # Chunk grains for the skew-safe running scans (operators/scan.py): rows are
-# scanned inside (session, minute) chunks; minute carries inside (session, day).
-DEFAULT_GRAINS = ("minute", "day")
+# scanned inside (session, minute) chunks and the per-minute carries with one
+# window per session over its minutes.  Per-task work is bounded by the rows
+# of one session-minute and by the minutes of one session (5.3e5 per year);
+# add coarser grains, e.g. ("minute", "day"), for sessions spanning decades.
+DEFAULT_GRAINS = ("minute",)
 
 
 def build_session(

@@ -30,7 +30,7 @@ _SPINE_BLOCK = 4096
 _LADDER = ("second", "minute", "hour", "day", "week")
 
 
-def coarser_grains(bucket: str, levels: int = 2) -> tuple[str, ...]:
+def coarser_grains(bucket: str, levels: int = 1) -> tuple[str, ...]:
     """Chunk grains for scans over data already floored to ``bucket``."""
     i = _LADDER.index(bucket)
     return _LADDER[i + 1 : i + 1 + levels]
@@ -213,6 +213,71 @@ def _relative_seconds(df: DataFrame) -> DataFrame:
     return df.withColumn("second", secs("second", "time_start"))
 
 
+def _span_grid(spans: DataFrame, keys: Sequence[str], bucket: str) -> DataFrame:
+    """Spans keyed by a NULL-safe struct, with the last bucket index n_last."""
+    b = _bucket_seconds(bucket)
+    return spans.where(F.col("total_time") >= 0).select(
+        _sk(keys).alias("_fr_sk"),
+        "time_start",
+        "total_time",
+        F.floor(F.col("total_time") / F.lit(b)).cast("long").alias("_n_last"),
+    )
+
+
+def _bucket_index(second: Column, bucket: str) -> Column:
+    """Whole buckets from the floored span start (negative before it)."""
+    return F.floor(
+        F.timestamp_diff("MICROSECOND", F.col("time_start"), second) / F.lit(unit_micros(bucket))
+    ).cast("long")
+
+
+def _state_gaps(states: DataFrame, objects: DataFrame, bucket: str, grains) -> DataFrame:
+    """Bucket ranges in which an object's carried state is constant.
+
+    ``states``: (_fr_sk, id, _k, state) one row per object and observed bucket,
+    ``state`` = the object's value after that bucket.  ``objects``: (_fr_sk, id,
+    _n_last) every object to densify.  Returns (_fr_sk, id, _lo, _hi, state)
+    covering the span's buckets 0.._n_last that hold no observation; before the
+    first observation the state is NULL.  Only the sparse observations are
+    scanned; the dense rows are generated later by explode.
+    """
+    scanned = running_scan(
+        states, ["_fr_sk", "id"], "_k", (), {"_pk": ("prev", "_k"), "_ps": ("prev", "state")}, ()
+    )
+    inner = scanned.select(
+        "_fr_sk", "id",
+        (F.coalesce(F.col("_pk"), F.lit(-1).cast("long")) + 1).alias("_lo"),
+        (F.col("_k") - 1).alias("_hi"),
+        F.col("_ps").alias("state"),
+    )
+    last = states.groupBy("_fr_sk", "id").agg(
+        F.max("_k").alias("_km"), F.max_by("state", "_k").alias("state")
+    )
+    with_obj = objects.join(last, ["_fr_sk", "id"], "left")
+    trailing = with_obj.select(
+        "_fr_sk", "id",
+        (F.coalesce(F.col("_km"), F.lit(-1).cast("long")) + 1).alias("_lo"),
+        F.col("_n_last").alias("_hi"),
+        "state",
+    )
+    gaps = inner.join(objects, ["_fr_sk", "id"]).select(
+        "_fr_sk", "id", "_lo", F.least(F.col("_hi"), F.col("_n_last")).alias("_hi"), "state"
+    ).unionByName(trailing)
+    gaps = gaps.withColumn("_lo", F.greatest(F.col("_lo"), F.lit(0).cast("long")))
+    return gaps.where(F.col("_hi") >= F.col("_lo"))
+
+
+def _explode_gaps(gaps: DataFrame) -> DataFrame:
+    """One row per bucket index in [_lo, _hi] (blocked, spread over tasks)."""
+    counted = gaps.withColumn("_cnt", (F.col("_hi") - F.col("_lo") + 1).cast("int"))
+    rows = _blocked_range(counted, "_cnt", "_j")
+    return rows.withColumn("_k", F.col("_lo") + F.col("_j")).drop("_j", "_lo", "_hi")
+
+
+def _at_bucket(k: Column, bucket: str) -> Column:
+    return F.timestamp_add("MICROSECOND", k * F.lit(unit_micros(bucket)), F.col("time_start"))
+
+
 def animation_frames(
     dlog: DataFrame,
     keys: Sequence[str] = SESSION_KEYS,
@@ -221,45 +286,96 @@ def animation_frames(
 ) -> DataFrame:
     """Object and pointer frames for every session with a start and an end.
 
-    Template objects (first position, size unknown) and a pointer row are
-    repeated over the session's buckets; buckets with object events take the
-    events instead; size is carried forward per object (missing -> 0); buckets
-    with a pointer position take it.  ``second`` is seconds since the floored
-    start; rows after the last bucket of the span are cut (no lower bound).
+    Semantics (per session): template objects (first position, size unknown)
+    and one pointer row repeated over the span's buckets (J3); buckets with
+    object events take the events instead (J4); size carried forward per
+    object in (bucket, row) order, missing -> 0 (W5); buckets with a pointer
+    position take it (J5).  ``second`` is seconds since the floored start;
+    rows after the last bucket of the span are cut (no lower bound).
+
+    Plan: J3+J4+W5 are fused.  The carried size only depends on the sparse
+    object events, so the scan runs over (object, event bucket) rows and
+    yields constant-size bucket ranges; dense rows are generated from those
+    ranges by explode, never sorted, windowed or anti-joined.
     """
-    spans = session_span(dlog, keys, vocab, bucket)
-    template = object_template(dlog, keys).unionByName(pointer_template(dlog, keys))
-    frames = dense_frames(template, spans, keys, bucket)
-    activity = _attach_spans(object_activity(dlog, keys, vocab, bucket), spans, keys)
-    frames = overlay_anti(frames, activity, keys).unionByName(activity, allowMissingColumns=True)
-    grains = coarser_grains(bucket)
-    frames = fill_down(frames, ["size"], [*keys, "id"], "second", ORD, grains, default=0.0)
-    track = _attach_spans(pointer_track(dlog, keys, vocab, bucket), spans, keys)
-    frames = overlay_anti(frames, track, keys).unionByName(track, allowMissingColumns=True)
-    last_bucket = F.floor(F.col("total_time") / F.lit(_bucket_seconds(bucket))) * F.lit(_bucket_seconds(bucket))
+    grid = _span_grid(session_span(dlog, keys, vocab, bucket), keys, bucket)
+    template = object_template(dlog, keys).withColumn("_fr_sk", _sk(keys))
+    activity = object_activity(dlog, keys, vocab, bucket).withColumn("_fr_sk", _sk(keys)).join(grid, "_fr_sk")
+    activity = activity.withColumn("_k", _bucket_index(F.col("second"), bucket))
+    order = F.struct(F.col("_ord").isNull(), F.col("_ord"))
+    states = activity.groupBy("_fr_sk", "id", "_k").agg(F.max_by("size", order).alias("state"))
+    objects = template.join(grid, "_fr_sk").select("_fr_sk", "id", "_n_last")
+    gaps = _state_gaps(states, objects, bucket, ())
+    filled = _explode_gaps(gaps.join(template.drop("size"), ["_fr_sk", "id"]).join(grid, "_fr_sk"))
+    filled = filled.select(
+        *keys, "x", "y", "id", F.coalesce(F.col("state"), F.lit(0.0)).alias("size"), "name",
+        _at_bucket(F.col("_k"), bucket).alias("second"), "time_start", "total_time", "_n_last",
+    )
+    moles = filled.unionByName(activity.drop("_fr_sk", "_k", ORD), allowMissingColumns=True)
+
+    track = pointer_track(dlog, keys, vocab, bucket).withColumn("_fr_sk", _sk(keys)).join(grid, "_fr_sk")
+    track_k = track.select("_fr_sk", _bucket_index(F.col("second"), bucket).alias("_k"))
+    lasers = (
+        grid.withColumn("_cnt", (F.col("_n_last") + 1).cast("int"))
+        .transform(lambda d: _blocked_range(d, "_cnt", "_k"))
+        .withColumn("_k", F.col("_k").cast("long"))
+        .join(track_k, ["_fr_sk", "_k"], "left_anti")
+        .select(
+            *[F.col("_fr_sk")[k].alias(k) for k in keys],
+            F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"),
+            F.lit(LASER_ID).alias("id"), F.lit(0.0).alias("size"), F.lit(LASER_NAME).alias("name"),
+            _at_bucket(F.col("_k"), bucket).alias("second"), "time_start", "total_time", "_n_last",
+        )
+    )
+    frames = moles.unionByName(lasers, allowMissingColumns=True).unionByName(
+        track.drop("_fr_sk"), allowMissingColumns=True
+    )
+    last_bucket = F.col("_n_last") * F.lit(_bucket_seconds(bucket))
     frames = _relative_seconds(frames).where(F.col("second") <= last_bucket)
     return frames.select(*keys, "x", "y", "id", "size", "name", "second", EVENT, "has_hit")
 
 
 def _frames_v2_absolute(dlog, keys, vocab, bucket) -> DataFrame:
-    spans = session_span(dlog, keys, vocab, bucket)
-    frames = dense_frames(object_template(dlog, keys, size=0.0), spans, keys, bucket)
-    act = object_activity(dlog, keys, vocab, bucket).select(
-        _sk(keys).alias("_v2_sk"), "second", "id", EVENT,
-        F.col("x").alias("_ax"), F.col("y").alias("_ay"), ORD,
+    """C6 rows with absolute bucket times (see ``animation_frames_v2``)."""
+    grid = _span_grid(session_span(dlog, keys, vocab, bucket), keys, bucket)
+    template = object_template(dlog, keys, size=0.0).withColumn("_fr_sk", _sk(keys))
+    objects = template.join(grid, "_fr_sk").select("_fr_sk", "id", "_n_last")
+    act = object_activity(dlog, keys, vocab, bucket).withColumn("_fr_sk", _sk(keys)).join(grid, "_fr_sk")
+    act = act.withColumn("_k", _bucket_index(F.col("second"), bucket))
+    # only events inside the span meet a frame row (left join from the spine)
+    act = act.where((F.col("_k") >= 0) & (F.col("_k") <= F.col("_n_last"))).join(
+        objects.select("_fr_sk", "id"), ["_fr_sk", "id"]
     )
-    joined = frames.withColumn("_v2_sk", _sk(keys)).join(act, ["_v2_sk", "second", "id"], "left").drop("_v2_sk")
-    grains = coarser_grains(bucket)
-    joined = fill_down(joined, [EVENT], [*keys, "id"], "second", ORD, grains)
-    return joined.select(
-        *keys,
-        "id",
-        "second",
-        "time_start",
-        F.coalesce("x", "_ax").alias("x"),
-        F.coalesce("y", "_ay").alias("y"),
-        EVENT,
-        F.when(F.col(EVENT) == vocab.spawn, F.lit(1.0)).otherwise(F.lit(0.0)).alias("size"),
+    order = F.struct(F.col("_ord").isNull(), F.col("_ord"))
+    states = act.groupBy("_fr_sk", "id", "_k").agg(
+        F.max_by(EVENT, F.when(F.col(EVENT).isNotNull(), order)).alias("_last_event"),
+        F.max_by(F.lit(1), F.when(F.col(EVENT).isNotNull(), order)).alias("_has_event"),
+    )
+    # carried value = last non-NULL Event; a bucket whose events are all NULL carries the older one
+    scanned = running_scan(states, ["_fr_sk", "id"], "_k", (), {"_carry": ("prev_nonnull", "_last_event")}, ())
+    states = scanned.select(
+        "_fr_sk", "id", "_k", F.coalesce(F.col("_last_event"), F.col("_carry")).alias("state")
+    )
+    gaps = _state_gaps(states, objects, bucket, ())
+    filled = _explode_gaps(gaps.join(template, ["_fr_sk", "id"]).join(grid.drop("_n_last"), "_fr_sk"))
+    filled = filled.select(
+        *keys, "id", _at_bucket(F.col("_k"), bucket).alias("second"), "time_start", "x", "y",
+        F.col("state").alias(EVENT),
+    )
+    # observed rows: Event NULL inside a bucket takes the carried value from before it
+    tmpl_xy = template.select("_fr_sk", "id", F.col("x").alias("_tx"), F.col("y").alias("_ty"))
+    obs = running_scan(
+        act.select("_fr_sk", "id", "_k", "second", "time_start", EVENT, "x", "y", ORD),
+        ["_fr_sk", "id"], "_k", (ORD,), {"_pe": ("prev_nonnull", EVENT)}, (),
+    ).join(tmpl_xy, ["_fr_sk", "id"])
+    observed = obs.select(
+        *[F.col("_fr_sk")[k].alias(k) for k in keys], "id", "second", "time_start",
+        F.coalesce("_tx", "x").alias("x"), F.coalesce("_ty", "y").alias("y"),
+        F.coalesce(F.col(EVENT), F.col("_pe")).alias(EVENT),
+    )
+    out = filled.unionByName(observed)
+    return out.withColumn(
+        "size", F.when(F.col(EVENT) == vocab.spawn, F.lit(1.0)).otherwise(F.lit(0.0))
     )
 
 
@@ -271,8 +387,10 @@ def animation_frames_v2(
 ) -> DataFrame:
     """Object frames by left join + carried-forward Event (no pre-densified activity).
 
-    Size is 1 while the carried Event is a spawn, else 0; several events of
-    one object in one bucket give several rows.
+    Template (size 0) x span buckets LEFT JOIN object events on (bucket, id);
+    Event carried forward per object; size 1 while the carried Event is a
+    spawn, else 0; several events of one object in one bucket give several
+    rows.  Same fused plan as C5: dense rows come from constant-state ranges.
     """
     out = _frames_v2_absolute(dlog, keys, vocab, bucket)
     return _relative_seconds(out).drop("time_start")

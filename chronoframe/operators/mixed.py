@@ -10,7 +10,9 @@ driver folds cells into Z'Z, Z'X, X'X, ... and minimises the deviance over
 the variance ratios theta >= 0 (one per random factor) with Nelder-Mead.
 
 R2 marginal / conditional follow Nakagawa & Schielzeth (2013).
-Limits (checked): number of cells and of factor levels must fit the driver.
+Limits (checked): the cells must fit the driver (MAX_CELLS); the largest
+factor may have many levels (its block is diagonal), the other factors
+together at most MAX_LEVELS.
 """
 
 from __future__ import annotations
@@ -75,9 +77,6 @@ def cell_statistics(df: DataFrame, factors: Sequence[str], numeric: Sequence[str
     if len(rows) > MAX_CELLS:
         raise ValueError(f"more than {MAX_CELLS} factor cells")
     levels = {f: sorted({r[f] for r in rows}) for f in factors}
-    for f, lv in levels.items():
-        if len(lv) > MAX_LEVELS:
-            raise ValueError(f"factor {f} has {len(lv)} levels (> {MAX_LEVELS})")
     lookup = {f: {v: i for i, v in enumerate(lv)} for f, lv in levels.items()}
     codes = np.array([[lookup[f][r[f]] for f in factors] for r in rows], dtype=int).reshape(len(rows), len(factors))
     n = np.array([r["_n"] for r in rows], dtype=float)
@@ -117,65 +116,81 @@ class Fit:
 
 
 class _Design:
-    """Cross-products of one model (response, fixed columns, random factors)."""
+    """Cross-products of one model (response, fixed columns, random factors).
+
+    Random factors are ordered largest first.  Kept pieces: the first factor's
+    level counts (its Z'Z block is diagonal), its cross-products with the
+    other factors' levels and X, and the dense remainder [Z_r X]'[Z_r X].
+    """
 
     def __init__(self, cells: Cells, response: str, fixed: Sequence[str], random: Sequence[str]):
         xi = [0] + [cells.col(f) for f in fixed]
         yi = cells.col(response)
         s = cells.sums
         self.n = cells.total_rows
+        self.p = len(xi)
         self.xtx = s[:, xi][:, :, xi].sum(axis=0)
         self.xty = s[:, xi, yi].sum(axis=0)
         self.yty = s[:, yi, yi].sum()
-        self.blocks = []  # (factor, size)
-        ztz_parts, ztx_parts, zty_parts = [], [], []
-        offsets = [0]
-        for r in random:
-            k = cells.factors.index(r)
-            nl = len(cells.levels[r])
-            self.blocks.append((r, nl))
-            offsets.append(offsets[-1] + nl)
-        q = offsets[-1]
-        self.q = q
-        self.ztz = np.zeros((q, q))
-        self.ztx = np.zeros((q, len(xi)))
-        self.zty = np.zeros(q)
-        for a, r in enumerate(random):
-            ka = cells.factors.index(r)
-            ia = offsets[a] + cells.codes[:, ka]
-            np.add.at(self.ztx, ia, s[:, 0, xi])
-            np.add.at(self.zty, ia, s[:, 0, yi])
-            for b, r2 in enumerate(random):
-                kb = cells.factors.index(r2)
-                ib = offsets[b] + cells.codes[:, kb]
-                np.add.at(self.ztz, (ia, ib), cells.n)
-        self.offsets = offsets
-
-    def lam(self, theta: np.ndarray) -> np.ndarray:
-        d = np.zeros(self.q)
-        for a in range(len(self.blocks)):
-            d[self.offsets[a] : self.offsets[a + 1]] = theta[a]
-        return d
+        self.k = len(random)
+        if not random:
+            return
+        sizes = [len(cells.levels[r]) for r in random]
+        codes = [cells.codes[:, cells.factors.index(r)] for r in random]
+        q1, qr = sizes[0], sum(sizes[1:])
+        self.q1, self.qr = q1, qr
+        # factor index of every "rest" level (for theta scaling)
+        self.rest_factor = np.concatenate([np.full(sz, i + 1) for i, sz in enumerate(sizes[1:])]) if qr else np.zeros(0, int)
+        offs = np.cumsum([0] + sizes[1:])
+        self.n1 = np.zeros(q1)
+        np.add.at(self.n1, codes[0], cells.n)
+        self.z1x = np.zeros((q1, self.p))
+        np.add.at(self.z1x, codes[0], s[:, 0, xi])
+        self.z1y = np.zeros(q1)
+        np.add.at(self.z1y, codes[0], s[:, 0, yi])
+        self.z1zr = np.zeros((q1, qr))
+        self.zrzr = np.zeros((qr, qr))
+        self.zrx = np.zeros((qr, self.p))
+        self.zry = np.zeros(qr)
+        for a in range(1, self.k):
+            ia = offs[a - 1] + codes[a]
+            np.add.at(self.z1zr, (codes[0], ia), cells.n)
+            np.add.at(self.zrx, ia, s[:, 0, xi])
+            np.add.at(self.zry, ia, s[:, 0, yi])
+            for b in range(1, self.k):
+                ib = offs[b - 1] + codes[b]
+                np.add.at(self.zrzr, (ia, ib), cells.n)
 
     def solve(self, theta: np.ndarray):
-        """Profiled deviance, beta and sigma^2 at theta."""
-        p = self.xtx.shape[0]
-        if self.q == 0:
+        """Profiled deviance, beta and sigma^2 at theta.
+
+        [L'Z'ZL + I, L'Z'X; X'ZL, X'X] [u; beta] = [L'Z'y; X'y] with the first
+        factor's diagonal block eliminated by a Schur complement.
+        """
+        if self.k == 0:
             beta = np.linalg.solve(self.xtx, self.xty)
             r2 = max(self.yty - beta @ self.xty, 1e-300)
             return self.n * (1 + math.log(2 * math.pi * r2 / self.n)), beta, r2 / self.n
-        lam = self.lam(theta)
-        a = (lam[:, None] * self.ztz * lam[None, :]) + np.eye(self.q)
-        lz = np.linalg.cholesky(a)
-        logdet = 2.0 * np.log(np.diag(lz)).sum()
-        top = np.hstack([a, lam[:, None] * self.ztx])
-        bot = np.hstack([(lam[:, None] * self.ztx).T, self.xtx])
-        mat = np.vstack([top, bot])
-        rhs = np.concatenate([lam * self.zty, self.xty])
-        sol = np.linalg.solve(mat, rhs)
-        r2 = max(self.yty - rhs @ sol, 1e-300)
+        t1 = theta[0]
+        tr = theta[self.rest_factor] if self.qr else np.zeros(0)
+        d = t1 * t1 * self.n1 + 1.0
+        # rows of the first block against the rest: [t1 tr Z1'Zr, t1 Z1'X]
+        m1r = np.hstack([t1 * self.z1zr * tr[None, :], t1 * self.z1x])
+        mrr = np.block(
+            [[tr[:, None] * self.zrzr * tr[None, :] + np.eye(self.qr), tr[:, None] * self.zrx],
+             [(tr[:, None] * self.zrx).T, self.xtx]]
+        )
+        rhs1 = t1 * self.z1y
+        rhsr = np.concatenate([tr * self.zry, self.xty])
+        schur = mrr - (m1r.T / d) @ m1r
+        sol_r = np.linalg.solve(schur, rhsr - m1r.T @ (rhs1 / d))
+        sol_1 = (rhs1 - m1r @ sol_r) / d
+        logdet = float(np.log(d).sum())
+        if self.qr:
+            logdet += 2.0 * float(np.log(np.diag(np.linalg.cholesky(schur[: self.qr, : self.qr]))).sum())
+        r2 = max(self.yty - rhs1 @ sol_1 - rhsr @ sol_r, 1e-300)
         dev = logdet + self.n * (1 + math.log(2 * math.pi * r2 / self.n))
-        return dev, sol[self.q : self.q + p], r2 / self.n
+        return dev, sol_r[self.qr :], r2 / self.n
 
 
 def _nelder_mead(f, x0: np.ndarray, step: float = 0.5, iters: int = 400, tol: float = 1e-10) -> np.ndarray:
@@ -210,6 +225,11 @@ def _nelder_mead(f, x0: np.ndarray, step: float = 0.5, iters: int = 400, tol: fl
 
 def fit_model(cells: Cells, response: str, fixed: Sequence[str], random: Sequence[str]) -> Fit:
     """ML fit of ``response ~ fixed + (1|random...)`` from cell statistics."""
+    # the factor with most levels goes first: its block is eliminated cheaply
+    random = sorted(random, key=lambda r: -len(cells.levels[r]))
+    rest = sum(len(cells.levels[r]) for r in random[1:])
+    if rest > MAX_LEVELS:
+        raise ValueError(f"{rest} levels beyond the largest factor (> {MAX_LEVELS})")
     des = _Design(cells, response, fixed, random)
     k = len(random)
     if k:
@@ -236,6 +256,7 @@ def fit_model(cells: Cells, response: str, fixed: Sequence[str], random: Sequenc
     colsum = des.xtx[0]
     n = des.n
     var_f = float((beta @ des.xtx @ beta - (colsum @ beta) ** 2 / n) / (n - 1)) if n > 1 else 0.0
+    var_f = max(var_f, 0.0)
     vr = sum(var_random.values())
     total = var_f + vr + sigma2
     r2m = var_f / total if total > 0 else float("nan")

@@ -79,6 +79,10 @@ def _scan(df, sk, time_col, ties, ops, grains, session_aggs, level=0):
     for out, (kind, c) in ops.items():
         if kind == "sum":
             s = F.sum(F.coalesce(F.col(c), F.lit(0)))
+        elif kind == "prev" and c == time_col:
+            # last row's time = largest time (NULL only in the all-NULL chunk);
+            # a plain max keeps the aggregate hash-based
+            s = F.max(F.col(c))
         elif kind == "prev":
             s = F.max_by(F.col(c), key)
         else:
@@ -124,7 +128,7 @@ def running_scan(
     time_col: str,
     ties: Sequence[str] = (),
     ops: Mapping[str, tuple[str, str]] | None = None,
-    grains: Sequence[str | int] = ("minute", "day"),
+    grains: Sequence[str | int] = ("minute",),
     session_aggs: Mapping[str, tuple[str, str]] | None = None,
 ) -> DataFrame:
     """Add running columns ``{out: (kind, input_col)}`` per group ``keys``.

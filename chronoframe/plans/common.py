@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoframe.operators.derive import derive_session_log
-from chronoframe.sources.tables import EVENTS_VOCAB, events_log
+from chronoframe.sources.tables import EVENTS_VOCAB, events_log, stage_table
 
 KEYS = ("Participant", "Condition")
 VOCAB = EVENTS_VOCAB
@@ -16,9 +16,14 @@ VOCAB = EVENTS_VOCAB
 FRAME_BUCKET = "hour"
 
 
-def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived session log (C1) of the driver's events table."""
-    return derive_session_log(events_log(spark, sf_dir), KEYS, VOCAB)
+def derived(spark: SparkSession, sf_dir: str, stage: bool = False) -> DataFrame:
+    """The derived session log (C1) of the driver's events table.
+
+    ``stage=True`` writes it once to the checkpoint folder for queries that
+    read it from several branches (see ``stage_table``).
+    """
+    dlog = derive_session_log(events_log(spark, sf_dir), KEYS, VOCAB)
+    return stage_table(dlog, "derived-log") if stage else dlog
 
 
 def rounded(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:

@@ -174,9 +174,9 @@ track AS (
     ON l."Participant" = h."Participant" AND l."Condition" = h."Condition" AND l.second = h.second
 ),
 act_s AS (SELECT a.*, sp.time_start, sp.total_time FROM act a JOIN spans sp
-          ON a."Participant" = sp."Participant" AND a."Condition" = sp."Condition"),
+          ON a."Participant" = sp."Participant" AND a."Condition" = sp."Condition" WHERE sp.total_time >= 0),
 track_s AS (SELECT t.*, sp.time_start, sp.total_time FROM track t JOIN spans sp
-            ON t."Participant" = sp."Participant" AND t."Condition" = sp."Condition")"""
+            ON t."Participant" = sp."Participant" AND t."Condition" = sp."Condition" WHERE sp.total_time >= 0)"""
 )
 
 SQL["session_span"] = f"""WITH {FRAMES}

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoframe.config import EventVocab
+from chronoframe.config import EventVocab, checkpoint_dir
 
 # ---------------------------------------------------------------------------
 # How the driver's ``events`` table stands in for a game log.
@@ -76,3 +77,16 @@ def events_as_log(events: DataFrame) -> DataFrame:
 
 def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_as_log(load(spark, sf_dir, "events"))
+
+
+def stage_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet under the shared ``spark.checkpoint.dir`` and read it back.
+
+    Cuts lineage where several branches consume one expensive DataFrame: it is
+    computed once, survives executor loss (files on shared storage), and every
+    branch gets a column-pruned scan instead of a recomputation.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/chronoframe-stage/{name}-{uuid.uuid4().hex}"
+    write_table(df, path)
+    return spark.read.parquet(path)
