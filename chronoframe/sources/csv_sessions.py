@@ -50,18 +50,75 @@ def _escape_glob(path: str) -> str:
     return _GLOB_CHARS.sub(r"\\\1", path)
 
 
-def _header_groups(spark: SparkSession, root: str | Sequence[str], glob: str | None, sep: str) -> dict[tuple, list[str]]:
-    reader = spark.read.option("recursiveFileLookup", "true")
+def _first_lines(batches):
+    """mapInPandas: read only the first line of every listed file (pyarrow fs)."""
+    from urllib.parse import quote, urlsplit
+
+    import pandas as pd
+    import pyarrow.fs as pafs
+
+    for pdf in batches:
+        heads = []
+        for uri in pdf["uri"]:
+            # Hadoop path strings are not percent-encoded; pyarrow wants a URI
+            parts = urlsplit(uri)
+            scheme = {"s3a": "s3", "s3n": "s3"}.get(parts.scheme, parts.scheme or "file")
+            fs, path = pafs.FileSystem.from_uri(f"{scheme}://{parts.netloc}{quote(parts.path)}")
+            with fs.open_input_stream(path) as f:
+                chunk = b""
+                while b"\n" not in chunk:
+                    part = f.read(65536)
+                    if not part:
+                        break
+                    chunk += part
+            heads.append(chunk.split(b"\n", 1)[0].decode("utf-8", "replace"))
+        yield pd.DataFrame({"uri": pdf["uri"], "header": heads})
+
+
+def _list_files(spark: SparkSession, root: str | Sequence[str], glob: str | None) -> DataFrame | None:
+    """Matching files as (uri, path); ``content`` is never selected, so never read."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    src = [root] if isinstance(root, str) else list(root)
+    src = [root] if isinstance(root, str) else [_escape_glob(p) for p in root]
     try:
-        text = reader.text(src)
+        files = reader.load(src).select(F.col("path").alias("uri"))
     except Exception as e:  # noqa: BLE001 - an empty match is an empty kind
         if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return {}
+            return None
         raise
-    heads = (
+    return files
+
+
+def _header_groups(spark: SparkSession, root: str | Sequence[str], glob: str | None, sep: str) -> dict[tuple, list[str]]:
+    files = _list_files(spark, root, glob)
+    if files is None:
+        return {}
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    try:
+        heads = files.repartition(parts).mapInPandas(_first_lines, "uri string, header string")
+        # binaryFile paths are already decoded (unlike _metadata.file_path)
+        rows = heads.select(F.col("uri").alias("path"), "header").collect()
+    except Exception:  # noqa: BLE001 - no pyarrow filesystem for this scheme: scan first splits
+        rows = _header_rows_by_scan(spark, root, glob)
+    groups: dict[tuple, list[str]] = {}
+    # one row per file: the driver lists the files for any scan anyway
+    for row in rows:
+        cols = tuple(h.strip().strip('"') for h in (row["header"] or "").lstrip("\ufeff").rstrip("\r").split(sep))
+        groups.setdefault(cols, []).append(row["path"])
+    if len(groups) > MAX_HEADER_GROUPS:
+        raise ValueError(f"{len(groups)} distinct headers: more than {MAX_HEADER_GROUPS}")
+    return groups
+
+
+def _header_rows_by_scan(spark: SparkSession, root, glob):
+    """Fallback: first line of each file from a text scan of the first splits."""
+    reader = spark.read.option("recursiveFileLookup", "true")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    src = [root] if isinstance(root, str) else [_escape_glob(p) for p in root]
+    text = reader.text(src)
+    return (
         text.select(
             _decoded_path(F.col("_metadata.file_path")).alias("path"),
             F.col("_metadata.file_block_start").alias("blk"),
@@ -71,15 +128,8 @@ def _header_groups(spark: SparkSession, root: str | Sequence[str], glob: str | N
         .where(F.col("blk") == 0)
         .groupBy("path")
         .agg(F.min_by("value", "_i").alias("header"))
+        .collect()
     )
-    groups: dict[tuple, list[str]] = {}
-    # one row per file: the driver lists the files for any scan anyway
-    for row in heads.collect():
-        cols = tuple(h.strip().strip('"') for h in (row["header"] or "").rstrip("\r").split(sep))
-        groups.setdefault(cols, []).append(row["path"])
-    if len(groups) > MAX_HEADER_GROUPS:
-        raise ValueError(f"{len(groups)} distinct headers: more than {MAX_HEADER_GROUPS}")
-    return groups
 
 
 def _missing_as_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:
