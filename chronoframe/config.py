@@ -105,6 +105,8 @@ def build_session(
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # small local inputs: let AQE keep a few post-shuffle partitions busy
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256k")
         # broadcast only what AQE has measured at runtime to be below this size
         .config("spark.sql.adaptive.autoBroadcastJoinThreshold", "32MB")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")

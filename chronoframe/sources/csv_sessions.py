@@ -226,18 +226,24 @@ def merge_sessions(meta: DataFrame | None, event: DataFrame | None, sample: Data
     if by_id:
         left_key, right_key = F.struct(F.col("SessionID")), F.struct(F.col("SessionID"))
         meta_side = meta
+    elif "filename" in meta.columns:
+        # meta rows made from the log's own files (S4): match the file exactly
+        meta_side = meta.drop("SessionID", "_session_base")
+        left_key, right_key = F.struct(F.col("filename")), F.struct(F.col("filename"))
     else:
         if "_session_base" not in meta.columns:
             raise ValueError("meta has no SessionID values and no session path")
         meta_side = meta.drop("SessionID")
         left_key = F.struct(session_base(F.col("filename")))
         right_key = F.struct(F.col("_session_base"))
-    key_cols = {"SessionID"} if by_id else set()
+    key_cols = {"SessionID"} if by_id else ({"filename"} if "filename" in meta_side.columns else set())
     clash = [c for c in meta_side.columns if c in log.columns and c not in key_cols and c != "_session_base"]
     log2 = log.withColumnsRenamed({c: f"{c}.x" for c in clash}).withColumn("_mk", left_key)
     meta2 = meta_side.withColumnsRenamed({c: f"{c}.y" for c in clash}).withColumn("_mk", right_key)
     if by_id:
         meta2 = meta2.drop("SessionID")
+    elif "filename" in meta2.columns:
+        meta2 = meta2.drop("filename")
     joined = log2.join(meta2, "_mk", "left").drop("_mk", "_session_base")
     return joined
 
