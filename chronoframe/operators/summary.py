@@ -188,9 +188,13 @@ def trial_outcome_rates(
     # previous Event is the decision and this Event is not a fish event.  The
     # previous row comes from the chunked scan, so a hot session stays split.
     ties = (ord_col,) if ord_col in dlog.columns else ()
-    df = running_scan(dlog, keys, TS, ties, {"_prev_event": ("prev", EVENT)}, grains)
+    df = running_scan(
+        dlog, keys, TS, ties, {"_prev_event": ("prev", EVENT), "_prev_result": ("prev", result_col)}, grains
+    )
     decided = (F.col("_prev_event") == decision_event) & (F.col(EVENT) != fish_event)
     df = df.withColumn("_decided", F.coalesce(decided, F.lit(False)))
+    # reel / escape look at the decision row's result, i.e. the previous row here
+    prev_r = F.col("_prev_result")
 
     def n(cond):
         return F.count_if(F.coalesce(cond, F.lit(False)))
@@ -209,8 +213,8 @@ def trial_outcome_rates(
         n(fb == "Unreel").alias("fishUnreel"),
         n(fb == "FishLost").alias("fishLost"),
         n(F.col("_decided")).alias("notFishCaught"),
-        n(F.col("_decided") & ~F.coalesce(r.isin("RejInput", "AssistFail", "MitigateFail"), F.lit(False))).alias("reel"),
-        n(F.col("_decided") & F.coalesce(r == "RejInput", F.lit(False))).alias("escape"),
+        n(F.col("_decided") & ~F.coalesce(prev_r.isin("RejInput", "AssistFail", "MitigateFail"), F.lit(False))).alias("reel"),
+        n(F.col("_decided") & F.coalesce(prev_r == "RejInput", F.lit(False))).alias("escape"),
         F.sum("Time_delta").alias("time_total"),
     )
     total = F.col("rejInput") + F.col("accInput") + F.col("assistInput") + F.col("explicitSham") + F.col("mitigateFail")
@@ -230,4 +234,4 @@ def trial_outcome_rates(
     pam = F.lit(0.0)
     for cond, rate_col in pam_conditions.items():
         pam = F.when(F.col("Condition") == cond, F.col(rate_col)).otherwise(pam)
-    return out.withColumn("pam_rate", pam).drop("_prev_event")
+    return out.withColumn("pam_rate", pam)

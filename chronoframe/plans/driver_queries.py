@@ -290,3 +290,33 @@ def q_mixed_model_select(spark, sf_dir):
 
 
 QUERIES["mixed_model_select"] = q_mixed_model_select
+
+
+# ---- trial outcomes (A12, W7) -----------------------------------------------
+# Fixed values of the stand-in mapping: click rows carry a trial result chosen
+# by k % 8 from AccInput, RejInput, OverrideInput, AugSuccess, ExplicitSham,
+# AssistSuccess, AssistFail, MitigateFail; error rows carry feedback chosen by
+# k % 5 from FishCaught, Reel, Stay, Unreel, FishLost.  Decisions are clicks,
+# fish events are errors; conditions C1, C2, C3 take the assist, sham and
+# mitigate rates.
+TRIAL_RESULTS = ["AccInput", "RejInput", "OverrideInput", "AugSuccess", "ExplicitSham", "AssistSuccess", "AssistFail", "MitigateFail"]
+TRIAL_FEEDBACK = ["FishCaught", "Reel", "Stay", "Unreel", "FishLost"]
+
+
+def q_trial_outcome_rates(spark, sf_dir):
+    log = derived(spark, sf_dir)
+    k = F.col("MolePositionWorldY").cast("int")
+    results = F.array(*[F.lit(v) for v in TRIAL_RESULTS])
+    feedback = F.array(*[F.lit(v) for v in TRIAL_FEEDBACK])
+    log = log.withColumn("TrialResult", F.when(F.col("Event") == "click", F.get(results, k % 8))).withColumn(
+        "TrialFeedback", F.when(F.col("Event") == "error", F.get(feedback, k % 5))
+    )
+    out = summary.trial_outcome_rates(
+        log, KEYS, decision_event="click", fish_event="error",
+        pam_conditions={"C1": "trial_rate_assist", "C2": "trial_rate_sham", "C3": "trial_rate_mitigate"},
+    )
+    rates = [c for c in out.columns if c.startswith("trial_rate") or c in ("pam_rate", "time_total")]
+    return rounded(out, rates)
+
+
+QUERIES["trial_outcome_rates"] = q_trial_outcome_rates

@@ -382,3 +382,58 @@ SELECT l_returnflag, ROUND((lo + k) / CAST(100 AS DOUBLE), 6) AS x,
        ROUND(COALESCE(icept, ybar) + COALESCE(slope, 0) * ((lo + k) / CAST(100 AS DOUBLE)), 3) AS y
 FROM fit, LATERAL generate_series(0, CAST(floor(hi - lo + 1e-9) AS BIGINT)) AS g(k)
 WHERE lo IS NOT NULL"""
+
+_RES = "['AccInput', 'RejInput', 'OverrideInput', 'AugSuccess', 'ExplicitSham', 'AssistSuccess', 'AssistFail', 'MitigateFail']"
+_FB = "['FishCaught', 'Reel', 'Stay', 'Unreel', 'FishLost']"
+
+
+def _rate(num: str, den: str) -> str:
+    return f"ROUND(CASE WHEN ({den}) = 0 THEN NULL ELSE ({num}) / ({den}) END, 6)"
+
+
+SQL["trial_outcome_rates"] = f"""WITH {DLOG},
+t AS (
+  SELECT *,
+    CASE WHEN "Event" = 'click' THEN {_RES}[CAST("MolePositionWorldY" AS INTEGER) % 8 + 1] END AS tr,
+    CASE WHEN "Event" = 'error' THEN {_FB}[CAST("MolePositionWorldY" AS INTEGER) % 5 + 1] END AS fb
+  FROM dlog
+),
+l AS (
+  SELECT *, LEAD("Event") OVER ({SESSION_W}) AS next_event FROM t
+),
+agg AS (
+  SELECT "Participant", "Condition",
+    COUNT(*) FILTER (WHERE tr = 'RejInput') AS "rejInput",
+    COUNT(*) FILTER (WHERE tr = 'AccInput') AS "accInput",
+    COUNT(*) FILTER (WHERE tr IN ('OverrideInput', 'AccInput', 'AugSuccess', 'ExplicitSham', 'AssistSuccess')) AS "posTrial",
+    COUNT(*) FILTER (WHERE tr IN ('AssistSuccess', 'AugSuccess')) AS "assistInput",
+    COUNT(*) FILTER (WHERE tr IN ('ExplicitSham', 'OverrideInput')) AS "explicitSham",
+    COUNT(*) FILTER (WHERE tr IN ('AssistFail', 'MitigateFail')) AS "mitigateFail",
+    COUNT(tr) AS "totalTrials2",
+    COUNT(*) FILTER (WHERE fb = 'FishCaught') AS "fishCaught",
+    COUNT(*) FILTER (WHERE fb = 'Reel') AS "fishReel",
+    COUNT(*) FILTER (WHERE fb = 'Stay') AS "fishStay",
+    COUNT(*) FILTER (WHERE fb = 'Unreel') AS "fishUnreel",
+    COUNT(*) FILTER (WHERE fb = 'FishLost') AS "fishLost",
+    COUNT(*) FILTER (WHERE "Event" = 'click' AND next_event <> 'error') AS "notFishCaught",
+    COUNT(*) FILTER (WHERE "Event" = 'click' AND next_event <> 'error'
+                     AND NOT COALESCE(tr IN ('RejInput', 'AssistFail', 'MitigateFail'), false)) AS reel,
+    COUNT(*) FILTER (WHERE "Event" = 'click' AND next_event <> 'error' AND tr = 'RejInput') AS escape,
+    SUM("Time_delta") AS time_total
+  FROM l GROUP BY "Participant", "Condition"
+),
+tot AS (SELECT *, "rejInput" + "accInput" + "assistInput" + "explicitSham" + "mitigateFail" AS "totalTrials" FROM agg),
+rates AS (
+  SELECT *,
+    {_rate('"accInput" + "assistInput"', '"totalTrials"')} AS trial_rate_accept,
+    {_rate('"rejInput"', '"totalTrials"')} AS trial_rate_reject,
+    {_rate('"assistInput"', '"totalTrials"')} AS trial_rate_assist,
+    {_rate('"explicitSham"', '"totalTrials"')} AS trial_rate_sham,
+    {_rate('"mitigateFail"', '"totalTrials"')} AS trial_rate_mitigate,
+    {_rate('"accInput" + "assistInput" + "explicitSham"', '"totalTrials" - "mitigateFail"')} AS trial_rate_positive
+  FROM tot
+)
+SELECT * EXCLUDE (time_total), ROUND(time_total, 6) AS time_total,
+  ROUND(CASE WHEN "Condition" = 'C1' THEN trial_rate_assist WHEN "Condition" = 'C2' THEN trial_rate_sham
+       WHEN "Condition" = 'C3' THEN trial_rate_mitigate ELSE CAST(0.0 AS DOUBLE) END, 6) AS pam_rate
+FROM rates"""
