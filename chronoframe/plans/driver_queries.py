@@ -182,7 +182,7 @@ QUERIES.update(
 from chronoframe.functions import scalars  # noqa: E402
 from chronoframe.operators import curves  # noqa: E402
 from chronoframe.sources import csv_sessions  # noqa: E402
-from chronoframe.sources.tables import events_as_log, load  # noqa: E402
+from chronoframe.sources.tables import events_as_log, load, stage_table  # noqa: E402
 
 THRESHOLD_LEVELS = (0.0, 0.2, 0.55, 0.85, 1.1)
 THRESHOLD_LABELS = ("g0", "g1", "g2", "g3", "g4")
@@ -320,3 +320,54 @@ def q_trial_outcome_rates(spark, sf_dir):
 
 
 QUERIES["trial_outcome_rates"] = q_trial_outcome_rates
+
+
+# ---- the CSV session source end to end (S1-S3, P1-P3, P5, P6, J1, U1) ------
+import uuid  # noqa: E402
+
+from chronoframe.config import checkpoint_dir  # noqa: E402
+from chronoframe.operators.derive import derive_session_log  # noqa: E402
+
+_CSV_OPTS = {"header": "true", "sep": ";", "nullValue": "NULL"}
+
+
+def export_session_csv(spark, sf_dir) -> str:
+    """Write ``events`` as ';' session CSV files (events / samples / meta) under
+    the checkpoint folder; returns the root.  Text columns only, as logged."""
+    log = events_as_log(load(spark, sf_dir, "events")).withColumn(
+        "SessionID", F.concat_ws("-", F.col("SessionID"), F.col("Condition"))
+    )
+    text = {c: F.col(c).cast("string") for c, t in log.dtypes if t != "string" and c != "_ord"}
+    log = log.withColumns(text)
+    root = f"{checkpoint_dir(spark).rstrip('/')}/chronoframe-stage/sessions-{uuid.uuid4().hex}"
+    ev_cols = [c for c in log.columns if c not in ("Participant", "Condition", "_ord")]
+    # sample files list the same columns in another order: loaded by name, not position
+    sa_cols = list(reversed(ev_cols))
+    log.where(F.col("Event") != "view").select(*ev_cols).write.options(**_CSV_OPTS).csv(f"{root}/events")
+    log.where(F.col("Event") == "view").select(*sa_cols).write.options(**_CSV_OPTS).csv(f"{root}/samples")
+    meta = log.select(
+        "SessionID", F.lit("2024-01-01").alias("Timestamp"), F.lit("").alias("Email"),
+        F.lit("0").alias("Framecount"), F.col("Participant").alias("ParticipantID"), "Condition",
+    ).distinct()
+    # one folder per condition, as the game writes them (Spark names it Condition=<c>)
+    meta.write.options(**_CSV_OPTS).partitionBy("Condition").csv(f"{root}/meta")
+    return root
+
+
+def q_csv_session_summary(spark, sf_dir):
+    root = export_session_csv(spark, sf_dir)
+    ev = csv_sessions.read_kind(spark, f"{root}/events", "Event", glob="*.csv")
+    sa = csv_sessions.read_kind(spark, f"{root}/samples", "Sample", glob="*.csv")
+    meta = csv_sessions.read_kind(spark, f"{root}/meta", "Meta", glob="*.csv")
+    meta = csv_sessions.rename_meta(csv_sessions.path_fields(meta.drop("_ord"), "filename"))
+    # Hive-style folder name written by Spark: Condition=<c>
+    meta = meta.withColumn("i1", F.regexp_replace("i1", "^Condition=", ""))
+    raw = csv_sessions.merge_sessions(meta, ev, sa)
+    log = stage_table(derive_session_log(raw, KEYS, VOCAB), "csv-derived-log")
+    out = summary.session_summary(log, KEYS, VOCAB)
+    return rounded(
+        out, ["PlayTime_delta", "MeanGaze_x", "MeanGaze_y", "MeanGaze_z", "MeanGazeConf", "MeanHz"]
+    )
+
+
+QUERIES["csv_session_summary"] = q_csv_session_summary

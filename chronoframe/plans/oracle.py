@@ -437,3 +437,6 @@ SELECT * EXCLUDE (time_total), ROUND(time_total, 6) AS time_total,
   ROUND(CASE WHEN "Condition" = 'C1' THEN trial_rate_assist WHEN "Condition" = 'C2' THEN trial_rate_sham
        WHEN "Condition" = 'C3' THEN trial_rate_mitigate ELSE CAST(0.0 AS DOUBLE) END, 6) AS pam_rate
 FROM rates"""
+
+# the CSV round trip must reproduce the summary computed straight from the table
+SQL["csv_session_summary"] = SQL["session_summary"]

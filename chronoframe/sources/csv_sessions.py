@@ -50,31 +50,6 @@ def _escape_glob(path: str) -> str:
     return _GLOB_CHARS.sub(r"\\\1", path)
 
 
-def _first_lines(batches):
-    """mapInPandas: read only the first line of every listed file (pyarrow fs)."""
-    from urllib.parse import quote, urlsplit
-
-    import pandas as pd
-    import pyarrow.fs as pafs
-
-    for pdf in batches:
-        heads = []
-        for uri in pdf["uri"]:
-            # Hadoop path strings are not percent-encoded; pyarrow wants a URI
-            parts = urlsplit(uri)
-            scheme = {"s3a": "s3", "s3n": "s3"}.get(parts.scheme, parts.scheme or "file")
-            fs, path = pafs.FileSystem.from_uri(f"{scheme}://{parts.netloc}{quote(parts.path)}")
-            with fs.open_input_stream(path) as f:
-                chunk = b""
-                while b"\n" not in chunk:
-                    part = f.read(65536)
-                    if not part:
-                        break
-                    chunk += part
-            heads.append(chunk.split(b"\n", 1)[0].decode("utf-8", "replace"))
-        yield pd.DataFrame({"uri": pdf["uri"], "header": heads})
-
-
 def _list_files(spark: SparkSession, root: str | Sequence[str], glob: str | None) -> DataFrame | None:
     """Matching files as (uri, path); ``content`` is never selected, so never read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
@@ -94,6 +69,32 @@ def _header_groups(spark: SparkSession, root: str | Sequence[str], glob: str | N
     files = _list_files(spark, root, glob)
     if files is None:
         return {}
+
+    # defined here so that it is shipped to the Python workers by value
+    def _first_lines(batches):
+        """mapInPandas: read only the first line of every listed file (pyarrow fs)."""
+        from urllib.parse import quote, urlsplit
+
+        import pandas as pd
+        import pyarrow.fs as pafs
+
+        for pdf in batches:
+            heads = []
+            for uri in pdf["uri"]:
+                # Hadoop path strings are not percent-encoded; pyarrow wants a URI
+                parts = urlsplit(uri)
+                scheme = {"s3a": "s3", "s3n": "s3"}.get(parts.scheme, parts.scheme or "file")
+                fs, path = pafs.FileSystem.from_uri(f"{scheme}://{parts.netloc}{quote(parts.path)}")
+                with fs.open_input_stream(path) as f:
+                    chunk = b""
+                    while b"\n" not in chunk:
+                        part = f.read(65536)
+                        if not part:
+                            break
+                        chunk += part
+                heads.append(chunk.split(b"\n", 1)[0].decode("utf-8", "replace"))
+            yield pd.DataFrame({"uri": pdf["uri"], "header": heads})
+
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     try:
         heads = files.repartition(parts).mapInPandas(_first_lines, "uri string, header string")
