@@ -22,7 +22,7 @@ from chronoframe.config import (
     TS,
     EventVocab,
 )
-from chronoframe.functions.scalars import in_set, parse_log_ts, secs, to_numeric, trunc_ts
+from chronoframe.functions.scalars import in_set, parse_log_ts, secs, to_numeric, trunc_ts, unit_micros
 from chronoframe.operators.scan import running_scan
 
 _NULL_SECOND = "9999-12-31 00:00:00"
@@ -106,6 +106,30 @@ def sample_rate(
     return with_b.join(rates, group).drop(*group)
 
 
+def _rate_bucket(bucket: str) -> F.Column:
+    return F.coalesce(trunc_ts(TS, bucket), F.lit(_NULL_SECOND).cast("timestamp_ntz"))
+
+
+def _rate_by_chunk(df: DataFrame, vocab: EventVocab, bucket: str, grain: str) -> DataFrame:
+    """Sample counts per rate bucket, gathered per scan chunk as a small map.
+
+    Keys are the chunk (rate bucket floored to the grain, the same chunk key
+    the scan uses, rows without time in one chunk) -> {bucket: count}; at most
+    grain/bucket entries (60 for seconds in a minute), so the gathered group
+    is bounded.
+    """
+    counts = df.groupBy(_rate_bucket(bucket).alias("_rb")).agg(
+        F.count_if(F.col(EVENT) == vocab.sample).alias("_n")
+    )
+    chunk = F.coalesce(
+        F.when(F.col("_rb") != F.lit(_NULL_SECOND).cast("timestamp_ntz"), trunc_ts("_rb", grain)),
+        F.lit(_NULL_SECOND).cast("timestamp_ntz"),
+    )
+    return counts.groupBy(chunk.alias("_chunk")).agg(
+        F.map_from_entries(F.collect_list(F.struct("_rb", "_n"))).alias("_rates")
+    )
+
+
 def game_clock(
     df: DataFrame,
     keys: Sequence[str] = SESSION_KEYS,
@@ -148,6 +172,14 @@ def derive_session_log(
     """
     df = clean_log(raw) if clean else raw
     original = df.columns
+    # Hz travels with the scan's carry when every rate bucket lies inside one chunk
+    fuse_rate = (
+        not rate_keys
+        and bool(grains)
+        and grains[0] in ("minute", "hour", "day")
+        and unit_micros(grains[0]) % unit_micros(rate_bucket) == 0
+        and unit_micros(grains[0]) // unit_micros(rate_bucket) <= 3600
+    )
     is_end = in_set(EVENT, vocab.end)
     marked = df.withColumn("_mark", in_set(EVENT, vocab.markers).cast("int")).withColumn(
         "_start_ts", F.when(in_set(EVENT, vocab.start), F.col(TS))
@@ -160,6 +192,7 @@ def derive_session_log(
         {"_c": ("sum", "_mark"), "_prev_ts": ("prev", TS)},
         grains,
         session_aggs={"GameStarted": ("min", "_start_ts"), "GameFinished": ("min", "_end_ts")},
+        chunk_extra=_rate_by_chunk(df, vocab, rate_bucket, grains[0]) if fuse_rate else None,
     )
     out = scanned.withColumns(
         {
@@ -167,7 +200,10 @@ def derive_session_log(
             "Time_delta": F.coalesce(secs(TS, "_prev_ts"), F.lit(0.0)),
         }
     )
-    out = sample_rate(out, vocab, rate_bucket, rate_keys)
+    if fuse_rate:
+        out = out.withColumn("Hz", F.element_at("_rates", _rate_bucket(rate_bucket))).drop("_rates")
+    else:
+        out = sample_rate(out, vocab, rate_bucket, rate_keys)
     out = _clock_columns(out)
     tail = ["PlayPeriod", "Time_delta", "Hz", "GameStarted", "GameFinished", "GameTimeLeft"]
     head = list(original)

@@ -17,7 +17,9 @@ Scan kinds (ordered by ``time`` NULLS LAST, then the tie columns):
 ``sum`` inclusive running sum (NULL counts as 0), ``prev`` value of the
 previous row, ``prev_nonnull`` last non-NULL value strictly before the row.
 ``session_aggs`` (``min``/``max``) are whole-group aggregates delivered with
-the carry, so they cost no extra pass over the rows.
+the carry, so they cost no extra pass over the rows; ``chunk_extra`` (a table
+keyed by ``_chunk``, the floored time of the first grain) is joined to the
+carry table, so per-chunk payloads reach the rows without another shuffle.
 """
 
 from __future__ import annotations
@@ -67,7 +69,7 @@ def _base_scan(df: DataFrame, sk: str, time_col: str, ties: Sequence[str], ops,
     return df.withColumns(cols)
 
 
-def _scan(df, sk, time_col, ties, ops, grains, session_aggs, level=0):
+def _scan(df, sk, time_col, ties, ops, grains, session_aggs, level=0, chunk_extra=None):
     if not grains:
         return _base_scan(df, sk, time_col, ties, ops, session_aggs)
     chunk = f"_scan_chunk{level}"
@@ -104,6 +106,9 @@ def _scan(df, sk, time_col, ties, ops, grains, session_aggs, level=0):
         carry_cols.append(c.alias(f"{out}__carry"))
     carry_cols += [F.col(out) for out in session_aggs]
     carry = carried.select(*carry_cols)
+    if chunk_extra is not None:
+        # per-chunk payload (e.g. per-second counts of that minute) rides with the carry
+        carry = carry.join(chunk_extra.withColumnRenamed("_chunk", chunk), chunk, "left")
 
     joined = rows.join(carry, [sk, chunk])
     w = Window.partitionBy(sk, chunk).orderBy(*_order(time_col, ties))
@@ -130,6 +135,7 @@ def running_scan(
     ops: Mapping[str, tuple[str, str]] | None = None,
     grains: Sequence[str | int] = ("minute",),
     session_aggs: Mapping[str, tuple[str, str]] | None = None,
+    chunk_extra: DataFrame | None = None,
 ) -> DataFrame:
     """Add running columns ``{out: (kind, input_col)}`` per group ``keys``.
 
@@ -147,5 +153,7 @@ def running_scan(
     # a struct of the keys compares NULL fields as equal, so plain equi-joins
     # and hash partitioning treat a NULL key as one group
     with_key = df.withColumn(_SK, F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0))
-    out = _scan(with_key, _SK, time_col, tuple(ties), ops, tuple(grains), session_aggs)
+    if chunk_extra is not None and not grains:
+        raise ValueError("chunk_extra needs at least one chunk grain")
+    out = _scan(with_key, _SK, time_col, tuple(ties), ops, tuple(grains), session_aggs, chunk_extra=chunk_extra)
     return out.drop(_SK)
