@@ -371,3 +371,21 @@ def q_csv_session_summary(spark, sf_dir):
 
 
 QUERIES["csv_session_summary"] = q_csv_session_summary
+
+
+# ---- persisted log, partition-pruned filters (S6-S8, F1, F2) --------------
+from chronoframe.operators import basic  # noqa: E402
+
+
+def q_persisted_game_rows(spark, sf_dir):
+    """Derived log persisted by Condition, read back, one condition's Game rows.
+
+    The condition filter prunes to one partition folder; the phase filter is
+    pushed into the Parquet scan.
+    """
+    log = stage_table(derived(spark, sf_dir), "derived-by-condition", partition_by=["Condition"])
+    rows = basic.phase_filter(basic.session_filter(log, Condition="C1"))
+    return rows.select("_ord", "Participant", "Condition", "Timestamp", "Event", "GameTimeSpent", "Hz")
+
+
+QUERIES["persisted_game_rows"] = q_persisted_game_rows

@@ -440,3 +440,7 @@ FROM rates"""
 
 # the CSV round trip must reproduce the summary computed straight from the table
 SQL["csv_session_summary"] = SQL["session_summary"]
+
+SQL["persisted_game_rows"] = f"""WITH {DLOG}
+SELECT "_ord", "Participant", "Condition", "Timestamp", "Event", "GameTimeSpent", "Hz"
+FROM dlog WHERE "Condition" = 'C1' AND "PlayPeriod" = 'Game'"""

@@ -79,7 +79,7 @@ def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_as_log(load(spark, sf_dir, "events"))
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
+def stage_table(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` as Parquet under the shared ``spark.checkpoint.dir`` and read it back.
 
     Cuts lineage where several branches consume one expensive DataFrame: it is
@@ -88,5 +88,5 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/chronoframe-stage/{name}-{uuid.uuid4().hex}"
-    write_table(df, path)
+    write_table(df, path, partition_by)
     return spark.read.parquet(path)
