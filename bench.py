@@ -1,8 +1,9 @@
 """Benchmark: headline queries on $BENCH_SF_DIR with local[$BENCH_CPUS].
 
 Each query is fully executed through the ``noop`` sink (no result is pulled
-to the driver), after one warm-up run of the flagship query.  Prints one JSON
-line: {"metric", "value" (sum of query seconds), "unit", "queries", "sf"}.
+to the driver): one warm-up run (JIT, code generation, file listing), then the
+median of $BENCH_RUNS (default 3) timed runs.  Prints one JSON line:
+{"metric", "value" (sum of the per-query medians), "unit", "queries", "sf"}.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import statistics
 import sys
 import time
 
@@ -45,11 +47,12 @@ def run(spark, name: str, sf_dir: str) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     names = sys.argv[1:] or HEADLINE
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = build_session(app_name="chronoframe-bench")
-    run(spark, "session_summary", sf_dir)  # warm-up: JIT, file listing caches
     times = {}
     for name in names:
-        times[name] = round(run(spark, name, sf_dir), 3)
+        run(spark, name, sf_dir)  # warm-up
+        times[name] = round(statistics.median(run(spark, name, sf_dir) for _ in range(runs)), 3)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(
         json.dumps(

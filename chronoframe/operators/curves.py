@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoframe.sources.tables import stage_table
+
 
 def linear_curve(
     df: DataFrame,
@@ -109,6 +111,8 @@ def smooth_curve(
         .groupBy(gkey.alias("_g"), x.alias("_x"))
         .agg(F.count(F.lit(1)).cast("double").alias("_w"), F.avg(y).alias("_ybar"))
     )
+    # three jobs read the unique points: compute them once (shared checkpoint folder)
+    pts = stage_table(pts, "spline-points")
     stats = pts.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi"))
     stat_rows = stats.collect()  # one row per curve
     if len(stat_rows) > MAX_SPLINE_GROUPS:

@@ -237,7 +237,8 @@ def fit_model(cells: Cells, response: str, fixed: Sequence[str], random: Sequenc
             return des.solve(np.abs(t))[0]
 
         best = None
-        for start in (np.ones(k), np.full(k, 0.1), np.full(k, 3.0)):
+        starts = (np.ones(k),) if k == 1 else (np.ones(k), np.full(k, 0.1), np.full(k, 3.0))
+        for start in starts:
             t = np.abs(_nelder_mead(dev, start))
             v = dev(t)
             if best is None or v < best[1]:
