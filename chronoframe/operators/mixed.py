@@ -39,6 +39,9 @@ class LmeSpec:
     null: str
     threshold: float = 0.05
     report_p: float = 0.05
+    # "intended": add the best passing term, repeat; "compat": the literal
+    # table-order rules of the analysis scripts (see select_models_compat)
+    selection: str = "intended"
 
 
 @dataclass
@@ -351,6 +354,58 @@ def select_models(cells: Cells, spec: LmeSpec) -> list[dict]:
     return rows
 
 
+def _add_compat(cells, p, features, null_fit: Fit, kind: str, threshold: float, models: list, out: list) -> None:
+    """One stage as the scripts do it, rows appended to ``models`` and ``out``.
+
+    Candidates are fitted last feature first; ``r2_pass`` needs the largest R2m
+    among *all* candidates of the step (passing or not); the next null model is
+    the last row in table order of everything so far that passes both tests;
+    used features are dropped when their name occurs in that formula.
+    """
+    cands = []
+    for f in reversed(list(features)):
+        if kind == "random":
+            fit = fit_model(cells, p, null_fit.fixed, [f, *null_fit.random])
+        else:
+            fit = fit_model(cells, p, [f, *null_fit.fixed], null_fit.random)
+        row = _row(p, null_fit, fit)
+        row["_fit"] = fit
+        cands.append(row)
+    if not cands:
+        return
+    top = max(r["R2m"] for r in cands)
+    for r in cands:
+        r["_p_pass"] = r["p_value"] is not None and r["p_value"] < threshold
+        r["_r2_pass"] = r["_p_pass"] and r["R2m"] == top
+    models.extend(cands)
+    out.extend(cands)
+    winner = [r for r in models if r["_p_pass"] and r["_r2_pass"]][-1]
+    if winner["model"] != _formula(null_fit.fixed, null_fit.random):
+        left = [f for f in features if f not in winner["model"]]
+        if left:
+            _add_compat(cells, p, left, winner["_fit"], kind, threshold, models, out)
+
+
+def select_models_compat(cells: Cells, spec: LmeSpec) -> list[dict]:
+    """Rows of the scripts' selection, quirks included.
+
+    The fixed stage starts from the base model (the base row sorts last by
+    R2m, being NA); when no fixed term passes, the last passing random row
+    becomes the null model and the fixed terms are tried again on it.
+    """
+    rows: list[dict] = []
+    for p in reversed(list(spec.responses)):
+        base = fit_model(cells, p, [], [spec.null])
+        base_row = _row(p, None, base)
+        base_row.update({"_fit": base, "_p_pass": True, "_r2_pass": True})
+        models = [base_row]
+        out = [base_row]
+        _add_compat(cells, p, [r for r in spec.random if r != spec.null], base, "random", spec.threshold, models, out)
+        _add_compat(cells, p, [f for f in spec.fixed if f != p], base, "fixed", spec.threshold, models, out)
+        rows.extend({k: v for k, v in r.items() if not k.startswith("_")} for r in out)
+    return rows
+
+
 REPORT_SCHEMA = (
     "Predicted string, nullmodel string, model string, npar int, AIC double, BIC double, ML double, "
     "deviance double, Chisq double, Df int, p_value double, R2m double, R2c double"
@@ -366,7 +421,12 @@ def mixed_model_select(df: DataFrame, spec: LmeSpec, all_rows: bool = False) ->
     factors = list(dict.fromkeys([spec.null, *spec.random]))
     numeric = list(dict.fromkeys([*spec.fixed, *spec.responses]))
     cells = cell_statistics(df, factors, numeric)
-    rows = select_models(cells, spec)
+    if spec.selection == "compat":
+        rows = select_models_compat(cells, spec)
+    elif spec.selection == "intended":
+        rows = select_models(cells, spec)
+    else:
+        raise ValueError("selection must be 'intended' or 'compat'")
     if not all_rows:
         rows = [r for r in rows if r["p_value"] is not None and r["p_value"] < spec.report_p]
     rows.sort(key=lambda r: (r["Predicted"], -(r["R2m"] if r["R2m"] == r["R2m"] else -1e300)))

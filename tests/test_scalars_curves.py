@@ -116,3 +116,16 @@ def test_mixed_selection_report(spark):
 def test_chi2_tail():
     for df_, crit in [(1, 3.841458820694124), (2, 5.991464547107979), (3, 7.814727903251178), (4, 9.487729036781154)]:
         assert mixed.chi2_sf(crit, df_) == pytest.approx(0.05, rel=1e-9)
+
+
+def test_mixed_compat_selection(spark):
+    df, *_ = _data(spark, n=300, seed=3)
+    spec = mixed.LmeSpec(responses=["y"], random=["g2"], fixed=["x"], null="g1", selection="compat")
+    cells = mixed.cell_statistics(df, ["g1", "g2"], ["x", "y"])
+    rows = mixed.select_models_compat(cells, spec)
+    # base row first; every fixed candidate of the first fixed step is tried on the base model
+    assert rows[0]["nullmodel"] is None and rows[0]["model"] == "(1|g1)"
+    fixed_rows = [r for r in rows if r["model"].startswith("x + ")]
+    assert fixed_rows and fixed_rows[0]["nullmodel"] == "(1|g1)"
+    rep = mixed.mixed_model_select(df, spec).collect()
+    assert all(r["p_value"] < 0.05 for r in rep)
