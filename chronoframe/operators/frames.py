@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoframe.config import EVENT, GAME, GAME_VOCAB, ORD, SESSION_KEYS, TS, EventVocab
+from chronoframe.config import DEFAULT_GRAINS, EVENT, GAME, GAME_VOCAB, ORD, SESSION_KEYS, TS, EventVocab
 from chronoframe.functions.scalars import label_text, secs, trunc_ts, unit_micros
 from chronoframe.operators.scan import running_scan
 from chronoframe.operators.summary import pointer_mean, pointer_track, session_span
@@ -193,12 +193,14 @@ def fill_down(
     keys: Sequence[str],
     time_col: str,
     ord_col: str | None = None,
-    grains: Sequence[str] = (),
+    grains: Sequence[str] = DEFAULT_GRAINS,
     default=None,
 ) -> DataFrame:
     """Last observation carried forward per group in (time, ord) order.
 
     With ``default`` set, values still missing afterwards become ``default``.
+    ``grains`` chunk the scan on the (timestamp) time column, see
+    ``operators/scan.py``; ``()`` gives one plain window per group.
     """
     ties = (ord_col,) if ord_col else ()
     ops = {f"_prev_{c}": ("prev_nonnull", c) for c in cols}
@@ -234,7 +236,7 @@ def _bucket_index(second: Column, bucket: str) -> Column:
 def _state_gaps(states: DataFrame, objects: DataFrame, bucket: str, grains) -> DataFrame:
     """Bucket ranges in which an object's carried state is constant.
 
-    ``states``: (_fr_sk, id, _k, state) one row per object and observed bucket,
+    ``states``: (_fr_sk, id, _k, second, state) one row per object and observed bucket,
     ``state`` = the object's value after that bucket.  ``objects``: (_fr_sk, id,
     _n_last) every object to densify.  Returns (_fr_sk, id, _lo, _hi, state)
     covering the span's buckets 0.._n_last that hold no observation; before the
@@ -242,7 +244,7 @@ def _state_gaps(states: DataFrame, objects: DataFrame, bucket: str, grains) -> D
     scanned; the dense rows are generated later by explode.
     """
     scanned = running_scan(
-        states, ["_fr_sk", "id"], "_k", (), {"_pk": ("prev", "_k"), "_ps": ("prev", "state")}, ()
+        states, ["_fr_sk", "id"], "second", (), {"_pk": ("prev", "_k"), "_ps": ("prev", "state")}, grains
     )
     inner = scanned.select(
         "_fr_sk", "id",
@@ -303,9 +305,9 @@ def animation_frames(
     activity = object_activity(dlog, keys, vocab, bucket).withColumn("_fr_sk", _sk(keys)).join(grid, "_fr_sk")
     activity = activity.withColumn("_k", _bucket_index(F.col("second"), bucket))
     order = F.struct(F.col("_ord").isNull(), F.col("_ord"))
-    states = activity.groupBy("_fr_sk", "id", "_k").agg(F.max_by("size", order).alias("state"))
+    states = activity.groupBy("_fr_sk", "id", "_k", "second").agg(F.max_by("size", order).alias("state"))
     objects = template.join(grid, "_fr_sk").select("_fr_sk", "id", "_n_last")
-    gaps = _state_gaps(states, objects, bucket, ())
+    gaps = _state_gaps(states, objects, bucket, coarser_grains(bucket))
     filled = _explode_gaps(gaps.join(template.drop("size"), ["_fr_sk", "id"]).join(grid, "_fr_sk"))
     filled = filled.select(
         *keys, "x", "y", "id", F.coalesce(F.col("state"), F.lit(0.0)).alias("size"), "name",
@@ -347,16 +349,18 @@ def _frames_v2_absolute(dlog, keys, vocab, bucket) -> DataFrame:
         objects.select("_fr_sk", "id"), ["_fr_sk", "id"]
     )
     order = F.struct(F.col("_ord").isNull(), F.col("_ord"))
-    states = act.groupBy("_fr_sk", "id", "_k").agg(
-        F.max_by(EVENT, F.when(F.col(EVENT).isNotNull(), order)).alias("_last_event"),
-        F.max_by(F.lit(1), F.when(F.col(EVENT).isNotNull(), order)).alias("_has_event"),
+    grains = coarser_grains(bucket)
+    states = act.groupBy("_fr_sk", "id", "_k", "second").agg(
+        F.max_by(EVENT, F.when(F.col(EVENT).isNotNull(), order)).alias("_last_event")
     )
     # carried value = last non-NULL Event; a bucket whose events are all NULL carries the older one
-    scanned = running_scan(states, ["_fr_sk", "id"], "_k", (), {"_carry": ("prev_nonnull", "_last_event")}, ())
+    scanned = running_scan(
+        states, ["_fr_sk", "id"], "second", (), {"_carry": ("prev_nonnull", "_last_event")}, grains
+    )
     states = scanned.select(
-        "_fr_sk", "id", "_k", F.coalesce(F.col("_last_event"), F.col("_carry")).alias("state")
+        "_fr_sk", "id", "_k", "second", F.coalesce(F.col("_last_event"), F.col("_carry")).alias("state")
     )
-    gaps = _state_gaps(states, objects, bucket, ())
+    gaps = _state_gaps(states, objects, bucket, grains)
     filled = _explode_gaps(gaps.join(template, ["_fr_sk", "id"]).join(grid.drop("_n_last"), "_fr_sk"))
     filled = filled.select(
         *keys, "id", _at_bucket(F.col("_k"), bucket).alias("second"), "time_start", "x", "y",
@@ -366,7 +370,7 @@ def _frames_v2_absolute(dlog, keys, vocab, bucket) -> DataFrame:
     tmpl_xy = template.select("_fr_sk", "id", F.col("x").alias("_tx"), F.col("y").alias("_ty"))
     obs = running_scan(
         act.select("_fr_sk", "id", "_k", "second", "time_start", EVENT, "x", "y", ORD),
-        ["_fr_sk", "id"], "_k", (ORD,), {"_pe": ("prev_nonnull", EVENT)}, (),
+        ["_fr_sk", "id"], "second", (ORD,), {"_pe": ("prev_nonnull", EVENT)}, grains,
     ).join(tmpl_xy, ["_fr_sk", "id"])
     observed = obs.select(
         *[F.col("_fr_sk")[k].alias(k) for k in keys], "id", "second", "time_start",
