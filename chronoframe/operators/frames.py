@@ -1,6 +1,6 @@
 """Dense per-bucket animation frames from the sparse log.
 
-The reference builds frames for one session at a time; here every session is
+The original analysis builds frames for one session at a time; here every session is
 processed at once, keyed by the session columns.  Scale choices:
 
 * first row per key is a ``min_by`` aggregate (partial aggregation), not a
