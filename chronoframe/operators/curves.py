@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoframe.operators.frames import _blocked_range
 from chronoframe.sources.tables import stage_table
 
 
@@ -40,10 +41,11 @@ def linear_curve(
         (F.min(x) * s).alias("_lo"),
         (F.max(x) * s).alias("_hi"),
     )
-    fit = fit.where(F.col("_lo").isNotNull())
-    grid = fit.withColumn(
-        "_k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_hi") - F.col("_lo") + F.lit(1e-9)).cast("long")))
+    fit = fit.where(F.col("_lo").isNotNull()).withColumn(
+        "_cnt", (F.floor(F.col("_hi") - F.col("_lo") + F.lit(1e-9)) + 1).cast("int")
     )
+    # the grid grows with the term's range, not with rows: expand it in blocks
+    grid = _blocked_range(fit, "_cnt", "_k")
     gx = (F.col("_lo") + F.col("_k")) / F.lit(s)
     slope = F.coalesce(F.col("_slope"), F.lit(0.0))
     icept = F.coalesce(F.col("_icept"), F.col("_ybar"))
