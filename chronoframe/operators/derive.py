@@ -164,17 +164,22 @@ def derive_session_log(
     rate_bucket: str = "second",
     rate_keys: Sequence[str] = (),
     clean: bool = True,
+    fuse_rate: bool = True,
 ) -> DataFrame:
     """Clean, then PlayPeriod, Time_delta, Hz, GameStarted/Finished, clocks.
 
-    W1, W2 and W4 come out of one running scan (one shuffle of the rows); W3
-    is a grouped count joined back (a second shuffle, by time bucket).
+    W1, W2 and W4 come out of one running scan (one shuffle of the rows).  W3:
+    with ``fuse_rate`` (default) the per-bucket sample counts of each chunk
+    travel as a small map with the scan's carry, so the rows are not shuffled
+    again; otherwise (or with ``rate_keys``) the counts are joined back by
+    bucket, a second shuffle of the rows.
     """
     df = clean_log(raw) if clean else raw
     original = df.columns
     # Hz travels with the scan's carry when every rate bucket lies inside one chunk
     fuse_rate = (
-        not rate_keys
+        fuse_rate
+        and not rate_keys
         and bool(grains)
         and grains[0] in ("minute", "hour", "day")
         and unit_micros(grains[0]) % unit_micros(rate_bucket) == 0
