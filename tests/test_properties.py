@@ -51,3 +51,11 @@ def test_clip_is_idempotent(spark):
     once = df.select(clip_values("x", -1.0, 1.5).alias("x"))
     twice = once.select(clip_values("x", -1.0, 1.5).alias("x"))
     assert sorted(r[0] for r in once.collect()) == sorted(r[0] for r in twice.collect())
+
+
+def test_fused_rate_equals_joined_rate(spark):
+    raw = _random_log(spark, 15)
+    cols = ["_ord", "PlayPeriod", "Time_delta", "Hz", "GameStarted", "GameFinished", "GameTimeSpent", "GameTimeLeft"]
+    a = derive.derive_session_log(raw, fuse_rate=True).select(*cols).collect()
+    b = derive.derive_session_log(raw, fuse_rate=False).select(*cols).collect()
+    assert sorted(map(tuple, a), key=repr) == sorted(map(tuple, b), key=repr)
