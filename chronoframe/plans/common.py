@@ -12,8 +12,10 @@ from chronoframe.sources.tables import EVENTS_VOCAB, events_log, stage_table
 
 KEYS = ("Participant", "Condition")
 VOCAB = EVENTS_VOCAB
-# events are sparse (a few per user-hour), so frames use hourly buckets
+# events are sparse (a few per user-hour), so frames use hourly buckets and
+# the running scans chunk sessions by hour (a minute chunk would hold ~2 rows)
 FRAME_BUCKET = "hour"
+GRAINS = ("hour",)
 
 
 def derived(spark: SparkSession, sf_dir: str, stage: bool = False) -> DataFrame:
@@ -22,7 +24,7 @@ def derived(spark: SparkSession, sf_dir: str, stage: bool = False) -> DataFrame:
     ``stage=True`` writes it once to the checkpoint folder for queries that
     read it from several branches (see ``stage_table``).
     """
-    dlog = derive_session_log(events_log(spark, sf_dir), KEYS, VOCAB)
+    dlog = derive_session_log(events_log(spark, sf_dir), KEYS, VOCAB, grains=GRAINS)
     return stage_table(dlog, "derived-log") if stage else dlog
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoframe.operators import derive, summary
-from chronoframe.plans.common import KEYS, VOCAB, derived, rounded
+from chronoframe.plans.common import GRAINS, KEYS, VOCAB, derived, rounded
 from chronoframe.sources.tables import events_log
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,13 +31,13 @@ def q_derived_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_play_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = derive.clean_log(events_log(spark, sf_dir))
-    out = derive.play_period(log, KEYS, VOCAB)
+    out = derive.play_period(log, KEYS, VOCAB, grains=GRAINS)
     return out.select("_ord", *KEYS, "Timestamp", "Event", "PlayPeriod")
 
 
 def q_time_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = derive.clean_log(events_log(spark, sf_dir))
-    return derive.time_delta(log, KEYS).select("_ord", *KEYS, "Timestamp", "Time_delta")
+    return derive.time_delta(log, KEYS, grains=GRAINS).select("_ord", *KEYS, "Timestamp", "Time_delta")
 
 
 def q_sample_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,6 @@ QUERIES: dict[str, Query] = {
 
 
 # ---- frames (hourly buckets: the events are a few per user-hour) ----------
-from chronoframe.config import DEFAULT_GRAINS  # noqa: E402
 from chronoframe.operators import frames  # noqa: E402
 from chronoframe.plans.common import FRAME_BUCKET as B  # noqa: E402
 
@@ -121,7 +120,7 @@ def q_overlay_anti(spark, sf_dir):
 
 def q_fill_down(spark, sf_dir):
     log = derived(spark, sf_dir)
-    out = frames.fill_down(log, ["MoleId"], KEYS, "Timestamp", "_ord", DEFAULT_GRAINS)
+    out = frames.fill_down(log, ["MoleId"], KEYS, "Timestamp", "_ord", GRAINS)
     return out.select("_ord", *KEYS, F.col("MoleId").alias("last_object"))
 
 
@@ -314,6 +313,7 @@ def q_trial_outcome_rates(spark, sf_dir):
     out = summary.trial_outcome_rates(
         log, KEYS, decision_event="click", fish_event="error",
         pam_conditions={"C1": "trial_rate_assist", "C2": "trial_rate_sham", "C3": "trial_rate_mitigate"},
+        grains=GRAINS,
     )
     rates = [c for c in out.columns if c.startswith("trial_rate") or c in ("pam_rate", "time_total")]
     return rounded(out, rates)
@@ -363,7 +363,7 @@ def q_csv_session_summary(spark, sf_dir):
     # Hive-style folder name written by Spark: Condition=<c>
     meta = meta.withColumn("i1", F.regexp_replace("i1", "^Condition=", ""))
     raw = csv_sessions.merge_sessions(meta, ev, sa)
-    log = stage_table(derive_session_log(raw, KEYS, VOCAB), "csv-derived-log")
+    log = stage_table(derive_session_log(raw, KEYS, VOCAB, grains=GRAINS), "csv-derived-log")
     out = summary.session_summary(log, KEYS, VOCAB)
     return rounded(
         out, ["PlayTime_delta", "MeanGaze_x", "MeanGaze_y", "MeanGaze_z", "MeanGazeConf", "MeanHz"]
