@@ -84,9 +84,21 @@ def stage_table(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> D
 
     Cuts lineage where several branches consume one expensive DataFrame: it is
     computed once, survives executor loss (files on shared storage), and every
-    branch gets a column-pruned scan instead of a recomputation.
+    branch gets a column-pruned scan instead of a recomputation.  The copy is
+    removed when the application ends.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/chronoframe-stage/{name}-{uuid.uuid4().hex}"
     write_table(df, path, partition_by)
+    _delete_on_exit(spark, path)
     return spark.read.parquet(path)
+
+
+def _delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Staged copies live as long as the application (Hadoop deleteOnExit)."""
+    try:
+        jvm = spark.sparkContext._jvm
+        hpath = jvm.org.apache.hadoop.fs.Path(path)
+        hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
+    except Exception:  # noqa: BLE001 - no JVM handle (e.g. a remote session): keep the files
+        pass
