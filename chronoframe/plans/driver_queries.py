@@ -181,7 +181,7 @@ QUERIES.update(
 from chronoframe.functions import scalars  # noqa: E402
 from chronoframe.operators import curves  # noqa: E402
 from chronoframe.sources import csv_sessions  # noqa: E402
-from chronoframe.sources.tables import events_as_log, load, stage_table  # noqa: E402
+from chronoframe.sources.tables import _delete_on_exit, events_as_log, load, stage_table  # noqa: E402
 
 THRESHOLD_LEVELS = (0.0, 0.2, 0.55, 0.85, 1.1)
 THRESHOLD_LABELS = ("g0", "g1", "g2", "g3", "g4")
@@ -351,6 +351,7 @@ def export_session_csv(spark, sf_dir) -> str:
     ).distinct()
     # one folder per condition, as the game writes them (Spark names it Condition=<c>)
     meta.write.options(**_CSV_OPTS).partitionBy("Condition").csv(f"{root}/meta")
+    _delete_on_exit(spark, root)
     return root
 
 
