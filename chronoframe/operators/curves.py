@@ -116,7 +116,7 @@ def smooth_curve(
     # three jobs read the unique points: compute them once (shared checkpoint folder)
     pts = stage_table(pts, "spline-points")
     stats = pts.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi"))
-    stat_rows = stats.collect()  # one row per curve
+    stat_rows = stats.limit(MAX_SPLINE_GROUPS + 1).collect()  # one row per curve, checked below
     if len(stat_rows) > MAX_SPLINE_GROUPS:
         raise ValueError(f"{len(stat_rows)} curves: more than {MAX_SPLINE_GROUPS}")
     params = []
