@@ -100,3 +100,12 @@ def test_path_join_when_meta_has_no_session_ids(spark, tmp_path):
     log = read_session_dir(spark, root, sample=None)
     row = log.first()
     assert row["ParticipantID"] == "7"
+
+
+def test_clashing_columns_get_suffixes(spark):
+    ev = spark.createDataFrame([("e1", "S", "a")], "Event string, SessionID string, Extra string")
+    meta = spark.createDataFrame([("S", "m")], "SessionID string, Extra string")
+    out = merge_sessions(meta, ev, None)
+    assert set(out.columns) == {"Event", "SessionID", "Extra.x", "Extra.y"}
+    row = out.first()
+    assert row["Extra.x"] == "a" and row["Extra.y"] == "m"
