@@ -20,8 +20,11 @@ def read_log_stream(
 ) -> DataFrame:
     """New ``*_Event.csv`` / ``*_Sample.csv`` files as a stream of text rows.
 
-    A file stream needs its schema up front: ``columns`` (all text), mapped by
-    name from each file's header.  Adds ``filename`` and parses Timestamp.
+    A file stream needs its schema up front: ``columns`` (all text) in the
+    files' column order.  With ``enforceSchema=false`` Spark checks every
+    file's header against it and fails on a file with another order instead
+    of mapping values into the wrong columns (the batch source groups files by
+    header instead).  Adds ``filename`` and parses Timestamp.
     """
     schema = StructType([StructField(c, StringType()) for c in columns])
     stream = (
