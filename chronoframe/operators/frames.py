@@ -262,9 +262,18 @@ def _state_gaps(states: DataFrame, objects: DataFrame, bucket: str, grains) -> D
         F.col("_n_last").alias("_hi"),
         "state",
     )
-    gaps = inner.join(objects, ["_fr_sk", "id"]).select(
-        "_fr_sk", "id", "_lo", F.least(F.col("_hi"), F.col("_n_last")).alias("_hi"), "state"
-    ).unionByName(trailing)
+    if "_n_last" in states.columns:  # span end carried on the state rows: no join needed
+        inner = scanned.select(
+            "_fr_sk", "id",
+            (F.coalesce(F.col("_pk"), F.lit(-1).cast("long")) + 1).alias("_lo"),
+            F.least(F.col("_k") - 1, F.col("_n_last")).alias("_hi"),
+            F.col("_ps").alias("state"),
+        )
+    else:
+        inner = inner.join(objects, ["_fr_sk", "id"]).select(
+            "_fr_sk", "id", "_lo", F.least(F.col("_hi"), F.col("_n_last")).alias("_hi"), "state"
+        )
+    gaps = inner.unionByName(trailing)
     gaps = gaps.withColumn("_lo", F.greatest(F.col("_lo"), F.lit(0).cast("long")))
     return gaps.where(F.col("_hi") >= F.col("_lo"))
 
@@ -305,7 +314,9 @@ def animation_frames(
     activity = object_activity(dlog, keys, vocab, bucket).withColumn("_fr_sk", _sk(keys)).join(grid, "_fr_sk")
     activity = activity.withColumn("_k", _bucket_index(F.col("second"), bucket))
     order = F.struct(F.col("_ord").isNull(), F.col("_ord"))
-    states = activity.groupBy("_fr_sk", "id", "_k", "second").agg(F.max_by("size", order).alias("state"))
+    states = activity.groupBy("_fr_sk", "id", "_k", "second").agg(
+        F.max_by("size", order).alias("state"), F.max("_n_last").alias("_n_last")
+    )
     objects = template.join(grid, "_fr_sk").select("_fr_sk", "id", "_n_last")
     gaps = _state_gaps(states, objects, bucket, coarser_grains(bucket))
     filled = _explode_gaps(gaps.join(template.drop("size"), ["_fr_sk", "id"]).join(grid, "_fr_sk"))
@@ -338,7 +349,13 @@ def animation_frames(
 
 
 def _frames_v2_absolute(dlog, keys, vocab, bucket) -> DataFrame:
-    """C6 rows with absolute bucket times (see ``animation_frames_v2``)."""
+    """C6 rows with absolute bucket times (see ``animation_frames_v2``).
+
+    Object events are selected by their Event, so it is never NULL on them:
+    the Event carried into an unobserved bucket is the last Event of the
+    object's previous observed bucket inside the span.  That is one state per
+    (object, observed bucket), and the same constant-state ranges as C5.
+    """
     grid = _span_grid(session_span(dlog, keys, vocab, bucket), keys, bucket)
     template = object_template(dlog, keys, size=0.0).withColumn("_fr_sk", _sk(keys))
     objects = template.join(grid, "_fr_sk").select("_fr_sk", "id", "_n_last")
@@ -348,34 +365,20 @@ def _frames_v2_absolute(dlog, keys, vocab, bucket) -> DataFrame:
     act = act.where((F.col("_k") >= 0) & (F.col("_k") <= F.col("_n_last"))).join(
         objects.select("_fr_sk", "id"), ["_fr_sk", "id"]
     )
-    order = F.struct(F.col("_ord").isNull(), F.col("_ord"))
-    grains = coarser_grains(bucket)
+    order = F.struct(F.col(ORD).isNull(), F.col(ORD))
     states = act.groupBy("_fr_sk", "id", "_k", "second").agg(
-        F.max_by(EVENT, F.when(F.col(EVENT).isNotNull(), order)).alias("_last_event")
-    )
-    # carried value = last non-NULL Event; a bucket whose events are all NULL carries the older one
-    scanned = running_scan(
-        states, ["_fr_sk", "id"], "second", (), {"_carry": ("prev_nonnull", "_last_event")}, grains
+        F.max_by(EVENT, order).alias("state"), F.max("_n_last").alias("_n_last")
     )
-    states = scanned.select(
-        "_fr_sk", "id", "_k", "second", F.coalesce(F.col("_last_event"), F.col("_carry")).alias("state")
-    )
-    gaps = _state_gaps(states, objects, bucket, grains)
+    gaps = _state_gaps(states, objects, bucket, coarser_grains(bucket))
     filled = _explode_gaps(gaps.join(template, ["_fr_sk", "id"]).join(grid.drop("_n_last"), "_fr_sk"))
     filled = filled.select(
         *keys, "id", _at_bucket(F.col("_k"), bucket).alias("second"), "time_start", "x", "y",
         F.col("state").alias(EVENT),
     )
-    # observed rows: Event NULL inside a bucket takes the carried value from before it
     tmpl_xy = template.select("_fr_sk", "id", F.col("x").alias("_tx"), F.col("y").alias("_ty"))
-    obs = running_scan(
-        act.select("_fr_sk", "id", "_k", "second", "time_start", EVENT, "x", "y", ORD),
-        ["_fr_sk", "id"], "second", (ORD,), {"_pe": ("prev_nonnull", EVENT)}, grains,
-    ).join(tmpl_xy, ["_fr_sk", "id"])
-    observed = obs.select(
+    observed = act.join(tmpl_xy, ["_fr_sk", "id"]).select(
         *[F.col("_fr_sk")[k].alias(k) for k in keys], "id", "second", "time_start",
-        F.coalesce("_tx", "x").alias("x"), F.coalesce("_ty", "y").alias("y"),
-        F.coalesce(F.col(EVENT), F.col("_pe")).alias(EVENT),
+        F.coalesce("_tx", "x").alias("x"), F.coalesce("_ty", "y").alias("y"), EVENT,
     )
     out = filled.unionByName(observed)
     return out.withColumn(
