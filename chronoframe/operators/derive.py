@@ -97,7 +97,7 @@ def sample_rate(
     never lands in a single window task.  Rows without a time share one bucket.
     """
     b = F.coalesce(trunc_ts(TS, bucket), F.lit(_NULL_SECOND).cast("timestamp_ntz"))
-    with_b = df.withColumn("_rate_bucket", b)
+    with_b = df.drop("Hz").withColumn("_rate_bucket", b)  # an existing Hz is replaced
     group = ["_rate_bucket", *keys]
     if keys:
         with_b = with_b.withColumn("_rate_sk", F.struct(*keys))
@@ -145,7 +145,8 @@ def game_clock(
             F.min(F.when(in_set(EVENT, vocab.end), F.col(TS))).alias("GameFinished"),
         )
     )
-    out = df.withColumn("_clock_sk", sk).join(marks, "_clock_sk").drop("_clock_sk")
+    # existing clock columns are replaced
+    out = df.drop("GameStarted", "GameFinished").withColumn("_clock_sk", sk).join(marks, "_clock_sk").drop("_clock_sk")
     return _clock_columns(out)
 
 

@@ -87,3 +87,29 @@ def test_spawn_points_and_series(dlog):
     assert pts[None]["label"] == "NA NA NA"
     series = frames.sample_rate_series(dlog).select("series").distinct().collect()
     assert [r[0] for r in series] == ["0 Test Condition 2"]
+
+
+def test_summary_first_marker_and_per_session_rate(spark):
+    # two end markers: "all" gives one row per end marker, "first" one row
+    rows = golden_df(spark).collect()
+    extra = spark.createDataFrame(
+        [("2022-01-01 10:00:05.000", "Game Stopped", None, "0", "Test Condition 2", None, None, "12", "120", "1", "bad", None, "0.5", 12)],
+        golden_df(spark).schema,
+    )
+    d = derive.derive_session_log(golden_df(spark).unionByName(extra))
+    assert summary.session_summary(d, markers="all").count() == 2
+    (first,) = summary.session_summary(d, markers="first").collect()
+    assert first["PlayTime"] == 3.75
+    # sample rate per session equals the global one when only one session exists
+    per = derive.sample_rate(d, keys=["Participant", "Condition"]).select("_ord", "Hz").collect()
+    glob = derive.sample_rate(d).select("_ord", "Hz").collect()
+    assert sorted(per) == sorted(glob)
+    assert len(rows) == 11
+
+
+def test_window_operators_replace_existing_columns(dlog):
+    again = derive.game_clock(derive.sample_rate(dlog))
+    assert again.columns.count("Hz") == 1 and again.columns.count("GameStarted") == 1
+    a = sorted((r["_ord"], r["Hz"], r["GameTimeLeft"]) for r in again.collect())
+    b = sorted((r["_ord"], r["Hz"], r["GameTimeLeft"]) for r in dlog.collect())
+    assert a == b
