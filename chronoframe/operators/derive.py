@@ -176,6 +176,9 @@ def derive_session_log(
     bucket, a second shuffle of the rows.
     """
     df = clean_log(raw) if clean else raw
+    # re-deriving a derived log replaces its derived columns (GameTimeSpent is
+    # a raw column too and is replaced in place)
+    df = df.drop("PlayPeriod", "Time_delta", "Hz", "GameStarted", "GameFinished", "GameTimeLeft")
     original = df.columns
     # Hz travels with the scan's carry when every rate bucket lies inside one chunk
     fuse_rate = (

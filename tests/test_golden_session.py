@@ -113,3 +113,10 @@ def test_window_operators_replace_existing_columns(dlog):
     a = sorted((r["_ord"], r["Hz"], r["GameTimeLeft"]) for r in again.collect())
     b = sorted((r["_ord"], r["Hz"], r["GameTimeLeft"]) for r in dlog.collect())
     assert a == b
+
+
+def test_rederive_is_stable(spark, dlog):
+    twice = derive.derive_session_log(dlog)
+    assert sorted(twice.columns) == sorted(dlog.columns)
+    key = lambda df: sorted(tuple(r) for r in df.select(sorted(dlog.columns)).collect())
+    assert key(twice) == key(dlog)
