@@ -36,9 +36,14 @@ def clean_log(raw: DataFrame, numeric: Sequence[str] = NUMERIC_COLUMNS) -> DataF
     """Parse Timestamp, put Timestamp/Event first, rename, cast numbers.
 
     ``i1`` becomes Condition and ``ParticipantID`` becomes Participant when
-    present; the listed numeric columns get a lenient cast (bad text -> NULL).
+    present (and the target name is free); the listed numeric columns get a
+    lenient cast (bad text -> NULL).
     """
-    renames = {k: v for k, v in {"i1": CONDITION, "ParticipantID": PARTICIPANT}.items() if k in raw.columns}
+    renames = {
+        k: v
+        for k, v in {"i1": CONDITION, "ParticipantID": PARTICIPANT}.items()
+        if k in raw.columns and v not in raw.columns  # an existing column keeps its name
+    }
     df = raw.withColumnsRenamed(renames) if renames else raw
     ts_type = dict(df.dtypes).get(TS, "string")
     df = df.withColumn(TS, parse_log_ts(TS, ts_type))
