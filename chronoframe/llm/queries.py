@@ -6,7 +6,62 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoframe.llm.common import documents
+from chronoframe.llm.license_scan import scan_licenses
+from chronoframe.llm.packing import pack
+from chronoframe.llm.quality import score_quality, train
 from chronoframe.llm.sharding import assign_shards
+from chronoframe.llm.simhash import simhash_components
+from chronoframe.sources.tables import load
+
+
+def tokenizer_path() -> str:
+    """Place of the public byte-level BPE vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases and licence spans of every document."""
+    found = scan_licenses(documents(spark, sf_dir))
+    joined = lambda labels: F.concat_ws(",", F.array_sort(F.array_distinct(labels)))
+    base, spans = F.col("base_places.label"), F.col("spans.label")
+    cover = F.array_max("spans.cover")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base_places").cast("long").alias("n_base"),
+        F.array_min("base_places.start").alias("first_word"),
+        F.array_max("base_places.start").alias("last_word"),
+        joined(base).alias("base_labels"),
+        joined(F.concat(base, spans)).alias("labels"),
+        F.when(F.size("base_places") > 0, 1.0).otherwise(F.least(F.coalesce(cover, F.lit(0.0)), F.lit(1.0))).alias("score"),
+    )
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Power-of-two pieces of every document, at most 1024 tokens each."""
+    return pack(documents(spark, sf_dir), tokenizer_path()).select(
+        "doc_id",
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+    )
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated quality score of every document."""
+    docs = documents(spark, sf_dir)
+    model = train(docs, load(spark, sf_dir, "labels"))
+    return score_quality(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints over 3-word shingles, linked at two bits or fewer."""
+    return simhash_components(documents(spark, sf_dir), shingle=3, max_bits=2)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +78,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
+    "op2_packing": op2_packing,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op5_simhash": op5_simhash,
     "op10_sharding": op10_sharding,
 }
 
