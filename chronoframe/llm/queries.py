@@ -11,6 +11,7 @@ from chronoframe.llm.packing import pack
 from chronoframe.llm.quality import score_quality, train
 from chronoframe.llm.sharding import assign_shards
 from chronoframe.llm.simhash import simhash_components
+from chronoframe.llm.substring_dedup import dedup_substrings
 from chronoframe.sources.tables import load
 
 
@@ -64,6 +65,13 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(documents(spark, sf_dir), shingle=3, max_bits=2)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that 13-word windows of smaller ids do not cover."""
+    return dedup_substrings(documents(spark, sf_dir), window=13).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
+    )
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bounded-load ring over 16 shards; the law that holds is ``rows``."""
     return assign_shards(documents(spark, sf_dir)).select(
@@ -82,6 +90,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_simhash": op5_simhash,
+    "op8_substring_dedup": op8_substring_dedup,
     "op10_sharding": op10_sharding,
 }
 
