@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoframe.llm.common import documents
+from chronoframe.llm.decontam import overlaps
 from chronoframe.llm.license_scan import scan_licenses
 from chronoframe.llm.packing import pack
 from chronoframe.llm.quality import score_quality, train
 from chronoframe.llm.sharding import assign_shards
 from chronoframe.llm.simhash import simhash_components
+from chronoframe.llm.sql import SQL  # noqa: F401 - re-exported for the driver contract
 from chronoframe.llm.substring_dedup import dedup_substrings
 from chronoframe.sources.tables import load
 
@@ -72,6 +74,12 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps of every document with the benchmark items."""
+    found = overlaps(documents(spark, sf_dir), load(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "first_word", "last_word", "n_windows")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bounded-load ring over 16 shards; the law that holds is ``rows``."""
     return assign_shards(documents(spark, sf_dir)).select(
@@ -91,7 +99,8 @@ QUERIES = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_simhash": op5_simhash,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
 }
 
-SQL: dict[str, str] = {}
+
