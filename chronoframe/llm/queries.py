@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoframe.llm.common import documents
 from chronoframe.llm.decontam import overlaps
+from chronoframe.llm.fingerprints import fingerprint_with_edits, hex_signature
 from chronoframe.llm.license_scan import scan_licenses
 from chronoframe.llm.packing import pack
 from chronoframe.llm.quality import score_quality, train
@@ -14,6 +15,7 @@ from chronoframe.llm.sharding import assign_shards
 from chronoframe.llm.simhash import simhash_components
 from chronoframe.llm.sql import SQL  # noqa: F401 - re-exported for the driver contract
 from chronoframe.llm.substring_dedup import dedup_substrings
+from chronoframe.llm.url_filter import judge_urls
 from chronoframe.sources.tables import load
 
 
@@ -67,6 +69,24 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(documents(spark, sf_dir), shingle=3, max_bits=2)
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule or trees' verdict for every page url."""
+    return judge_urls(load(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consistent-weighted-sampling fingerprints of every document and its edited text."""
+    return fingerprint_with_edits(documents(spark, sf_dir)).select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        hex_signature(F.col("signature")).alias("fingerprint"),
+        hex_signature(F.col("edited_signature")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that 13-word windows of smaller ids do not cover."""
     return dedup_substrings(documents(spark, sf_dir), window=13).select(
@@ -98,6 +118,8 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_simhash": op5_simhash,
+    "op6_url_filter": op6_url_filter,
+    "op7_fingerprints": op7_fingerprints,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
