@@ -9,6 +9,7 @@ from chronoframe.llm.common import documents
 from chronoframe.llm.decontam import overlaps
 from chronoframe.llm.fingerprints import fingerprint_with_edits, hex_signature
 from chronoframe.llm.license_scan import scan_licenses
+from chronoframe.llm.line_dedup import dedup_lines
 from chronoframe.llm.packing import pack
 from chronoframe.llm.quality import score_quality, train
 from chronoframe.llm.sharding import assign_shards
@@ -57,6 +58,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that resemble an earlier line."""
+    return dedup_lines(documents(spark, sf_dir)).select(
+        "doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calibrated quality score of every document."""
     docs = documents(spark, sf_dir)
@@ -116,6 +124,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_packing": op2_packing,
+    "op3_line_dedup": op3_line_dedup,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_simhash": op5_simhash,
     "op6_url_filter": op6_url_filter,

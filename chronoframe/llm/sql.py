@@ -25,6 +25,40 @@ SELECT doc_id, item_id, CAST(min(s) AS INTEGER) AS first_word, CAST(max(s) + 13
 FROM good GROUP BY doc_id, item_id
 """
 
+# Lines of five or more distinct words; pairs share a word among the n/5 + 1 rarest of each.
+OP3 = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS no
+  FROM documents),
+s AS (
+  SELECT doc_id, no, list_distinct(list_filter(regexp_split_to_array(line, '[ 	
+
+]+'), lambda w: w <> '')) AS w
+  FROM l),
+e AS (SELECT doc_id, no, w, len(w) AS n FROM s WHERE len(w) >= 5),
+sets AS (SELECT list_sort(w) AS w, min((doc_id, no)) AS first FROM e GROUP BY list_sort(w)),
+f AS (SELECT first AS pos, w, len(w) AS n FROM sets),
+tok AS (SELECT pos, n, unnest(w) AS word FROM f),
+df AS (SELECT word, count(*) AS c FROM tok GROUP BY word),
+ranked AS (SELECT pos, n, word, row_number() OVER (PARTITION BY pos ORDER BY c, word) AS i FROM tok JOIN df USING (word)),
+pre AS (SELECT pos, n, word FROM ranked WHERE i <= n // 5 + 1),
+cand AS (
+  SELECT DISTINCT a.pos AS u, b.pos AS v FROM pre a JOIN pre b USING (word)
+  WHERE b.pos < a.pos AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+near AS (
+  SELECT DISTINCT u FROM cand JOIN f a ON a.pos = u JOIN f b ON b.pos = v
+  WHERE 9 * len(list_intersect(a.w, b.w)) >= 4 * (a.n + b.n)),
+gone AS (
+  SELECT e.doc_id, e.no FROM e JOIN sets ON list_sort(e.w) = sets.w
+  WHERE (e.doc_id, e.no) <> sets.first OR sets.first IN (SELECT u FROM near))
+SELECT l.doc_id, count(*) AS n_lines, count(gone.no) AS n_removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY l.no) FILTER (WHERE gone.no IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.no = l.no
+GROUP BY l.doc_id
+"""
+
 SQL: dict[str, str] = {
+    "op3_line_dedup": OP3,
     "op9_decontamination": OP9,
 }
