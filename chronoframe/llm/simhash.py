@@ -101,7 +101,7 @@ def detours(depth: int, radius: int) -> np.ndarray:
             walk(prefix + (d,), left - abs(d))
 
     walk((), radius)
-    return np.array(out, dtype=np.int8).reshape(-1, depth)
+    return np.array(out, dtype=np.int8).reshape(len(out), depth)
 
 
 def visits(fps: DataFrame, depth: int, radius: int) -> DataFrame:
