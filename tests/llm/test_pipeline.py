@@ -50,6 +50,7 @@ def test_run_matches_brute_force(spark, tables):
     left = [(i, t) for i, t in left if i not in bad]
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
     want = {i: np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes() for i, t in left}
     got = {}
     for r in sorted(corpus_pipeline.run(spark, folder).collect(), key=lambda r: r["start"]):
