@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from dataclasses import dataclass
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import SparkSession
 
 # ---------------------------------------------------------------------------
@@ -87,36 +89,55 @@ GAME_VOCAB = EventVocab()
 DEFAULT_GRAINS = ("minute",)
 
 
+def _master_is_configured() -> bool:
+    """Whether a cluster or an earlier session already decides master and memory."""
+    if SparkContext._active_spark_context is not None:
+        return True
+    if "PYSPARK_GATEWAY_PORT" in os.environ:  # started by spark-submit
+        SparkContext._ensure_initialized()
+        return SparkConf().contains("spark.master")
+    submit_args = os.environ.get("PYSPARK_SUBMIT_ARGS", "")
+    return "--master" in submit_args or "spark.master" in submit_args or "MASTER" in os.environ
+
+
 def build_session(
     master: str | None = None,
     app_name: str = "chronoframe",
     shuffle_partitions: int | None = None,
     extra: dict[str, str] | None = None,
 ) -> SparkSession:
-    """Session used by tests and bench: AQE on, UI off, UTC, Arrow on."""
-    cpus = os.environ.get("BENCH_CPUS", "8")
-    builder = (
-        SparkSession.builder.master(master or f"local[{cpus}]")
-        .appName(app_name)
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        # small local inputs: let AQE keep a few post-shuffle partitions busy
-        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256k")
-        # broadcast only what AQE has measured at runtime to be below this size
-        .config("spark.sql.adaptive.autoBroadcastJoinThreshold", "32MB")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", "16g")
-    )
+    """A session for a job, the tests or the bench.
+
+    With a master configured elsewhere (spark-submit, an active session) only
+    the arguments given here are set.  Otherwise it is a local run: AQE on, UI
+    off, UTC, Arrow on, partitions and memory for one machine.
+    """
+    builder = SparkSession.builder.appName(app_name)
+    if master is None and _master_is_configured():
+        if shuffle_partitions:
+            builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    else:
+        cpus = os.environ.get("BENCH_CPUS", "8")
+        builder = (
+            builder.master(master or f"local[{cpus}]")
+            .config("spark.ui.enabled", "false")
+            .config("spark.ui.showConsoleProgress", "false")
+            .config("spark.sql.session.timeZone", "UTC")
+            .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
+            .config("spark.sql.adaptive.enabled", "true")
+            .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+            .config("spark.sql.adaptive.skewJoin.enabled", "true")
+            # small local inputs: let AQE keep a few post-shuffle partitions busy
+            .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256k")
+            # broadcast only what AQE has measured at runtime to be below this size
+            .config("spark.sql.adaptive.autoBroadcastJoinThreshold", "32MB")
+            .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+            .config("spark.driver.memory", "16g")
+        )
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
     return spark
 
 
@@ -124,11 +145,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the setting points at shared storage and is only read here.
-    Only when it is unset (local tests) a scratch folder is registered.
+    Where it is unset, a ``local`` master gets a scratch folder; any other
+    master raises, since executors would each write to a disk of their own.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder when the master is {sc.master}")
         current = tempfile.mkdtemp(prefix="chronoframe-ckpt-", dir="/tmp")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(current)
