@@ -25,9 +25,6 @@ from chronoframe.config import (
 from chronoframe.functions.scalars import in_set, parse_log_ts, secs, to_numeric, trunc_ts, unit_micros
 from chronoframe.operators.scan import running_scan
 
-_NULL_SECOND = "9999-12-31 00:00:00"
-
-
 def _ties(df: DataFrame, ord_col: str | None) -> tuple[str, ...]:
     return (ord_col,) if ord_col and ord_col in df.columns else ()
 
@@ -99,40 +96,32 @@ def sample_rate(
 
     Counted across all sessions unless ``keys`` are given.  A grouped count
     (map-side partial aggregation) joined back, not a window: a hot second
-    never lands in a single window task.  Rows without a time share one bucket.
+    never lands in a single window task.  Rows without a time share one bucket;
+    without ``keys`` its count is a single number and those rows join nothing.
     """
-    b = F.coalesce(trunc_ts(TS, bucket), F.lit(_NULL_SECOND).cast("timestamp_ntz"))
-    with_b = df.drop("Hz").withColumn("_rate_bucket", b)  # an existing Hz is replaced
-    group = ["_rate_bucket", *keys]
+    rows = df.drop("Hz")  # an existing Hz is replaced
+    count = F.count_if(F.col(EVENT) == vocab.sample).alias("Hz")
+    group = F.struct(trunc_ts(TS, bucket), *keys)
+    timed = rows if keys else rows.where(F.col(TS).isNotNull())
+    with_b = timed.withColumn("_rate_bucket", group)
+    rated = with_b.join(with_b.groupBy("_rate_bucket").agg(count), "_rate_bucket").drop("_rate_bucket")
     if keys:
-        with_b = with_b.withColumn("_rate_sk", F.struct(*keys))
-        group = ["_rate_bucket", "_rate_sk"]
-    rates = with_b.groupBy(*group).agg(F.count_if(F.col(EVENT) == vocab.sample).alias("Hz"))
-    return with_b.join(rates, group).drop(*group)
-
+        return rated
+    rest = rows.where(F.col(TS).isNull())
+    return rated.unionByName(rest.withColumn("Hz", rest.agg(count).scalar()))
 
-def _rate_bucket(bucket: str) -> F.Column:
-    return F.coalesce(trunc_ts(TS, bucket), F.lit(_NULL_SECOND).cast("timestamp_ntz"))
 
+def _with_rate_rows(df: DataFrame, keys: Sequence[str], vocab: EventVocab, bucket: str) -> DataFrame:
+    """The rows (``_row`` 1) and, per session and bucket, one row at the bucket's start with its count.
 
-def _rate_by_chunk(df: DataFrame, vocab: EventVocab, bucket: str, grain: str) -> DataFrame:
-    """Sample counts per rate bucket, gathered per scan chunk as a small map.
-
-    Keys are the chunk (rate bucket floored to the grain, the same chunk key
-    the scan uses, rows without time in one chunk) -> {bucket: count}; at most
-    grain/bucket entries (60 for seconds in a minute), so the gathered group
-    is bounded.
+    In time order the count row comes right before the bucket's rows, so the
+    running scan finds a row's rate by looking back.
     """
-    counts = df.groupBy(_rate_bucket(bucket).alias("_rb")).agg(
-        F.count_if(F.col(EVENT) == vocab.sample).alias("_n")
-    )
-    chunk = F.coalesce(
-        F.when(F.col("_rb") != F.lit(_NULL_SECOND).cast("timestamp_ntz"), trunc_ts("_rb", grain)),
-        F.lit(_NULL_SECOND).cast("timestamp_ntz"),
-    )
-    return counts.groupBy(chunk.alias("_chunk")).agg(
-        F.map_from_entries(F.collect_list(F.struct("_rb", "_n"))).alias("_rates")
-    )
+    timed = df.where(F.col(TS).isNotNull()).withColumn("_rb", trunc_ts(TS, bucket))
+    counts = timed.groupBy("_rb").agg(F.count_if(F.col(EVENT) == vocab.sample).alias("_hz"))
+    starts = timed.select(*keys, "_rb").distinct().join(counts, "_rb")
+    starts = starts.select(*keys, F.col("_rb").alias(TS), "_hz", F.lit(0).alias("_row"))
+    return df.withColumn("_row", F.lit(1)).unionByName(starts, allowMissingColumns=True)
 
 
 def game_clock(
@@ -175,39 +164,46 @@ def derive_session_log(
     """Clean, then PlayPeriod, Time_delta, Hz, GameStarted/Finished, clocks.
 
     W1, W2 and W4 come out of one running scan (one shuffle of the rows).  W3:
-    with ``fuse_rate`` (default) the per-bucket sample counts of each chunk
-    travel as a small map with the scan's carry, so the rows are not shuffled
-    again; otherwise (or with ``rate_keys``) the counts are joined back by
-    bucket, a second shuffle of the rows.
+    with ``fuse_rate`` (default) one narrow row per session and bucket brings the
+    bucket's sample count into the same scan, so the rows are not shuffled
+    again; otherwise (or with ``rate_keys``, or a bucket longer than the scan's
+    chunks) the counts are joined back by bucket, a second shuffle of the rows.
     """
     df = clean_log(raw) if clean else raw
     # re-deriving a derived log replaces its derived columns (GameTimeSpent is
     # a raw column too and is replaced in place)
     df = df.drop("PlayPeriod", "Time_delta", "Hz", "GameStarted", "GameFinished", "GameTimeLeft")
     original = df.columns
-    # Hz travels with the scan's carry when every rate bucket lies inside one chunk
+    # Hz comes out of the scan when every rate bucket lies inside one chunk
     fuse_rate = (
         fuse_rate
         and not rate_keys
         and bool(grains)
         and grains[0] in ("minute", "hour", "day")
         and unit_micros(grains[0]) % unit_micros(rate_bucket) == 0
-        and unit_micros(grains[0]) // unit_micros(rate_bucket) <= 3600
     )
     is_end = in_set(EVENT, vocab.end)
-    marked = df.withColumn("_mark", in_set(EVENT, vocab.markers).cast("int")).withColumn(
-        "_start_ts", F.when(in_set(EVENT, vocab.start), F.col(TS))
-    ).withColumn("_end_ts", F.when(is_end, F.col(TS)))
+    rows = _with_rate_rows(df, keys, vocab, rate_bucket) if fuse_rate else df.withColumn("_row", F.lit(1))
+    marked = rows.withColumns(
+        {
+            "_mark": in_set(EVENT, vocab.markers).cast("int"),
+            "_start_ts": F.when(in_set(EVENT, vocab.start), F.col(TS)),
+            "_end_ts": F.when(is_end, F.col(TS)),
+            "_real_ts": F.when(F.col("_row") == 1, F.col(TS)),
+        }
+    )
+    ops = {"_c": ("sum", "_mark"), "_prev_ts": ("prev_time", "_real_ts")}
+    if fuse_rate:
+        ops["_rate"] = ("prev_nonnull_local", "_hz")
     scanned = running_scan(
         marked,
         keys,
         TS,
-        _ties(df, ord_col),
-        {"_c": ("sum", "_mark"), "_prev_ts": ("prev", TS)},
+        ("_row", *_ties(df, ord_col)),
+        ops,
         grains,
         session_aggs={"GameStarted": ("min", "_start_ts"), "GameFinished": ("min", "_end_ts")},
-        chunk_extra=_rate_by_chunk(df, vocab, rate_bucket, grains[0]) if fuse_rate else None,
-    )
+    ).where("_row = 1")
     out = scanned.withColumns(
         {
             "PlayPeriod": play_phase("_c", is_end),
@@ -215,7 +211,8 @@ def derive_session_log(
         }
     )
     if fuse_rate:
-        out = out.withColumn("Hz", F.element_at("_rates", _rate_bucket(rate_bucket))).drop("_rates")
+        untimed = df.where(F.col(TS).isNull()).agg(F.count_if(F.col(EVENT) == vocab.sample)).scalar()
+        out = out.withColumn("Hz", F.when(F.col(TS).isNull(), untimed).otherwise(F.col("_rate")))
     else:
         out = sample_rate(out, vocab, rate_bucket, rate_keys)
     out = _clock_columns(out)

@@ -17,9 +17,11 @@ Scan kinds (ordered by ``time`` NULLS LAST, then the tie columns):
 ``sum`` inclusive running sum (NULL counts as 0), ``prev`` value of the
 previous row, ``prev_nonnull`` last non-NULL value strictly before the row.
 ``session_aggs`` (``min``/``max``) are whole-group aggregates delivered with
-the carry, so they cost no extra pass over the rows; ``chunk_extra`` (a table
-keyed by ``_chunk``, the floored time of the first grain) is joined to the
-carry table, so per-chunk payloads reach the rows without another shuffle.
+the carry, so they cost no extra pass over the rows.  ``prev_time`` is
+``prev_nonnull`` of a column that equals the time or is NULL (its carry is a
+plain maximum); ``prev_nonnull_local`` looks back inside the first grain's chunk
+only and has no carry.  Rows without a time are chunked by their tie column
+when it is an integer, so they spread over tasks as well.
 """
 
 from __future__ import annotations
@@ -31,10 +33,22 @@ from pyspark.sql import functions as F
 
 from chronoframe.functions.scalars import trunc_ts
 
-SCAN_KINDS = ("sum", "prev", "prev_nonnull")
+SCAN_KINDS = ("sum", "prev", "prev_nonnull", "prev_time", "prev_nonnull_local")
 _SK = "_scan_sk"
 # chunk key for rows whose time is NULL: sorts after every real chunk
 _NULL_CHUNK = "9999-12-31 00:00:00"
+_NULL_CHUNK_BITS = 16  # consecutive tie values that share a chunk
+
+
+def _null_chunk(df: DataFrame, ties: Sequence[str]) -> Column:
+    """Chunk of a row without a time: by its integer tie column, in tie order."""
+    base = F.lit(_NULL_CHUNK).cast("timestamp_ntz")
+    kinds = dict(df.dtypes)
+    whole = [t for t in ties if kinds[t] in ("bigint", "int")]
+    if not ties or whole[-1:] != [ties[-1]]:
+        return base
+    step = F.shiftright(F.col(ties[-1]).cast("long"), _NULL_CHUNK_BITS) + (1 << 48)
+    return F.timestamp_add("MICROSECOND", F.coalesce(step, F.lit(1 << 50)), base)
 
 
 def _order(time_col: str, ties: Sequence[str]) -> list[Column]:
@@ -59,29 +73,28 @@ def _base_scan(df: DataFrame, sk: str, time_col: str, ties: Sequence[str], ops,
             cols[out] = F.coalesce(F.sum(F.coalesce(F.col(c), F.lit(0))).over(upto_here), F.lit(0))
         elif kind == "prev":
             cols[out] = F.lag(c).over(w)
-        elif kind == "prev_nonnull":
-            cols[out] = F.last(c, ignorenulls=True).over(before)
         else:
-            raise ValueError(f"unknown scan kind {kind!r}")
+            cols[out] = F.last(c, ignorenulls=True).over(before)
     whole = Window.partitionBy(sk)
     for out, (fn, c) in session_aggs.items():
         cols[out] = getattr(F, fn)(c).over(whole)
     return df.withColumns(cols)
 
 
-def _scan(df, sk, time_col, ties, ops, grains, session_aggs, level=0, chunk_extra=None):
+def _scan(df, sk, time_col, ties, ops, grains, session_aggs, level=0):
     if not grains:
         return _base_scan(df, sk, time_col, ties, ops, session_aggs)
     chunk = f"_scan_chunk{level}"
     rows = df.withColumn(
-        chunk, F.coalesce(trunc_ts(time_col, grains[0]), F.lit(_NULL_CHUNK).cast("timestamp_ntz"))
+        chunk, F.coalesce(trunc_ts(time_col, grains[0]), _null_chunk(df, ties))
     )
     key = _order_key(time_col, ties)
     summaries = []
-    for out, (kind, c) in ops.items():
+    carried_ops = {out: op for out, op in ops.items() if op[0] != "prev_nonnull_local"}
+    for out, (kind, c) in carried_ops.items():
         if kind == "sum":
             s = F.sum(F.coalesce(F.col(c), F.lit(0)))
-        elif kind == "prev" and c == time_col:
+        elif kind == "prev_time" or (kind == "prev" and c == time_col):
             # last row's time = largest time (NULL only in the all-NULL chunk);
             # a plain max keeps the aggregate hash-based
             s = F.max(F.col(c))
@@ -95,20 +108,18 @@ def _scan(df, sk, time_col, ties, ops, grains, session_aggs, level=0, chunk_extr
     chunks = rows.groupBy(sk, chunk).agg(*summaries)
 
     # carry entering each chunk = scan over the chunk table, one level coarser
-    sub_ops = {f"{out}__c": (kind, f"{out}__s") for out, (kind, _) in ops.items()}
+    coarser = {"prev_time": "prev_nonnull"}
+    sub_ops = {f"{out}__c": (coarser.get(kind, kind), f"{out}__s") for out, (kind, _) in carried_ops.items()}
     sub_sess = {out: (fn, f"{out}__s") for out, (fn, _) in session_aggs.items()}
     carried = _scan(chunks, sk, chunk, (), sub_ops, grains[1:], sub_sess, level + 1)
     carry_cols = [F.col(sk), F.col(chunk)]
-    for out, (kind, _) in ops.items():
+    for out, (kind, _) in carried_ops.items():
         c = F.col(f"{out}__c")
         if kind == "sum":  # inclusive prefix over chunks minus this chunk = exclusive
             c = c - F.coalesce(F.col(f"{out}__s"), F.lit(0))
         carry_cols.append(c.alias(f"{out}__carry"))
     carry_cols += [F.col(out) for out in session_aggs]
     carry = carried.select(*carry_cols)
-    if chunk_extra is not None:
-        # per-chunk payload (e.g. per-second counts of that minute) rides with the carry
-        carry = carry.join(chunk_extra.withColumnRenamed("_chunk", chunk), chunk, "left")
 
     joined = rows.join(carry, [sk, chunk])
     w = Window.partitionBy(sk, chunk).orderBy(*_order(time_col, ties))
@@ -116,6 +127,9 @@ def _scan(df, sk, time_col, ties, ops, grains, session_aggs, level=0, chunk_extr
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     cols: dict[str, Column] = {}
     for out, (kind, c) in ops.items():
+        if kind == "prev_nonnull_local":
+            cols[out] = F.last(c, ignorenulls=True).over(before)
+            continue
         carry_c = F.col(f"{out}__carry")
         if kind == "sum":
             cols[out] = F.sum(F.coalesce(F.col(c), F.lit(0))).over(upto_here) + carry_c
@@ -124,7 +138,7 @@ def _scan(df, sk, time_col, ties, ops, grains, session_aggs, level=0, chunk_extr
         else:
             cols[out] = F.coalesce(F.last(c, ignorenulls=True).over(before), carry_c)
     out_df = joined.withColumns(cols)
-    return out_df.drop(chunk, *[f"{o}__carry" for o in ops])
+    return out_df.drop(chunk, *[f"{o}__carry" for o in carried_ops])
 
 
 def running_scan(
@@ -135,7 +149,6 @@ def running_scan(
     ops: Mapping[str, tuple[str, str]] | None = None,
     grains: Sequence[str | int] = ("minute",),
     session_aggs: Mapping[str, tuple[str, str]] | None = None,
-    chunk_extra: DataFrame | None = None,
 ) -> DataFrame:
     """Add running columns ``{out: (kind, input_col)}`` per group ``keys``.
 
@@ -153,7 +166,5 @@ def running_scan(
     # a struct of the keys compares NULL fields as equal, so plain equi-joins
     # and hash partitioning treat a NULL key as one group
     with_key = df.withColumn(_SK, F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0))
-    if chunk_extra is not None and not grains:
-        raise ValueError("chunk_extra needs at least one chunk grain")
-    out = _scan(with_key, _SK, time_col, tuple(ties), ops, tuple(grains), session_aggs, chunk_extra=chunk_extra)
+    out = _scan(with_key, _SK, time_col, tuple(ties), ops, tuple(grains), session_aggs)
     return out.drop(_SK)

@@ -5,9 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from chronoframe.operators.scan import running_scan
+from chronoframe.operators.scan import _null_chunk, running_scan
 
-OPS = {"s": ("sum", "flag"), "p": ("prev", "v"), "q": ("prev_nonnull", "v")}
+OPS = {"s": ("sum", "flag"), "p": ("prev", "v"), "q": ("prev_nonnull", "v"), "l": ("prev_time", "lt")}
 
 
 def _df(spark, seed):
@@ -20,15 +20,16 @@ def _df(spark, seed):
         v = None if rnd.random() < 0.4 else rnd.randint(0, 9)
         rows.append((k, t, i, int(rnd.random() < 0.3), v))
     df = spark.createDataFrame(rows, "k string, t double, o long, flag int, v int")
-    return df.withColumn("ts", F.timestamp_micros((F.col("t") * 1e6).cast("long")).cast("timestamp_ntz"))
+    df = df.withColumn("ts", F.timestamp_micros((F.col("t") * 1e6).cast("long")).cast("timestamp_ntz"))
+    return df.withColumn("lt", F.when(F.col("flag") == 0, F.col("ts")))
 
 
 @pytest.mark.parametrize("seed", [1, 2])
 @pytest.mark.parametrize("grains", [("minute", "day"), ("second", "hour", "day"), (7,)])
 def test_chunked_equals_plain(spark, seed, grains):
     df = _df(spark, seed)
-    plain = {r["o"]: (r["s"], r["p"], r["q"]) for r in running_scan(df, ["k"], "ts", ["o"], OPS, ()).collect()}
-    chunked = {r["o"]: (r["s"], r["p"], r["q"]) for r in running_scan(df, ["k"], "ts", ["o"], OPS, grains).collect()}
+    plain = {r["o"]: (r["s"], r["p"], r["q"], r["l"]) for r in running_scan(df, ["k"], "ts", ["o"], OPS, ()).collect()}
+    chunked = {r["o"]: (r["s"], r["p"], r["q"], r["l"]) for r in running_scan(df, ["k"], "ts", ["o"], OPS, grains).collect()}
     assert chunked == plain
 
 
@@ -38,3 +39,18 @@ def test_session_aggs(spark):
     a = {r["o"]: (r["first_m"], r["last_m"]) for r in running_scan(df, ["k"], "ts", ["o"], {}, (), aggs).collect()}
     b = {r["o"]: (r["first_m"], r["last_m"]) for r in running_scan(df, ["k"], "ts", ["o"], {}, ("minute", "day"), aggs).collect()}
     assert a == b
+
+
+def test_rows_without_a_time_are_spread(spark):
+    """Half of one session's rows lack a time: same values, and no chunk holds many of them."""
+    n = 400_000
+    df = spark.range(n).selectExpr(
+        "id o", "'k' k", "cast(id % 3 = 0 as int) flag", "cast(id % 7 as int) v",
+        "case when id % 2 = 0 then timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id div 10) end ts",
+    )
+    ops = {"s": ("sum", "flag"), "q": ("prev_nonnull", "v")}
+    total = F.sum(F.xxhash64("o", "s", "q").cast("decimal(20,0)"))
+    chunked = running_scan(df, ["k"], "ts", ["o"], ops, ("minute",))
+    assert chunked.agg(total).first() == running_scan(df, ["k"], "ts", ["o"], ops, ()).agg(total).first()
+    sizes = df.where("ts is null").groupBy(_null_chunk(df, ["o"])).count().collect()
+    assert len(sizes) == -(-n // (1 << 16)) and max(r["count"] for r in sizes) <= 1 << 16
