@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ColumnOrName = Column | str
@@ -109,13 +109,38 @@ def threshold_label(x: ColumnOrName, levels: Sequence[float], labels: Sequence[s
 
 
 def number_text(c: ColumnOrName) -> Column:
-    """Text of a value with a whole-number double printed without '.0'."""
-    return F.regexp_replace(_c(c).cast("string"), r"\.0$", "")
+    """Text of a floating-point value: 15 significant digits, no trailing zeros.
 
-
-def label_text(*cols: ColumnOrName) -> Column:
-    """Space-joined text of the values; a missing value prints as 'NA'."""
-    return F.concat_ws(" ", *[F.coalesce(number_text(c), F.lit("NA")) for c in cols])
+    Plain digits unless the exponent form is shorter, as in statistical output
+    (``1e+05`` but ``123456``).
+    """
+    x = _c(c).cast("double")
+    sci = F.format_string("%.14e", F.abs(x))
+    digits = F.regexp_replace(F.concat(F.substring(sci, 1, 1), F.substring(sci, 3, 14)), "0+$", "")
+    digits = F.when(digits == "", "0").otherwise(digits)
+    n, e = F.length(digits), F.try_to_number(F.substring_index(sci, "e", -1), F.lit("S999")).cast("int")
+    whole = F.rpad(F.left(digits, F.greatest(e + 1, F.lit(0))), F.greatest(e + 1, F.lit(1)), "0")
+    part = F.when(n > e + 1, F.concat(F.lit("."), F.substring(digits, e + 2, n))).otherwise("")
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
+    large = F.abs(x).try_cast("decimal(38,0)").cast("string")  # more digits than the 15 kept
+    plain = F.when(e >= 15, F.coalesce(large, whole)).when(e >= 0, F.concat(whole, part)).otherwise(small)
+    tail = F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise("")
+    power = F.concat(F.when(e < 0, "e-").otherwise("e+"), F.lpad(F.abs(e).cast("string"), F.greatest(F.lit(2), F.length(F.abs(e).cast("string"))), "0"))
+    short = F.concat(F.left(digits, F.lit(1)), tail, power)
+    text = F.when(F.length(plain) <= F.length(short), plain).otherwise(short)
+    signed = F.concat(F.when(x < 0, "-").otherwise(""), text)
+    special = F.when(F.isnan(x), "NaN").when(F.abs(x) == float("inf"), F.when(x > 0, "Inf").otherwise("-Inf"))
+    return F.when(x.isNotNull(), F.coalesce(special, signed))
+
+
+def label_text(df: DataFrame, *names: str) -> Column:
+    """Space-joined text of columns of ``df``; a missing value prints as 'NA'.
+
+    Float and double columns print as ``number_text``; all others as they are.
+    """
+    kinds = dict(df.dtypes)
+    text = [number_text(c) if kinds[c] in ("float", "double") else F.col(c).cast("string") for c in names]
+    return F.concat_ws(" ", *[F.coalesce(t, F.lit("NA")) for t in text])
 
 
 def marker_size(size: ColumnOrName, k: float = 32) -> Column:

@@ -45,7 +45,7 @@ def linear_curve(
         "_cnt", (F.floor(F.col("_hi") - F.col("_lo") + F.lit(1e-9)) + 1).cast("int")
     )
     # the grid grows with the term's range, not with rows: expand it in blocks
-    grid = _blocked_range(fit, "_cnt", "_k")
+    grid = _blocked_range(fit, "_cnt", "_k", [c for c in fit.columns if c != "_cnt"])
     gx = (F.col("_lo") + F.col("_k")) / F.lit(s)
     slope = F.coalesce(F.col("_slope"), F.lit(0.0))
     icept = F.coalesce(F.col("_icept"), F.col("_ybar"))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoframe.config import DEFAULT_GRAINS, EVENT, GAME, GAME_VOCAB, ORD, SESSION_KEYS, TS, EventVocab
-from chronoframe.functions.scalars import label_text, secs, trunc_ts, unit_micros
+from chronoframe.functions.scalars import label_text, marker_size, secs, trunc_ts, unit_micros
 from chronoframe.operators.scan import running_scan
 from chronoframe.operators.summary import pointer_mean, pointer_track, session_span
 
@@ -123,16 +123,19 @@ def pointer_template(dlog: DataFrame, keys: Sequence[str] = SESSION_KEYS) -> Dat
     )
 
 
-def _blocked_range(df: DataFrame, count_col: str, out_col: str, block: int = _SPINE_BLOCK) -> DataFrame:
+def _blocked_range(
+    df: DataFrame, count_col: str, out_col: str, spread: Sequence[str], block: int = _SPINE_BLOCK
+) -> DataFrame:
     """Explode ``0 .. count-1`` per row in blocks spread over the cluster.
 
-    A long span becomes ``count / block`` block rows that are hash-spread
-    before the inner explode, so one row never expands inside a single task.
+    A long span becomes ``count / block`` block rows.  Blocks are hash-spread
+    before the inner explode by their number and by the ``spread`` columns, which
+    must tell apart the rows that one busy session or object contributes.
     """
     n = F.col(count_col)
     blocks = df.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int"))))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = blocks.repartition(parts, "_blk", *[c for c in df.columns if c != count_col][:2])
+    blocks = blocks.repartition(parts, "_blk", *spread)
     lo = F.col("_blk") * block
     hi = F.least(lo + block - 1, n - 1)
     return blocks.withColumn(out_col, F.explode(F.sequence(lo, hi))).drop("_blk")
@@ -153,7 +156,7 @@ def time_spine(spans: DataFrame, keys: Sequence[str] = SESSION_KEYS, bucket: str
     """
     b = unit_micros(bucket)
     counted = _with_frame_count(spans, bucket)
-    rows = _blocked_range(counted, "_n_frames", "_k")
+    rows = _blocked_range(counted, "_n_frames", "_k", keys)
     second = F.timestamp_add("MICROSECOND", F.col("_k").cast("long") * F.lit(b), F.col("time_start"))
     return rows.select(*keys, second.alias("second"), "time_start", "total_time")
 
@@ -174,7 +177,7 @@ def dense_frames(
     """Every template row repeated for every bucket of its session's span."""
     b = unit_micros(bucket)
     rows = _with_frame_count(_attach_spans(template, spans, keys), bucket)
-    rows = _blocked_range(rows, "_n_frames", "_k")
+    rows = _blocked_range(rows, "_n_frames", "_k", [*keys, "id"])
     second = F.timestamp_add("MICROSECOND", F.col("_k").cast("long") * F.lit(b), F.col("time_start"))
     return rows.withColumn("second", second).drop("_k")
 
@@ -281,7 +284,7 @@ def _state_gaps(states: DataFrame, objects: DataFrame, bucket: str, grains) -> D
 def _explode_gaps(gaps: DataFrame) -> DataFrame:
     """One row per bucket index in [_lo, _hi] (blocked, spread over tasks)."""
     counted = gaps.withColumn("_cnt", (F.col("_hi") - F.col("_lo") + 1).cast("int"))
-    rows = _blocked_range(counted, "_cnt", "_j")
+    rows = _blocked_range(counted, "_cnt", "_j", ["_fr_sk", "id", "_lo"])
     return rows.withColumn("_k", F.col("_lo") + F.col("_j")).drop("_j", "_lo", "_hi")
 
 
@@ -327,25 +330,27 @@ def animation_frames(
     moles = filled.unionByName(activity.drop("_fr_sk", "_k", ORD), allowMissingColumns=True)
 
     track = pointer_track(dlog, keys, vocab, bucket).withColumn("_fr_sk", _sk(keys)).join(grid, "_fr_sk")
-    track_k = track.select("_fr_sk", _bucket_index(F.col("second"), bucket).alias("_k"))
-    lasers = (
-        grid.withColumn("_cnt", (F.col("_n_last") + 1).cast("int"))
-        .transform(lambda d: _blocked_range(d, "_cnt", "_k"))
-        .withColumn("_k", F.col("_k").cast("long"))
-        .join(track_k, ["_fr_sk", "_k"], "left_anti")
-        .select(
-            *[F.col("_fr_sk")[k].alias(k) for k in keys],
-            F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"),
-            F.lit(LASER_ID).alias("id"), F.lit(0.0).alias("size"), F.lit(LASER_NAME).alias("name"),
-            _at_bucket(F.col("_k"), bucket).alias("second"), "time_start", "total_time", "_n_last",
-        )
+    # the pointer's free buckets are the gaps between its observed ones, like an object's
+    track_k = track.select(
+        "_fr_sk", F.lit(LASER_ID).alias("id"), _bucket_index(F.col("second"), bucket).alias("_k"), "second",
+        F.lit(None).cast("double").alias("state"), "_n_last",
+    )
+    pointers = grid.select("_fr_sk", F.lit(LASER_ID).alias("id"), "_n_last")
+    free = _state_gaps(track_k, pointers, bucket, coarser_grains(bucket))
+    lasers = _explode_gaps(free.join(grid, "_fr_sk")).select(
+        *[F.col("_fr_sk")[k].alias(k) for k in keys],
+        F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"),
+        F.lit(LASER_ID).alias("id"), F.lit(0.0).alias("size"), F.lit(LASER_NAME).alias("name"),
+        _at_bucket(F.col("_k"), bucket).alias("second"), "time_start", "total_time", "_n_last",
     )
     frames = moles.unionByName(lasers, allowMissingColumns=True).unionByName(
         track.drop("_fr_sk"), allowMissingColumns=True
     )
     last_bucket = F.col("_n_last") * F.lit(_bucket_seconds(bucket))
     frames = _relative_seconds(frames).where(F.col("second") <= last_bucket)
-    return frames.select(*keys, "x", "y", "id", "size", "name", "second", EVENT, "has_hit")
+    return frames.select(
+        *keys, "x", "y", "id", "size", marker_size("size").alias("marker_size"), "name", "second", EVENT, "has_hit"
+    )
 
 
 def _frames_v2_absolute(dlog, keys, vocab, bucket) -> DataFrame:
@@ -381,9 +386,8 @@ def _frames_v2_absolute(dlog, keys, vocab, bucket) -> DataFrame:
         F.coalesce("_tx", "x").alias("x"), F.coalesce("_ty", "y").alias("y"), EVENT,
     )
     out = filled.unionByName(observed)
-    return out.withColumn(
-        "size", F.when(F.col(EVENT) == vocab.spawn, F.lit(1.0)).otherwise(F.lit(0.0))
-    )
+    out = out.withColumn("size", F.when(F.col(EVENT) == vocab.spawn, F.lit(1.0)).otherwise(F.lit(0.0)))
+    return out.withColumn("marker_size", marker_size("size"))
 
 
 def animation_frames_v2(
@@ -423,15 +427,15 @@ def spawn_points(dlog: DataFrame, keys: Sequence[str] = SESSION_KEYS) -> DataFra
     game = dlog.where(F.col("PlayPeriod") == GAME)
     first = first_per_key(game, [*keys, "MoleId"], cols=["MolePositionWorldX", "MolePositionWorldY"])
     return first.withColumn(
-        "label", label_text("MoleId", "MolePositionWorldX", "MolePositionWorldY")
-    ).withColumn("marker_size", F.lit(32.0))
+        "label", label_text(first, "MoleId", "MolePositionWorldX", "MolePositionWorldY")
+    ).withColumn("marker_size", marker_size(F.lit(1.0)))
 
 
 def sample_rate_series(dlog: DataFrame, keys: Sequence[str] = SESSION_KEYS) -> DataFrame:
     """Game-phase (time since start, Hz) points with a series label per session."""
     game = dlog.where(F.col("PlayPeriod") == GAME)
     cols = [*keys, *([ORD] if ORD in dlog.columns else []), "GameTimeSpent", "Hz"]
-    return game.select(*cols, label_text(*keys).alias("series"))
+    return game.select(*cols, label_text(game, *keys).alias("series"))
 
 
 def trace_union(

@@ -168,14 +168,18 @@ def trial_outcome_rates(
     ord_col: str = "_ord",
     pam_conditions: dict[str, str] | None = None,
     grains: Sequence[str] = DEFAULT_GRAINS,
+    carry: Sequence[str] = (),
+    condition_col: str = "Condition",
 ) -> DataFrame:
     """A12 (+W7): trial-outcome counts and rates per session.
 
     Counts of result / feedback classes, decisions not followed by a fish
     event (``lead(Event)``), five rates and the positive rate, and the
-    condition-dependent rate (``pam_rate``).  NULL-safe counts throughout.
+    condition-dependent rate (``pam_rate``, by ``condition_col``, which is a key or
+    carried).  ``carry`` columns are constant within a session and travel along.
+    NULL-safe counts throughout.
     """
-    # Outcome classes of the trial log.
+    # Outcome classes and output column names of the trial log.
     #   accept AccInput; reject RejInput; assist AssistSuccess, AugSuccess;
     #   sham ExplicitSham, OverrideInput; mitigate-fail AssistFail, MitigateFail;
     #   positive OverrideInput, AccInput, AugSuccess, ExplicitSham, AssistSuccess;
@@ -216,6 +220,7 @@ def trial_outcome_rates(
         n(F.col("_decided") & ~F.coalesce(prev_r.isin("RejInput", "AssistFail", "MitigateFail"), F.lit(False))).alias("reel"),
         n(F.col("_decided") & F.coalesce(prev_r == "RejInput", F.lit(False))).alias("escape"),
         F.sum("Time_delta").alias("time_total"),
+        *[F.min(c).alias(c) for c in carry],
     )
     total = F.col("rejInput") + F.col("accInput") + F.col("assistInput") + F.col("explicitSham") + F.col("mitigateFail")
     out = agg.withColumn("totalTrials", total).withColumns(
@@ -233,5 +238,5 @@ def trial_outcome_rates(
     )
     pam = F.lit(0.0)
     for cond, rate_col in pam_conditions.items():
-        pam = F.when(F.col("Condition") == cond, F.col(rate_col)).otherwise(pam)
+        pam = F.when(F.col(condition_col) == cond, F.col(rate_col)).otherwise(pam)
     return out.withColumn("pam_rate", pam)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoframe.operators.derive import derive_session_log
+from chronoframe.operators.derive import clean_log, derive_session_log
 from chronoframe.sources.tables import EVENTS_VOCAB, events_log, stage_table
 
 KEYS = ("Participant", "Condition")
@@ -18,14 +18,20 @@ FRAME_BUCKET = "hour"
 GRAINS = ("hour",)
 
 
-def derived(spark: SparkSession, sf_dir: str, stage: bool = False) -> DataFrame:
+def derived(spark: SparkSession, sf_dir: str, stage: Sequence[str] = ()) -> DataFrame:
     """The derived session log (C1) of the driver's events table.
 
-    ``stage=True`` writes it once to the checkpoint folder for queries that
-    read it from several branches (see ``stage_table``).
+    ``stage`` names the columns (besides the keys) that a query reads from
+    several branches: these alone are written once to the checkpoint folder
+    (see ``stage_table``).
     """
     dlog = derive_session_log(events_log(spark, sf_dir), KEYS, VOCAB, grains=GRAINS)
-    return stage_table(dlog, "derived-log") if stage else dlog
+    return stage_table(dlog.select(*KEYS, *stage), "derived-log") if stage else dlog
+
+
+def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The typed log without derived columns, for queries that need none of them."""
+    return clean_log(events_log(spark, sf_dir))
 
 
 def rounded(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:

@@ -12,14 +12,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoframe.operators import derive, summary
-from chronoframe.plans.common import GRAINS, KEYS, VOCAB, derived, rounded
+from chronoframe.plans.common import GRAINS, KEYS, VOCAB, cleaned, derived, rounded
 from chronoframe.sources.tables import events_log
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+# what session_summary, and the pointer and frame operators, read of the derived log
+SUMMARY_COLUMNS = (
+    "Timestamp", "Event", "PlayPeriod", "Time_delta", "Hz",
+    "WorldGazeHitPositionX", "WorldGazeHitPositionY", "WorldGazeHitPositionZ", "GazeConfidence",
+)
+FRAME_COLUMNS = (
+    "Timestamp", "Event", "_ord", "PlayPeriod", "MoleId", "MolePositionWorldX", "MolePositionWorldY",
+    "RightControllerLaserPosWorldX", "RightControllerLaserPosWorldY",
+)
+
+
 def q_session_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = summary.session_summary(derived(spark, sf_dir, stage=True), KEYS, VOCAB)
+    out = summary.session_summary(derived(spark, sf_dir, stage=SUMMARY_COLUMNS), KEYS, VOCAB)
     return rounded(
         out, ["PlayTime_delta", "MeanGaze_x", "MeanGaze_y", "MeanGaze_z", "MeanGazeConf", "MeanHz"]
     )
@@ -67,29 +78,29 @@ from chronoframe.plans.common import FRAME_BUCKET as B  # noqa: E402
 
 
 def q_session_span(spark, sf_dir):
-    return summary.session_span(derived(spark, sf_dir), KEYS, VOCAB, B)
+    return summary.session_span(cleaned(spark, sf_dir), KEYS, VOCAB, B)
 
 
 def q_time_spine(spark, sf_dir):
-    spans = summary.session_span(derived(spark, sf_dir, stage=True), KEYS, VOCAB, B)
+    spans = summary.session_span(cleaned(spark, sf_dir), KEYS, VOCAB, B)
     return frames.time_spine(spans, KEYS, B).select(*KEYS, "second")
 
 
 def q_object_template(spark, sf_dir):
-    return frames.object_template(derived(spark, sf_dir), KEYS)
+    return frames.object_template(cleaned(spark, sf_dir), KEYS)
 
 
 def q_object_activity(spark, sf_dir):
-    return frames.object_activity(derived(spark, sf_dir), KEYS, VOCAB, B)
+    return frames.object_activity(cleaned(spark, sf_dir), KEYS, VOCAB, B)
 
 
 def q_first_per_key(spark, sf_dir):
-    log = derived(spark, sf_dir)
+    log = cleaned(spark, sf_dir)
     return frames.first_per_key(log, [*KEYS, "Event"], cols=["_ord", "Timestamp", "MolePositionWorldX"])
 
 
 def q_distinct_buckets(spark, sf_dir):
-    return frames.distinct_buckets(derived(spark, sf_dir), KEYS, B)
+    return frames.distinct_buckets(cleaned(spark, sf_dir), KEYS, B)
 
 
 def q_pointer_track(spark, sf_dir):
@@ -105,13 +116,13 @@ def _template(log):
 
 
 def q_dense_frames(spark, sf_dir):
-    log = derived(spark, sf_dir, stage=True)
+    log = cleaned(spark, sf_dir)
     spans = summary.session_span(log, KEYS, VOCAB, B)
     return frames.dense_frames(_template(log), spans, KEYS, B).select(*KEYS, "id", "x", "y", "size", "second")
 
 
 def q_overlay_anti(spark, sf_dir):
-    log = derived(spark, sf_dir, stage=True)
+    log = cleaned(spark, sf_dir)
     spans = summary.session_span(log, KEYS, VOCAB, B)
     dense = frames.dense_frames(_template(log), spans, KEYS, B)
     act = frames.object_activity(log, KEYS, VOCAB, B)
@@ -119,26 +130,26 @@ def q_overlay_anti(spark, sf_dir):
 
 
 def q_fill_down(spark, sf_dir):
-    log = derived(spark, sf_dir)
+    log = cleaned(spark, sf_dir)
     out = frames.fill_down(log, ["MoleId"], KEYS, "Timestamp", "_ord", GRAINS)
     return out.select("_ord", *KEYS, F.col("MoleId").alias("last_object"))
 
 
 def q_animation_frames(spark, sf_dir):
-    return frames.animation_frames(derived(spark, sf_dir, stage=True), KEYS, VOCAB, B)
+    return frames.animation_frames(derived(spark, sf_dir, stage=FRAME_COLUMNS), KEYS, VOCAB, B)
 
 
 def q_animation_frames_v2(spark, sf_dir):
-    return frames.animation_frames_v2(derived(spark, sf_dir, stage=True), KEYS, VOCAB, B)
+    return frames.animation_frames_v2(cleaned(spark, sf_dir), KEYS, VOCAB, B)
 
 
 def q_pointer_frames_v2(spark, sf_dir):
-    out = frames.pointer_frames_v2(derived(spark, sf_dir, stage=True), KEYS, VOCAB, B)
+    out = frames.pointer_frames_v2(derived(spark, sf_dir, stage=FRAME_COLUMNS), KEYS, VOCAB, B)
     return rounded(out, ["laser_x", "laser_y"])
 
 
 def q_axis_range(spark, sf_dir):
-    return summary.axis_range(derived(spark, sf_dir))
+    return summary.axis_range(cleaned(spark, sf_dir))
 
 
 def q_spawn_points(spark, sf_dir):
@@ -150,7 +161,7 @@ def q_sample_rate_series(spark, sf_dir):
 
 
 def q_trace_union(spark, sf_dir):
-    return frames.trace_union(derived(spark, sf_dir, stage=True), KEYS, VOCAB, B)
+    return frames.trace_union(derived(spark, sf_dir, stage=FRAME_COLUMNS), KEYS, VOCAB, B)
 
 
 QUERIES.update(
@@ -183,8 +194,8 @@ from chronoframe.operators import curves  # noqa: E402
 from chronoframe.sources import csv_sessions  # noqa: E402
 from chronoframe.sources.tables import _delete_on_exit, events_as_log, load, stage_table  # noqa: E402
 
-THRESHOLD_LEVELS = (0.0, 0.2, 0.55, 0.85, 1.1)
-THRESHOLD_LABELS = ("g0", "g1", "g2", "g3", "g4")
+THRESHOLD_LEVELS = (0.05, 0.3, 0.5, 0.9)
+THRESHOLD_LABELS = ("rare", "some", "half", "most")
 
 
 def q_merge_logs(spark, sf_dir):
@@ -228,9 +239,9 @@ def q_parse_and_cast(spark, sf_dir):
 
 
 def q_label_text(spark, sf_dir):
-    log = derived(spark, sf_dir)
+    log = cleaned(spark, sf_dir)
     return log.select(
-        "_ord", scalars.label_text("Participant", "Condition", "MoleId", "MolePositionWorldX").alias("label")
+        "_ord", scalars.label_text(log, "Participant", "Condition", "MoleId", "MolePositionWorldX").alias("label")
     )
 
 
@@ -284,7 +295,7 @@ LME_SPEC = mixed.LmeSpec(
 
 
 def q_mixed_model_select(spark, sf_dir):
-    sessions = summary.session_summary(derived(spark, sf_dir, stage=True), KEYS, VOCAB)
+    sessions = summary.session_summary(derived(spark, sf_dir, stage=SUMMARY_COLUMNS), KEYS, VOCAB)
     return mixed.mixed_model_select(sessions, LME_SPEC)
 
 

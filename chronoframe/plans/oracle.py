@@ -253,7 +253,7 @@ f3 AS (
          time_start, total_time
   FROM track_s
 )
-SELECT "Participant", "Condition", x, y, id, size, name,
+SELECT "Participant", "Condition", x, y, id, size, size * 32 AS marker_size, name,
        (epoch_us(second) - epoch_us(time_start)) / 1e6 AS second, "Event", has_hit
 FROM f3
 WHERE (epoch_us(second) - epoch_us(time_start)) / 1e6 <= floor(total_time / 3600) * 3600"""
@@ -282,7 +282,8 @@ v2 AS (
 
 SQL["animation_frames_v2"] = f"""WITH {FRAMES}{V2}
 SELECT "Participant", "Condition", id, (epoch_us(second) - epoch_us(time_start)) / 1e6 AS second, x, y, "Event",
-       CASE WHEN "Event" = 'click' THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS size
+       CASE WHEN "Event" = 'click' THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS size,
+       CASE WHEN "Event" = 'click' THEN CAST(32.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS marker_size
 FROM v2"""
 
 SQL["pointer_frames_v2"] = f"""WITH {FRAMES}{V2},
@@ -294,6 +295,7 @@ pmean AS (
 SELECT v."Participant", v."Condition", v.id, (epoch_us(v.second) - epoch_us(v.time_start)) / 1e6 AS second,
        v.x, v.y, v."Event",
        CASE WHEN v."Event" = 'click' THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS size,
+       CASE WHEN v."Event" = 'click' THEN CAST(32.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS marker_size,
        ROUND(p.laser_x, 6) AS laser_x, ROUND(p.laser_y, 6) AS laser_y
 FROM v2 v LEFT JOIN pmean p
   ON v."Participant" = p."Participant" AND v."Condition" = p."Condition" AND v.second = p.second"""
@@ -305,12 +307,17 @@ FROM dlog"""
 
 
 def _txt(c: str) -> str:
-    return f"COALESCE(regexp_replace(CAST({c} AS VARCHAR), '\\.0$', ''), 'NA')"
+    return f"COALESCE({c}, 'NA')"
+
+
+def _num(c: str) -> str:
+    """A number with 15 significant digits and no trailing zeros."""
+    return f"COALESCE(CASE WHEN {c} IS NOT NULL THEN printf('%.15g', {c}) END, 'NA')"
 
 
 SQL["spawn_points"] = f"""WITH {DLOG}
 SELECT "Participant", "Condition", "MoleId", "MolePositionWorldX", "MolePositionWorldY",
-       concat_ws(' ', {_txt('"MoleId"')}, {_txt('"MolePositionWorldX"')}, {_txt('"MolePositionWorldY"')}) AS label,
+       concat_ws(' ', {_txt('"MoleId"')}, {_num('"MolePositionWorldX"')}, {_num('"MolePositionWorldY"')}) AS label,
        CAST(32.0 AS DOUBLE) AS marker_size
 FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY "Participant", "Condition", "MoleId"
                                    ORDER BY "Timestamp" ASC NULLS LAST, "_ord" ASC NULLS LAST) AS rn
@@ -318,7 +325,7 @@ FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY "Participant", "Condition", "Mol
 
 SQL["sample_rate_series"] = f"""WITH {DLOG}
 SELECT "Participant", "Condition", "_ord", "GameTimeSpent", "Hz",
-       concat_ws(' ', {_txt('"Participant"')}, {_txt('"Condition"')}) AS series
+       concat_ws(' ', {_num('"Participant"')}, {_txt('"Condition"')}) AS series
 FROM dlog WHERE "PlayPeriod" = 'Game'"""
 
 SQL["trace_union"] = f"""WITH {FRAMES}
@@ -355,8 +362,8 @@ SELECT event_id,
 FROM events"""
 
 SQL["label_text"] = f"""WITH {DLOG}
-SELECT "_ord", concat_ws(' ', {_txt('"Participant"')}, {_txt('"Condition"')}, {_txt('"MoleId"')},
-                         {_txt('"MolePositionWorldX"')}) AS label
+SELECT "_ord", concat_ws(' ', {_num('"Participant"')}, {_txt('"Condition"')}, {_txt('"MoleId"')},
+                         {_num('"MolePositionWorldX"')}) AS label
 FROM dlog"""
 
 SQL["clip_values"] = """
@@ -367,8 +374,8 @@ FROM (SELECT event_id, value / 100 AS x FROM events)"""
 
 SQL["threshold_label"] = """
 SELECT event_id, x,
-  CASE WHEN isnan(x) THEN NULL WHEN x <= 0 THEN 'g0' WHEN x <= 0.2 THEN 'g1' WHEN x <= 0.55 THEN 'g2'
-       WHEN x <= 0.85 THEN 'g3' WHEN x <= 1.1 THEN 'g4' END AS label
+  CASE WHEN isnan(x) THEN NULL WHEN x <= 0.05 THEN 'rare' WHEN x <= 0.3 THEN 'some' WHEN x <= 0.5 THEN 'half'
+       WHEN x <= 0.9 THEN 'most' END AS label
 FROM (SELECT event_id, value / 100 AS x FROM events)"""
 
 SQL["linear_curve"] = """

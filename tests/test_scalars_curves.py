@@ -6,14 +6,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronoframe.functions.scalars import clip_values, label_text, threshold_label
+from chronoframe.functions.scalars import clip_values, label_text, number_text, threshold_label
 from chronoframe.operators import curves, frames, mixed
 
 
 def test_threshold_label(spark):
     df = spark.createDataFrame([(0.23,), (0.45,), (0.95,), (0.01,), (1.2,), (None,), (0.0,), (float("nan"),)], "x double")
-    out = [r[0] for r in df.select(threshold_label("x", [0, 0.2, 0.55, 0.85, 1.1], ["g0", "g1", "g2", "g3", "g4"])).collect()]
-    assert out == ["g2", "g2", "g4", "g1", None, None, "g0", None]
+    out = [r[0] for r in df.select(threshold_label("x", [0, 0.1, 0.5, 1], ["none", "low", "mid", "high"])).collect()]
+    assert out == ["mid", "mid", "high", "low", None, None, "none", None]
     # unsorted levels, duplicate level -> first label
     df2 = spark.createDataFrame([(0.5,)], "x double")
     assert df2.select(threshold_label("x", [1, 0.5, 0.5], ["a", "b", "c"])).first()[0] == "b"
@@ -26,8 +26,20 @@ def test_clip(spark):
 
 
 def test_label_text(spark):
-    df = spark.createDataFrame([("m1", 2.0, None)], "a string, b double, c double")
-    assert df.select(label_text("a", "b", "c")).first()[0] == "m1 2 NA"
+    df = spark.createDataFrame([("v2.0", 2.0, None, 7)], "a string, b double, c double, d long")
+    assert df.select(label_text(df, "a", "b", "c", "d")).first()[0] == "v2.0 2 NA 7"
+
+
+def test_number_text(spark):
+    cases = {
+        0.1 + 0.2: "0.3", 2.0: "2", -2.5: "-2.5", 100000.0: "1e+05", 123456.0: "123456", 0.0001: "1e-04",
+        0.00012: "0.00012", 1 / 3: "0.333333333333333", 1e15: "1e+15", 123456789012.0: "123456789012", 0.0: "0",
+        1.5e-10: "1.5e-10", 12345678901234567.0: "12345678901234568", 1e-300: "1e-300",
+        float("inf"): "Inf", float("nan"): "NaN",
+    }
+    df = spark.createDataFrame([(k, v) for k, v in cases.items()], "x double, want string")
+    for r in df.select("x", "want", number_text("x").alias("got")).collect():
+        assert r["got"] == r["want"], r
 
 
 def test_linear_curve_grid(spark):

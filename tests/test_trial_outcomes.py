@@ -32,3 +32,15 @@ def test_trial_outcomes(spark):
     assert r["trial_rate_positive"] == pytest.approx(2 / 3)
     assert r["pam_rate"] == pytest.approx(r["trial_rate_assist"]) == pytest.approx(0.25)
     assert r["time_total"] == 7.0
+
+
+def test_carried_columns_and_other_keys(spark):
+    df = spark.createDataFrame(
+        [(1.0, "AS", 31.0, f"2022-01-01 10:00:0{t}", "GameDecision", "AssistSuccess", None, t, 1.0) for t in range(3)]
+        + [(2.0, "MF", None, "2022-01-01 10:00:00", "GameDecision", "MitigateFail", None, 9, 1.0)],
+        "who double, arm string, Age double, ts string, Event string, TrialResult string, TrialFeedback string, "
+        "_ord long, Time_delta double",
+    ).selectExpr("cast(ts as timestamp_ntz) as Timestamp", "*").drop("ts")
+    out = trial_outcome_rates(df, keys=("who",), grains=("minute",), carry=["Age", "arm"], condition_col="arm")
+    got = {r["who"]: (r["Age"], r["arm"], r["pam_rate"]) for r in out.collect()}
+    assert got == {1.0: (31.0, "AS", 1.0), 2.0: (None, "MF", 1.0)}
