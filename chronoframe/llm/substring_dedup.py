@@ -38,7 +38,7 @@ COUNTERS_PER_WINDOW = 4
 SEGMENT = 1 << 24  # counters merged by one task
 MAX_COUNTERS = 1 << 29  # per row
 BYTES_PER_WORD = 6  # used only to choose the sketch size and the number of groups
-BLOCK_WORDS = 2_000_000  # words hashed together
+BLOCK_WORDS = 1_000_000  # words hashed together
 BUCKET_WINDOWS = 1 << 21  # windows aimed at per exact-grouping task
 GROUP_BYTES = 8 << 20  # text aimed at per cutting task
 NO_ID = (1 << 63) - 1
@@ -100,15 +100,15 @@ def window_hashes(words: np.ndarray, window: int, lane: int) -> np.ndarray:
 class Block:
     """Word hashes of some whole documents, and their windows."""
 
-    def __init__(self, texts: list[list[bytes]], window: int):
+    def __init__(self, texts: list[np.ndarray], window: int):
         lengths = np.array([len(w) for w in texts], dtype=np.int64)
-        words = np.fromiter((xxhash.xxh3_64_intdigest(w) for t in texts for w in t), np.uint64, int(lengths.sum()))
-        ends = np.cumsum(lengths)
-        doc = np.repeat(np.arange(len(texts)), lengths)
-        at = np.arange(len(words))
-        start = np.nonzero(at + window <= ends[doc])[0] if len(words) else at
-        self.doc = doc[start].astype(np.int32)
-        self.pos = (start - (ends - lengths)[self.doc]).astype(np.uint32)
+        windows = np.maximum(lengths - window + 1, 0)
+        self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), windows)
+        begin = np.repeat(np.cumsum(windows) - windows, windows)
+        self.pos = (np.arange(len(self.doc)) - begin).astype(np.uint32)
+        del begin
+        words = np.concatenate(texts)
+        start = (np.cumsum(lengths) - lengths)[self.doc] + self.pos
         self.h1 = window_hashes(words, window, 1)[start] if len(start) else np.zeros(0, np.uint64)
         self.h2 = window_hashes(words, window, 2)[start] if len(start) else np.zeros(0, np.uint64)
 
@@ -117,12 +117,13 @@ class Block:
 
 
 def blocks(batches, text_column: int, block_words: int = BLOCK_WORDS):
-    """Yield (rows, words per row) with about ``block_words`` words each; rows are Arrow slices' values."""
+    """Yield (other columns' values, word hashes) of whole rows, about ``block_words`` words at a time."""
     rows, texts, held = [], [], 0
     for batch in batches:
         columns = [batch.column(i) for i in range(batch.num_columns)]
         for k in range(batch.num_rows):
             words = utf8(columns[text_column][k].as_py()).split()
+            words = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
             rows.append(tuple(c[k].as_py() for i, c in enumerate(columns) if i != text_column))
             texts.append(words)
             held += len(words)
