@@ -12,6 +12,7 @@ There is no shuffle and nothing is gathered.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,8 @@ from chronoframe.llm.common import map_arrow
 
 WINDOW = 1024
 END_ID = 0
-CACHE_BYTES = 48 << 20  # of chunks and ids that a task remembers
+# Fixed value: how byte-level BPE vocabularies split a text before merging.
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BUCKET_SHIFT, TASK_SHIFT = 57, 33  # sequence_id: bucket, task, number within both
 FLUSH_TOKENS = 2_000_000  # tokens sent back in one record batch
 
@@ -43,45 +45,60 @@ def binary_pieces(n: int, window: int = WINDOW) -> Iterator[tuple[int, int]]:
         piece >>= 1
 
 
-def chunks(text: str) -> list[str]:
-    """Parts of a text that the tokenizer treats alone: each starts at a space before a non-space.
+def byte_characters() -> dict[str, int]:
+    """The character that stands for each byte in byte-level vocabularies.
 
-    The pre-tokenizer always starts a new piece there, so the ids of the text
-    are those of its chunks one after the other.
+    Printable Latin-1 bytes stand for themselves, the others for the code
+    points from 256 on, in order.
     """
-    parts = text.split(" ")
-    out = [parts[0]]
-    for part in parts[1:]:
-        if part and not part[0].isspace():
-            out.append(" " + part)
-        else:
-            out[-1] += " " + part
-    return out
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in printable)
+    return {**{chr(b): b for b in printable}, **{chr(256 + n): b for n, b in enumerate(others)}}
+
 
+def byte_level_ranks(spec: dict) -> dict[bytes, int] | None:
+    """Merge ranks of a byte-level BPE file; None if the file is of another kind.
 
-class CachedTokenizer:
-    """Token ids of a text as little-endian uint32 bytes, remembering chunks seen."""
+    Ids must follow the order of the merges, which is what makes an id a rank.
+    """
+    model, split = spec.get("model") or {}, spec.get("pre_tokenizer") or {}
+    plain = spec.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True)
+    if model.get("type") != "BPE" or not plain or split.get("add_prefix_space") or model.get("ignore_merges"):
+        return None
+    vocab = model["vocab"]
+    pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
+    order = [vocab["".join(pair)] for pair in pairs]
+    chars = byte_characters()
+    if order != sorted(order) or len(vocab) != len(order) + 256 or max(vocab[c] for c in chars) > min(order):
+        return None
+    return {bytes(chars[c] for c in token): i for token, i in vocab.items()}
+
+
+class TextEncoder:
+    """Token ids of whole texts as little-endian uint32 bytes.
+
+    A byte-level BPE file is run by tiktoken, which gives the same ids several
+    times faster (a test compares them); any other file by tokenizers.  Special
+    tokens' strings are ordinary text.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.seen: dict[str, bytes] = {}
-        self.held = 0
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [chunks(t) for t in texts]
-        seen = self.seen
-        if self.held > CACHE_BYTES:
-            seen.clear()
-            self.held = 0
-        new = list({c for parts in split for c in parts if c not in seen})
-        for chunk, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            ids = np.array(got.ids, dtype="<u4").tobytes()
-            seen[chunk] = ids
-            self.held += len(chunk) + len(ids) + 200
-        return [b"".join(map(seen.__getitem__, parts)) for parts in split]
+        with open(path, encoding="utf-8") as file:
+            ranks = byte_level_ranks(json.load(file))
+        if ranks is not None:
+            import tiktoken
+
+            fast = tiktoken.Encoding("byte-level", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.ids = lambda text: fast.encode_to_numpy(text, disallowed_special=())
+        else:
+            from tokenizers import Tokenizer
+
+            plain = Tokenizer.from_file(path)
+            plain.encode_special_tokens = True
+            self.ids = lambda text: plain.encode(text, add_special_tokens=False).ids
+
+    def encode(self, text: str) -> bytes:
+        return np.asarray(self.ids(text), dtype="<u4").tobytes()
 
 
 def pack(
@@ -104,7 +121,7 @@ def pack(
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
-        tokenizer = CachedTokenizer(tokenizer_path)
+        encoder = TextEncoder(tokenizer_path)
         task = TaskContext.get().partitionId()
         numbers: dict[int, int] = {}
         cols: list[list] = [[] for _ in range(6)]
@@ -118,21 +135,18 @@ def pack(
         id_type = None
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for doc, ids in zip(part.column(0).to_pylist(), tokenizer.encode(texts), strict=True):
-                    ids += end
-                    n = len(ids) // 4
-                    for start, length in binary_pieces(n, window):
-                        bucket = length.bit_length() - 1
-                        number = numbers.get(bucket, 0)
-                        numbers[bucket] = number + 1
-                        sequence = (bucket << BUCKET_SHIFT) | (task << TASK_SHIFT) | number
-                        row = (doc, start, length, ids[4 * start : 4 * (start + length)], n, sequence)
-                        for col, value in zip(cols, row, strict=True):
-                            col.append(value)
-                    kept += n
+            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+                doc, ids = doc.as_py(), encoder.encode(text.as_py() or "") + end
+                n = len(ids) // 4
+                for start, length in binary_pieces(n, window):
+                    bucket = length.bit_length() - 1
+                    number = numbers.get(bucket, 0)
+                    numbers[bucket] = number + 1
+                    sequence = (bucket << BUCKET_SHIFT) | (task << TASK_SHIFT) | number
+                    row = (doc, start, length, ids[4 * start : 4 * (start + length)], n, sequence)
+                    for col, value in zip(cols, row, strict=True):
+                        col.append(value)
+                kept += n
                 if kept >= FLUSH_TOKENS:
                     yield batch_of(id_type)
                     for col in cols:

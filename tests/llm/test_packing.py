@@ -7,12 +7,12 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from chronoframe.llm.packing import CachedTokenizer, binary_pieces, pack
+from chronoframe.llm.packing import TextEncoder, binary_pieces, pack
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 PLAIN = Tokenizer.from_file(PATH)
 PLAIN.encode_special_tokens = True
-CACHED = CachedTokenizer(PATH)
+FAST = TextEncoder(PATH)
 
 
 def plain_ids(text):
@@ -21,8 +21,17 @@ def plain_ids(text):
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t\r\x0b\x1c\x85\xa0 　᠎​'sé́ab1!<|>"), st.characters(exclude_categories=["Cs"])), max_size=60))
-def test_cached_ids_equal_whole_text_ids(text):
-    assert CACHED.encode([text])[0] == np.array(plain_ids(text), dtype="<u4").tobytes()
+def test_ids_equal_those_of_the_tokenizers_library(text):
+    assert FAST.encode(text) == np.array(plain_ids(text), dtype="<u4").tobytes()
+
+
+def test_other_kinds_of_file_run_by_the_tokenizers_library():
+    other = public_tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(other)
+    plain.encode_special_tokens = True
+    for text in ["", "Two words, été", "<|startoftext|> x"]:
+        want = plain.encode(text, add_special_tokens=False).ids
+        assert TextEncoder(other).encode(text) == np.array(want, dtype="<u4").tobytes()
 
 
 def test_binary_pieces():
