@@ -108,6 +108,30 @@ def threshold_label(x: ColumnOrName, levels: Sequence[float], labels: Sequence[s
     return F.when(~F.isnan(col.cast("double")), expr)
 
 
+def _bound(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _digits_text(s: Column) -> Column:
+    """Text of a magnitude from its digits ``d`` (no trailing zeros), exponent ``e`` and value ``x``."""
+    digits, e = s["d"], s["e"]
+    n = F.length(digits)
+    whole = F.rpad(F.left(digits, e + 1), e + 1, "0")
+    part = F.when(n > e + 1, F.concat(F.lit("."), F.substring(digits, e + 2, n))).otherwise("")
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
+    large = s["x"].try_cast("decimal(38,0)").cast("string")  # more digits than the 15 kept
+    plain = F.when(e >= 15, F.coalesce(large, whole)).when(e >= 0, F.concat(whole, part)).otherwise(small)
+    tail = F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise("")
+    size = F.abs(e).cast("string")
+    power = F.concat(F.when(e < 0, "e-").otherwise("e+"), F.lpad(size, F.greatest(F.lit(2), F.length(size)), "0"))
+    short = F.concat(F.left(digits, F.lit(1)), tail, power)
+    return _bound(
+        F.struct(plain.alias("plain"), short.alias("short")),
+        lambda t: F.when(F.length(t["plain"]) <= F.length(t["short"]), t["plain"]).otherwise(t["short"]),
+    )
+
+
 def number_text(c: ColumnOrName) -> Column:
     """Text of a floating-point value: 15 significant digits, no trailing zeros.
 
@@ -115,22 +139,15 @@ def number_text(c: ColumnOrName) -> Column:
     (``1e+05`` but ``123456``).
     """
     x = _c(c).cast("double")
-    sci = F.format_string("%.14e", F.abs(x))
-    digits = F.regexp_replace(F.concat(F.substring(sci, 1, 1), F.substring(sci, 3, 14)), "0+$", "")
-    digits = F.when(digits == "", "0").otherwise(digits)
-    n, e = F.length(digits), F.try_to_number(F.substring_index(sci, "e", -1), F.lit("S999")).cast("int")
-    whole = F.rpad(F.left(digits, F.greatest(e + 1, F.lit(0))), F.greatest(e + 1, F.lit(1)), "0")
-    part = F.when(n > e + 1, F.concat(F.lit("."), F.substring(digits, e + 2, n))).otherwise("")
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
-    large = F.abs(x).try_cast("decimal(38,0)").cast("string")  # more digits than the 15 kept
-    plain = F.when(e >= 15, F.coalesce(large, whole)).when(e >= 0, F.concat(whole, part)).otherwise(small)
-    tail = F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise("")
-    power = F.concat(F.when(e < 0, "e-").otherwise("e+"), F.lpad(F.abs(e).cast("string"), F.greatest(F.lit(2), F.length(F.abs(e).cast("string"))), "0"))
-    short = F.concat(F.left(digits, F.lit(1)), tail, power)
-    text = F.when(F.length(plain) <= F.length(short), plain).otherwise(short)
-    signed = F.concat(F.when(x < 0, "-").otherwise(""), text)
+
+    def parts(sci: Column) -> Column:
+        digits = F.rtrim(F.concat(F.substring(sci, 1, 1), F.substring(sci, 3, 14)), F.lit("0"))
+        exponent = F.substring_index(sci, "e", -1).try_cast("int")
+        return F.struct(F.when(digits == "", "0").otherwise(digits).alias("d"), exponent.alias("e"), F.abs(x).alias("x"))
+
+    text = _bound(_bound(F.format_string("%.14e", F.abs(x)), parts), _digits_text)
     special = F.when(F.isnan(x), "NaN").when(F.abs(x) == float("inf"), F.when(x > 0, "Inf").otherwise("-Inf"))
-    return F.when(x.isNotNull(), F.coalesce(special, signed))
+    return F.when(x.isNotNull(), F.coalesce(special, F.concat(F.when(x < 0, "-").otherwise(""), text)))
 
 
 def label_text(df: DataFrame, *names: str) -> Column:

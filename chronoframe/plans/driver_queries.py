@@ -201,10 +201,11 @@ THRESHOLD_LABELS = ("rare", "some", "half", "most")
 def q_merge_logs(spark, sf_dir):
     """Event and sample logs with different columns, unioned, joined to meta."""
     log = events_as_log(load(spark, sf_dir, "events"))
-    ev = log.where(F.col("Event") != "view").select(
+    is_sample = F.col("Event").eqNullSafe("view")  # a row without an Event is no sample
+    ev = log.where(~is_sample).select(
         "Timestamp", "Event", "SessionID", "MoleId", "MolePositionWorldX", "MolePositionWorldY", "_ord"
     )
-    sa = log.where(F.col("Event") == "view").select(
+    sa = log.where(is_sample).select(
         "Timestamp", "Event", "SessionID", "RightControllerLaserPosWorldX", "RightControllerLaserPosWorldY",
         "WorldGazeHitPositionX", "GazeConfidence", "_ord",
     )
@@ -334,49 +335,79 @@ QUERIES["trial_outcome_rates"] = q_trial_outcome_rates
 
 
 # ---- the CSV session source end to end (S1-S3, P1-P3, P5, P6, J1, U1) ------
+import os  # noqa: E402
 import uuid  # noqa: E402
 
 from chronoframe.config import checkpoint_dir  # noqa: E402
 from chronoframe.operators.derive import derive_session_log  # noqa: E402
 
-_CSV_OPTS = {"header": "true", "sep": ";", "nullValue": "NULL"}
+_CSV_OPTS = {"header": "true", "sep": ";", "nullValue": "NULL", "quoteAll": "true", "quote": '"', "escape": '"'}
+
+
+def _note():
+    """A free-text cell with a separator, doubled quotes, a backslash and a line break."""
+    return F.concat(F.lit('said "'), F.col("Event"), F.lit('"; C:\\log\\\nseen '), F.col("Timestamp").cast("string"))
 
 
 def export_session_csv(spark, sf_dir) -> str:
-    """Write ``events`` as ';' session CSV files (events / samples / meta) under
-    the checkpoint folder; returns the root.  Text columns only, as logged."""
+    """Write ``events`` as ';' session CSV files under the checkpoint folder; returns the root.
+
+    Layout as logged: ``<root>/<Condition>/<n>_{Event|Sample|Meta}.csv``, text only.
+    """
     log = events_as_log(load(spark, sf_dir, "events")).withColumn(
         "SessionID", F.concat_ws("-", F.col("SessionID"), F.col("Condition"))
     )
+    log = log.withColumn("Note", _note())
     text = {c: F.col(c).cast("string") for c, t in log.dtypes if t != "string" and c != "_ord"}
     log = log.withColumns(text)
     root = f"{checkpoint_dir(spark).rstrip('/')}/chronoframe-stage/sessions-{uuid.uuid4().hex}"
-    ev_cols = [c for c in log.columns if c not in ("Participant", "Condition", "_ord")]
+    ev_cols = [c for c in log.columns if c not in ("Participant", "_ord")]
     # sample files list the same columns in another order: loaded by name, not position
     sa_cols = list(reversed(ev_cols))
-    log.where(F.col("Event") != "view").select(*ev_cols).write.options(**_CSV_OPTS).csv(f"{root}/events")
-    log.where(F.col("Event") == "view").select(*sa_cols).write.options(**_CSV_OPTS).csv(f"{root}/samples")
+    is_sample = F.col("Event").eqNullSafe("view")
     meta = log.select(
         "SessionID", F.lit("2024-01-01").alias("Timestamp"), F.lit("").alias("Email"),
         F.lit("0").alias("Framecount"), F.col("Participant").alias("ParticipantID"), "Condition",
     ).distinct()
-    # one folder per condition, as the game writes them (Spark names it Condition=<c>)
-    meta.write.options(**_CSV_OPTS).partitionBy("Condition").csv(f"{root}/meta")
+    kinds = {"Event": log.where(~is_sample).select(*ev_cols), "Sample": log.where(is_sample).select(*sa_cols), "Meta": meta}
+    for kind, rows in kinds.items():
+        part = f"{root}-{kind}"
+        rows.write.options(**_CSV_OPTS).partitionBy("Condition").csv(part)
+        _name_session_files(spark, part, root, kind)
+        _delete_on_exit(spark, part)
     _delete_on_exit(spark, root)
     return root
 
 
+def _name_session_files(spark, part: str, root: str, kind: str) -> None:
+    """Move ``<part>/Condition=<c>/part-*.csv`` to ``<root>/<c>/<n>_<kind>.csv`` (one file a task and condition)."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(part).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for folder in fs.listStatus(path(part)):
+        name = folder.getPath().getName()
+        if name.startswith("Condition="):
+            to = f"{root}/{name.partition('=')[2]}"
+            fs.mkdirs(path(to))
+            for n, file in enumerate(f.getPath() for f in fs.listStatus(folder.getPath())):
+                if file.getName().endswith(".csv"):
+                    fs.rename(file, path(f"{to}/{n}_{kind}.csv"))
+
+
+def _relative_root(spark, root: str) -> str:
+    """The root as a user in its parent's neighbourhood writes it: relative to the working folder."""
+    if not root.startswith("file:"):
+        return root
+    here = spark.sparkContext._jvm.java.lang.System.getProperty("user.dir")
+    return os.path.relpath("/" + root.removeprefix("file:").lstrip("/"), here)
+
+
 def q_csv_session_summary(spark, sf_dir):
-    root = export_session_csv(spark, sf_dir)
-    ev = csv_sessions.read_kind(spark, f"{root}/events", "Event", glob="*.csv")
-    sa = csv_sessions.read_kind(spark, f"{root}/samples", "Sample", glob="*.csv")
-    meta = csv_sessions.read_kind(spark, f"{root}/meta", "Meta", glob="*.csv")
-    meta = csv_sessions.rename_meta(csv_sessions.path_fields(meta.drop("_ord"), "filename"))
-    # Hive-style folder name written by Spark: Condition=<c>
-    meta = meta.withColumn("i1", F.regexp_replace("i1", "^Condition=", ""))
-    raw = csv_sessions.merge_sessions(meta, ev, sa)
-    log = stage_table(derive_session_log(raw, KEYS, VOCAB, grains=GRAINS), "csv-derived-log")
-    out = summary.session_summary(log, KEYS, VOCAB)
+    root = _relative_root(spark, export_session_csv(spark, sf_dir))
+    raw = csv_sessions.read_session_dir(spark, root)
+    kept = [*KEYS, *SUMMARY_COLUMNS, "Note"]
+    log = stage_table(derive_session_log(raw, KEYS, VOCAB, grains=GRAINS).select(*kept), "csv-derived-log")
+    notes = log.groupBy(*KEYS).agg(F.min("Note").alias("first_note"), F.count("Note").alias("n_notes"))
+    out = summary.session_summary(log, KEYS, VOCAB).join(notes, [*KEYS])
     return rounded(
         out, ["PlayTime_delta", "MeanGaze_x", "MeanGaze_y", "MeanGaze_z", "MeanGazeConf", "MeanHz"]
     )

@@ -336,7 +336,7 @@ SELECT "Participant", "Condition", 'moles' AS trace, second, x FROM act"""
 # ---- sources, scalars, curves ----------------------------------------------
 SQL["merge_logs"] = f"""WITH {RAW},
 ev AS (SELECT "Timestamp", "Event", "SessionID", "MoleId", "MolePositionWorldX", "MolePositionWorldY", "_ord"
-       FROM raw WHERE "Event" <> 'view'),
+       FROM raw WHERE "Event" IS DISTINCT FROM 'view'),
 sa AS (SELECT "Timestamp", "Event", "SessionID", "RightControllerLaserPosWorldX", "RightControllerLaserPosWorldY",
               "WorldGazeHitPositionX", "GazeConfidence", "_ord"
        FROM raw WHERE "Event" = 'view'),
@@ -446,7 +446,14 @@ SELECT * EXCLUDE (time_total), ROUND(time_total, 6) AS time_total,
 FROM rates"""
 
 # the CSV round trip must reproduce the summary computed straight from the table
-SQL["csv_session_summary"] = SQL["session_summary"]
+SQL["csv_session_summary"] = f"""WITH {RAW},
+notes AS (
+  SELECT "Participant", "Condition", COUNT(note) AS n_notes, MIN(note) AS first_note
+  FROM (SELECT *, 'said "' || "Event" || '"; C:' || chr(92) || 'log' || chr(92) || chr(10) || 'seen '
+               || CAST("Timestamp" AS VARCHAR) AS note FROM raw)
+  GROUP BY "Participant", "Condition"),
+s AS ({SQL["session_summary"]})
+SELECT s.*, n_notes, first_note FROM s JOIN notes USING ("Participant", "Condition")"""
 
 SQL["persisted_game_rows"] = f"""WITH {DLOG}
 SELECT "_ord", "Participant", "Condition", "Timestamp", "Event", "GameTimeSpent", "Hz"

@@ -4,26 +4,40 @@ Layout: ``<root>/<Condition>/.../<name>_{Event|Sample|Meta}.csv``, ';'-separated
 header row, every column read as text, the text ``NULL`` means missing and a
 blank cell is an empty string.
 
-Files of one kind may carry different headers.  Spark's CSV reader maps every
-file by the *first* file's header, so files are grouped by header first (one
-small distributed pass over each file's first split) and every group is
-scanned with its own header, then the groups are unioned by column name.
+Cells may be quoted and then hold separators, doubled quotes, backslashes and
+line breaks.  Session files are small, so by default files are not split
+(``multi_line=True``); turn it off for large files without quoted line breaks.
+
+Files of one kind may carry different headers.  Only the distinct headers reach
+the driver.  With one header the folder is scanned as it is; with several it is
+scanned once by position and every row finds its columns through a (file,
+header) table.
 """
 
 from __future__ import annotations
 
+import csv
 import posixpath
 import re
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException, PythonException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from chronoframe.config import META_RENAMES, SLASH_FIELDS, UNDERSCORE_FIELDS
 
 KIND_RANK = {"Event": 0, "Sample": 1, "Meta": 2}
-MAX_HEADER_GROUPS = 256
 _GLOB_CHARS = re.compile(r"([\[\]{}*?\\])")
+_URI = r"^([A-Za-z][A-Za-z0-9+.-]*):(?://([^/]*))?(/.*)$"
+
+
+def _qualified(spark: SparkSession, path: str) -> tuple[str, str, str]:
+    """(scheme, authority, path) of a path as its Hadoop file system names it."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    uri = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hpath).toUri()
+    return uri.getScheme() or "file", uri.getAuthority() or "", uri.getPath().rstrip("/")
 
 
 def _decoded_path(c: Column) -> Column:
@@ -31,48 +45,53 @@ def _decoded_path(c: Column) -> Column:
     return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
 
 
-def _strip_scheme(p: str) -> str:
-    p = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:", "", p)
-    return "/" + p.lstrip("/")
+def _file_key(decoded: Column) -> Column:
+    """One spelling for a file's URI (``file:/x`` and ``file:///x`` are the same)."""
+    parts = [F.regexp_extract(decoded, _URI, i) for i in (1, 2, 3)]
+    return F.concat_ws("|", *parts)
 
 
-def _relative_name(decoded: Column, root: str) -> Column:
-    """Path as listed from the root's parent: '<root name>/<rest>'."""
-    root_norm = _strip_scheme(root.rstrip("/"))
-    base = posixpath.basename(root_norm)
-    no_scheme = F.regexp_replace(
-        F.regexp_replace(decoded, r"^[A-Za-z][A-Za-z0-9+.-]*:", ""), r"^/+", "/"
+def _relative_name(decoded: Column, root: tuple[str, str, str]) -> Column:
+    """Path as listed from the root's parent: '<root name>/<rest>'; an error for any other file."""
+    scheme, authority, path = root
+    inside = (
+        (F.regexp_extract(decoded, _URI, 1) == scheme)
+        & (F.regexp_extract(decoded, _URI, 2) == authority)
+        & F.startswith(F.regexp_extract(decoded, _URI, 3), F.lit(path + "/"))
     )
-    return F.regexp_replace(no_scheme, r"^\Q" + root_norm + r"\E/", base + "/")
+    rest = F.substring(F.regexp_extract(decoded, _URI, 3), F.lit(len(path) + 2), F.length(decoded))
+    outside = F.raise_error(F.concat(decoded, F.lit(f" is not under {scheme}://{authority}{path}"))).cast("string")
+    return F.when(inside, F.concat(F.lit(posixpath.basename(path) + "/"), rest)).otherwise(outside)
 
 
 def _escape_glob(path: str) -> str:
     return _GLOB_CHARS.sub(r"\\\1", path)
 
 
+def _reader(spark: SparkSession, glob: str | None):
+    reader = spark.read.option("recursiveFileLookup", "true")
+    return reader.option("pathGlobFilter", glob) if glob else reader
+
+
+def _source(root: str | Sequence[str]) -> str | list[str]:
+    return root if isinstance(root, str) else [_escape_glob(p) for p in root]
+
+
 def _list_files(spark: SparkSession, root: str | Sequence[str], glob: str | None) -> DataFrame | None:
-    """Matching files as (uri, path); ``content`` is never selected, so never read."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    src = [root] if isinstance(root, str) else [_escape_glob(p) for p in root]
+    """Matching files as (uri); ``content`` is never selected, so never read."""
     try:
-        files = reader.load(src).select(F.col("path").alias("uri"))
-    except Exception as e:  # noqa: BLE001 - an empty match is an empty kind
-        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+        return _reader(spark, glob).format("binaryFile").load(_source(root)).select(F.col("path").alias("uri"))
+    except AnalysisException as e:  # an empty match is an empty kind
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
-    return files
 
 
-def _header_groups(spark: SparkSession, root: str | Sequence[str], glob: str | None, sep: str) -> dict[tuple, list[str]]:
-    files = _list_files(spark, root, glob)
-    if files is None:
-        return {}
+def _first_lines(spark: SparkSession, files: DataFrame, root, glob: str | None) -> DataFrame:
+    """(key, header): each file's first line, read through pyarrow or, for schemes it lacks, by a scan."""
 
     # defined here so that it is shipped to the Python workers by value
-    def _first_lines(batches):
-        """mapInPandas: read only the first line of every listed file (pyarrow fs)."""
+    def read_first_lines(batches):
         from urllib.parse import quote, urlsplit
 
         import pandas as pd
@@ -96,41 +115,28 @@ def _header_groups(spark: SparkSession, root: str | Sequence[str], glob: str | N
             yield pd.DataFrame({"uri": pdf["uri"], "header": heads})
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    heads = files.repartition(parts).mapInPandas(read_first_lines, "uri string, header string")
     try:
-        heads = files.repartition(parts).mapInPandas(_first_lines, "uri string, header string")
-        # binaryFile paths are already decoded (unlike _metadata.file_path)
-        rows = heads.select(F.col("uri").alias("path"), "header").collect()
-    except Exception:  # noqa: BLE001 - no pyarrow filesystem for this scheme: scan first splits
-        rows = _header_rows_by_scan(spark, root, glob)
-    groups: dict[tuple, list[str]] = {}
-    # one row per file: the driver lists the files for any scan anyway
-    for row in rows:
-        cols = tuple(h.strip().strip('"') for h in (row["header"] or "").lstrip("\ufeff").rstrip("\r").split(sep))
-        groups.setdefault(cols, []).append(row["path"])
-    if len(groups) > MAX_HEADER_GROUPS:
-        raise ValueError(f"{len(groups)} distinct headers: more than {MAX_HEADER_GROUPS}")
-    return groups
-
-
-def _header_rows_by_scan(spark: SparkSession, root, glob):
-    """Fallback: first line of each file from a text scan of the first splits."""
-    reader = spark.read.option("recursiveFileLookup", "true")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    src = [root] if isinstance(root, str) else [_escape_glob(p) for p in root]
-    text = reader.text(src)
-    return (
-        text.select(
-            _decoded_path(F.col("_metadata.file_path")).alias("path"),
-            F.col("_metadata.file_block_start").alias("blk"),
-            F.col("value"),
-            F.monotonically_increasing_id().alias("_i"),
+        heads.limit(1).collect()
+    except PythonException as e:
+        if "Unrecognized filesystem" not in str(e):
+            raise
+        text = _reader(spark, glob).text(_source(root)).select(
+            _decoded_path(F.col("_metadata.file_path")).alias("uri"),
+            F.col("_metadata.file_block_start").alias("block"),
+            "value",
+            F.monotonically_increasing_id().alias("row"),
         )
-        .where(F.col("blk") == 0)
-        .groupBy("path")
-        .agg(F.min_by("value", "_i").alias("header"))
-        .collect()
-    )
+        heads = text.where("block = 0").groupBy("uri").agg(F.min_by("value", "row").alias("header"))
+    clean = F.regexp_replace(F.coalesce("header", F.lit("")), "^\ufeff|\r$", "")
+    # binaryFile paths are already decoded (unlike _metadata.file_path)
+    return heads.select(_file_key(F.col("uri")).alias("key"), clean.alias("header"))
+
+
+def _header_columns(line: str, sep: str) -> list[str]:
+    """Column names of a header line; repeats get their position as a suffix."""
+    names = [h.strip() for h in next(csv.reader([line], delimiter=sep), [])]
+    return [n if names.index(n) == i else f"{n}{i}" for i, n in enumerate(names)]
 
 
 def _missing_as_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -146,40 +152,63 @@ def read_kind(
     kind: str,
     sep: str = ";",
     glob: str | None = None,
+    multi_line: bool = True,
 ) -> DataFrame | None:
     """Every ``*<kind>.csv`` under ``root`` as text columns + filename + _ord.
 
     ``root`` may also be a list of explicit files (S5).  Returns None when no
-    file matches.
+    file matches.  ``filename`` starts at the root's own name, however the
+    root was spelled (relative, with or without scheme).
     """
-    glob = glob if glob is not None else f"*{kind}.csv"
-    groups = _header_groups(spark, root, glob if isinstance(root, str) else None, sep)
-    if not groups:
+    glob = (glob if glob is not None else f"*{kind}.csv") if isinstance(root, str) else None
+    files = _list_files(spark, root, glob)
+    if files is None:
+        return None
+    heads = _first_lines(spark, files, root, glob)
+    headers = [r["header"] for r in heads.select("header").distinct().orderBy("header").collect()]
+    if not headers:
         return None
+    by_header = {h: _header_columns(h, sep) for h in headers}
+    names = list(dict.fromkeys(c for h in headers for c in by_header[h]))
+    width = max(len(c) for c in by_header.values())
+    # the header line of each file is skipped, cells are read by position
+    schema = StructType([StructField(f"_c{i}", StringType()) for i in range(width)])
+    options = {"header": "true", "sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    reader = _reader(spark, glob).options(**options, multiLine=str(multi_line).lower(), enforceSchema="true")
+    decoded = _decoded_path(F.col("_metadata.file_path"))
+    rows = reader.schema(schema).csv(_source(root))
+    rows = rows.select(
+        "*",
+        decoded.alias("_path"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_row"),
+    )
+    cells = F.array(*schema.names)
+    if len(headers) == 1:
+        data = rows.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)], "_path", "_block", "_row")
+    else:
+        place = [(h, [by_header[h].index(c) if c in by_header[h] else -1 for c in names]) for h in headers]
+        places = heads.join(F.broadcast(spark.createDataFrame(place, "header string, place array<int>")), "header")
+        keyed = rows.withColumn("key", _file_key(F.col("_path"))).join(places.select("key", "place"), "key")
+        at = [F.get("place", i) for i in range(len(names))]
+        # a column that the file's header lacks stays missing
+        value = [F.when(p < 0, F.lit("NULL")).otherwise(F.get(cells, p)) for p in at]
+        data = keyed.select(*[v.alias(c) for v, c in zip(value, names, strict=True)], "_path", "_block", "_row")
     rank = KIND_RANK.get(kind, 9)
-    name_root = root if isinstance(root, str) else posixpath.dirname(posixpath.commonpath([_strip_scheme(p) for p in root]))
-    parts: list[DataFrame] = []
-    for header, paths in groups.items():
-        df = spark.read.options(header="true", sep=sep, inferSchema="false", mode="PERMISSIVE").csv(
-            [_escape_glob(p) for p in sorted(paths)]
-        )
-        data_cols = [c for c in df.columns]
-        decoded = _decoded_path(F.col("_metadata.file_path"))
-        df = _missing_as_null(df, data_cols).select(
-            *data_cols,
-            _relative_name(decoded, name_root).alias("filename"),
-            F.struct(
-                F.lit(rank).alias("source"),
-                _relative_name(decoded, name_root).alias("file"),
-                F.col("_metadata.file_block_start").alias("block"),
-                F.monotonically_increasing_id().alias("row"),
-            ).alias("_ord"),
-        )
-        parts.append(df)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out
+    if isinstance(root, str):
+        base = _qualified(spark, root)
+    else:
+        spelled = [_qualified(spark, p) for p in root]
+        shared = posixpath.commonpath([posixpath.dirname(p) for _, _, p in spelled])
+        base = (*spelled[0][:2], posixpath.dirname(shared))
+    name = _relative_name(F.col("_path"), base)
+    return _missing_as_null(data, names).select(
+        *names,
+        name.alias("filename"),
+        F.struct(
+            F.lit(rank).alias("source"), name.alias("file"), F.col("_block").alias("block"), F.col("_row").alias("row")
+        ).alias("_ord"),
+    )
 
 
 def path_fields(

@@ -2,9 +2,10 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
-from chronoframe.sources.csv_sessions import merge_sessions, read_kind, read_meta, read_session_dir
+from chronoframe.sources.csv_sessions import _relative_name, merge_sessions, read_kind, read_meta, read_session_dir
 
 
 def _write(path, lines):
@@ -109,3 +110,46 @@ def test_clashing_columns_get_suffixes(spark):
     assert set(out.columns) == {"Event", "SessionID", "Extra.x", "Extra.y"}
     row = out.first()
     assert row["Extra.x"] == "a" and row["Extra.y"] == "m"
+
+
+def test_roots_in_any_spelling_give_the_same_names(spark, tmp_path):
+    root = _fixture(str(tmp_path))
+    want = {(r["filename"], r["SessionID"]) for r in read_kind(spark, root, "Event").collect()}
+    assert sorted(f.split("/")[:2] for f, _ in want if "s1" in f) == [["data", "Cond+B"]]
+    for spelled in (root + "/", "file:" + root, "file://" + root):
+        assert {(r["filename"], r["SessionID"]) for r in read_kind(spark, spelled, "Event").collect()} == want
+
+
+def test_relative_roots_from_the_working_folder(spark, tmp_path):
+    root = _fixture(str(tmp_path))
+    rel = os.path.relpath(root, spark.sparkContext._jvm.java.lang.System.getProperty("user.dir"))
+    for spelled in (rel, "./" + rel, rel + "/"):
+        log = read_session_dir(spark, spelled)
+        assert {r["i1"] for r in log.select("i1").distinct().collect()} == {"Test Condition 2", "Cond+B"}
+
+
+def test_names_on_a_store_with_an_authority(spark):
+    path = F.lit("hdfs://nn:8020/data/CondA/s_Event.csv")
+    one = spark.range(1)
+    assert one.select(_relative_name(path, ("hdfs", "nn:8020", "/data"))).first()[0] == "data/CondA/s_Event.csv"
+    with pytest.raises(Exception, match="is not under"):
+        one.select(_relative_name(path, ("hdfs", "other:8020", "/data"))).collect()
+    with pytest.raises(Exception, match="is not under"):
+        one.select(_relative_name(path, ("hdfs", "nn:8020", "/dat"))).collect()
+
+
+def test_quoted_cells(spark, tmp_path):
+    folder = os.path.join(str(tmp_path), "data", "C1")
+    _write(os.path.join(folder, "a_Event.csv"), [
+        "Timestamp;Event;SessionID;Note",
+        '2022-01-01 10:00:00;Sample;S0;"say ""hi""; ok"',
+        '2022-01-01 10:00:01;Sample;S0;"C:\\dir\\"',
+        '2022-01-01 10:00:02;Sample;S0;"two',
+        'lines"',
+    ])
+    for extra in (False, True):  # one header, then several
+        if extra:
+            _write(os.path.join(folder, "b_Event.csv"), ["Note;SessionID", "x;S1"])
+        rows = read_kind(spark, os.path.join(str(tmp_path), "data"), "Event").where("SessionID = 'S0'").orderBy("_ord").collect()
+        assert [r["Note"] for r in rows] == ['say "hi"; ok', "C:\\dir\\", "two\nlines"]
+        assert [r["_ord"]["row"] for r in rows] == sorted(r["_ord"]["row"] for r in rows)
