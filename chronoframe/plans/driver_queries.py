@@ -432,3 +432,64 @@ def q_persisted_game_rows(spark, sf_dir):
 
 
 QUERIES["persisted_game_rows"] = q_persisted_game_rows
+
+
+# ---- operators that the queries above use only in part ----------------------
+def q_summary_first_marker(spark, sf_dir):
+    """A3 with one row per session: the first end marker."""
+    out = summary.session_summary(derived(spark, sf_dir, stage=SUMMARY_COLUMNS), KEYS, VOCAB, markers="first")
+    return rounded(
+        out, ["PlayTime_delta", "MeanGaze_x", "MeanGaze_y", "MeanGaze_z", "MeanGazeConf", "MeanHz"]
+    )
+
+
+def q_csv_from_paths(spark, sf_dir):
+    """A directory without meta contents; Condition comes from the path."""
+    root = _relative_root(spark, export_session_csv(spark, sf_dir))
+    raw = csv_sessions.read_session_dir(spark, root, meta=None)
+    return raw.groupBy("i1", "SessionID", "Event").agg(F.count(F.lit(1)).alias("n"), F.max("Note").alias("last_note"))
+
+
+def _session_file(kind):
+    return F.concat(F.lit("data/"), F.col("Condition"), F.lit("/u"), F.col("SessionID"), F.lit(f"_{kind}.csv"))
+
+
+def q_merge_by_path(spark, sf_dir):
+    """Meta rows without a SessionID meet their log rows on the session's path."""
+    log = events_as_log(load(spark, sf_dir, "events"))
+    ev = log.select("Timestamp", "Event", "SessionID", "MoleId", "_ord", _session_file("Event").alias("filename"))
+    meta = log.where(F.col("Condition") != "C3").select("SessionID", "Condition").distinct()
+    meta = meta.select(
+        F.lit(None).cast("string").alias("SessionID"),
+        F.concat(F.lit("p"), F.col("SessionID")).alias("ParticipantID"),
+        F.col("Condition").alias("i1"),
+        csv_sessions.session_base(_session_file("Meta")).alias("_session_base"),
+    )
+    return csv_sessions.merge_sessions(meta, ev, None)
+
+
+def q_merge_suffix_drop(spark, sf_dir):
+    """Columns on both sides of the merge come out with suffixes and are dropped."""
+    ev = events_as_log(load(spark, sf_dir, "events")).select("Timestamp", "Event", "SessionID", "MoleId", "_ord")
+    meta = load(spark, sf_dir, "customer").select(
+        F.col("c_custkey").cast("string").alias("SessionID"), F.col("c_name").alias("Event"), F.col("c_mktsegment").alias("Segment")
+    )
+    return basic.drop_suffixed(csv_sessions.merge_sessions(meta, ev, None))
+
+
+def q_three_valued_if(spark, sf_dir):
+    """An unknown condition gives a missing value, not the else branch."""
+    log = events_log(spark, sf_dir).withColumn("y", scalars.to_numeric("WorldGazeHitPositionY"))
+    far = F.col("y") > 500
+    return log.select("_ord", F.when(far, "far").when(~far, "near").alias("side"))
+
+
+QUERIES.update(
+    {
+        "summary_first_marker": q_summary_first_marker,
+        "csv_from_paths": q_csv_from_paths,
+        "merge_by_path": q_merge_by_path,
+        "merge_suffix_drop": q_merge_suffix_drop,
+        "three_valued_if": q_three_valued_if,
+    }
+)

@@ -458,3 +458,29 @@ SELECT s.*, n_notes, first_note FROM s JOIN notes USING ("Participant", "Conditi
 SQL["persisted_game_rows"] = f"""WITH {DLOG}
 SELECT "_ord", "Participant", "Condition", "Timestamp", "Event", "GameTimeSpent", "Hz"
 FROM dlog WHERE "Condition" = 'C1' AND "PlayPeriod" = 'Game'"""
+
+SQL["summary_first_marker"] = SQL["session_summary"].replace(
+    """ends AS (SELECT "Participant", "Condition", "Timestamp" AS _end FROM game WHERE "Event" = 'purchase')""",
+    """ends AS (SELECT "Participant", "Condition", MIN("Timestamp") AS _end FROM game WHERE "Event" = 'purchase'
+         GROUP BY "Participant", "Condition")""",
+)
+
+SQL["csv_from_paths"] = f"""WITH {RAW}
+SELECT "Condition" AS i1, "SessionID" || '-' || "Condition" AS "SessionID", "Event", COUNT(*) AS n,
+  MAX('said "' || "Event" || '"; C:' || chr(92) || 'log' || chr(92) || chr(10) || 'seen ' || CAST("Timestamp" AS VARCHAR))
+    AS last_note
+FROM raw GROUP BY "Condition", "SessionID", "Event\""""
+
+SQL["merge_by_path"] = f"""WITH {RAW},
+meta AS (SELECT DISTINCT "SessionID" AS s, "Condition" AS i1 FROM raw WHERE "Condition" <> 'C3')
+SELECT "Timestamp", "Event", "SessionID", "MoleId", "_ord",
+  'data/' || "Condition" || '/u' || "SessionID" || '_Event.csv' AS filename, 'p' || s AS "ParticipantID", i1
+FROM raw LEFT JOIN meta ON s = "SessionID" AND i1 = "Condition\""""
+
+SQL["merge_suffix_drop"] = f"""WITH {RAW}
+SELECT "Timestamp", "SessionID", "MoleId", "_ord", c_mktsegment AS "Segment"
+FROM raw LEFT JOIN customer ON CAST(c_custkey AS VARCHAR) = "SessionID\""""
+
+SQL["three_valued_if"] = f"""WITH {RAW}
+SELECT "_ord", CASE WHEN y IS NULL THEN NULL WHEN y > 500 THEN 'far' ELSE 'near' END AS side
+FROM (SELECT "_ord", TRY_CAST("WorldGazeHitPositionY" AS DOUBLE) AS y FROM raw)"""
