@@ -1,22 +1,27 @@
 """Fitted curves for plots (K1 linear, K2 smoothing spline).
 
-The heavy part (sums over all rows) is a Spark aggregation; only a handful of
-numbers per group (K1) or a K x K banded system (K2, K <= 200) reach the
-driver, whatever the number of rows.
+The heavy part (sums over all rows) is a Spark aggregation.  Nothing reaches
+the driver; K2 solves one small system per curve in a task, from eleven sums
+per knot interval.
 """
 
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoframe.operators.frames import _blocked_range
 from chronoframe.sources.tables import stage_table
 
+# the per-curve solve travels with its task, so workers need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def linear_curve(
     df: DataFrame,
@@ -52,38 +57,67 @@ def linear_curve(
     return grid.select(*keys, gx.alias("x"), (icept + slope * gx).alias("y"))
 
 
-# ---- K2: penalised cubic regression spline ---------------------------------
-def _n_knots(n_unique: int) -> int:
-    """Number of spline intervals: all points when few, then slow growth, capped at 200."""
+# ---- K2: cubic smoothing spline --------------------------------------------
+def n_knots(n_unique: int) -> int:
+    """Knots for so many unique x: all below 50, then slowly growing, never cut off.
+
+    Between 50, 200, 800 and 3200 points the count rises geometrically through
+    50, 100, 140 and 200; beyond, by the fifth root of the points over 3200.
+    """
     if n_unique < 50:
-        return max(n_unique - 1, 1)
-    a1, a2, a3, a4 = math.log2(50), math.log2(100), math.log2(140), math.log2(200)
-    if n_unique < 200:
-        k = 2 ** (a1 + (a2 - a1) * (n_unique - 50) / 150)
-    elif n_unique < 800:
-        k = 2 ** (a2 + (a3 - a2) * (n_unique - 200) / 600)
-    elif n_unique < 3200:
-        k = 2 ** (a3 + (a4 - a3) * (n_unique - 800) / 2400)
-    else:
-        k = 200 + (n_unique - 3200) ** 0.2
-    return int(min(math.trunc(k), 200))
-
-
-def _second_derivative_gram(n_intervals: int, h: float) -> np.ndarray:
-    """Omega[j,k] = integral of B_j'' B_k'' for uniform cubic B-splines."""
-    nb = n_intervals + 3
-    om = np.zeros((nb, nb))
-    # B_j'' on one interval in u in [0,1): (1-u), (3u-2), (1-3u), u  (per h^2)
-    gl_u = np.array([0.5 - math.sqrt(15) / 10, 0.5, 0.5 + math.sqrt(15) / 10])
-    gl_w = np.array([5 / 18, 8 / 18, 5 / 18])
-    local = np.stack([1 - gl_u, 3 * gl_u - 2, 1 - 3 * gl_u, gl_u])  # 4 x 3
-    block = (local * gl_w) @ local.T / h**3
-    for i in range(n_intervals):
-        om[i : i + 4, i : i + 4] += block
-    return om
-
-
-MAX_SPLINE_GROUPS = 10_000
+        return n_unique
+    stops, counts = (50, 200, 800, 3200), (50, 100, 140, 200)
+    for k in range(3):
+        if n_unique < stops[k + 1]:
+            share = (n_unique - stops[k]) / (stops[k + 1] - stops[k])
+            return math.trunc(counts[k] * (counts[k + 1] / counts[k]) ** share)
+    return math.trunc(200 + (n_unique - 3200) ** 0.2)
+
+
+def spline_pieces(knots: np.ndarray) -> np.ndarray:
+    """(interval, basis 0..3, power 0..3): the cubic B-splines alive on each interval, in u = (x - lo) / h."""
+    m = len(knots) - 1
+    t = np.concatenate([[knots[0]] * 3, knots, [knots[-1]] * 3])
+    at = np.array([0.0, 1 / 3, 2 / 3, 1.0])
+    to_powers = np.linalg.inv(np.vander(at, 4, increasing=True))
+    out = np.empty((m, 4, 4))
+    for i in range(m):
+        x = knots[i] + at * (knots[i + 1] - knots[i])
+        values = [np.ones(4)]
+        for degree in range(1, 4):  # the recursion over degrees, for the span [t[i+3], t[i+4])
+            grown = [np.zeros(4) for _ in range(degree + 1)]
+            for r in range(degree):
+                left, right = t[i + 4 + r - degree], t[i + 4 + r]
+                part = values[r] / (right - left)
+                grown[r] += part * (right - x)
+                grown[r + 1] += part * (x - left)
+            values = grown
+        out[i] = np.array(values) @ to_powers.T
+    return out
+
+
+def solve_spline(knots: np.ndarray, moments: np.ndarray, y_moments: np.ndarray, spar: float) -> np.ndarray:
+    """Per interval the fitted cubic's coefficients in u.
+
+    ``moments[i, p]``: sum of w u^p (p to 6); ``y_moments[i, p]``: sum of w y u^p (p to 3).
+    Penalty: lambda times the integrated squared second derivative, with
+    lambda = ratio * 256^(3 spar - 1) and ratio = tr(X'WX) / tr(penalty) over
+    the basis functions that are not cut off at either end.
+    """
+    pieces = spline_pieces(knots)
+    m = len(pieces)
+    gram, rough, rhs = np.zeros((m + 3, m + 3)), np.zeros((m + 3, m + 3)), np.zeros(m + 3)
+    powers = np.add.outer(np.arange(4), np.arange(4))
+    for i in range(m):
+        b, h = pieces[i], knots[i + 1] - knots[i]
+        gram[i : i + 4, i : i + 4] += b @ moments[i][powers] @ b.T
+        rhs[i : i + 4] += b @ y_moments[i]
+        bend = np.stack([2 * b[:, 2], 6 * b[:, 3]], axis=1)  # second derivative times h^2: constant and slope in u
+        rough[i : i + 4, i : i + 4] += bend @ np.array([[1, 1 / 2], [1 / 2, 1 / 3]]) @ bend.T / h**3
+    inner = slice(2, m) if m > 2 else slice(0, m + 3)
+    ratio = np.trace(gram[inner, inner]) / np.trace(rough[inner, inner])
+    coef = np.linalg.solve(gram + ratio * 256.0 ** (3 * spar - 1) * rough, rhs)
+    return np.stack([coef[i : i + 4] @ pieces[i] for i in range(m)])
 
 
 def smooth_curve(
@@ -95,17 +129,15 @@ def smooth_curve(
 ) -> DataFrame:
     """K2: cubic smoothing-spline fitted values at the unique term values.
 
-    Responses are averaged per unique x (weights = counts), as a smoothing
-    spline does.  Basis: cubic B-splines on equal intervals over [min, max];
-    penalty: integrated squared second derivative; lambda from ``spar`` as
-    r * 256**(3*spar - 1) with r = tr(X'WX) / tr(Omega).
+    Responses are averaged per unique x (weights = counts).  Knots lie at order
+    statistics of the unique x, at every one below 50, so they follow the data
+    however uneven it is.  Curves with fewer than four unique x keep their means.
 
-    Plan: one aggregation gives the unique points, one gives every group's
-    banded normal equations (keyed by group, row, column); the driver solves a
-    (K+3)^2 system per group (K <= 200) and the coefficients go back as a
-    small table joined by group key for evaluation on the executors.
+    Plan: one aggregation gives the unique points and a rank per curve; the
+    interval of a point follows from its rank.  Eleven sums per interval go to
+    one small solve per curve (``applyInPandas`` over intervals, never points),
+    whose cubic pieces are joined back for evaluation.  Nothing is collected.
     """
-    spark = df.sparkSession
     x, y = F.col(term).cast("double"), F.col(response).cast("double")
     gkey = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("_all"))
     pts = (
@@ -113,65 +145,64 @@ def smooth_curve(
         .groupBy(gkey.alias("_g"), x.alias("_x"))
         .agg(F.count(F.lit(1)).cast("double").alias("_w"), F.avg(y).alias("_ybar"))
     )
-    # three jobs read the unique points: compute them once (shared checkpoint folder)
-    pts = stage_table(pts, "spline-points")
-    stats = pts.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi"))
-    stat_rows = stats.limit(MAX_SPLINE_GROUPS + 1).collect()  # one row per curve, checked below
-    if len(stat_rows) > MAX_SPLINE_GROUPS:
-        raise ValueError(f"{len(stat_rows)} curves: more than {MAX_SPLINE_GROUPS}")
-    params = []
-    for st in stat_rows:
-        n, lo, hi = int(st["n"]), float(st["lo"]), float(st["hi"])
-        k_int = _n_knots(n) if n >= 4 and hi > lo else 0
-        params.append((st["_g"], lo, (hi - lo) / k_int if k_int else 1.0, k_int))
-    g_type = pts.schema["_g"].dataType
-    param_df = spark.createDataFrame(
-        params, f"_g {g_type.simpleString()}, _lo double, _h double, _K int"
+    ranked = pts.withColumns(
+        {
+            "_r": F.row_number().over(Window.partitionBy("_g").orderBy("_x")).cast("long"),
+            "_n": F.count(F.lit(1)).over(Window.partitionBy("_g")),
+        }
     )
-    located = pts.join(param_df, "_g")
-    t = (F.col("_x") - F.col("_lo")) / F.col("_h")
-    idx = F.least(F.greatest(F.floor(t), F.lit(0)), F.col("_K") - 1).cast("int")
-    located = located.withColumn("_i", idx).withColumn("_u", t - F.col("_i"))
-    u = F.col("_u")
-    b = [
-        (1 - u) * (1 - u) * (1 - u) / 6,
-        (3 * u * u * u - 6 * u * u + 4) / 6,
-        (-3 * u * u * u + 3 * u * u + 3 * u + 1) / 6,
-        u * u * u / 6,
-    ]
-    ii = F.col("_i")
-    entries = []
-    for a in range(4):
-        for c in range(4):
-            entries.append(F.struct((ii + a).alias("i"), (ii + c).alias("j"), (F.col("_w") * b[a] * b[c]).alias("v")))
-        entries.append(F.struct((ii + a).alias("i"), F.lit(-1).alias("j"), (F.col("_w") * F.col("_ybar") * b[a]).alias("v")))
-    sums = (
-        located.where(F.col("_K") > 0)
-        .select("_g", F.explode(F.array(*entries)).alias("e"))
-        .groupBy("_g", F.col("e.i").alias("i"), F.col("e.j").alias("j"))
-        .agg(F.sum("e.v").alias("v"))
-        .collect()  # banded: about 7 (K+3) entries per curve
+    # several jobs read the unique points: compute them once (shared checkpoint folder)
+    ranked = stage_table(ranked, "spline-points")
+    sizes = ranked.select("_n").distinct()
+    knots = sizes.select("_n", _n_knots_column(F.col("_n")).alias("_k"))
+    located = ranked.where(F.col("_n") >= 4).join(knots, "_n")
+    # knot j (from 0) is the point of rank 1 + floor(j (n - 1) / (k - 1))
+    rank_of = lambda j: F.floor(j * (F.col("_n") - 1) / (F.col("_k") - 1)) + 1
+    guess = F.floor((F.col("_r") - 1) * (F.col("_k") - 1) / (F.col("_n") - 1))
+    located = located.withColumn("_j", guess)
+    located = located.withColumn("_j", F.when(rank_of(F.col("_j") + 1) <= F.col("_r"), F.col("_j") + 1).otherwise(F.col("_j")))
+    located = located.withColumn("_knot", F.col("_r") == rank_of(F.col("_j")))
+    ends = located.where("_knot").withColumn("_hi", F.lead("_x").over(Window.partitionBy("_g").orderBy("_j")))
+    spans = ends.where("_hi is not null").select("_g", "_j", F.col("_x").alias("_lo"), "_hi")
+    # the last point closes the last interval
+    located = located.withColumn("_j", F.least(F.col("_j"), F.col("_k") - 2)).join(spans, ["_g", "_j"])
+    located = located.withColumn("_u", (F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
+    power = [F.lit(1.0)]
+    for _ in range(6):
+        power.append(power[-1] * F.col("_u"))
+    sums = [F.sum(F.col("_w") * power[p]).alias(f"m{p}") for p in range(7)]
+    sums += [F.sum(F.col("_w") * F.col("_ybar") * power[p]).alias(f"y{p}") for p in range(4)]
+    moments = located.groupBy("_g", "_j", "_lo", "_hi").agg(*sums)
+    # one text per curve as the group key: a struct cannot be one
+    moments = moments.withColumn("_id", F.to_json("_g", {"ignoreNullFields": "false"}))
+
+    def solve(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("_j")
+        edges = np.append(pdf["_lo"].to_numpy(), pdf["_hi"].to_numpy()[-1])
+        cubic = solve_spline(
+            edges, pdf[[f"m{p}" for p in range(7)]].to_numpy(), pdf[[f"y{p}" for p in range(4)]].to_numpy(), spar
+        )
+        return pd.DataFrame({"_id": pdf["_id"].to_numpy(), "_j": pdf["_j"].to_numpy(), **{f"c{p}": cubic[:, p] for p in range(4)}})
+
+    pieces = moments.drop("_g").groupBy("_id").applyInPandas(
+        solve, "_id string, _j long, c0 double, c1 double, c2 double, c3 double"
     )
-    by_group: dict = {}
-    for r in sums:
-        by_group.setdefault(r["_g"], []).append((r["i"], r["j"], r["v"]))
-    coefs = []
-    for g, lo, h, k_int in params:
-        if not k_int:
-            continue
-        nb = k_int + 3
-        xtx, xty = np.zeros((nb, nb)), np.zeros(nb)
-        for i, j, v in by_group.get(g, []):
-            if j < 0:
-                xty[i] += v
-            else:
-                xtx[i, j] += v
-        om = _second_derivative_gram(k_int, h)
-        lam = (np.trace(xtx) / np.trace(om)) * 256.0 ** (3 * spar - 1)
-        coef = np.linalg.solve(xtx + lam * om + 1e-12 * np.eye(nb), xty)
-        coefs.append((g, [float(c) for c in coef]))
-    coef_df = spark.createDataFrame(coefs, f"_g {g_type.simpleString()}, _coef array<double>")
-    with_coef = located.join(coef_df, "_g", "left")
-    fitted = sum(b[a] * F.element_at(F.col("_coef"), ii + a + 1) for a in range(4))
-    y_out = F.when(F.col("_K") > 0, fitted).otherwise(F.col("_ybar"))
-    return with_coef.select(*[F.col("_g")[k].alias(k) for k in keys], F.col("_x").alias("x"), y_out.alias("y"))
+    tagged = located.withColumn("_id", F.to_json("_g", {"ignoreNullFields": "false"}))
+    fitted = tagged.join(pieces, ["_id", "_j"])
+    u = F.col("_u")
+    value = F.col("c0") + u * (F.col("c1") + u * (F.col("c2") + u * F.col("c3")))
+    few = ranked.where(F.col("_n") < 4).select("_g", "_x", F.col("_ybar").alias("y"))
+    out = fitted.select("_g", "_x", value.alias("y")).unionByName(few)
+    return out.select(*[F.col("_g")[k].alias(k) for k in keys], F.col("_x").alias("x"), "y")
+
+
+def _n_knots_column(n):
+    """``n_knots`` of a column."""
+    stops, counts = (50, 200, 800, 3200), (50, 100, 140, 200)
+    out = F.when(n < stops[0], n.cast("double"))
+    for k in range(3):
+        share = (n - stops[k]) / (stops[k + 1] - stops[k])
+        out = out.when(n < stops[k + 1], counts[k] * F.pow(F.lit(counts[k + 1] / counts[k]), share))
+    return F.floor(out.otherwise(200 + F.pow(n - 3200, F.lit(0.2))) + 1e-9)

@@ -268,9 +268,17 @@ def q_smooth_curve(spark, sf_dir):
     return out.select("l_returnflag", "x", F.round("y", 3).alias("y"))
 
 
+def q_smooth_curve_line(spark, sf_dir):
+    """K2 with so much smoothing that the curve is the least-squares line."""
+    li = load(spark, sf_dir, "lineitem")
+    out = curves.smooth_curve(li, "l_extendedprice", "l_quantity", spar=1.5, keys=["l_returnflag"])
+    return out.select("l_returnflag", "x", F.round(F.col("y") / 100, 0).alias("y_hundreds"))
+
+
 QUERIES.update(
     {
         "merge_logs": q_merge_logs,
+        "smooth_curve_line": q_smooth_curve_line,
         "path_fields": q_path_fields,
         "parse_and_cast": q_parse_and_cast,
         "label_text": q_label_text,

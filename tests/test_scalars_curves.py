@@ -143,31 +143,80 @@ def test_mixed_compat_selection(spark):
     assert all(r["p_value"] < 0.05 for r in rep)
 
 
-def test_smooth_curve_matches_dense_numpy_fit(spark):
-    """Spark's banded normal equations = a dense numpy penalised fit on the raw points."""
-    rng = np.random.default_rng(7)
-    xs = np.round(rng.uniform(0, 5, 300), 1)  # repeated x values -> weights
-    ys = np.sin(xs) + rng.normal(0, 0.2, 300)
-    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(xs, ys)], "x double, y double")
-    spar = 0.3
-    got = {round(r["x"], 6): r["y"] for r in curves.smooth_curve(df, "y", "x", spar=spar).collect()}
+def _basis(t, i, degree, x, order=0):
+    """Textbook recursion for a B-spline (or its derivative) on knots t; the last span is closed."""
+    if order:
+        out = 0.0
+        for k, sign in ((i, 1), (i + 1, -1)):
+            width = t[k + degree] - t[k]
+            if width > 0:
+                out += sign * degree / width * _basis(t, k, degree - 1, x, order - 1)
+        return out
+    if degree == 0:
+        last = t[i + 1] == t[-1] and t[i] < t[i + 1]
+        return float(t[i] <= x < t[i + 1] or (last and x == t[-1]))
+    out = 0.0
+    if t[i + degree] > t[i]:
+        out += (x - t[i]) / (t[i + degree] - t[i]) * _basis(t, i, degree - 1, x)
+    if t[i + degree + 1] > t[i + 1]:
+        out += (t[i + degree + 1] - x) / (t[i + degree + 1] - t[i + 1]) * _basis(t, i + 1, degree - 1, x)
+    return out
+
+
+def _dense_fit(xs, ys, spar):
     ux = np.unique(xs)
-    k = curves._n_knots(len(ux))
-    lo, hi = ux.min(), ux.max()
-    h = (hi - lo) / k
-
-    def basis(v):
-        t = (v - lo) / h
-        i = min(max(int(np.floor(t)), 0), k - 1)
-        u = t - i
-        row = np.zeros(k + 3)
-        row[i : i + 4] = [(1 - u) ** 3 / 6, (3 * u**3 - 6 * u**2 + 4) / 6, (-3 * u**3 + 3 * u**2 + 3 * u + 1) / 6, u**3 / 6]
-        return row
-
-    X = np.array([basis(v) for v in xs])
-    om = curves._second_derivative_gram(k, h)
+    k = curves.n_knots(len(ux))
+    knots = ux[[math.floor(j * (len(ux) - 1) / (k - 1)) for j in range(k)]]
+    t = np.concatenate([[knots[0]] * 3, knots, [knots[-1]] * 3])
+    nb = k + 2
+    X = np.array([[_basis(t, i, 3, v) for i in range(nb)] for v in xs])
+    om = np.zeros((nb, nb))
+    for a, b in zip(knots[:-1], knots[1:]):
+        for z in (-1 / math.sqrt(3), 1 / math.sqrt(3)):  # exact for the square of a line
+            v = np.array([_basis(t, i, 3, (a + b) / 2 + z * (b - a) / 2, 2) for i in range(nb)])
+            om += np.outer(v, v) * (b - a) / 2
     xtx = X.T @ X
-    lam = np.trace(xtx) / np.trace(om) * 256.0 ** (3 * spar - 1)
-    coef = np.linalg.solve(xtx + lam * om + 1e-12 * np.eye(k + 3), X.T @ ys)
-    for v in ux:
-        assert got[round(float(v), 6)] == pytest.approx(float(basis(v) @ coef), abs=1e-8)
+    ratio = np.trace(xtx[2 : nb - 3, 2 : nb - 3]) / np.trace(om[2 : nb - 3, 2 : nb - 3])
+    coef = np.linalg.solve(xtx + ratio * 256.0 ** (3 * spar - 1) * om, X.T @ ys)
+    return {float(v): float(np.array([_basis(t, i, 3, v) for i in range(nb)]) @ coef) for v in ux}
+
+
+@pytest.mark.parametrize("points,spar", [(30, 0.3), (120, 0.4), (300, 0.6)])
+def test_smooth_curve_matches_dense_numpy_fit(spark, points, spar):
+    """Spark's sums per interval = a dense penalised fit on the raw points, x uneven and repeated."""
+    rng = np.random.default_rng(7)
+    ux = np.unique(np.round(rng.exponential(2, points), 3))
+    xs = np.concatenate([ux, rng.choice(ux, 60)])
+    ys = np.sin(xs) + rng.normal(0, 0.2, len(xs))
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(xs, ys)], "x double, y double")
+    got = {r["x"]: r["y"] for r in curves.smooth_curve(df, "y", "x", spar=spar).collect()}
+    want = _dense_fit(xs, ys, spar)
+    assert got.keys() == want.keys()
+    assert max(abs(got[v] - want[v]) for v in want) < 1e-6
+
+
+def test_smooth_curve_on_uneven_x(spark):
+    """A tight cluster and one far point: little smoothing follows the data, much gives the line."""
+    xs = [1.0, 1.1, 1.2, 1.3, 1.4, 1.5, 100.0]
+    ys = [0.0, 1.0, 0.0, 1.0, 0.0, 1.0, 0.0]
+    df = spark.createDataFrame(list(zip(xs, ys)), "x double, y double")
+    close = [r["y"] for r in curves.smooth_curve(df, "y", "x", spar=-0.5).orderBy("x").collect()]
+    assert np.allclose(close, ys, atol=0.01)
+    line = np.polyval(np.polyfit(xs, ys, 1), xs)
+    flat = [r["y"] for r in curves.smooth_curve(df, "y", "x", spar=2.0).orderBy("x").collect()]
+    assert np.allclose(flat, line, atol=0.01)
+
+
+def test_smooth_curve_keys_and_few_points(spark):
+    rows = [(None, float(i), float(i % 3)) for i in range(9)] + [("a", 1.0, 2.0), ("a", 1.0, 4.0), ("a", 2.0, 5.0)]
+    df = spark.createDataFrame(rows, "k string, x double, y double")
+    out = curves.smooth_curve(df, "y", "x", keys=["k"]).collect()
+    assert sorted((r["x"], r["y"]) for r in out if r["k"] == "a") == [(1.0, 3.0), (2.0, 5.0)]
+    assert len([r for r in out if r["k"] is None]) == 9
+
+
+def test_knot_counts(spark):
+    ns = [4, 49, 50, 199, 200, 500, 799, 800, 3199, 3200, 10_000, 10_000_000]
+    df = spark.createDataFrame([(n,) for n in ns], "n long")
+    assert [r[0] for r in df.select(curves._n_knots_column(F.col("n"))).collect()] == [curves.n_knots(n) for n in ns]
+    assert curves.n_knots(3200) == 200 and curves.n_knots(10_000_000) > 200
