@@ -354,69 +354,68 @@ def select_models(cells: Cells, spec: LmeSpec) -> list[dict]:
     return rows
 
 
-def _add_compat(cells, p, features, null_fit: Fit, kind: str, threshold: float, models: list, out: list) -> None:
-    """One stage as the scripts do it, rows appended to ``models`` and ``out``.
-
-    Candidates are fitted last feature first; ``r2_pass`` needs the largest R2m
-    among *all* candidates of the step (passing or not); the next null model is
-    the last row in table order of everything so far that passes both tests;
-    used features are dropped when their name occurs in that formula.
-    """
-    cands = []
-    for f in reversed(list(features)):
-        if kind == "random":
-            fit = fit_model(cells, p, null_fit.fixed, [f, *null_fit.random])
-        else:
-            fit = fit_model(cells, p, [f, *null_fit.fixed], null_fit.random)
-        row = _row(p, null_fit, fit)
-        row["_fit"] = fit
-        cands.append(row)
-    if not cands:
-        return
-    top = max(r["R2m"] for r in cands)
-    for r in cands:
-        r["_p_pass"] = r["p_value"] is not None and r["p_value"] < threshold
-        r["_r2_pass"] = r["_p_pass"] and r["R2m"] == top
-    models.extend(cands)
-    out.extend(cands)
-    winner = [r for r in models if r["_p_pass"] and r["_r2_pass"]][-1]
-    if winner["model"] != _formula(null_fit.fixed, null_fit.random):
-        left = [f for f in features if f not in winner["model"]]
-        if left:
-            _add_compat(cells, p, left, winner["_fit"], kind, threshold, models, out)
-
-
 def select_models_compat(cells: Cells, spec: LmeSpec) -> list[dict]:
     """Rows of the scripts' selection, quirks included.
 
-    The fixed stage starts from the base model (the base row sorts last by
-    R2m, being NA); when no fixed term passes, the last passing random row
-    becomes the null model and the fixed terms are tried again on it.
+    Per response the state is the null fit, the terms still open and the rows
+    accepted so far (both tests passed, in table order, the base row first).
+    Each step fits the open terms, last one first; a row passes the second
+    test only with the largest R2m of *all* the step's rows.  The last accepted
+    row becomes the null model, terms whose name occurs in its formula close,
+    and the step that brings no other null model is the stage's last.  Both
+    stages start from the base model.
     """
     rows: list[dict] = []
     for p in reversed(list(spec.responses)):
         base = fit_model(cells, p, [], [spec.null])
-        base_row = _row(p, None, base)
-        base_row.update({"_fit": base, "_p_pass": True, "_r2_pass": True})
-        models = [base_row]
-        out = [base_row]
-        _add_compat(cells, p, [r for r in spec.random if r != spec.null], base, "random", spec.threshold, models, out)
-        _add_compat(cells, p, [f for f in spec.fixed if f != p], base, "fixed", spec.threshold, models, out)
-        rows.extend({k: v for k, v in r.items() if not k.startswith("_")} for r in out)
+        accepted = [base]
+        rows.append(_row(p, None, base))
+        for kind, terms in (("random", [r for r in spec.random if r != spec.null]), ("fixed", spec.fixed)):
+            null, left = base, [t for t in terms if t != p]
+            while left:
+                step = []
+                for t in reversed(left):
+                    fixed, random = ([t, *null.fixed], null.random) if kind == "fixed" else (null.fixed, [t, *null.random])
+                    step.append(fit_model(cells, p, fixed, random))
+                tested = [_row(p, null, fit) for fit in step]
+                rows.extend(tested)
+                top = max(r["R2m"] for r in tested)
+                accepted += [
+                    fit
+                    for fit, r in zip(step, tested, strict=True)
+                    if r["p_value"] is not None and r["p_value"] < spec.threshold and r["R2m"] == top
+                ]
+                formula = _formula(accepted[-1].fixed, accepted[-1].random)
+                if formula == _formula(null.fixed, null.random):
+                    break
+                null, left = accepted[-1], [t for t in left if t not in formula]
     return rows
 
 
+# AIC, BIC, ML and both R2 are reported as two-decimal text, everything else exactly
+_TEXT = ("AIC", "BIC", "ML", "R2m", "R2c")
 REPORT_SCHEMA = (
-    "Predicted string, nullmodel string, model string, npar int, AIC double, BIC double, ML double, "
-    "deviance double, Chisq double, Df int, p_value double, R2m double, R2c double"
+    "Predicted string, nullmodel string, model string, npar int, AIC string, BIC string, ML string, "
+    "deviance double, Chisq double, Df int, p_value double, R2m string, R2c string"
 )
 
 
+def _report(spark: SparkSession, rows: list[dict]) -> DataFrame:
+    def cell(name, value):
+        if value is None or value != value:
+            return None
+        if name in _TEXT:
+            return f"{float(value):.2f}"
+        return value if isinstance(value, str) else int(value) if name in ("npar", "Df") else float(value)
+
+    return spark.createDataFrame([tuple(cell(k, v) for k, v in r.items()) for r in rows], REPORT_SCHEMA)
+
+
 def mixed_model_select(df: DataFrame, spec: LmeSpec, all_rows: bool = False) -> DataFrame:
     """K3: model-selection report as a small DataFrame.
 
     Rows with p < ``spec.report_p`` (all candidate rows with ``all_rows``),
-    values rounded to 2 decimals, sorted by response and descending R2m.
+    sorted by response and descending R2m.
     """
     factors = list(dict.fromkeys([spec.null, *spec.random]))
     numeric = list(dict.fromkeys([*spec.fixed, *spec.responses]))
@@ -430,15 +429,25 @@ def mixed_model_select(df: DataFrame, spec: LmeSpec, all_rows: bool = False) ->
     if not all_rows:
         rows = [r for r in rows if r["p_value"] is not None and r["p_value"] < spec.report_p]
     rows.sort(key=lambda r: (r["Predicted"], -(r["R2m"] if r["R2m"] == r["R2m"] else -1e300)))
-    out = []
-    for r in rows:
-        vals = []
-        for k, v in r.items():
-            if isinstance(v, (float, np.floating)):
-                v = float(v) if k == "p_value" else round(float(v), 2)
-            elif isinstance(v, np.integer):
-                v = int(v)
-            vals.append(v)
-        out.append(tuple(vals))
-    spark: SparkSession = df.sparkSession
-    return spark.createDataFrame(out, REPORT_SCHEMA)
+    return _report(df.sparkSession, rows)
+
+
+def compare_models(
+    df: DataFrame,
+    response: str,
+    models: Sequence[tuple[Sequence[str], Sequence[str]]],
+    null: tuple[Sequence[str], Sequence[str]],
+) -> DataFrame:
+    """K3f: given models, each (fixed terms, random factors), tested against one null model.
+
+    The null model's own row comes first; all fits use the rows that are
+    complete in every column any of the models names.
+    """
+    every = [null, *models]
+    factors = list(dict.fromkeys(r for _, random in every for r in random))
+    numeric = list(dict.fromkeys([*(f for fixed, _ in every for f in fixed), response]))
+    cells = cell_statistics(df, factors, numeric)
+    base = fit_model(cells, response, *null)
+    rows = [_row(response, None, base)]
+    rows += [_row(response, base, fit_model(cells, response, fixed, random)) for fixed, random in models]
+    return _report(df.sparkSession, rows)

@@ -207,6 +207,16 @@ def test_smooth_curve_on_uneven_x(spark):
     assert np.allclose(flat, line, atol=0.01)
 
 
+def test_compare_models(spark):
+    df, *_ = _data(spark)
+    null, bigger = ([], ["g1"]), (["x"], ["g1"])
+    rows = mixed.compare_models(df, "y", [bigger], null).collect()
+    assert [r["model"] for r in rows] == ["(1|g1)", "x + (1|g1)"] and rows[0]["Chisq"] is None
+    assert rows[1]["Chisq"] == pytest.approx(rows[0]["deviance"] - rows[1]["deviance"]) and rows[1]["Df"] == 1
+    assert rows[1]["Chisq"] != round(rows[1]["Chisq"], 2)
+    assert all(len(rows[1][c].split(".")[1]) == 2 for c in ("AIC", "BIC", "ML", "R2m", "R2c"))
+
+
 def test_smooth_curve_keys_and_few_points(spark):
     rows = [(None, float(i), float(i % 3)) for i in range(9)] + [("a", 1.0, 2.0), ("a", 1.0, 4.0), ("a", 2.0, 5.0)]
     df = spark.createDataFrame(rows, "k string, x double, y double")
