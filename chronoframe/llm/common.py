@@ -22,9 +22,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back.
 
     Cuts lineage on shared storage, so a lost executor costs the tasks that
-    were running, never what was already written.
+    were running, never what was already written.  The shuffle files behind
+    ``df`` are then garbage; Spark removes them once the driver's collector has
+    seen that, so it is asked to look.
     """
-    return stage_table(df, f"llm-{name}")
+    staged = stage_table(df, f"llm-{name}")
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return staged
 
 
 def whole_text(col: str = "text") -> Column:

@@ -7,17 +7,19 @@ tokens stay.
 
 Steps, all built-in expressions:
 
-1. Equal lines: grouped by 128 hash bits; all but the first go, and only first
-   lines take part in what follows.
+1. Equal lines are grouped by 128 hash bits; all but the first go, and only
+   first lines take part in what follows.
 2. Tokens are ordered from rare to frequent.  Rarity comes from counts over
-   all lines in ``SLOTS`` hash slots (a fixed-size array); any fixed order gives
+   all words in ``SLOTS`` hash slots (a fixed-size array); any fixed order gives
    the same matches, a good one short postings.
 3. Prefix filter: matching lines share a token among the first n/5 + 1 of each.
-   Postings are grouped by token; a line is paired with the ``NEAR`` lines before
-   it and with the first line of its length class, subject to the length and
-   positional filters.  So a large group of near copies costs one candidate a
-   line and token, not all pairs.
-4. Candidates are verified on their whole token sets.
+   Postings of up to ``SHORT`` lines are joined with themselves; in longer ones
+   a line is first paired with the first line of its length class, so a large
+   group of near copies costs one candidate a line and token, not all pairs.
+   Length and positional filters, and a bound on the overlap from 64-bit token
+   maps, cut candidates inside the join.
+4. Candidates pass the same bound on 128-bit maps, then their whole token sets
+   are compared.
 5. Lines that found no match and stand in longer postings are joined with all
    earlier lines of these postings, filtered and verified alike; nothing is cut off.
 6. Documents that lost lines are rebuilt.
@@ -29,6 +31,8 @@ join; when it fills up, more rows travel and the result is the same.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +42,7 @@ NUM, DEN = 4, 5  # least Jaccard similarity
 MIN_TOKENS = 5
 SLOTS = 1 << 16  # hash slots of the rarity counts
 FILTER_BITS = 1 << 23
-NEAR = 32  # preceding lines of a posting that are tried at once
+SHORT = 32  # lines of a posting whose pairs are all tried at once
 MASK56 = (1 << 56) - 1
 NO_ID = (1 << 63) - 1
 
@@ -68,16 +72,19 @@ def membership(rows: DataFrame, keys: list[str]):
 
 def words_of(text: Column) -> Column:
     """Runs of characters other than space and U+0009 to U+000D."""
-    return F.array_remove(F.split(F.translate(text, "\t\n\x0b\x0c\r", "     "), " "), "")
+    others = "\t\n\x0b\x0c\r"
+    has_other = reduce(lambda x, y: x | y, (F.contains(text, F.lit(c)) for c in others))
+    spaced = F.when(has_other, F.translate(text, others, " " * len(others))).otherwise(text)
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def slot_of(h: Column) -> Column:
     return h.bitwiseAND(SLOTS - 1)
 
 
-def rarity(texts: DataFrame) -> Column:
-    """Array of order classes by slot: four steps per doubling of the slot's word count, in the top bits."""
-    words = texts.select(F.explode(words_of(F.col("text"))).alias("w")).select(F.xxhash64("w").alias("h"))
+def rarity(lines: DataFrame) -> Column:
+    """Array of order classes by slot: two steps per doubling of the slot's word count, in the top bits."""
+    words = lines.select(F.explode(F.split("line", " ")).alias("w")).select(F.xxhash64("w").alias("h"))
     counts = words.groupBy(slot_of(F.col("h")).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     step = F.least(F.floor(F.log2("n") * 2).cast("long"), F.lit(127))
     return dense_array(counts.select("slot", F.shiftleft(step, 56).alias("value")), SLOTS)
@@ -113,11 +120,58 @@ def _lines(docs: DataFrame) -> DataFrame:
     return cut.select("d", F.shiftleft(F.col("tie"), 32).bitwiseOR(F.col("no").cast("long")).alias("o"), "line")
 
 
+def token_map(tokens: Column, skip: int = 16, part: int | None = None) -> Column:
+    """64 bits, one for each value of six hash bits (from bit ``skip``) that occurs among the tokens.
+
+    With ``part`` only tokens whose next hash bit is ``part`` count: parts 0 and
+    1 make a map of 128 bits.
+    """
+
+    def add(a: Column, x: Column) -> Column:
+        place = F.shiftrightunsigned(x, skip).bitwiseAND(63).cast("int")
+        marked = a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), place))
+        if part is None:
+            return marked
+        return F.when(F.shiftrightunsigned(x, skip + 6).bitwiseAND(1) == part, marked).otherwise(a)
+
+    return F.aggregate(tokens, F.lit(0).cast("long"), add)
+
+
+def _maps_allow(n: Column, vn: Column, maps: list[tuple[Column, Column]]) -> Column:
+    """Whether token maps leave room for the similarity.
+
+    Every bit in which the maps differ stands for a token that only one line
+    has, so the overlap is at most half of what the sizes leave.
+    """
+    apart = reduce(lambda x, y: x + y, (F.bit_count(a.bitwiseXOR(b)) for a, b in maps))
+    return (n + vn - apart) * (NUM + DEN) >= (n + vn) * (2 * NUM)
+
+
+def _fits() -> Column:
+    """Length, positional and map filters of a posting row and an earlier one (columns v...)."""
+    n, vn = F.col("n"), F.col("vn")
+    maps = [(F.col("b"), F.col("vb"))]
+    return similar_size(n, vn) & can_reach(n, F.col("i"), vn, F.col("vi")) & _maps_allow(n, vn, maps)
+
+
+def _before(v: str) -> Column:
+    return (F.col(f"{v}d") < F.col("d")) | ((F.col(f"{v}d") == F.col("d")) & (F.col(f"{v}o") < F.col("o")))
+
+
+def _possible(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Pairs (d, o, vd, vo) that the larger token maps do not rule out; the small map says little on long lines."""
+    mine = firsts.select("d", "o", "n", "w0", "w1")
+    other = mine.withColumnsRenamed({c: f"v{c}" for c in mine.columns})
+    both = pairs.join(mine, ["d", "o"]).join(other, ["vd", "vo"])
+    maps = [(F.col(c), F.col(f"v{c}")) for c in ("w0", "w1")]
+    return both.where(_maps_allow(F.col("n"), F.col("vn"), maps)).select("d", "o", "vd", "vo")
+
+
 def _verified(pairs: DataFrame, lines: DataFrame, classes: Column) -> DataFrame:
     """Distinct (d, o) of the pairs whose lines match; pairs: d, o, vd, vo."""
     ends = pairs.select("d", "o").unionByName(pairs.select(F.col("vd").alias("d"), F.col("vo").alias("o")))
     wanted = lines.where(membership(ends, ["d", "o"]))
-    tokens = with_codes(wanted, classes).select("d", "o", "t").dropDuplicates(["d", "o"])
+    tokens = with_codes(wanted, classes).select("d", "o", "t")
     other = tokens.select(F.col("d").alias("vd"), F.col("o").alias("vo"), F.col("t").alias("vt"))
     both = pairs.join(tokens, ["d", "o"]).join(other, ["vd", "vo"])
     shared = F.size(F.array_intersect("t", "vt"))
@@ -125,70 +179,62 @@ def _verified(pairs: DataFrame, lines: DataFrame, classes: Column) -> DataFrame:
     return both.where(match).select("d", "o").distinct()
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
-    """Distinct (d, o) of the lines that go; ``docs`` has d, tie, text."""
-    classes = rarity(docs)
-    lines = _lines(docs)
-    hashes = [F.xxhash64("line").alias("k1"), F.xxhash64(F.lit("line"), "line").alias("k2")]
-
-    # 1. equal lines
-    long_enough = F.size(F.array_distinct(words_of(F.col("line")))) >= MIN_TOKENS
-    narrow = stage(lines.where(long_enough).select(*hashes, "d", "o"), "line-keys")
-    at = F.struct("d", "o")
-    repeated = narrow.groupBy("k1", "k2").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first < last")
-    equal = narrow.join(repeated, ["k1", "k2"]).where(F.struct("d", "o") > F.col("first")).select("d", "o")
-
-    # 2. and 3. postings of the first lines' prefixes, and candidates
-    coded = with_codes(lines, classes).select(*hashes, "d", "o", "t")
+def _first_lines(lines: DataFrame, classes: Column) -> DataFrame:
+    """The first of each group of equal lines, if long enough: keys, place, size, prefix and token maps."""
     n = F.size("t")
     prefix = F.slice("t", F.lit(1), n - F.ceil(n * NUM / DEN).cast("int") + 1)
-    coded = coded.where(n >= MIN_TOKENS).select("k1", "k2", F.struct("d", "o", n.alias("n"), prefix.alias("p")).alias("s"))
+    maps = [token_map(F.col("t")).alias("b"), *(token_map(F.col("t"), 22, half).alias(f"w{half}") for half in (0, 1))]
+    coded = with_codes(lines, classes).select(
+        *_line_keys(), F.struct("d", "o", n.alias("n"), prefix.alias("p"), *maps).alias("s")
+    )
     firsts = coded.groupBy("k1", "k2").agg(F.min("s").alias("s"))
-    postings = firsts.select("s.d", "s.o", "s.n", F.posexplode("s.p").alias("i", "token"))
-    postings = postings.withColumn("class", size_class(F.col("n")))
-    entry = F.struct("d", "o", "n", "i")
-    by_token = Window.partitionBy("token").orderBy("d", "o")
+    # the size is tested on the result: below it, the tokens would be computed once more for the test
+    return firsts.select("k1", "k2", "s.*").where(F.col("n") >= MIN_TOKENS)
+
+
+def _line_keys() -> list[Column]:
+    return [F.xxhash64("line").alias("k1"), F.xxhash64(F.lit("line"), "line").alias("k2")]
+
+
+def _candidates(firsts: DataFrame) -> DataFrame:
+    """Candidate pairs (vd set) and the rows of longer postings (token set); a row may be both."""
+    postings = firsts.select("d", "o", "n", "b", F.posexplode("p").alias("i", "token"))
+    counted = postings.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("token")))
+    short = counted.where(F.col("c").between(2, SHORT)).select("token", "d", "o", "n", "b", "i")
+    earlier = short.withColumnsRenamed({c: f"v{c}" for c in short.columns})
+    pairs = short.join(earlier, (F.col("token") == F.col("vtoken")) & _before("v") & _fits())
+    longer = counted.where(F.col("c") > SHORT).withColumn("class", size_class(F.col("n")))
     by_class = Window.partitionBy("token", "class").orderBy("d", "o")
-    seen = postings.select(
-        "token",
-        "d",
-        "o",
-        "n",
-        "i",
-        F.count(F.lit(1)).over(Window.partitionBy("token")).alias("c"),
-        F.collect_list(entry).over(by_token.rowsBetween(-NEAR, -1)).alias("near"),
-        F.first(entry).over(by_class).alias("leader"),
-    ).where("c > 1")
-    fits = lambda v: (
-        (F.struct(v["d"], v["o"]) < F.struct("d", "o"))
-        & similar_size(F.col("n"), v["n"])
-        & can_reach(F.col("n"), F.col("i"), v["n"], v["i"])
-    )
-    tried = F.transform(
-        F.filter(F.concat("near", F.array("leader")), fits), lambda v: F.struct(v["d"].alias("vd"), v["o"].alias("vo"))
-    )
-    more = F.col("c") > NEAR + 1
-    work = seen.select("token", "d", "o", "n", "i", more.alias("more"), F.array_distinct(tried).alias("tried"))
-    work = stage(work.where("more or size(tried) > 0"), "line-postings")
-
-    # 4. verify
-    pairs = work.select("d", "o", F.explode("tried").alias("v")).select("d", "o", "v.vd", "v.vo").distinct()
-    near = stage(_verified(pairs, lines, classes), "line-near")
-
-    # 5. lines without a match yet against all earlier lines of their longer postings
-    longer = work.where("more").select("token", "d", "o", "n", "i")
-    open_lines = longer.join(near, ["d", "o"], "left_anti")
-    earlier = longer.withColumnsRenamed({"d": "vd", "o": "vo", "n": "vn", "i": "vi"})
-    before = (F.col("vd") < F.col("d")) | ((F.col("vd") == F.col("d")) & (F.col("vo") < F.col("o")))
-    rest = open_lines.join(
-        earlier,
-        (open_lines["token"] == earlier["token"])
-        & before
-        & similar_size(F.col("n"), F.col("vn"))
-        & can_reach(F.col("n"), F.col("i"), F.col("vn"), F.col("vi")),
+    head = {f"v{c}": F.first(c).over(by_class) for c in ("d", "o", "n", "b", "i")}
+    led = longer.withColumns(head).withColumn("led", _before("v") & _fits())
+    led = led.withColumns({c: F.when(F.col("led"), F.col(c)) for c in ("vd", "vo")})
+    posting = ["token", "d", "o", "n", "b", "i"]
+    return led.select(*posting, "vd", "vo").unionByName(pairs.select("d", "o", "vd", "vo"), allowMissingColumns=True)
+
+
+def repeated_lines(docs: DataFrame) -> DataFrame:
+    """Distinct (d, o) of the lines that go; ``docs`` has d, tie, text, each document once."""
+    lines = _lines(docs)
+    classes = rarity(lines)
+    firsts = stage(_first_lines(lines, classes), "line-firsts")
+
+    # equal lines: all lines against the first of their kind
+    first = firsts.select("k1", "k2", F.col("d").alias("vd"), F.col("o").alias("vo"))
+    equal = lines.select(*_line_keys(), "d", "o").join(first, ["k1", "k2"]).where(_before("v")).select("d", "o")
+    equal = stage(equal, "line-equal")
+
+    work = stage(_candidates(firsts), "line-postings")
+    pairs = work.where("vd is not null").select("d", "o", "vd", "vo").distinct()
+    near = stage(_verified(stage(_possible(pairs, firsts), "line-pairs"), lines, classes), "line-near")
+
+    # lines without a match yet against all earlier lines of their longer postings
+    longer = work.where("token is not null").select("token", "d", "o", "n", "b", "i")
+    earlier = longer.withColumnsRenamed({c: f"v{c}" for c in longer.columns})
+    rest = longer.join(near, ["d", "o"], "left_anti").join(
+        earlier, (F.col("token") == F.col("vtoken")) & _before("v") & _fits()
     )
-    rest = stage(rest.select("d", "o", "vd", "vo").distinct(), "line-rest")
-    far = _verified(rest, lines, classes)
+    rest = _possible(rest.select("d", "o", "vd", "vo").distinct(), firsts)
+    far = _verified(stage(rest, "line-rest"), lines, classes)
     return stage(equal.unionByName(near).unionByName(far).distinct(), "line-repeats")
 
 
@@ -207,7 +253,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     unique = ids.isEmpty()
     text = whole_text()
     tie = F.lit(0).cast("long") if unique else F.shiftrightunsigned(F.xxhash64(text), 33)
-    gone = repeated_lines(docs.select(id_value.alias("d"), tie.alias("tie"), text.alias("text")))
+    whole = docs.select(id_value.alias("d"), tie.alias("tie"), text.alias("text"))
+    gone = repeated_lines(whole if unique else whole.distinct())
 
     d, t, numbers = (free_name(docs, c) for c in ("_d", "_tie", "_numbers"))
     per_doc = gone.groupBy(F.col("d").alias(d), F.shiftright("o", 32).alias(t)).agg(

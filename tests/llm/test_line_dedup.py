@@ -41,12 +41,12 @@ def check(docs, rows):
 
 
 def test_against_all_pairs(docs, rows, monkeypatch):
-    monkeypatch.setattr(line_dedup, "NEAR", 2)  # most matches then come from the join of the rest
+    monkeypatch.setattr(line_dedup, "SHORT", 2)  # most matches then come from the join of the rest
     check(docs, rows)
 
 
 def test_near_copies_of_one_line(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "NEAR", 3)
+    monkeypatch.setattr(line_dedup, "SHORT", 3)
     rng = random.Random(8)
     base = [f"word{i}" for i in range(20)]
     rows = []
