@@ -16,10 +16,9 @@ Steps, all built-in expressions:
    Postings of up to ``SHORT`` lines are joined with themselves; in longer ones
    a line is first paired with the first line of its length class, so a large
    group of near copies costs one candidate a line and token, not all pairs.
-   Length and positional filters, and a bound on the overlap from 64-bit token
+   Length and positional filters, and a bound on the overlap from 128-bit token
    maps, cut candidates inside the join.
-4. Candidates pass the same bound on 128-bit maps, then their whole token sets
-   are compared.
+4. The whole token sets of the candidates are compared.
 5. Lines that found no match and stand in longer postings are joined with all
    earlier lines of these postings, filtered and verified alike; nothing is cut off.
 6. Documents that lost lines are rebuilt.
@@ -120,53 +119,36 @@ def _lines(docs: DataFrame) -> DataFrame:
     return cut.select("d", F.shiftleft(F.col("tie"), 32).bitwiseOR(F.col("no").cast("long")).alias("o"), "line")
 
 
-def token_map(tokens: Column, skip: int = 16, part: int | None = None) -> Column:
-    """64 bits, one for each value of six hash bits (from bit ``skip``) that occurs among the tokens.
+MAPS = ("w0", "w1")  # the two halves of a line's 128-bit token map
 
-    With ``part`` only tokens whose next hash bit is ``part`` count: parts 0 and
-    1 make a map of 128 bits.
-    """
+
+def token_map(tokens: Column, half: int) -> Column:
+    """64 of 128 bits, one for each value of seven hash bits that occurs among the tokens."""
 
     def add(a: Column, x: Column) -> Column:
-        place = F.shiftrightunsigned(x, skip).bitwiseAND(63).cast("int")
+        place = F.shiftrightunsigned(x, 16).bitwiseAND(63).cast("int")
         marked = a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), place))
-        if part is None:
-            return marked
-        return F.when(F.shiftrightunsigned(x, skip + 6).bitwiseAND(1) == part, marked).otherwise(a)
+        return F.when(F.shiftrightunsigned(x, 22).bitwiseAND(1) == half, marked).otherwise(a)
 
     return F.aggregate(tokens, F.lit(0).cast("long"), add)
 
 
-def _maps_allow(n: Column, vn: Column, maps: list[tuple[Column, Column]]) -> Column:
-    """Whether token maps leave room for the similarity.
+def _fits() -> Column:
+    """Length, positional and map filters of a posting row and an earlier one (columns v...).
 
     Every bit in which the maps differ stands for a token that only one line
     has, so the overlap is at most half of what the sizes leave.
     """
-    apart = reduce(lambda x, y: x + y, (F.bit_count(a.bitwiseXOR(b)) for a, b in maps))
-    return (n + vn - apart) * (NUM + DEN) >= (n + vn) * (2 * NUM)
-
-
-def _fits() -> Column:
-    """Length, positional and map filters of a posting row and an earlier one (columns v...)."""
     n, vn = F.col("n"), F.col("vn")
-    maps = [(F.col("b"), F.col("vb"))]
-    return similar_size(n, vn) & can_reach(n, F.col("i"), vn, F.col("vi")) & _maps_allow(n, vn, maps)
+    apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(w).bitwiseXOR(F.col(f"v{w}"))) for w in MAPS))
+    room = (n + vn - apart) * (NUM + DEN) >= (n + vn) * (2 * NUM)
+    return similar_size(n, vn) & can_reach(n, F.col("i"), vn, F.col("vi")) & room
 
 
 def _before(v: str) -> Column:
     return (F.col(f"{v}d") < F.col("d")) | ((F.col(f"{v}d") == F.col("d")) & (F.col(f"{v}o") < F.col("o")))
 
 
-def _possible(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Pairs (d, o, vd, vo) that the larger token maps do not rule out; the small map says little on long lines."""
-    mine = firsts.select("d", "o", "n", "w0", "w1")
-    other = mine.withColumnsRenamed({c: f"v{c}" for c in mine.columns})
-    both = pairs.join(mine, ["d", "o"]).join(other, ["vd", "vo"])
-    maps = [(F.col(c), F.col(f"v{c}")) for c in ("w0", "w1")]
-    return both.where(_maps_allow(F.col("n"), F.col("vn"), maps)).select("d", "o", "vd", "vo")
-
-
 def _verified(pairs: DataFrame, lines: DataFrame, classes: Column) -> DataFrame:
     """Distinct (d, o) of the pairs whose lines match; pairs: d, o, vd, vo."""
     ends = pairs.select("d", "o").unionByName(pairs.select(F.col("vd").alias("d"), F.col("vo").alias("o")))
@@ -183,7 +165,7 @@ def _first_lines(lines: DataFrame, classes: Column) -> DataFrame:
     """The first of each group of equal lines, if long enough: keys, place, size, prefix and token maps."""
     n = F.size("t")
     prefix = F.slice("t", F.lit(1), n - F.ceil(n * NUM / DEN).cast("int") + 1)
-    maps = [token_map(F.col("t")).alias("b"), *(token_map(F.col("t"), 22, half).alias(f"w{half}") for half in (0, 1))]
+    maps = [token_map(F.col("t"), half).alias(name) for half, name in enumerate(MAPS)]
     coded = with_codes(lines, classes).select(
         *_line_keys(), F.struct("d", "o", n.alias("n"), prefix.alias("p"), *maps).alias("s")
     )
@@ -198,17 +180,17 @@ def _line_keys() -> list[Column]:
 
 def _candidates(firsts: DataFrame) -> DataFrame:
     """Candidate pairs (vd set) and the rows of longer postings (token set); a row may be both."""
-    postings = firsts.select("d", "o", "n", "b", F.posexplode("p").alias("i", "token"))
+    postings = firsts.select("d", "o", "n", *MAPS, F.posexplode("p").alias("i", "token"))
     counted = postings.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("token")))
-    short = counted.where(F.col("c").between(2, SHORT)).select("token", "d", "o", "n", "b", "i")
+    short = counted.where(F.col("c").between(2, SHORT)).select("token", "d", "o", "n", *MAPS, "i")
     earlier = short.withColumnsRenamed({c: f"v{c}" for c in short.columns})
     pairs = short.join(earlier, (F.col("token") == F.col("vtoken")) & _before("v") & _fits())
     longer = counted.where(F.col("c") > SHORT).withColumn("class", size_class(F.col("n")))
     by_class = Window.partitionBy("token", "class").orderBy("d", "o")
-    head = {f"v{c}": F.first(c).over(by_class) for c in ("d", "o", "n", "b", "i")}
+    head = {f"v{c}": F.first(c).over(by_class) for c in ("d", "o", "n", *MAPS, "i")}
     led = longer.withColumns(head).withColumn("led", _before("v") & _fits())
     led = led.withColumns({c: F.when(F.col("led"), F.col(c)) for c in ("vd", "vo")})
-    posting = ["token", "d", "o", "n", "b", "i"]
+    posting = ["token", "d", "o", "n", *MAPS, "i"]
     return led.select(*posting, "vd", "vo").unionByName(pairs.select("d", "o", "vd", "vo"), allowMissingColumns=True)
 
 
@@ -225,16 +207,16 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
     work = stage(_candidates(firsts), "line-postings")
     pairs = work.where("vd is not null").select("d", "o", "vd", "vo").distinct()
-    near = stage(_verified(stage(_possible(pairs, firsts), "line-pairs"), lines, classes), "line-near")
+    near = stage(_verified(stage(pairs, "line-pairs"), lines, classes), "line-near")
 
     # lines without a match yet against all earlier lines of their longer postings
-    longer = work.where("token is not null").select("token", "d", "o", "n", "b", "i")
+    longer = work.where("token is not null").select("token", "d", "o", "n", *MAPS, "i")
     earlier = longer.withColumnsRenamed({c: f"v{c}" for c in longer.columns})
     rest = longer.join(near, ["d", "o"], "left_anti").join(
         earlier, (F.col("token") == F.col("vtoken")) & _before("v") & _fits()
     )
-    rest = _possible(rest.select("d", "o", "vd", "vo").distinct(), firsts)
-    far = _verified(stage(rest, "line-rest"), lines, classes)
+    rest = stage(rest.select("d", "o", "vd", "vo").distinct(), "line-rest")
+    far = _verified(rest, lines, classes)
     return stage(equal.unionByName(near).unionByName(far).distinct(), "line-repeats")
 
 
