@@ -181,6 +181,9 @@ def _line_keys() -> list[Column]:
 def _candidates(firsts: DataFrame) -> DataFrame:
     """Candidate pairs (vd set) and the rows of longer postings (token set); a row may be both."""
     postings = firsts.select("d", "o", "n", *MAPS, F.posexplode("p").alias("i", "token"))
+    # no posting is NULL; saying so here keeps the joins from adding filters of their own, which would
+    # give each branch below an exchange of its own instead of one that they share
+    postings = postings.where(reduce(lambda x, y: x & y, (F.col(c).isNotNull() for c in postings.columns)))
     counted = postings.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("token")))
     short = counted.where(F.col("c").between(2, SHORT)).select("token", "d", "o", "n", *MAPS, "i")
     earlier = short.withColumnsRenamed({c: f"v{c}" for c in short.columns})
