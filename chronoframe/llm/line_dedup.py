@@ -223,6 +223,24 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return stage(equal.unionByName(near).unionByName(far).distinct(), "line-repeats")
 
 
+def order_keys(docs: DataFrame, id_col: str = "doc_id") -> tuple[Column, Column]:
+    """What documents are ordered by: the id (NULL last), then 31 hash bits of the text."""
+    tie = F.shiftrightunsigned(F.xxhash64(whole_text()), 33)
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), tie
+
+
+def with_first_short_lines(docs: DataFrame) -> DataFrame:
+    """Distinct (d, tie) of the documents that hold the first of some group of equal short lines.
+
+    ``docs`` has d, tie, text.  Short lines are those that ``dedup_lines`` never
+    removes; blank ones do not count.
+    """
+    lines = _lines(docs).withColumn("tie", F.shiftright("o", 32))
+    short = lines.where(F.size(F.array_distinct(words_of(F.col("line")))).between(1, MIN_TOKENS - 1))
+    firsts = short.groupBy(*_line_keys()).agg(F.min(F.struct("d", "tie")).alias("s"))
+    return firsts.select("s.*").distinct()
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` without repeated lines, with columns ``n_lines`` and ``n_removed``.
 
@@ -233,11 +251,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     text; rows equal in id and text are one document and get the same
     result.  An empty table gives no rows.  Ids must be integers.
     """
-    id_value = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    id_value, text_tie = order_keys(docs, id_col)
     ids = docs.groupBy(id_value.alias("d")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     unique = ids.isEmpty()
     text = whole_text()
-    tie = F.lit(0).cast("long") if unique else F.shiftrightunsigned(F.xxhash64(text), 33)
+    tie = F.lit(0).cast("long") if unique else text_tie
     whole = docs.select(id_value.alias("d"), tie.alias("tie"), text.alias("text"))
     gone = repeated_lines(whole if unique else whole.distinct())
 

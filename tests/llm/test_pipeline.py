@@ -4,6 +4,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from cases import COLUMNS, ODD_ROWS, make_rows
+from pyspark.sql import functions as F
 from test_decontam import plain as plain_overlaps
 from test_line_dedup import plain_dedup
 from test_simhash import plain_components, plain_fingerprint
@@ -66,3 +67,29 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark, tables):
         assert out.count() == 0
         if name != "packing":
             assert out.columns == docs.columns and out.dtypes == docs.dtypes
+
+
+def test_line_stage_keeps_documents_with_short_lines_of_their_own(spark):
+    notice = "all rights to this text are reserved by its owner"
+    rows = [
+        (1, f"{notice}\nx = 1\ny = 2"),
+        (2, f"{notice}\nx = 1\nz = 3"),  # z = 3 is its own
+        (3, f"{notice}\ny = 2\n\nx = 1"),  # copies only
+        (4, f"{notice}\n \t\n"),  # blank lines only
+        (5, notice),
+        (6, f"{notice}\nq = 9\nq = 9"),  # repeated in itself, found in no earlier document
+        (7, f"{notice}\nr = 8"),  # two of one id: the one first by hash holds the first r = 8
+        (7, f"{notice}\nr = 8\ns = 7"),
+        (8, "x = 1"),  # lost no line
+        (9, ""),
+        (None, f"{notice}\nlast of all"),
+        (None, f"{notice}\nlast of all"),  # the same document
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.line_stage(spark, docs, "").collect()), key=str)
+    tie = F.shiftrightunsigned(F.xxhash64("text"), 33)
+    seventh = [r["text"] for r in docs.where("doc_id = 7").orderBy(tie).collect()]
+    want = [(1, rows[0][1]), (2, "x = 1\nz = 3"), (6, "q = 9\nq = 9"), (8, "x = 1"), (9, "")]
+    want += [(None, "last of all")] * 2
+    want += [(7, x.removeprefix(notice + "\n")) for k, x in enumerate(seventh) if k == 0 or "s = 7" in x]
+    assert got == sorted(want, key=str)
