@@ -5,9 +5,10 @@ decides (or any other labelled urls) train the trees; the trees judge the urls
 that no rule fits.  Features are built-in expressions over the url text plus
 statistics of the host's suffixes, counted over all rows.
 
-The fit reads at most ``TRAIN_ROWS`` labelled urls (chosen by hash) and the
-suffix table keeps the ``SUFFIXES`` most frequent suffixes, so what is sent to
-every task is bounded; all urls are counted, matched and scored.
+The fit reads at most ``TRAIN_ROWS`` labelled urls (chosen by hash); all urls are
+counted, matched and scored.  The statistics hold every suffix and are joined by
+suffix without a hint: small tables are broadcast, large ones shuffled, where
+adaptive execution splits the partitions of hot suffixes.
 """
 
 from __future__ import annotations
@@ -30,7 +31,6 @@ RULES = (
     ("allow", "org/fr/"),
 )
 TRAIN_ROWS = 20_000
-SUFFIXES = 10_000
 TREES, DEPTH, STEP, SEED = 20, 4, 0.2, 7
 SMOOTHING = 20.0  # pseudo-count of a suffix's block rate
 
@@ -92,14 +92,13 @@ def suffix_column(host: Column, labels: int) -> Column:
     return F.substring_index(host, ".", -labels)
 
 
-def suffix_statistics(rows: DataFrame, labels: int, suffixes: int = SUFFIXES) -> DataFrame:
-    """Frequency and smoothed block rate of the most frequent host suffixes of ``labels`` labels."""
+def suffix_statistics(rows: DataFrame, labels: int) -> DataFrame:
+    """Frequency and smoothed block rate of all host suffixes of ``labels`` labels."""
     name = f"suffix{labels}"
     counted = rows.groupBy(name).agg(
         F.count(F.lit(1)).alias("n"), F.count("label").alias("known"), F.coalesce(F.sum("label"), F.lit(0)).alias("blocked")
     )
-    top = counted.orderBy(F.desc("n"), name).limit(suffixes)
-    return top.select(
+    return counted.select(
         name,
         F.log1p(F.col("n")).alias(f"{name}_frequency"),
         ((F.col("blocked") + SMOOTHING / 2) / (F.col("known") + SMOOTHING)).alias(f"{name}_rate"),
@@ -174,8 +173,7 @@ def _feature_names() -> list[str]:
 
 
 def _with_features(rows: DataFrame, tables: Sequence[DataFrame]) -> DataFrame:
-    out = rows.withColumns(lexical_features(F.col("u"), F.col("host"), F.col("path")))
+    out = rows
     for k, table in zip((1, 2), tables, strict=True):
-        out = out.join(F.broadcast(table), f"suffix{k}", "left")  # at most SUFFIXES rows
-        out = out.fillna({f"suffix{k}_frequency": 0.0, f"suffix{k}_rate": 0.5})
-    return out
+        out = out.join(table, f"suffix{k}", "left")  # every suffix is in it
+    return out.withColumns(lexical_features(F.col("u"), F.col("host"), F.col("path")))

@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from chronoframe.llm.url_filter import entropy, judge_urls
+from chronoframe.llm.url_filter import _with_features, _with_parts, entropy, judge_urls, suffix_statistics
 
 URLS = [
     "http://a.net/x", "http://net/", "http://net", "https://M.Example.NET/en/1?q=1&r=2#top", "http://example.net/en",
@@ -67,3 +67,22 @@ def test_entropy(spark):
         n = len(text)
         want = -sum(c / n * math.log2(c / n) for c in Counter(text).values()) if n else 0
         assert spark.range(1).select(entropy(F.lit(text)).alias("e")).first()["e"] == pytest.approx(want)
+
+
+@pytest.mark.parametrize("broadcast", ["10MB", "-1"])
+def test_every_suffix_has_its_own_statistics(spark, broadcast):
+    """10,050 domains of one url each, and one of 300."""
+    url = F.when(F.col("id") < 10_050, F.concat(F.lit("http://d"), "id", F.lit(".zz/"))).otherwise(F.lit("http://hot.zz/"))
+    rows = _with_parts(spark.range(10_350).select(url.alias("u"), (F.col("id") % 2).alias("label")), RULES)
+    tables = [suffix_statistics(rows, k) for k in (1, 2)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        got = _with_features(rows, tables).select("host", "label", "suffix2_frequency", "suffix2_rate").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(got) == 10_350
+    for r in got:
+        n, known, blocked = (300, 300, 150) if r["host"] == "hot.zz" else (1, 1, r["label"])
+        want = (math.log1p(n), (blocked + 10) / (known + 20))
+        assert (r["suffix2_frequency"], r["suffix2_rate"]) == pytest.approx(want), r["host"]
