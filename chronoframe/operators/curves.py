@@ -133,8 +133,8 @@ def smooth_curve(
     statistics of the unique x, at every one below 50, so they follow the data
     however uneven it is.  Curves with fewer than four unique x keep their means.
 
-    Plan: one aggregation gives the unique points and a rank per curve; the
-    interval of a point follows from its rank.  Eleven sums per interval go to
+    Plan: one aggregation gives the unique points, a scan over their ranges the
+    rank per curve; the interval of a point follows from its rank.  Eleven sums per interval go to
     one small solve per curve (``applyInPandas`` over intervals, never points),
     whose cubic pieces are joined back for evaluation.  Nothing is collected.
     """
@@ -145,14 +145,8 @@ def smooth_curve(
         .groupBy(gkey.alias("_g"), x.alias("_x"))
         .agg(F.count(F.lit(1)).cast("double").alias("_w"), F.avg(y).alias("_ybar"))
     )
-    ranked = pts.withColumns(
-        {
-            "_r": F.row_number().over(Window.partitionBy("_g").orderBy("_x")).cast("long"),
-            "_n": F.count(F.lit(1)).over(Window.partitionBy("_g")),
-        }
-    )
     # several jobs read the unique points: compute them once (shared checkpoint folder)
-    ranked = stage_table(ranked, "spline-points")
+    ranked = stage_table(_ranked(pts), "spline-points")
     sizes = ranked.select("_n").distinct()
     knots = sizes.select("_n", _n_knots_column(F.col("_n")).alias("_k"))
     located = ranked.where(F.col("_n") >= 4).join(knots, "_n")
@@ -198,6 +192,28 @@ def smooth_curve(
     return out.select(*[F.col("_g")[k].alias(k) for k in keys], F.col("_x").alias("x"), "y")
 
 
+def _ranked(pts: DataFrame) -> DataFrame:
+    """``pts`` with ``_r``, the rank of ``_x`` in its curve ``_g``, and ``_n``, the points of the curve.
+
+    Points are cut into ranges (``_p``) and ranked inside each; the counts of the
+    earlier ranges, one row a curve and range, are carried into the rank.
+    """
+    ranges = pts.repartitionByRange("_g", "_x").withColumn("_p", F.spark_partition_id())
+    ranges = stage_table(ranges, "spline-ranges")  # the cuts are sampled: both branches below need the same
+    earlier = Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranges.groupBy("_g", "_p").agg(F.count(F.lit(1)).alias("_c"))
+    carried = counts.select(
+        "_g",
+        "_p",
+        F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_c").over(Window.partitionBy("_g")).alias("_n"),
+    )
+    inside = F.row_number().over(Window.partitionBy("_g", "_p").orderBy("_x"))
+    # curves without a key value have NULL fields in _g, never a NULL _g
+    both = ranges.withColumn("_i", inside).join(carried, ["_g", "_p"])
+    return both.withColumn("_r", F.col("_i") + F.col("_before")).drop("_i", "_p", "_before")
+
+
 def _n_knots_column(n):
     """``n_knots`` of a column."""
     stops, counts = (50, 200, 800, 3200), (50, 100, 140, 200)

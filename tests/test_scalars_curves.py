@@ -230,3 +230,30 @@ def test_knot_counts(spark):
     df = spark.createDataFrame([(n,) for n in ns], "n long")
     assert [r[0] for r in df.select(curves._n_knots_column(F.col("n"))).collect()] == [curves.n_knots(n) for n in ns]
     assert curves.n_knots(3200) == 200 and curves.n_knots(10_000_000) > 200
+
+
+def test_smooth_curve_ranks_points_in_ranges(spark, monkeypatch):
+    """One curve's unique points are ranked over several tasks; NULL keys are a curve too."""
+    staged = {}
+    plain = curves.stage_table
+
+    def spy(df, name, *rest):
+        staged[name] = df._jdf.queryExecution().optimizedPlan().toString(), plain(df, name, *rest)
+        return staged[name][1]
+
+    monkeypatch.setattr(curves, "stage_table", spy)
+    rows = [(None if i % 5 == 0 else "a", float(i * 7 % 1000), float(i)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, x double, y double")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        curves.smooth_curve(df, "y", "x", keys=["k"]).count()
+        parts = [r["n"] for r in staged["spline-ranges"][1].groupBy("_g", "_p").agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    xs = {k: sorted({x for g, x, _ in rows if g == k}) for k in (None, "a")}
+    want = {(k, x, i + 1, len(v)) for k, v in xs.items() for i, x in enumerate(v)}
+    plan, points = staged["spline-points"]
+    assert {(r["_g"]["k"], r["_x"], r["_r"], r["_n"]) for r in points.collect()} == want
+    assert len(parts) > 2 and max(parts) < len(xs["a"]) and sum(parts) == len(want)
+    assert "row_number() windowspecdefinition(_g" in plan and ", _x" not in plan.split("row_number() windowspecdefinition(_g")[1].split(",")[1]
