@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chronoframe.llm.common import documents
 from chronoframe.llm.decontam import overlaps
 from chronoframe.llm.fingerprints import fingerprint_with_edits, hex_signature
+from chronoframe.llm.host_rules import apply_host_rules
 from chronoframe.llm.license_scan import scan_licenses
 from chronoframe.llm.line_dedup import dedup_lines
 from chronoframe.llm.packing import pack
@@ -121,6 +122,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule measures of every document, with the verdicts of its text and of its source."""
+    return apply_host_rules(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_packing": op2_packing,
@@ -132,6 +140,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
+    "op13_host_rules": op13_host_rules,
 }
 
 

@@ -58,7 +58,45 @@ FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.no = l.no
 GROUP BY l.doc_id
 """
 
+# Words inside 5-word windows found twice in a text; failures by host, shrunk by a moment-fitted beta prior.
+OP13 = r"""
+WITH l AS (
+  SELECT doc_id, source, coalesce(text, '') AS text,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\v\f\r]+'), lambda w: w <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \t\n\v\f\r]')) AS lines
+  FROM documents),
+win AS (
+  SELECT doc_id, unnest(range(len(w) - 4)) AS i, unnest([w[j + 1:j + 5] for j in range(len(w) - 4)]) AS k
+  FROM l WHERE len(w) >= 5),
+twice AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM win),
+cover AS (
+  SELECT doc_id, sum(least(5, coalesce(nxt - i, 5))) AS n
+  FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM twice WHERE c > 1) GROUP BY doc_id),
+m AS (
+  SELECT l.doc_id, source, CAST(len(w) AS BIGINT) AS n_words,
+    CAST(length(regexp_replace(text, '[ \t\n\v\f\r]', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    len(lines) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(cover.n, 0) AS BIGINT) AS n_repeat_words
+  FROM l LEFT JOIN cover USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
+f AS (
+  SELECT *, base_failed OR 100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 30 * n_lines
+    OR word_chars < 2 * n_words OR word_chars > 25 * n_words AS failed FROM b),
+h AS (SELECT source, count(*)::DOUBLE AS n, sum(failed::INT)::DOUBLE AS bad FROM f WHERE source IS NOT NULL GROUP BY source),
+s AS (SELECT count(*) AS k, sum(n) AS n, sum(bad) / sum(n) AS p, sum(bad * bad / n) AS ff, sum(n * n) AS nn FROM h),
+r AS (SELECT *, n - nn / n - (k - 1) AS room, CASE WHEN p > 0 AND p < 1 THEN (ff - n * p * p) / (p * (1 - p)) - (k - 1) END AS spread FROM s),
+prior AS (
+  SELECT p, CASE WHEN k > 1 AND p > 0 AND p < 1 AND room > 0
+    THEN CASE WHEN spread <= 0 THEN 10000.0 ELSE greatest(1.0, least(10000.0, room / spread - 1)) END ELSE 20.0 END AS strength FROM r),
+gone AS (SELECT source FROM h, prior WHERE (bad + p * strength) / (n + strength) >= 0.5)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND (source IS NULL OR source NOT IN (SELECT source FROM gone)) AS kept
+FROM f
+"""
+
 SQL: dict[str, str] = {
     "op3_line_dedup": OP3,
     "op9_decontamination": OP9,
+    "op13_host_rules": OP13,
 }
