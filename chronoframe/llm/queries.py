@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoframe.llm.collocations import collocations
 from chronoframe.llm.common import documents
 from chronoframe.llm.decontam import overlaps
 from chronoframe.llm.fingerprints import fingerprint_with_edits, hex_signature
@@ -122,6 +123,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 strongest phrases of two to five words of each language."""
+    return collocations(documents(spark, sf_dir), min_count=100, top=2000)
+
+
 def op13_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule measures of every document, with the verdicts of its text and of its source."""
     return apply_host_rules(documents(spark, sf_dir)).select(
@@ -140,6 +146,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
+    "op12_collocations": op12_collocations,
     "op13_host_rules": op13_host_rules,
 }
 

@@ -58,6 +58,35 @@ FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.no = l.no
 GROUP BY l.doc_id
 """
 
+# All phrases of 1 to 5 words inside pieces, by language; parts of a phrase are phrases themselves.
+OP12 = r"""
+WITH p AS (
+  SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\v\f\r]')) AS piece
+  FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS w FROM p),
+at AS (SELECT lang, w, unnest(range(len(w))) AS i FROM w),
+g AS (SELECT lang, unnest([w[i + 1:i + j] for j in range(1, least(5, len(w) - i) + 1)]) AS g FROM at),
+f AS (SELECT lang, g, len(g) AS k, count(*) AS a FROM g GROUP BY lang, g HAVING count(*) >= 100),
+size AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+sub AS (
+  SELECT lang, a, unnest(flatten([[g[i + 1:i + m] for i in range(k - m + 1)] for m in range(2, k)])) AS g FROM f WHERE k > 2),
+around AS (SELECT lang, g, max(a) AS a FROM sub GROUP BY lang, g),
+c AS (
+  SELECT f.* FROM f LEFT JOIN around ON around.lang = f.lang AND around.g = f.g
+  WHERE k > 1 AND (around.a IS NULL OR 100 * around.a < 100 * f.a)),
+cut AS (SELECT *, unnest(range(1, k)) AS j FROM c),
+s AS (
+  SELECT cut.lang, cut.g, cut.a, x.a AS l, y.a AS r, size.n, j,
+    (1000::HUGEINT * cut.a * size.n) // (x.a::HUGEINT * y.a) AS score
+  FROM cut JOIN size ON size.lang = cut.lang
+    JOIN f x ON x.lang = cut.lang AND x.g = cut.g[1:j] JOIN f y ON y.lang = cut.lang AND y.g = cut.g[j + 1:k]),
+least_cut AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank,
+  array_to_string(g, ' ') AS phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM least_cut QUALIFY rank <= 2000
+"""
+
 # Words inside 5-word windows found twice in a text; failures by host, shrunk by a moment-fitted beta prior.
 OP13 = r"""
 WITH l AS (
@@ -98,5 +127,6 @@ FROM f
 SQL: dict[str, str] = {
     "op3_line_dedup": OP3,
     "op9_decontamination": OP9,
+    "op12_collocations": OP12,
     "op13_host_rules": OP13,
 }
