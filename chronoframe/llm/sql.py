@@ -65,8 +65,8 @@ WITH p AS (
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\v\f\r]')) AS piece
   FROM documents),
 w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS w FROM p),
-at AS (SELECT lang, w, unnest(range(len(w))) AS i FROM w),
-g AS (SELECT lang, unnest([w[i + 1:i + j] for j in range(1, least(5, len(w) - i) + 1)]) AS g FROM at),
+st AS (SELECT lang, w, unnest(range(len(w))) AS i FROM w),
+g AS (SELECT lang, unnest([w[i + 1:i + j] for j in range(1, least(5, len(w) - i) + 1)]) AS g FROM st),
 f AS (SELECT lang, g, len(g) AS k, count(*) AS a FROM g GROUP BY lang, g HAVING count(*) >= 100),
 size AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
 sub AS (
@@ -80,7 +80,7 @@ s AS (
   SELECT cut.lang, cut.g, cut.a, x.a AS l, y.a AS r, size.n, j,
     (1000::HUGEINT * cut.a * size.n) // (x.a::HUGEINT * y.a) AS score
   FROM cut JOIN size ON size.lang = cut.lang
-    JOIN f x ON x.lang = cut.lang AND x.g = cut.g[1:j] JOIN f y ON y.lang = cut.lang AND y.g = cut.g[j + 1:k]),
+    JOIN f x ON x.lang = cut.lang AND x.g = cut.g[1:cut.j] JOIN f y ON y.lang = cut.lang AND y.g = cut.g[j + 1:cut.k]),
 least_cut AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1)
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank,
   array_to_string(g, ' ') AS phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
