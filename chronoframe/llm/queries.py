@@ -16,6 +16,7 @@ from chronoframe.llm.packing import pack
 from chronoframe.llm.quality import score_quality, train
 from chronoframe.llm.sharding import assign_shards
 from chronoframe.llm.simhash import simhash_components
+from chronoframe.llm.spelling import spelling_variants
 from chronoframe.llm.sql import SQL  # noqa: F401 - re-exported for the driver contract
 from chronoframe.llm.substring_dedup import dedup_substrings
 from chronoframe.llm.url_filter import judge_urls
@@ -123,6 +124,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the corpus with the form and the root of their spelling group."""
+    return spelling_variants(documents(spark, sf_dir)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2000 strongest phrases of two to five words of each language."""
     return collocations(documents(spark, sf_dir), min_count=100, top=2000)
@@ -146,6 +152,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
+    "op11_spelling": op11_spelling,
     "op12_collocations": op12_collocations,
     "op13_host_rules": op13_host_rules,
 }
