@@ -21,7 +21,8 @@ the carry, so they cost no extra pass over the rows.  ``prev_time`` is
 ``prev_nonnull`` of a column that equals the time or is NULL (its carry is a
 plain maximum); ``prev_nonnull_local`` looks back inside the first grain's chunk
 only and has no carry.  Rows without a time are chunked by their tie column
-when it is an integer, so they spread over tasks as well.
+when it is an integer, so they spread over tasks as well.  ``EquiDepth`` in place of
+the calendar grains cuts chunks of equal row counts instead.
 """
 
 from __future__ import annotations
@@ -31,24 +32,52 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoframe.functions.scalars import trunc_ts
+from chronoframe.functions.scalars import epoch_micros, unit_micros
+from chronoframe.sources.tables import stage_table
 
 SCAN_KINDS = ("sum", "prev", "prev_nonnull", "prev_time", "prev_nonnull_local")
 _SK = "_scan_sk"
-# chunk key for rows whose time is NULL: sorts after every real chunk
-_NULL_CHUNK = "9999-12-31 00:00:00"
-_NULL_CHUNK_BITS = 16  # consecutive tie values that share a chunk
+# Chunk keys are longs: time in units of the grain; rows whose time is NULL are numbered from here, in tie order.
+_UNTIMED = 1 << 62
+_UNTIMED_BITS = 16  # consecutive tie values that share a chunk
+_COARSER_BITS = 8  # chunks of rows without a time that share a chunk one level up
 
 
-def _null_chunk(df: DataFrame, ties: Sequence[str]) -> Column:
+class EquiDepth:
+    """A grain of chunks of about equal row counts, cut at sampled quantiles of (group, time, ties).
+
+    Unlike calendar grains it splits the rows of one instant and rows without
+    a time, whatever their tie column.  It costs one more exchange: the
+    rows are range-partitioned and written once, so that both passes see the same chunks.
+    """
+
+    def __init__(self, chunks: int | None = None):
+        self.chunks = chunks  # default: CHUNKS_PER_PARTITION for each shuffle partition
+
+    CHUNKS_PER_PARTITION = 8
+
+
+def _untimed_chunk(df: DataFrame, ties: Sequence[str]) -> Column:
     """Chunk of a row without a time: by its integer tie column, in tie order."""
-    base = F.lit(_NULL_CHUNK).cast("timestamp_ntz")
     kinds = dict(df.dtypes)
-    whole = [t for t in ties if kinds[t] in ("bigint", "int")]
-    if not ties or whole[-1:] != [ties[-1]]:
-        return base
-    step = F.shiftright(F.col(ties[-1]).cast("long"), _NULL_CHUNK_BITS) + (1 << 48)
-    return F.timestamp_add("MICROSECOND", F.coalesce(step, F.lit(1 << 50)), base)
+    if not ties or kinds[ties[-1]] not in ("bigint", "int"):
+        return F.lit(_UNTIMED)
+    step = F.shiftright(F.col(ties[-1]).cast("long"), _UNTIMED_BITS) + (1 << (63 - _UNTIMED_BITS))
+    return F.coalesce(step, F.lit(1 << (64 - _UNTIMED_BITS))) + F.lit(_UNTIMED)
+
+
+def _floor_div(a: Column, b: int) -> Column:
+    return F.call_function("div", a - F.pmod(a, F.lit(b)), F.lit(b))
+
+
+def _chunk(df: DataFrame, time_col: str, ties: Sequence[str], grain: str | int, finer: str | int | None) -> Column:
+    """Chunk key of a row, or of a chunk of the ``finer`` grain."""
+    size = unit_micros(grain)
+    if finer is None:
+        return F.coalesce(_floor_div(epoch_micros(time_col), size), _untimed_chunk(df, ties))
+    c = F.col(time_col)
+    timed = _floor_div(c * unit_micros(finer), size)
+    return F.when(c < _UNTIMED, timed).otherwise(F.shiftright(c - _UNTIMED, _COARSER_BITS) + F.lit(_UNTIMED))
 
 
 def _order(time_col: str, ties: Sequence[str]) -> list[Column]:
@@ -81,13 +110,21 @@ def _base_scan(df: DataFrame, sk: str, time_col: str, ties: Sequence[str], ops,
     return df.withColumns(cols)
 
 
-def _scan(df, sk, time_col, ties, ops, grains, session_aggs, level=0):
+def _equi_depth(df: DataFrame, sk: str, time_col: str, ties: Sequence[str], chunk: str, grain: EquiDepth) -> DataFrame:
+    """Rows with their chunk, written once."""
+    n = grain.chunks or grain.CHUNKS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, F.col(sk), *_order(time_col, ties))
+    return stage_table(ranged.withColumn(chunk, F.spark_partition_id().cast("long")), "scan-ranges")
+
+
+def _scan(df, sk, time_col, ties, ops, grains, session_aggs, level=0, finer=None):
     if not grains:
         return _base_scan(df, sk, time_col, ties, ops, session_aggs)
     chunk = f"_scan_chunk{level}"
-    rows = df.withColumn(
-        chunk, F.coalesce(trunc_ts(time_col, grains[0]), _null_chunk(df, ties))
-    )
+    if isinstance(grains[0], EquiDepth):
+        rows, above = _equi_depth(df, sk, time_col, ties, chunk, grains[0]), ()
+    else:
+        rows, above = df.withColumn(chunk, _chunk(df, time_col, ties, grains[0], finer)), grains[1:]
     key = _order_key(time_col, ties)
     summaries = []
     carried_ops = {out: op for out, op in ops.items() if op[0] != "prev_nonnull_local"}
@@ -111,7 +148,7 @@ def _scan(df, sk, time_col, ties, ops, grains, session_aggs, level=0):
     coarser = {"prev_time": "prev_nonnull"}
     sub_ops = {f"{out}__c": (coarser.get(kind, kind), f"{out}__s") for out, (kind, _) in carried_ops.items()}
     sub_sess = {out: (fn, f"{out}__s") for out, (fn, _) in session_aggs.items()}
-    carried = _scan(chunks, sk, chunk, (), sub_ops, grains[1:], sub_sess, level + 1)
+    carried = _scan(chunks, sk, chunk, (), sub_ops, above, sub_sess, level + 1, grains[0])
     carry_cols = [F.col(sk), F.col(chunk)]
     for out, (kind, _) in carried_ops.items():
         c = F.col(f"{out}__c")
@@ -147,19 +184,21 @@ def running_scan(
     time_col: str,
     ties: Sequence[str] = (),
     ops: Mapping[str, tuple[str, str]] | None = None,
-    grains: Sequence[str | int] = ("minute",),
+    grains: Sequence[str | int | EquiDepth] = ("minute",),
     session_aggs: Mapping[str, tuple[str, str]] | None = None,
 ) -> DataFrame:
     """Add running columns ``{out: (kind, input_col)}`` per group ``keys``.
 
-    ``grains`` (finest first) choose the chunking; ``()`` gives the plain
-    single-window plan.  Group keys may be NULL (NULL is a group).
+    ``grains`` (finest first) choose the chunking; ``(EquiDepth(),)`` chunks of
+    equal row counts; ``()`` gives the plain single-window plan.  Group keys may be NULL (NULL is a group).
     """
     ops = dict(ops or {})
     session_aggs = dict(session_aggs or {})
     for kind, _ in ops.values():
         if kind not in SCAN_KINDS:
             raise ValueError(f"unknown scan kind {kind!r}")
+        if kind == "prev_nonnull_local" and grains and isinstance(grains[0], EquiDepth):
+            raise ValueError("prev_nonnull_local needs chunks cut by time")
     for fn, _ in session_aggs.values():
         if fn not in ("min", "max"):
             raise ValueError("session_aggs supports min and max")
