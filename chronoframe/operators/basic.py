@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoframe.config import GAME, ORD, TS
+from chronoframe.operators.numbering import dense_row_number
 
 
 def session_filter(df: DataFrame, **equals: Any) -> DataFrame:
@@ -43,13 +44,20 @@ def with_constants(df: DataFrame, values: dict[str, Any], types: dict[str, str]
     return df.withColumns(cols)
 
 
-def sort_log(df: DataFrame, keys: Sequence[str] = (), time_col: str = TS, ord_col: str | None = ORD) -> DataFrame:
+def sort_log(
+    df: DataFrame,
+    keys: Sequence[str] = (),
+    time_col: str = TS,
+    ord_col: str | None = ORD,
+    number: str | None = None,
+) -> DataFrame:
     """O1/O2: output order (keys, time NULLS LAST, file order).
 
     Only for presenting results: computations use window orders, never a
-    global sort.
+    global sort.  With ``number`` the rows keep the order as a dense row number
+    in that column instead (two passes over ranges, no sort in one task).
     """
     order = [F.col(k).asc_nulls_last() for k in keys] + [F.col(time_col).asc_nulls_last()]
     if ord_col and ord_col in df.columns:
         order.append(F.col(ord_col).asc_nulls_last())
-    return df.orderBy(*order)
+    return dense_row_number(df, order, number) if number else df.orderBy(*order)

@@ -182,10 +182,45 @@ def dense_frames(
     return rows.withColumn("second", second).drop("_k")
 
 
+def unobserved_frames(
+    template: DataFrame,
+    spans: DataFrame,
+    observed: DataFrame,
+    keys: Sequence[str] = SESSION_KEYS,
+    bucket: str = "second",
+) -> DataFrame:
+    """J3+J4: ``dense_frames`` without the buckets in which ``observed`` (keys, id, second) has a row.
+
+    The observed buckets of an object are gathered as one set per block of
+    ``_SPINE_BLOCK`` buckets and meet the block's row before it is exploded, so no
+    dense row is shuffled.  As in ``overlay_anti`` a NULL id meets nothing.
+    """
+    b = unit_micros(bucket)
+    rows = _with_frame_count(_attach_spans(template, spans, keys), bucket).withColumn("_ob_sk", _sk(keys))
+    blocks = rows.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n_frames") - 1) / _SPINE_BLOCK).cast("int"))))
+    met = _attach_spans(observed.select(*keys, "id", "second"), spans.select(*keys, "time_start", "total_time"), keys)
+    gone = F.timestamp_diff("MICROSECOND", F.col("time_start"), F.col("second"))
+    met = met.where((gone >= 0) & (F.pmod(gone, F.lit(b)) == 0)).withColumn("_k", F.call_function("div", gone, F.lit(b)))
+    sets = met.groupBy(_sk(keys).alias("_ob_sk"), "id", F.floor(F.col("_k") / _SPINE_BLOCK).cast("int").alias("_blk")).agg(
+        F.collect_set(F.col("_k").cast("int")).alias("_seen")
+    )
+    lo = F.col("_blk") * _SPINE_BLOCK
+    hi = F.least(lo + _SPINE_BLOCK - 1, F.col("_n_frames") - 1)
+    whole = F.sequence(lo, hi)
+    free = F.when(F.col("_seen").isNull(), whole).otherwise(F.array_except(whole, F.col("_seen")))
+    out = blocks.join(sets, ["_ob_sk", "id", "_blk"], "left").withColumn("_k", F.explode(free))
+    second = F.timestamp_add("MICROSECOND", F.col("_k").cast("long") * F.lit(b), F.col("time_start"))
+    return out.withColumn("second", second).select(*rows.drop("_ob_sk").columns, "second")
+
+
 def overlay_anti(
     frames: DataFrame, observed: DataFrame, keys: Sequence[str] = SESSION_KEYS, on: Sequence[str] = ("second", "id")
 ) -> DataFrame:
-    """Drop frame rows for which an observed row exists on (session, *on)."""
+    """Drop frame rows for which an observed row exists on (session, *on).
+
+    For frames that are at hand as rows; ``unobserved_frames`` makes and overlays
+    them without a shuffle of dense rows.
+    """
     obs = observed.select(_sk(keys).alias("_ov_sk"), *on)
     return frames.withColumn("_ov_sk", _sk(keys)).join(obs, ["_ov_sk", *on], "left_anti").drop("_ov_sk")
 
@@ -353,9 +388,44 @@ def animation_frames(
     )
 
 
-def _frames_v2_absolute(dlog, keys, vocab, bucket) -> DataFrame:
+_MEAN_SALTS = 8  # tasks over which the objects of one session and block are spread
+
+
+def _explode_gaps_with_means(gaps: DataFrame, means: DataFrame) -> DataFrame:
+    """As ``_explode_gaps``, with the ``laser_x`` / ``laser_y`` of each bucket.
+
+    ``means``: (_fr_sk, _k, laser_x, laser_y).  A session's means of one block are
+    one array with a place for each bucket; it meets the ranges of that block
+    before they are exploded.
+    """
+    block = F.floor(F.col("_k") / _SPINE_BLOCK)
+    place = (F.col("_k") - block * _SPINE_BLOCK).cast("int")
+    found = F.array_sort(F.collect_list(F.struct(place.alias("i"), "laser_x", "laser_y")))
+    arrays = means.groupBy("_fr_sk", block.cast("int").alias("_blk")).agg(found.alias("_found"))
+    nothing = F.lit(None).cast("struct<x:double,y:double>")
+
+    def padded(e: Column, n: Column) -> Column:
+        skipped = e["i"] - F.coalesce(F.get(F.col("_found"), n - 1)["i"], F.lit(-1)) - 1
+        return F.concat(F.array_repeat(nothing, skipped), F.array(F.struct(e["laser_x"].alias("x"), e["laser_y"].alias("y"))))
+
+    arrays = arrays.withColumn("_means", F.flatten(F.transform("_found", padded))).drop("_found")
+    arrays = arrays.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_MEAN_SALTS - 1))))
+    first, last = (F.floor(F.col(c) / _SPINE_BLOCK).cast("int") for c in ("_lo", "_hi"))
+    cut = gaps.withColumn("_blk", F.explode(F.sequence(first, last)))
+    cut = cut.withColumn("_salt", F.pmod(F.xxhash64("id", "_lo"), F.lit(_MEAN_SALTS)).cast("int"))
+    begin = F.col("_blk").cast("long") * _SPINE_BLOCK
+    cut = cut.join(arrays, ["_fr_sk", "_blk", "_salt"], "left")
+    ks = F.sequence(F.greatest(F.col("_lo"), begin), F.least(F.col("_hi"), begin + (_SPINE_BLOCK - 1)))
+    rows = cut.withColumn("_k", F.explode(ks))
+    mean = F.get(F.col("_means"), (F.col("_k") - begin).cast("int"))
+    return rows.withColumns({"laser_x": mean["x"], "laser_y": mean["y"]}).drop("_means", "_salt", "_blk", "_lo", "_hi")
+
+
+def _frames_v2_absolute(dlog, keys, vocab, bucket, means: DataFrame | None = None) -> DataFrame:
     """C6 rows with absolute bucket times (see ``animation_frames_v2``).
 
+    With ``means`` (_fr_sk, second, laser_x, laser_y) also C7's pointer columns.
+
     Object events are selected by their Event, so it is never NULL on them:
     the Event carried into an unobserved bucket is the last Event of the
     object's previous observed bucket inside the span.  That is one state per
@@ -375,15 +445,23 @@ def _frames_v2_absolute(dlog, keys, vocab, bucket) -> DataFrame:
         F.max_by(EVENT, order).alias("state"), F.max("_n_last").alias("_n_last")
     )
     gaps = _state_gaps(states, objects, bucket, coarser_grains(bucket))
-    filled = _explode_gaps(gaps.join(template, ["_fr_sk", "id"]).join(grid.drop("_n_last"), "_fr_sk"))
+    ranges = gaps.join(template, ["_fr_sk", "id"]).join(grid.drop("_n_last"), "_fr_sk")
+    pointer = [] if means is None else ["laser_x", "laser_y"]
+    if means is None:
+        filled = _explode_gaps(ranges)
+    else:
+        placed = means.join(grid.select("_fr_sk", "time_start"), "_fr_sk")
+        placed = placed.select("_fr_sk", _bucket_index(F.col("second"), bucket).alias("_k"), *pointer).where("_k >= 0")
+        filled = _explode_gaps_with_means(ranges, placed)
+        act = act.join(means, ["_fr_sk", "second"], "left")  # sparse rows
     filled = filled.select(
         *keys, "id", _at_bucket(F.col("_k"), bucket).alias("second"), "time_start", "x", "y",
-        F.col("state").alias(EVENT),
+        F.col("state").alias(EVENT), *pointer,
     )
     tmpl_xy = template.select("_fr_sk", "id", F.col("x").alias("_tx"), F.col("y").alias("_ty"))
     observed = act.join(tmpl_xy, ["_fr_sk", "id"]).select(
         *[F.col("_fr_sk")[k].alias(k) for k in keys], "id", "second", "time_start",
-        F.coalesce("_tx", "x").alias("x"), F.coalesce("_ty", "y").alias("y"), EVENT,
+        F.coalesce("_tx", "x").alias("x"), F.coalesce("_ty", "y").alias("y"), EVENT, *pointer,
     )
     out = filled.unionByName(observed)
     out = out.withColumn("size", F.when(F.col(EVENT) == vocab.spawn, F.lit(1.0)).otherwise(F.lit(0.0)))
@@ -413,12 +491,13 @@ def pointer_frames_v2(
     vocab: EventVocab = GAME_VOCAB,
     bucket: str = "second",
 ) -> DataFrame:
-    """C6 frames with the mean pointer position of their bucket."""
-    frames = _frames_v2_absolute(dlog, keys, vocab, bucket)
-    means = pointer_mean(dlog, keys, bucket).select(
-        _sk(keys).alias("_p_sk"), "second", "laser_x", "laser_y"
-    )
-    out = frames.withColumn("_p_sk", _sk(keys)).join(means, ["_p_sk", "second"], "left").drop("_p_sk")
+    """C6 frames with the mean pointer position of their bucket.
+
+    The means come as one array per session and block of buckets and are looked
+    up while the frames are made, so no dense row is shuffled.
+    """
+    means = pointer_mean(dlog, keys, bucket).select(_sk(keys).alias("_fr_sk"), "second", "laser_x", "laser_y")
+    out = _frames_v2_absolute(dlog, keys, vocab, bucket, means)
     return _relative_seconds(out).drop("time_start")
 
 

@@ -124,9 +124,8 @@ def q_dense_frames(spark, sf_dir):
 def q_overlay_anti(spark, sf_dir):
     log = cleaned(spark, sf_dir)
     spans = summary.session_span(log, KEYS, VOCAB, B)
-    dense = frames.dense_frames(_template(log), spans, KEYS, B)
     act = frames.object_activity(log, KEYS, VOCAB, B)
-    return frames.overlay_anti(dense, act, KEYS).select(*KEYS, "id", "second")
+    return frames.unobserved_frames(_template(log), spans, act, KEYS, B).select(*KEYS, "id", "second")
 
 
 def q_fill_down(spark, sf_dir):
@@ -415,7 +414,10 @@ def q_csv_session_summary(spark, sf_dir):
     kept = [*KEYS, *SUMMARY_COLUMNS, "Note"]
     log = stage_table(derive_session_log(raw, KEYS, VOCAB, grains=GRAINS).select(*kept), "csv-derived-log")
     notes = log.groupBy(*KEYS).agg(F.min("Note").alias("first_note"), F.count("Note").alias("n_notes"))
-    out = summary.session_summary(log, KEYS, VOCAB).join(notes, [*KEYS])
+    per_session = F.struct(*KEYS)  # NULL keys meet
+    notes = notes.select(per_session.alias("_session"), "first_note", "n_notes")
+    out = summary.session_summary(log, KEYS, VOCAB).withColumn("_session", per_session)
+    out = out.join(notes, "_session").drop("_session")
     return rounded(
         out, ["PlayTime_delta", "MeanGaze_x", "MeanGaze_y", "MeanGaze_z", "MeanGazeConf", "MeanHz"]
     )
@@ -492,8 +494,54 @@ def q_three_valued_if(spark, sf_dir):
     return log.select("_ord", F.when(far, "far").when(~far, "near").alias("side"))
 
 
+# the header kinds of the split files: all columns, other orders, a column missing
+SPLIT_COLUMNS = ("Timestamp", "Event", "SessionID", "MoleId", "WorldGazeHitPositionY", "Note")
+SPLIT_HEADERS = {"C0": SPLIT_COLUMNS, "C1": SPLIT_COLUMNS[::-1], "C2": SPLIT_COLUMNS[2:] + SPLIT_COLUMNS[:2]}
+SPLIT_OTHER = tuple(c for c in SPLIT_COLUMNS if c != "MoleId")
+SPLIT_BYTES = 32 << 10
+
+
+def q_csv_split_rows(spark, sf_dir):
+    """Sample files of four header kinds, cells with line breaks, cut into many splits."""
+    log = events_log(spark, sf_dir).withColumn("Note", _note())
+    log = log.withColumn("Timestamp", F.col("Timestamp").cast("string"))
+    root = f"{checkpoint_dir(spark).rstrip('/')}/chronoframe-stage/splits-{uuid.uuid4().hex}"
+    own = F.col("Condition")
+    kinds = {c: (own == c, names) for c, names in SPLIT_HEADERS.items()}
+    kinds["other"] = (~F.coalesce(own.isin(list(SPLIT_HEADERS)), F.lit(False)), SPLIT_OTHER)
+    for kind, (rows, names) in kinds.items():
+        part = f"{root}-{kind}"
+        log.where(rows).select(F.lit(kind).alias("Condition"), *names).write.options(**_CSV_OPTS).partitionBy(
+            "Condition"
+        ).csv(part)
+        _name_session_files(spark, part, root, "Sample")
+        _delete_on_exit(spark, part)
+    _delete_on_exit(spark, root)
+    return csv_sessions.read_kind(spark, root, "Sample", split_bytes=SPLIT_BYTES).select(*SPLIT_COLUMNS)
+
+
+def q_csv_explicit_files(spark, sf_dir):
+    """The exported files named one by one."""
+    root = export_session_csv(spark, sf_dir)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    named = lambda kind: [f.getPath().toString() for f in fs.globStatus(path(f"{root}/*/*_{kind}.csv"))]
+    log = csv_sessions.read_session_files(spark, named("Meta"), named("Event"), named("Sample"))
+    return log.groupBy("SessionID", "Event").agg(
+        F.count(F.lit(1)).alias("n"), F.min(scalars.to_numeric("ParticipantID")).alias("participant")
+    )
+
+
+def q_sorted_log(spark, sf_dir):
+    """O1: dense row numbers in output order (time NULLS LAST, file order)."""
+    return basic.sort_log(cleaned(spark, sf_dir), number="row_number").select("_ord", "Timestamp", "row_number")
+
+
 QUERIES.update(
     {
+        "csv_split_rows": q_csv_split_rows,
+        "csv_explicit_files": q_csv_explicit_files,
+        "sorted_log": q_sorted_log,
         "summary_first_marker": q_summary_first_marker,
         "csv_from_paths": q_csv_from_paths,
         "merge_by_path": q_merge_by_path,

@@ -453,7 +453,8 @@ notes AS (
                || CAST("Timestamp" AS VARCHAR) AS note FROM raw)
   GROUP BY "Participant", "Condition"),
 s AS ({SQL["session_summary"]})
-SELECT s.*, n_notes, first_note FROM s JOIN notes USING ("Participant", "Condition")"""
+SELECT s.*, n_notes, first_note FROM s JOIN notes n
+  ON s."Participant" IS NOT DISTINCT FROM n."Participant" AND s."Condition" IS NOT DISTINCT FROM n."Condition\""""
 
 SQL["persisted_game_rows"] = f"""WITH {DLOG}
 SELECT "_ord", "Participant", "Condition", "Timestamp", "Event", "GameTimeSpent", "Hz"
@@ -471,6 +472,20 @@ SELECT "Condition" AS i1, "SessionID" || '-' || "Condition" AS "SessionID", "Eve
     AS last_note
 FROM raw GROUP BY "Condition", "SessionID", "Event\""""
 
+SQL["csv_split_rows"] = f"""WITH {RAW}
+SELECT CAST("Timestamp" AS VARCHAR) AS "Timestamp", "Event", "SessionID",
+  CASE WHEN "Condition" IN ('C0', 'C1', 'C2') THEN "MoleId" END AS "MoleId", "WorldGazeHitPositionY",
+  'said "' || "Event" || '"; C:' || chr(92) || 'log' || chr(92) || chr(10) || 'seen ' || CAST("Timestamp" AS VARCHAR) AS "Note"
+FROM raw"""
+
+SQL["csv_explicit_files"] = f"""WITH {RAW}
+SELECT "SessionID" || '-' || "Condition" AS "SessionID", "Event", COUNT(*) AS n, MIN("Participant") AS participant
+FROM raw GROUP BY "SessionID", "Condition", "Event\""""
+
+SQL["sorted_log"] = f"""WITH {RAW}
+SELECT "_ord", "Timestamp", ROW_NUMBER() OVER (ORDER BY "Timestamp" ASC NULLS LAST, "_ord" ASC NULLS LAST) AS row_number
+FROM raw"""
+
 SQL["merge_by_path"] = f"""WITH {RAW},
 meta AS (SELECT DISTINCT "SessionID" AS s, "Condition" AS i1 FROM raw WHERE "Condition" <> 'C3')
 SELECT "Timestamp", "Event", "SessionID", "MoleId", "_ord",

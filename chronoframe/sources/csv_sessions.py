@@ -5,13 +5,18 @@ header row, every column read as text, the text ``NULL`` means missing and a
 blank cell is an empty string.
 
 Cells may be quoted and then hold separators, doubled quotes, backslashes and
-line breaks.  Session files are small, so by default files are not split
-(``multi_line=True``); turn it off for large files without quoted line breaks.
+line breaks.  Files are read in splits (``csv_splits``), a large one by many tasks,
+quoted line breaks included.
 
 Files of one kind may carry different headers.  Only the distinct headers reach
-the driver.  With one header the folder is scanned as it is; with several it is
-scanned once by position and every row finds its columns through a (file,
-header) table.
+the driver; every split knows the header of its file and places its cells by name.
+
+``_ord`` is a long: kind, file (in order of names) and place in the file, from the
+top bits down.
+
+File systems that pyarrow cannot open are read by Spark's CSV reader instead:
+with one header the folder is scanned as it is; with several it is scanned by
+position and every row finds its columns through a (file, header) table.
 """
 
 from __future__ import annotations
@@ -27,8 +32,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from chronoframe.config import META_RENAMES, SLASH_FIELDS, UNDERSCORE_FIELDS
+from chronoframe.operators.numbering import dense_row_number
+from chronoframe.sources.csv_splits import open_file, read_splits
 
 KIND_RANK = {"Event": 0, "Sample": 1, "Meta": 2}
+OTHER_RANK = 7
+# bits of _ord below the kind: file number, place in the file
+FILE_BITS, PLACE_BITS = 22, 38
+FILES_PER_TASK = 100_000  # when file names are numbered
 _GLOB_CHARS = re.compile(r"([\[\]{}*?\\])")
 _URI = r"^([A-Za-z][A-Za-z0-9+.-]*):(?://([^/]*))?(/.*)$"
 
@@ -78,33 +89,25 @@ def _source(root: str | Sequence[str]) -> str | list[str]:
 
 
 def _list_files(spark: SparkSession, root: str | Sequence[str], glob: str | None) -> DataFrame | None:
-    """Matching files as (uri); ``content`` is never selected, so never read."""
+    """Matching files as (uri, size); ``content`` is never selected, so never read."""
     try:
-        return _reader(spark, glob).format("binaryFile").load(_source(root)).select(F.col("path").alias("uri"))
+        found = _reader(spark, glob).format("binaryFile").load(_source(root))
+        return found.select(F.col("path").alias("uri"), F.col("length").alias("size"))
     except AnalysisException as e:  # an empty match is an empty kind
         if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
 
 
-def _first_lines(spark: SparkSession, files: DataFrame, root, glob: str | None) -> DataFrame:
-    """(key, header): each file's first line, read through pyarrow or, for schemes it lacks, by a scan."""
+def _first_lines(spark: SparkSession, files: DataFrame, root, glob: str | None) -> tuple[DataFrame, bool]:
+    """(uri, size, header) of each file, and whether pyarrow can open them; if not, a text scan gives the headers."""
 
     # defined here so that it is shipped to the Python workers by value
     def read_first_lines(batches):
-        from urllib.parse import quote, urlsplit
-
-        import pandas as pd
-        import pyarrow.fs as pafs
-
         for pdf in batches:
             heads = []
             for uri in pdf["uri"]:
-                # Hadoop path strings are not percent-encoded; pyarrow wants a URI
-                parts = urlsplit(uri)
-                scheme = {"s3a": "s3", "s3n": "s3"}.get(parts.scheme, parts.scheme or "file")
-                fs, path = pafs.FileSystem.from_uri(f"{scheme}://{parts.netloc}{quote(parts.path)}")
-                with fs.open_input_stream(path) as f:
+                with open_file(uri) as f:
                     chunk = b""
                     while b"\n" not in chunk:
                         part = f.read(65536)
@@ -112,25 +115,28 @@ def _first_lines(spark: SparkSession, files: DataFrame, root, glob: str | None)
                             break
                         chunk += part
                 heads.append(chunk.split(b"\n", 1)[0].decode("utf-8", "replace"))
-            yield pd.DataFrame({"uri": pdf["uri"], "header": heads})
+            yield pdf[["uri", "size"]].assign(header=heads)
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    heads = files.repartition(parts).mapInPandas(read_first_lines, "uri string, header string")
+    heads = files.repartition(parts).mapInPandas(read_first_lines, "uri string, size long, header string")
+    readable = True
     try:
         heads.limit(1).collect()
     except PythonException as e:
         if "Unrecognized filesystem" not in str(e):
             raise
+        readable = False
         text = _reader(spark, glob).text(_source(root)).select(
             _decoded_path(F.col("_metadata.file_path")).alias("uri"),
+            F.col("_metadata.file_size").alias("size"),
             F.col("_metadata.file_block_start").alias("block"),
             "value",
             F.monotonically_increasing_id().alias("row"),
         )
-        heads = text.where("block = 0").groupBy("uri").agg(F.min_by("value", "row").alias("header"))
+        heads = text.where("block = 0").groupBy("uri", "size").agg(F.min_by("value", "row").alias("header"))
     clean = F.regexp_replace(F.coalesce("header", F.lit("")), "^\ufeff|\r$", "")
     # binaryFile paths are already decoded (unlike _metadata.file_path)
-    return heads.select(_file_key(F.col("uri")).alias("key"), clean.alias("header"))
+    return heads.select("uri", "size", clean.alias("header")), readable
 
 
 def _header_columns(line: str, sep: str) -> list[str]:
@@ -146,69 +152,84 @@ def _missing_as_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
 
 
+def _root_of(spark: SparkSession, root: str | Sequence[str]) -> tuple[str, str, str]:
+    if isinstance(root, str):
+        return _qualified(spark, root)
+    spelled = [_qualified(spark, p) for p in root]
+    shared = posixpath.commonpath([posixpath.dirname(p) for _, _, p in spelled])
+    return (*spelled[0][:2], posixpath.dirname(shared))
+
+
 def read_kind(
     spark: SparkSession,
     root: str | Sequence[str],
     kind: str,
     sep: str = ";",
     glob: str | None = None,
-    multi_line: bool = True,
+    split_bytes: int | None = None,
 ) -> DataFrame | None:
     """Every ``*<kind>.csv`` under ``root`` as text columns + filename + _ord.
 
     ``root`` may also be a list of explicit files (S5).  Returns None when no
     file matches.  ``filename`` starts at the root's own name, however the
-    root was spelled (relative, with or without scheme).
+    root was spelled (relative, with or without scheme).  Files larger than
+    ``split_bytes`` are read by several tasks.
     """
     glob = (glob if glob is not None else f"*{kind}.csv") if isinstance(root, str) else None
     files = _list_files(spark, root, glob)
     if files is None:
         return None
-    heads = _first_lines(spark, files, root, glob)
+    heads, readable = _first_lines(spark, files, root, glob)
+    heads = heads.withColumn("tag", _relative_name(F.col("uri"), _root_of(spark, root)))
+    heads = dense_row_number(heads, ["tag"], "file_no", start=0, partitions=1 + files.count() // FILES_PER_TASK)
     headers = [r["header"] for r in heads.select("header").distinct().orderBy("header").collect()]
     if not headers:
         return None
     by_header = {h: _header_columns(h, sep) for h in headers}
     names = list(dict.fromkeys(c for h in headers for c in by_header[h]))
+    rank = KIND_RANK.get(kind, OTHER_RANK) << (FILE_BITS + PLACE_BITS)
+    if not readable:
+        return _read_by_position(spark, root, glob, heads, by_header, names, rank, sep)
+    fits = (F.col("file_no") < 1 << FILE_BITS) & (F.col("size") < 1 << PLACE_BITS)
+    checked = F.when(fits, F.col("file_no")).otherwise(F.raise_error(F.lit("too many or too large files for _ord")).cast("long"))
+    tag = F.concat_ws("|", checked.cast("string"), "tag")
+    rows = read_splits(heads.select("uri", "size", "header", tag.alias("tag")), names, by_header, sep, split_bytes)
+    number = F.shiftleft(F.substring_index("_tag", "|", 1).cast("long"), PLACE_BITS)
+    name = F.substring(F.col("_tag"), F.instr("_tag", "|") + 1, F.length("_tag"))
+    return rows.select(*_quoted(names), name.alias("filename"), (F.lit(rank) + number + F.col("_place")).alias("_ord"))
+
+
+def _quoted(names: Sequence[str]) -> list[Column]:
+    return [F.col(f"`{c.replace('`', '``')}`") for c in names]
+
+
+def _read_by_position(spark, root, glob, heads, by_header, names, rank, sep) -> DataFrame:
+    """The same rows through Spark's CSV reader; files are not split."""
+    headers = list(by_header)
     width = max(len(c) for c in by_header.values())
     # the header line of each file is skipped, cells are read by position
     schema = StructType([StructField(f"_c{i}", StringType()) for i in range(width)])
     options = {"header": "true", "sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
-    reader = _reader(spark, glob).options(**options, multiLine=str(multi_line).lower(), enforceSchema="true")
-    decoded = _decoded_path(F.col("_metadata.file_path"))
+    reader = _reader(spark, glob).options(**options, multiLine="true", enforceSchema="true")
     rows = reader.schema(schema).csv(_source(root))
     rows = rows.select(
         "*",
-        decoded.alias("_path"),
-        F.col("_metadata.file_block_start").alias("_block"),
+        _file_key(_decoded_path(F.col("_metadata.file_path"))).alias("key"),
         F.monotonically_increasing_id().alias("_row"),
     )
     cells = F.array(*schema.names)
-    if len(headers) == 1:
-        data = rows.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)], "_path", "_block", "_row")
-    else:
-        place = [(h, [by_header[h].index(c) if c in by_header[h] else -1 for c in names]) for h in headers]
-        places = heads.join(F.broadcast(spark.createDataFrame(place, "header string, place array<int>")), "header")
-        keyed = rows.withColumn("key", _file_key(F.col("_path"))).join(places.select("key", "place"), "key")
-        at = [F.get("place", i) for i in range(len(names))]
-        # a column that the file's header lacks stays missing
-        value = [F.when(p < 0, F.lit("NULL")).otherwise(F.get(cells, p)) for p in at]
-        data = keyed.select(*[v.alias(c) for v, c in zip(value, names, strict=True)], "_path", "_block", "_row")
-    rank = KIND_RANK.get(kind, 9)
-    if isinstance(root, str):
-        base = _qualified(spark, root)
-    else:
-        spelled = [_qualified(spark, p) for p in root]
-        shared = posixpath.commonpath([posixpath.dirname(p) for _, _, p in spelled])
-        base = (*spelled[0][:2], posixpath.dirname(shared))
-    name = _relative_name(F.col("_path"), base)
-    return _missing_as_null(data, names).select(
-        *names,
-        name.alias("filename"),
-        F.struct(
-            F.lit(rank).alias("source"), name.alias("file"), F.col("_block").alias("block"), F.col("_row").alias("row")
-        ).alias("_ord"),
+    place = [(h, [by_header[h].index(c) if c in by_header[h] else -1 for c in names]) for h in headers]
+    places = heads.join(F.broadcast(spark.createDataFrame(place, "header string, place array<int>")), "header")
+    keyed = rows.join(places.select(_file_key(F.col("uri")).alias("key"), "place", "file_no", "tag"), "key")
+    at = [F.get("place", i) for i in range(len(names))]
+    # a column that the file's header lacks stays missing
+    value = [F.when(p < 0, F.lit("NULL")).otherwise(F.get(cells, p)) for p in at]
+    data = keyed.select(
+        *[v.alias(c) for v, c in zip(value, names, strict=True)], F.col("tag").alias("filename"), "file_no", "_row"
     )
+    numbered = dense_row_number(data, ["file_no", "_row"], "_ord", start=0)
+    out = _missing_as_null(numbered, names)
+    return out.select(*_quoted(names), "filename", (F.lit(rank) + F.col("_ord")).alias("_ord"))
 
 
 def path_fields(
@@ -303,14 +324,15 @@ def read_session_dir(
     sample: str | None = "Sample",
     meta: str | None = "Meta",
     sep: str = ";",
+    split_bytes: int | None = None,
 ) -> DataFrame:
     """Load a session directory into one long text log (event U sample) x meta.
 
     A kind set to None is skipped; without meta files the meta rows come from
     the log's file paths (S4).
     """
-    ev = read_kind(spark, root, event, sep) if event else None
-    sa = read_kind(spark, root, sample, sep) if sample else None
+    ev = read_kind(spark, root, event, sep, split_bytes=split_bytes) if event else None
+    sa = read_kind(spark, root, sample, sep, split_bytes=split_bytes) if sample else None
     logs = [d for d in (ev, sa) if d is not None]
     if not logs:
         raise ValueError(f"no event or sample files under {root}")
@@ -323,10 +345,15 @@ def read_session_dir(
 
 
 def read_session_files(
-    spark: SparkSession, meta_path: str, event_path: str, sample_path: str, sep: str = ";"
+    spark: SparkSession,
+    meta_path: str | Sequence[str],
+    event_path: str | Sequence[str],
+    sample_path: str | Sequence[str],
+    sep: str = ";",
 ) -> DataFrame:
-    """One explicit (meta, event, sample) triple, same rules as S1."""
-    ev = read_kind(spark, [event_path], "Event", sep)
-    sa = read_kind(spark, [sample_path], "Sample", sep)
-    m = read_meta(spark, [meta_path], "Meta", sep)
+    """One explicit (meta, event, sample) triple, or lists of such files; same rules as S1."""
+    listed = lambda p: [p] if isinstance(p, str) else list(p)
+    ev = read_kind(spark, listed(event_path), "Event", sep)
+    sa = read_kind(spark, listed(sample_path), "Sample", sep)
+    m = read_meta(spark, listed(meta_path), "Meta", sep)
     return merge_sessions(m, ev, sa)

@@ -121,3 +121,49 @@ def test_one_busy_object_uses_every_task(spark):
         assert max(per) <= 2 * sum(per) / len(per)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+@pytest.mark.parametrize("seed,block", [(6, 4096), (7, 16)])
+def test_pointer_means_meet_ranges(spark, seed, block, monkeypatch):
+    """C7 looks the means up in block arrays: the rows of C6 joined with the means, short blocks included."""
+    monkeypatch.setattr(frames, "_SPINE_BLOCK", block)
+    dlog = derive.derive_session_log(_random_log(spark, seed)).cache()
+    fused = frames.pointer_frames_v2(dlog)
+    rows = frames._frames_v2_absolute(dlog, SESSION_KEYS, GAME_VOCAB, "second")
+    means = summary.pointer_mean(dlog).select(frames._sk(SESSION_KEYS).alias("_p"), "second", "laser_x", "laser_y")
+    joined = rows.withColumn("_p", frames._sk(SESSION_KEYS)).join(means, ["_p", "second"], "left").drop("_p")
+    plain = frames._relative_seconds(joined).drop("time_start")
+    cols = sorted(fused.columns)
+    a, b = _rows(fused.select(*cols)), _rows(plain.select(*cols))
+    assert a == b and any(r[cols.index("laser_x")] is not None for r in a)
+
+
+def test_unobserved_frames_equal_the_anti_join(spark, monkeypatch):
+    monkeypatch.setattr(frames, "_SPINE_BLOCK", 16)
+    dlog = derive.derive_session_log(_random_log(spark, 8)).cache()
+    spans = summary.session_span(dlog)
+    template = frames.object_template(dlog).unionByName(frames.pointer_template(dlog))
+    template = template.unionByName(template.limit(2).withColumn("id", F.lit(None).cast("string")))
+    seen = frames.object_activity(dlog).select(*SESSION_KEYS, "id", "second")
+    half = F.timestamp_add("MICROSECOND", F.lit(500_000), F.col("second"))
+    seen = seen.unionByName(seen.withColumn("second", half).limit(50))  # between buckets: meets nothing
+    seen = seen.unionByName(seen.limit(3).withColumn("id", F.lit(None).cast("string")))
+    plain = frames.overlay_anti(frames.dense_frames(template, spans), seen)
+    fused = frames.unobserved_frames(template, spans, seen)
+    cols = sorted(plain.columns)
+    a, b = _rows(fused.select(*cols)), _rows(plain.select(*cols))
+    assert a == b and 0 < len(a) < frames.dense_frames(template, spans).count()
+
+
+def _above_last_generate(df):
+    """The physical plan above the Generate that makes dense rows."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    return "\n".join(lines[: next(i for i, x in enumerate(lines) if "Generate explode" in x)])
+
+
+def test_dense_rows_are_not_shuffled(spark):
+    dlog = derive.derive_session_log(_random_log(spark, 9))
+    spans = summary.session_span(dlog)
+    fused = frames.unobserved_frames(frames.object_template(dlog), spans, frames.object_activity(dlog))
+    for df in (fused, frames.pointer_frames_v2(dlog)):
+        assert "Exchange" not in _above_last_generate(df) and "Join" not in _above_last_generate(df)
