@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,14 +85,40 @@ def stage_table(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> D
 
     Cuts lineage where several branches consume one expensive DataFrame: it is
     computed once, survives executor loss (files on shared storage), and every
-    branch gets a column-pruned scan instead of a recomputation.  The copy is
-    removed when the application ends.
+    branch gets a column-pruned scan instead of a recomputation.  The shuffle
+    files behind ``df`` go when it is written; the copy is removed by
+    ``drop_staged`` or when the application ends.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/chronoframe-stage/{name}-{uuid.uuid4().hex}"
-    write_table(df, path, partition_by)
+    with shuffles_released(spark):
+        write_table(df, path, partition_by)
     _delete_on_exit(spark, path)
-    return spark.read.parquet(path)
+    staged = spark.read.parquet(path)
+    staged.staged_at = path
+    return staged
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """Queries inside delete their shuffle files as they end."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
+def drop_staged(*tables: DataFrame) -> None:
+    """Delete copies made by ``stage_table`` whose last reader is done."""
+    for table in tables:
+        jvm = table.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table.staged_at)
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _delete_on_exit(spark: SparkSession, path: str) -> None:
