@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from chronoframe.sources.tables import load, stage_table
+from chronoframe.sources.tables import drop_staged, load, stage_table  # noqa: F401 - drop_staged is re-exported
 
 MASK64 = (1 << 64) - 1
 
@@ -23,12 +23,10 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
     Cuts lineage on shared storage, so a lost executor costs the tasks that
     were running, never what was already written.  The shuffle files behind
-    ``df`` are then garbage; Spark removes them once the driver's collector has
-    seen that, so it is asked to look.
+    ``df`` are deleted as the write ends, the copy by ``drop_staged`` once its
+    last reader is done.
     """
-    staged = stage_table(df, f"llm-{name}")
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return staged
+    return stage_table(df, f"llm-{name}")
 
 
 def whole_text(col: str = "text") -> Column:

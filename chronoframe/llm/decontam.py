@@ -23,7 +23,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoframe.llm.common import free_name, whole_text
+from chronoframe.llm.common import stage, whole_text
+from chronoframe.llm.line_dedup import drop_rows
 
 WINDOW = 13
 MAX_SUBSTITUTIONS = 2
@@ -128,8 +129,5 @@ def _block_overlaps(d: DataFrame, items: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that overlap no benchmark item, columns unchanged."""
-    key, hit_id, hit_key = (free_name(docs, c) for c in ("_text_key", "_hit_id", "_hit_key"))
-    hit = overlaps(docs, benchmark, id_col).select(F.col(id_col).alias(hit_id), F.col("text_key").alias(hit_key))
-    keyed = docs.withColumn(key, F.xxhash64(whole_text()))
-    same = F.col(id_col).eqNullSafe(F.col(hit_id)) & (F.col(key) == F.col(hit_key))
-    return keyed.join(hit.distinct(), same, "left_anti").drop(key)
+    hit = stage(overlaps(docs, benchmark, id_col).select(F.col(id_col).alias("id"), "text_key").distinct(), "contaminated")
+    return drop_rows(docs, hit, {"id": F.col(id_col), "text_key": F.xxhash64(whole_text())})

@@ -2,8 +2,7 @@
 
 A line's tokens are its distinct words.  Two lines match at Jaccard similarity
 ``4/5`` or more; a line goes if a line before it (by document id, then line
-number) matches it, judged on the input.  Lines of fewer than ``MIN_TOKENS``
-tokens stay.
+number) matches it, judged on the input.  Lines without a token stay.
 
 Steps, all built-in expressions:
 
@@ -35,11 +34,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoframe.llm.common import free_name, stage, whole_text
+from chronoframe.llm.common import drop_staged, free_name, stage, whole_text
 
 NUM, DEN = 4, 5  # least Jaccard similarity
-MIN_TOKENS = 5
-SLOTS = 1 << 16  # hash slots of the rarity counts
+SLOTS = 1 << 18  # hash slots of the rarity counts
 FILTER_BITS = 1 << 23
 SHORT = 32  # lines of a posting whose pairs are all tried at once
 MASK56 = (1 << 56) - 1
@@ -162,7 +160,7 @@ def _verified(pairs: DataFrame, lines: DataFrame, classes: Column) -> DataFrame:
 
 
 def _first_lines(lines: DataFrame, classes: Column) -> DataFrame:
-    """The first of each group of equal lines, if long enough: keys, place, size, prefix and token maps."""
+    """The first of each group of equal lines that hold a token: keys, place, size, prefix and token maps."""
     n = F.size("t")
     prefix = F.slice("t", F.lit(1), n - F.ceil(n * NUM / DEN).cast("int") + 1)
     maps = [token_map(F.col("t"), half).alias(name) for half, name in enumerate(MAPS)]
@@ -171,7 +169,7 @@ def _first_lines(lines: DataFrame, classes: Column) -> DataFrame:
     )
     firsts = coded.groupBy("k1", "k2").agg(F.min("s").alias("s"))
     # the size is tested on the result: below it, the tokens would be computed once more for the test
-    return firsts.select("k1", "k2", "s.*").where(F.col("n") >= MIN_TOKENS)
+    return firsts.select("k1", "k2", "s.*").where(F.col("n") > 0)
 
 
 def _line_keys() -> list[Column]:
@@ -210,7 +208,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
     work = stage(_candidates(firsts), "line-postings")
     pairs = work.where("vd is not null").select("d", "o", "vd", "vo").distinct()
-    near = stage(_verified(stage(pairs, "line-pairs"), lines, classes), "line-near")
+    pairs = stage(pairs, "line-pairs")
+    near = stage(_verified(pairs, lines, classes), "line-near")
+    drop_staged(firsts, pairs)
 
     # lines without a match yet against all earlier lines of their longer postings
     longer = work.where("token is not null").select("token", "d", "o", "n", *MAPS, "i")
@@ -219,8 +219,11 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         earlier, (F.col("token") == F.col("vtoken")) & _before("v") & _fits()
     )
     rest = stage(rest.select("d", "o", "vd", "vo").distinct(), "line-rest")
+    drop_staged(work)
     far = _verified(rest, lines, classes)
-    return stage(equal.unionByName(near).unionByName(far).distinct(), "line-repeats")
+    repeats = stage(equal.unionByName(near).unionByName(far).distinct(), "line-repeats")
+    drop_staged(equal, near, rest)
+    return repeats
 
 
 def order_keys(docs: DataFrame, id_col: str = "doc_id") -> tuple[Column, Column]:
@@ -229,16 +232,19 @@ def order_keys(docs: DataFrame, id_col: str = "doc_id") -> tuple[Column, Column]
     return F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), tie
 
 
-def with_first_short_lines(docs: DataFrame) -> DataFrame:
-    """Distinct (d, tie) of the documents that hold the first of some group of equal short lines.
+def drop_rows(docs: DataFrame, losers: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """``docs`` without the rows whose ``keys`` (name: value; NULL equals NULL) stand in ``losers``.
 
-    ``docs`` has d, tie, text.  Short lines are those that ``dedup_lines`` never
-    removes; blank ones do not count.
+    Only rows that the bit array flags meet ``losers`` in a join; the text of all
+    others stays where it is.
     """
-    lines = _lines(docs).withColumn("tie", F.shiftright("o", 32))
-    short = lines.where(F.size(F.array_distinct(words_of(F.col("line")))).between(1, MIN_TOKENS - 1))
-    firsts = short.groupBy(*_line_keys()).agg(F.min(F.struct("d", "tie")).alias("s"))
-    return firsts.select("s.*").distinct()
+    names = {k: free_name(docs, f"_key_{k}") for k in keys}
+    gone = losers.select(*[F.col(k).alias(f"{names[k]}r") for k in keys]).distinct()
+    keyed = docs.withColumns({names[k]: value for k, value in keys.items()})
+    flagged = membership(losers.select(*[F.col(k).alias(names[k]) for k in keys]), list(names.values()))
+    same = reduce(lambda x, y: x & y, (F.col(n).eqNullSafe(F.col(f"{n}r")) for n in names.values()))
+    unsure = keyed.where(flagged).join(gone, same, "left_anti")
+    return keyed.where(~flagged).unionByName(unsure).select(*docs.columns)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -247,9 +253,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     The text holds the lines kept, joined by line feeds; other columns are
     unchanged (an input column named ``n_lines`` or ``n_removed`` is replaced).
     NULL texts are one empty line and come back empty.  NULL ids
-    come after all others.  Rows of equal id are ordered by a hash of their
-    text; rows equal in id and text are one document and get the same
-    result.  An empty table gives no rows.  Ids must be integers.
+    come after all others.  Rows of equal id are ordered by 31 hash bits of their
+    text; rows equal in id and these bits are one document and get the same
+    result.  Texts and lines of any length are read whole.  An empty table gives
+    no rows.  Ids must be integers.
     """
     id_value, text_tie = order_keys(docs, id_col)
     ids = docs.groupBy(id_value.alias("d")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -30,8 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from chronoframe.llm.common import free_name, map_arrow, stage, utf8
+from chronoframe.llm.common import free_name, map_arrow, stage, utf8, whole_text
 from chronoframe.llm.components import components
+from chronoframe.llm.line_dedup import drop_rows
 
 SEED = 42
 SLICES, SLICE_BITS = 16, 4
@@ -227,14 +228,32 @@ def keep_one_per_component(docs: DataFrame, shingle: int = 3, max_bits: int = 2,
 
     Columns are unchanged.  NULL ids count as largest; among equal ids one row stays.
     """
-    fp, uid = free_name(docs, "_fp"), free_name(docs, "_uid")
+    text_key = F.xxhash64(whole_text())
     rows = stage(
-        docs.withColumn(fp, fingerprint_udf(shingle)(F.col("text"))).withColumn(uid, F.monotonically_increasing_id()),
-        "simhash-docs",
+        docs.select(F.col(id_col).alias("id"), text_key.alias("key"), fingerprint_udf(shingle)(F.col("text")).alias("fp")),
+        "simhash-rows",
     )
-    narrow = rows.select(F.col(id_col).alias("id"), F.col(fp).alias("fp"), F.col(uid).alias("uid"))
-    rank = F.struct(F.col("id").isNull().alias("no_id"), "id", "uid")
-    per_fp = stage(narrow.groupBy("fp").agg(F.min(rank).alias("best")), "simhash-distinct")
+    rank = F.struct(F.col("id").isNull().alias("no_id"), "id", "key")
+    per_fp = stage(rows.groupBy("fp").agg(F.min(rank).alias("best")), "simhash-distinct")
     linked = link_fingerprints(per_fp.select("fp"), max_bits).join(per_fp, "fp")
-    kept = linked.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.uid").alias(uid))
-    return rows.join(kept, uid, "left_semi").select(*docs.columns)
+    kept = linked.groupBy("root").agg(F.min("best").alias("best")).select("best.id", "best.key")
+    kept = stage(kept, "simhash-kept")
+    # a document is its id and text key; all but the kept ones go, and the copies of a kept one
+    seen = rows.groupBy("id", "key").agg(F.count(F.lit(1)).alias("n"))
+    same = F.col("id").eqNullSafe(F.col("kid")) & (F.col("key") == F.col("kkey"))
+    marked = seen.join(kept.select(F.col("id").alias("kid"), F.col("key").alias("kkey"), F.lit(True).alias("stays")), same, "left")
+    marked = stage(marked.select("id", "key", "n", F.col("stays").isNotNull().alias("stays")), "simhash-marked")
+    keys = {"id": F.col(id_col), "key": text_key}
+    several = marked.where("stays and n > 1")
+    out = drop_rows(docs, marked.where("not stays").unionByName(several), keys)
+    if several.isEmpty():
+        return out
+    names = {k: free_name(docs, f"_key_{k}") for k in keys}
+    copies = docs.withColumns({names[k]: v for k, v in keys.items()})
+    again = copies.join(
+        several.select(F.col("id").alias("sid"), F.col("key").alias("skey")),
+        F.col(names["id"]).eqNullSafe(F.col("sid")) & (F.col(names["key"]) == F.col("skey")),
+        "left_semi",
+    )
+    one = again.dropDuplicates(list(names.values())).select(*docs.columns)
+    return out.unionByName(one)

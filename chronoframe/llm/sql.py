@@ -25,7 +25,7 @@ SELECT doc_id, item_id, CAST(min(s) AS INTEGER) AS first_word, CAST(max(s) + 13
 FROM good GROUP BY doc_id, item_id
 """
 
-# Lines of five or more distinct words; pairs share a word among the n/5 + 1 rarest of each.
+# Lines with a word; pairs share a word among the n/5 + 1 rarest of each.
 OP3 = r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -36,7 +36,7 @@ s AS (
 
 ]+'), lambda w: w <> '')) AS w
   FROM l),
-e AS (SELECT doc_id, no, w, len(w) AS n FROM s WHERE len(w) >= 5),
+e AS (SELECT doc_id, no, w, len(w) AS n FROM s WHERE len(w) > 0),
 sets AS (SELECT list_sort(w) AS w, min((doc_id, no)) AS first FROM e GROUP BY list_sort(w)),
 f AS (SELECT first AS pos, w, len(w) AS n FROM sets),
 tok AS (SELECT pos, n, unnest(w) AS word FROM f),

@@ -19,9 +19,7 @@ def plain_dedup(rows, key):
     ]
     gone = {doc: set() for doc in docs}
     for i, (doc, no, a) in enumerate(lines):
-        if len(a) >= 5 and any(
-            len(b) >= 5 and 9 * len(a & b) >= 4 * (len(a) + len(b)) for _, _, b in lines[:i]
-        ):
+        if a and any(b and 9 * len(a & b) >= 4 * (len(a) + len(b)) for _, _, b in lines[:i]):
             gone[doc].add(no)
     return {(doc[0], doc[2]): gone[doc] for doc in docs}
 
@@ -58,6 +56,27 @@ def test_near_copies_of_one_line(spark, monkeypatch):
     check(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), rows)
 
 
+def test_short_lines(spark):
+    """Lines of one to four words take part, and very long lines of few words."""
+    rows = [
+        (1, "x = 1\na b c d\n\none", None, None, None),
+        (2, "a b c d e\nx  =  1\none\n \t", None, None, None),
+        (3, "A b c d " * 3000 + "\na b c\nb a", None, None, None),
+        (4, "d c b A\nonE\na b", None, None, None),
+    ]
+    check(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), rows)
+
+
+def test_one_token_in_many_lines(spark):
+    """A token that stands first in every line: few lines match, each once."""
+    n = 20_000
+    lines = F.concat_ws(" ", F.lit("same"), *(F.concat(F.lit(f"u{k}x"), F.col("id")) for k in range(4)))
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), lines.alias("text"))
+    copies = docs.where("doc_id % 100 = 0").select((F.col("doc_id") + n).alias("doc_id"), F.concat("text", F.lit(" more")).alias("text"))
+    out = dedup_lines(docs.unionByName(copies)).where("n_removed > 0").agg(F.count("*"), F.min("doc_id")).first()
+    assert out[0] == n // 100 and out[1] == n
+
+
 def test_empty_and_clashing(no_docs, clashing):
     assert dedup_lines(no_docs).count() == 0
     out = dedup_lines(clashing)
