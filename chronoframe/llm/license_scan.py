@@ -4,8 +4,11 @@ The automaton holds every token sequence that occurs in a licence template or
 in a base phrase.  Each text is streamed through it once, token by token,
 giving its matching statistics (longest template substring that ends at each
 token).  Maximal matches of ``min_match`` tokens or more become anchors between
-text and template; anchors in order and close together are chained into spans,
-and a span that covers enough of its template carries the template's label.
+text and template; the best chain of anchors in order and close together is a span
+(covered tokens count for it, foreign words inside it ``FOREIGN`` times against it).
+A span that covers enough of its template carries the template's label: all of
+a template of up to ``SHORT`` tokens, where a word more or less is another licence,
+and ``min_cover`` of a longer one.
 Places of the base phrases come from the same pass: a phrase ends at a token
 when its automaton state lies on the suffix-link path of the current state.
 
@@ -16,6 +19,7 @@ shipped with the task; texts never leave their row, so there is no shuffle.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -33,9 +37,19 @@ BASE_PHRASES = (
     ("general public license", "gpl"),
     ("all rights reserved", "reserved"),
 )
+# Names of licences as SPDX identifiers.
+SPDX = (
+    "MIT", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only",
+    "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "BSD-2-Clause",
+    "BSD-3-Clause", "MPL-2.0", "ISC", "EPL-1.0", "EPL-2.0", "EUPL-1.2", "CC0-1.0", "Unlicense", "0BSD", "Zlib",
+)
+# Creative Commons licences: what their codes stand for.
+CC_PARTS = {"nc": "NonCommercial", "sa": "ShareAlike", "nd": "NoDerivatives"}
+CC_CODES = ("", "sa", "nd", "nc", "nc-sa", "nc-nd")
+CC_VERSIONS = ("3.0", "4.0")
 TEMPLATES = (
-    ("mit", "released under the MIT License"),
-    ("mit", "licensed under the MIT License"),
+    ("mit", "under the MIT License"),
+    ("mit", "The MIT License (MIT)"),
     (
         "mit",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
@@ -45,7 +59,8 @@ TEMPLATES = (
         "following conditions: The above copyright notice and this permission notice shall be included in all "
         "copies or substantial portions of the Software.",
     ),
-    ("apache-2.0", "licensed under the Apache License, Version 2.0"),
+    ("apache-2.0", "Apache License, Version 2.0"),
+    ("apache-2.0", "Apache License 2.0"),
     (
         "apache-2.0",
         "you may not use this file except in compliance with the License. You may obtain a copy of the License at "
@@ -53,20 +68,29 @@ TEMPLATES = (
         "software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS "
         "OF ANY KIND, either express or implied.",
     ),
-    ("gpl-2.0", "licensed under the GNU General Public License, version 2"),
-    ("gpl-3.0", "licensed under the GNU General Public License, version 3"),
+    ("gpl-2.0", "GNU General Public License, version 2"),
+    ("gpl-2.0", "GNU General Public License v2.0"),
+    ("gpl-3.0", "GNU General Public License, version 3"),
+    ("gpl-3.0", "GNU General Public License v3.0"),
     (
         "gpl-3.0",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
         "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
         "option) any later version.",
     ),
-    ("lgpl", "licensed under the GNU Lesser General Public License"),
-    ("agpl", "licensed under the GNU Affero General Public License"),
-    ("cc-by-nc-4.0", "licensed under CC BY-NC 4.0"),
-    ("cc-by-4.0", "licensed under CC BY 4.0"),
-    ("cc-by-sa-4.0", "licensed under CC BY-SA 4.0"),
-    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("lgpl", "GNU Lesser General Public License"),
+    ("agpl", "GNU Affero General Public License"),
+    ("epl-1.0", "Eclipse Public License v 1.0"),
+    ("epl-1.0", "Eclipse Public License 1.0"),
+    ("epl-2.0", "Eclipse Public License v 2.0"),
+    ("epl-2.0", "Eclipse Public License 2.0"),
+    ("eupl-1.2", "European Union Public Licence, version 1.2"),
+    ("eupl-1.2", "European Union Public Licence v. 1.2"),
+    ("mpl-2.0", "Mozilla Public License, version 2.0"),
+    ("bsd-2-clause", "BSD 2-Clause License"),
+    ("bsd-2-clause", "Simplified BSD License"),
+    ("bsd-3-clause", "BSD 3-Clause License"),
+    ("bsd-3-clause", "New BSD License"),
     ("cc0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work"),
     (
         "bsd",
@@ -81,10 +105,24 @@ TEMPLATES = (
     ),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
+    *((name.lower(), f"SPDX-License-Identifier: {name}") for name in SPDX),
+    *(
+        (f"cc-by{code and '-'}{code}-{version}", " ".join(["Creative Commons Attribution", *map(CC_PARTS.get, code.split("-") if code else ()), version, end]))
+        for code in CC_CODES
+        for version in CC_VERSIONS
+        for end in ("International", "Unported", "license")
+    ),
+    *(
+        (f"cc-by{code and '-'}{code}-{version}", f"CC BY{code and '-'}{code} {version}")
+        for code in CC_CODES
+        for version in CC_VERSIONS
+    ),
 )
 MIN_MATCH = 3  # tokens of an anchor
 MAX_GAP = 8  # tokens between chained anchors, in text and in template
-MIN_COVER = 0.75  # share of the template that a span must cover
+MIN_COVER = 0.75  # share of a long template that a span must cover
+SHORT = 10  # tokens of a template that must be covered wholly
+FOREIGN = 3  # weight of a word inside a span that is not the template's
 
 TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -188,30 +226,65 @@ def matching_statistics(sam: Automaton, words: list[bytes]):
             yield i, s, length
 
 
+def chain_value(chain, max_gap: int):
+    """(covered, foreign) of anchors (text start, template start, length) chained in this order; None if they are no chain.
+
+    An anchor must lead its forerunner in text and template, by at most
+    ``max_gap`` tokens; what both have of the template or the text counts once.
+    """
+    covered = foreign = end = t_end = 0
+    for k, (i, j, n) in enumerate(chain):
+        lead = 0
+        if k:
+            lead = max(0, end - i, t_end - j)  # part of the anchor that the chain has already
+            if lead >= n or i - end > max_gap or j - t_end > max_gap:
+                return None
+            foreign += i + lead - end
+        covered += n - lead
+        end, t_end = i + n, j + n
+    return covered, foreign
+
+
 def chain_anchors(anchors, max_gap: int):
-    """Chain (template, text start, template start, length) anchors, given in text order.
+    """Best chains of (template, text start, template start, length) anchors.
 
-    An anchor extends its template's open chain when it lies ahead in both by
-    at most ``max_gap`` tokens; otherwise it opens a new chain.  Yields
-    (template, text start, text end, template start, template end, tokens covered).
+    A chain is worth its covered tokens less ``FOREIGN`` for each foreign word.
+    For each template the best chain is taken, then the best of those that end
+    later or begin earlier, and so on.  Yields (template, text start, text
+    end, template start, template end, covered, foreign).
     """
-    open_chains: dict[int, list[int]] = {}
+    by_template: dict[int, list] = {}
     for t, i, j, n in anchors:
-        chain = open_chains.get(t)
-        if chain is not None:
-            _, _, end, _, t_end, _ = chain
-            gap_text, gap_template = i - end, j - t_end
-            lead = max(0, -gap_text, -gap_template)  # part of the anchor that the chain has already
-            if lead < n and gap_text <= max_gap and 0 <= gap_template + lead <= max_gap:
-                chain[2], chain[4] = i + n, j + n
-                chain[5] += n - lead
-                continue
-            if end >= i + n:  # inside the open chain: another place in the template
-                continue
-            yield tuple(chain)
-        open_chains[t] = [t, i, i + n, j, j + n, n]
-    for chain in open_chains.values():
-        yield tuple(chain)
+        by_template.setdefault(t, []).append((i, j, n))
+    for t, own in by_template.items():
+        own.sort()
+        longest = max(n for _, _, n in own)
+        best: list[tuple] = []  # value, covered, foreign, text start, template start, forerunner
+        first = 0  # anchors before it end too far back
+        for k, (i, j, n) in enumerate(own):
+            top = (n, n, 0, i, j, -1)
+            while own[first][0] + longest + max_gap < i:
+                first += 1
+            for p in range(first, k):
+                pi, pj, pn = own[p]
+                end, t_end = pi + pn, pj + pn
+                lead = max(0, end - i, t_end - j)
+                if lead >= n or i - end > max_gap or j - t_end > max_gap:
+                    continue
+                value, covered, foreign, a, ta, _ = best[p]
+                more = i + lead - end
+                found = (value + n - lead - FOREIGN * more, covered + n - lead, foreign + more, a, ta, p)
+                if found > top:
+                    top = found
+            best.append(top)
+        taken: list[tuple[int, int]] = []  # disjoint, in text order
+        for k in sorted(range(len(own)), key=lambda k: (-best[k][0], own[k])):
+            _, covered, foreign, a, ta, _ = best[k]
+            i, j, n = own[k]
+            at = bisect_left(taken, (a, i + n))
+            if (at == len(taken) or i + n <= taken[at][0]) and (at == 0 or a >= taken[at - 1][1]):
+                taken.insert(at, (a, i + n))
+                yield t, a, i + n, ta, j + n, covered, foreign
 
 
 def scan(sam: Automaton, words: list[bytes], min_match: int, max_gap: int, min_cover: float):
@@ -234,9 +307,9 @@ def scan(sam: Automaton, words: list[bytes], min_match: int, max_gap: int, min_c
                 places.append((sam.labels[t], i - sam.lengths[t] + 1))
     close(*previous)
     spans = []
-    for t, a, b, ta, tb, covered in chain_anchors(anchors, max_gap):
-        cover = covered / sam.lengths[t]
-        if cover >= min_cover:
+    for t, a, b, ta, tb, covered, foreign in chain_anchors(anchors, max_gap):
+        cover = covered / (sam.lengths[t] + FOREIGN * foreign)
+        if cover >= (1 if sam.lengths[t] <= SHORT else min_cover):
             spans.append({"label": sam.labels[t], "start": a, "end": b, "template_start": ta, "template_end": tb, "cover": cover})
     spans.sort(key=lambda x: (x["start"], x["end"], x["label"], -x["cover"]))
     return places, spans
@@ -268,8 +341,10 @@ def scan_licenses(
 
     ``base_places``: array of (label, start) of every place of a base phrase.
     ``spans``: array of covered template spans (text words start to end, end
-    exclusive).  NULL, empty and wordless texts have 0 words and empty arrays;
-    ids may be NULL or repeated; other columns are ignored.
+    exclusive).  Texts are read whole, however long.  Spans of one template do
+    not overlap; of equally good chains the one that starts later is taken.  NULL,
+    empty and wordless texts have 0 words and empty arrays; ids may be NULL or
+    repeated; an empty table gives no rows; other columns are ignored.
     """
     sam = build_automaton(templates, base_phrases)
 

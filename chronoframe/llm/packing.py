@@ -78,24 +78,31 @@ class TextEncoder:
     """Token ids of whole texts as little-endian uint32 bytes.
 
     A byte-level BPE file is run by tiktoken, which gives the same ids several
-    times faster (a test compares them); any other file by tokenizers.  Special
+    times faster (a test compares them); any other file, and texts that tiktoken's
+    pattern cannot split (runs of a million blanks), by tokenizers.  Special
     tokens' strings are ordinary text.
     """
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.plain = Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = True
+        self.fast = None
         with open(path, encoding="utf-8") as file:
             ranks = byte_level_ranks(json.load(file))
         if ranks is not None:
             import tiktoken
 
-            fast = tiktoken.Encoding("byte-level", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
-            self.ids = lambda text: fast.encode_to_numpy(text, disallowed_special=())
-        else:
-            from tokenizers import Tokenizer
+            self.fast = tiktoken.Encoding("byte-level", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-            plain = Tokenizer.from_file(path)
-            plain.encode_special_tokens = True
-            self.ids = lambda text: plain.encode(text, add_special_tokens=False).ids
+    def ids(self, text: str):
+        if self.fast is not None:
+            try:
+                return self.fast.encode_to_numpy(text, disallowed_special=())
+            except ValueError:
+                pass
+        return self.plain.encode(text, add_special_tokens=False).ids
 
     def encode(self, text: str) -> bytes:
         return np.asarray(self.ids(text), dtype="<u4").tobytes()

@@ -6,8 +6,10 @@ that no rule fits.  Features are built-in expressions over the url text plus
 statistics of the host's suffixes, counted over all rows.
 
 The fit reads at most ``TRAIN_ROWS`` labelled urls (chosen by hash); all urls are
-counted, matched and scored.  The statistics hold every suffix and are joined by
-suffix without a hint: small tables are broadcast, large ones shuffled, where
+counted, matched and scored.  Block rates are cross-fitted: a labelled url is trained on
+the rate that the labels of the other ``FOLDS`` - 1 folds of urls give its suffixes, so
+no url sees its own label; urls to be judged get the rate of all labels.  The
+statistics hold every suffix and are joined by suffix without a hint: small tables are broadcast, large ones shuffled, where
 adaptive execution splits the partitions of hot suffixes.
 """
 
@@ -33,6 +35,7 @@ RULES = (
 TRAIN_ROWS = 20_000
 TREES, DEPTH, STEP, SEED = 20, 4, 0.2, 7
 SMOOTHING = 20.0  # pseudo-count of a suffix's block rate
+FOLDS = 5  # of the urls, for the rates that the trees are fitted on
 
 
 def lower_ascii(col: Column) -> Column:
@@ -92,16 +95,37 @@ def suffix_column(host: Column, labels: int) -> Column:
     return F.substring_index(host, ".", -labels)
 
 
+def fold_of(url: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit("fold"), url), F.lit(FOLDS)).cast("int")
+
+
+def _rate(blocked: Column, known: Column) -> Column:
+    return (blocked + SMOOTHING / 2) / (known + SMOOTHING)
+
+
 def suffix_statistics(rows: DataFrame, labels: int) -> DataFrame:
-    """Frequency and smoothed block rate of all host suffixes of ``labels`` labels."""
+    """Frequency and smoothed block rate of all host suffixes of ``labels`` labels.
+
+    ``rows``: the suffix, ``label`` and ``fold``.  ``_rates`` holds the rate
+    without the labels of each fold.
+    """
     name = f"suffix{labels}"
+    label = F.col("label")
+    of = lambda k: F.when(F.col("fold") == k, label)
     counted = rows.groupBy(name).agg(
-        F.count(F.lit(1)).alias("n"), F.count("label").alias("known"), F.coalesce(F.sum("label"), F.lit(0)).alias("blocked")
+        F.count(F.lit(1)).alias("n"),
+        F.count(label).alias("known"),
+        F.coalesce(F.sum(label), F.lit(0)).alias("blocked"),
+        F.array(*(F.count(of(k)) for k in range(FOLDS))).alias("known_in"),
+        F.array(*(F.coalesce(F.sum(of(k)), F.lit(0)) for k in range(FOLDS))).alias("blocked_in"),
     )
+    known, blocked = F.col("known"), F.col("blocked")
+    without = [_rate(blocked - F.get("blocked_in", k), known - F.get("known_in", k)) for k in range(FOLDS)]
     return counted.select(
         name,
         F.log1p(F.col("n")).alias(f"{name}_frequency"),
-        ((F.col("blocked") + SMOOTHING / 2) / (F.col("known") + SMOOTHING)).alias(f"{name}_rate"),
+        _rate(blocked, known).alias(f"{name}_rate"),
+        F.array(*without).alias(f"{name}_rates"),
     )
 
 
@@ -119,8 +143,9 @@ def judge_urls(
     urls that a rule decides are the labelled ones.  ``score`` is the trees'
     probability of block.  NULL and malformed urls have empty host and path
     and are judged by the trees on what text they have.  With one class or no
-    labelled url the score is that class (allow if none).  Ids may be NULL or
-    repeated; an empty table gives no rows; other columns are ignored.
+    labelled url the score is that class (allow if none).  A url labelled several
+    times counts each time.  Urls are read whole, however long.  Ids may be NULL
+    or repeated; an empty table gives no rows; other columns are ignored.
     """
     url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
     base = pages.select(F.col(id_col).alias("id"), url.alias("u"))
@@ -133,15 +158,16 @@ def judge_urls(
             F.col("label").cast("int").alias("label"),
         )
         known = _with_parts(given, rules).select("u", "host", "path", "suffix1", "suffix2", "label")
-        rows_for_stats = rows.withColumn("label", F.lit(None).cast("int")).select(*known.columns).unionByName(known)
+        unknown = rows.withColumn("label", F.lit(None).cast("int"))
+        rows_for_stats = unknown.select(*known.columns).unionByName(known)
     else:
         known = rows.where("label is not null").select("u", "host", "path", "suffix1", "suffix2", "label")
         rows_for_stats = rows
-    rows_for_stats = rows_for_stats.select("suffix1", "suffix2", "label")
+    rows_for_stats = rows_for_stats.select("suffix1", "suffix2", "label", fold_of(F.col("u")).alias("fold"))
     tables = [stage(suffix_statistics(rows_for_stats, k), f"url-suffix{k}") for k in (1, 2)]
 
     sample = known.where(F.col("label").isin(0, 1)).orderBy(F.xxhash64("u"), "u").limit(TRAIN_ROWS)
-    train = stage(_with_features(sample, tables), "url-train")
+    train = stage(_with_features(sample, tables, cross_fitted=True), "url-train")
     classes = [r["label"] for r in train.select("label").distinct().collect()]
     if len(classes) == 2:
         assembler = VectorAssembler(inputCols=_feature_names(), outputCol="features")
@@ -172,8 +198,12 @@ def _feature_names() -> list[str]:
     return names + [f"suffix{k}_{what}" for k in (1, 2) for what in ("frequency", "rate")]
 
 
-def _with_features(rows: DataFrame, tables: Sequence[DataFrame]) -> DataFrame:
+def _with_features(rows: DataFrame, tables: Sequence[DataFrame], cross_fitted: bool = False) -> DataFrame:
+    """All features; ``cross_fitted``: rates without the labels of the row's own fold."""
     out = rows
     for k, table in zip((1, 2), tables, strict=True):
         out = out.join(table, f"suffix{k}", "left")  # every suffix is in it
+        if cross_fitted:
+            out = out.withColumn(f"suffix{k}_rate", F.get(f"suffix{k}_rates", fold_of(F.col("u"))))
+        out = out.drop(f"suffix{k}_rates")
     return out.withColumns(lexical_features(F.col("u"), F.col("host"), F.col("path")))

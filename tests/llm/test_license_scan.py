@@ -1,7 +1,7 @@
 import random
 import re
 
-from chronoframe.llm.license_scan import build_automaton, chain_anchors, matching_statistics, scan, scan_licenses, tokens
+from chronoframe.llm.license_scan import FOREIGN, build_automaton, chain_anchors, chain_value, matching_statistics, scan, scan_licenses, tokens
 
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
@@ -38,9 +38,51 @@ def test_matching_statistics_against_brute_force():
 
 
 def test_chain_bridges_a_changed_word_and_splits_far_ones():
-    assert list(chain_anchors([(0, 10, 0, 4), (0, 15, 5, 4)], 8)) == [(0, 10, 19, 0, 9, 8)]
-    assert list(chain_anchors([(0, 10, 0, 4), (0, 50, 5, 4)], 8)) == [(0, 10, 14, 0, 4, 4), (0, 50, 54, 5, 9, 4)]
-    assert list(chain_anchors([(0, 10, 0, 5), (0, 13, 3, 5)], 8)) == [(0, 10, 18, 0, 8, 8)]
+    assert list(chain_anchors([(0, 10, 0, 4), (0, 15, 5, 4)], 8)) == [(0, 10, 19, 0, 9, 8, 1)]
+    assert list(chain_anchors([(0, 10, 0, 4), (0, 50, 5, 4)], 8)) == [(0, 10, 14, 0, 4, 4, 0), (0, 50, 54, 5, 9, 4, 0)]
+    assert list(chain_anchors([(0, 10, 0, 5), (0, 13, 3, 5)], 8)) == [(0, 10, 18, 0, 8, 8, 0)]
+
+
+def test_best_chain_against_all_chains():
+    rng = random.Random(4)
+    for _ in range(300):
+        own = sorted({(rng.randrange(25), rng.randrange(12), rng.randint(2, 5)) for _ in range(rng.randint(1, 7))})
+        values = []
+        for mask in range(1, 1 << len(own)):
+            found = chain_value([x for k, x in enumerate(own) if mask >> k & 1], 3)
+            if found:
+                values.append(found[0] - FOREIGN * found[1])
+        chains = list(chain_anchors([(0, *x) for x in own], 3))
+        assert max(c - FOREIGN * f for *_, c, f in chains) == max(values)
+        spans = sorted((a, b) for _, a, b, *_ in chains)
+        assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:], strict=False))
+
+
+def labels(text):
+    return {s["label"] for s in scan(build_automaton(), tokens(text), 3, 8, 0.75)[1]}
+
+
+def test_licences_are_told_apart():
+    cc = "licensed under a Creative Commons Attribution{} 4.0 International License"
+    assert labels(cc.format("")) == {"cc-by-4.0"}
+    assert labels(cc.format("-NonCommercial")) == {"cc-by-nc-4.0"}
+    assert labels(cc.format("-NoDerivatives")) == {"cc-by-nd-4.0"}
+    assert labels(cc.format("-NonCommercial-ShareAlike")) == {"cc-by-nc-sa-4.0"}
+    assert labels(cc.format("-Something")) == set()
+    assert labels("Licensed under CC BY-NC-SA 4.0.") == {"cc-by-nc-sa-4.0"}
+    assert labels("SPDX-License-Identifier: BSD-3-Clause") == {"bsd-3-clause"}
+    assert labels("SPDX-License-Identifier: Apache-2.0") == {"apache-2.0"}
+    assert labels("SPDX-License-Identifier: Unknown") == set()
+    assert labels("made available under the Eclipse Public License v 2.0") == {"epl-2.0"}
+    assert labels("under the European Union Public Licence, version 1.2") == {"eupl-1.2"}
+    assert labels("the 3-clause BSD; New BSD License") == {"bsd-3-clause"}
+    assert labels("under the MIT License") == {"mit"} and labels("under the other License") == set()
+
+
+def test_many_repeated_anchors_stay_cheap():
+    """A text of 20,000 times the same licence words: each place of the chain looks back a bounded way."""
+    text = "under the MIT License " * 5_000
+    assert len(scan(build_automaton(), tokens(text), 3, 8, 0.75)[1]) == 5_000
 
 
 def test_spans_and_labels():

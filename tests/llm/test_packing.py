@@ -25,6 +25,12 @@ def test_ids_equal_those_of_the_tokenizers_library(text):
     assert FAST.encode(text) == np.array(plain_ids(text), dtype="<u4").tobytes()
 
 
+def test_very_long_blank_runs():
+    n = 2_000_000
+    for text in [" " * n, "\n" * n, " \n\t" * (n // 3), "words before " + " " * n + "x", "x" * 300_000]:
+        assert FAST.encode(text) == np.array(plain_ids(text), dtype="<u4").tobytes()
+
+
 def test_other_kinds_of_file_run_by_the_tokenizers_library():
     other = public_tokenizers.path("word_bpe_49k.json")
     plain = Tokenizer.from_file(other)

@@ -1,10 +1,11 @@
 import math
+import random
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from chronoframe.llm.url_filter import _with_features, _with_parts, entropy, judge_urls, suffix_statistics
+from chronoframe.llm.url_filter import FOLDS, _with_features, _with_parts, entropy, fold_of, judge_urls, suffix_statistics
 
 URLS = [
     "http://a.net/x", "http://net/", "http://net", "https://M.Example.NET/en/1?q=1&r=2#top", "http://example.net/en",
@@ -53,6 +54,40 @@ def test_trees_learn_given_labels(spark):
     assert all((r["verdict"] == "block") == (r["page_id"] >= 50) for r in out)
 
 
+def test_labels_do_not_leak_through_suffixes(spark):
+    """One domain a url: only the text tells (nine times in ten), for labelled urls and unseen ones alike."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(4000):
+        label = rng.randrange(2)
+        shown = label if rng.random() < 0.9 else 1 - label
+        rows.append((f"http://d{i}.example/{'a/b/c/d' if shown else 'page'}", label))
+    labelled = spark.createDataFrame(rows[:2000], "url string, label int")
+    pages = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(rows[2000:])], "page_id long, url string")
+    out = judge_urls(pages, rules=(), labelled=labelled).collect()
+    right = sum((r["verdict"] == "block") == rows[2000 + r["page_id"]][1] for r in out)
+    assert right >= 0.85 * len(out)
+
+
+def test_cross_fitted_rates(spark):
+    """A url's own label, and those of its fold, are not in the rate it is trained on."""
+    rows = [(f"http://s{i % 3}.zz/{i}", i % 2) for i in range(60)]
+    df = _with_parts(spark.createDataFrame(rows, "u string, label int"), RULES)
+    tables = [suffix_statistics(df.withColumn("fold", fold_of(F.col("u"))), k) for k in (1, 2)]
+    got = _with_features(df, tables, cross_fitted=True).select("u", fold_of(F.col("u")).alias("f"), "suffix2_rate").collect()
+    fold = {r["u"]: r["f"] for r in got}
+    assert len(set(fold.values())) == FOLDS
+    for r in got:
+        others = [y for u, y in rows if u.split("/")[2] == r["u"].split("/")[2] and fold[u] != r["f"]]
+        assert r["suffix2_rate"] == pytest.approx((sum(others) + 10) / (len(others) + 20))
+
+
+def test_very_long_urls(spark):
+    urls = ["http://a.net/" + "x" * 200_000, "http://" + "b." * 50_000 + "net/", "y" * 300_000]
+    out = judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).orderBy("page_id").collect()
+    assert [r["rule"] for r in out] == ["net/", "net/", None] and len(out[0]["path"]) == 200_001
+
+
 def test_no_labels_and_empty_and_clashing(spark, pages):
     plain_pages = spark.createDataFrame([(1, "http://a.b/"), (1, "http://a.b/"), (None, None)], "page_id long, url string")
     assert [r["verdict"] for r in judge_urls(plain_pages).collect()] == ["allow"] * 3
@@ -74,7 +109,8 @@ def test_every_suffix_has_its_own_statistics(spark, broadcast):
     """10,050 domains of one url each, and one of 300."""
     url = F.when(F.col("id") < 10_050, F.concat(F.lit("http://d"), "id", F.lit(".zz/"))).otherwise(F.lit("http://hot.zz/"))
     rows = _with_parts(spark.range(10_350).select(url.alias("u"), (F.col("id") % 2).alias("label")), RULES)
-    tables = [suffix_statistics(rows, k) for k in (1, 2)]
+    folded = rows.withColumn("fold", fold_of(F.col("u")))
+    tables = [suffix_statistics(folded, k) for k in (1, 2)]
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     try:
