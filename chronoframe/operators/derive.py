@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoframe.config import (
@@ -118,8 +118,9 @@ def _with_rate_rows(df: DataFrame, keys: Sequence[str], vocab: EventVocab, bucke
     running scan finds a row's rate by looking back.
     """
     timed = df.where(F.col(TS).isNotNull()).withColumn("_rb", trunc_ts(TS, bucket))
-    counts = timed.groupBy("_rb").agg(F.count_if(F.col(EVENT) == vocab.sample).alias("_hz"))
-    starts = timed.select(*keys, "_rb").distinct().join(counts, "_rb")
+    # one pass over the rows gives a count per session and second; a second's are one row a session
+    per = timed.groupBy(*keys, "_rb").agg(F.count_if(F.col(EVENT) == vocab.sample).alias("_n"))
+    starts = per.withColumn("_hz", F.sum("_n").over(Window.partitionBy("_rb")))
     starts = starts.select(*keys, F.col("_rb").alias(TS), "_hz", F.lit(0).alias("_row"))
     return df.withColumn("_row", F.lit(1)).unionByName(starts, allowMissingColumns=True)
 

@@ -291,6 +291,7 @@ QUERIES.update(
 
 # ---- mixed models -----------------------------------------------------------
 from chronoframe.operators import mixed  # noqa: E402
+from chronoframe.operators.random_intercept import random_intercept_test  # noqa: E402
 
 # The synthetic TPC-style columns are independent draws, so the models run on
 # the per-session summary, where hits and play time are related by design.
@@ -310,6 +311,16 @@ def q_mixed_model_select(spark, sf_dir):
 QUERIES["mixed_model_select"] = q_mixed_model_select
 
 
+def q_random_intercept_test(spark, sf_dir):
+    """Does the discount explain the price beyond quantity and differences between suppliers?"""
+    lines = load(spark, sf_dir, "lineitem")
+    out = random_intercept_test(lines, "l_extendedprice", ["l_discount"], "l_suppkey", null=["l_quantity"])
+    return rounded(out.select("model", "npar", "n", "levels", "ML", "Chisq", "Df"), ["ML", "Chisq"], 2)
+
+
+QUERIES["random_intercept_test"] = q_random_intercept_test
+
+
 # ---- trial outcomes (A12, W7) -----------------------------------------------
 # Fixed values of the stand-in mapping: click rows carry a trial result chosen
 # by k % 8 from AccInput, RejInput, OverrideInput, AugSuccess, ExplicitSham,

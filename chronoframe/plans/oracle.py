@@ -506,3 +506,64 @@ FROM (SELECT DISTINCT l_returnflag, CAST(l_quantity AS DOUBLE) AS l_quantity FRO
 JOIN (SELECT l_returnflag, regr_slope(l_extendedprice, l_quantity) AS slope,
              regr_intercept(l_extendedprice, l_quantity) AS icept FROM lineitem GROUP BY l_returnflag)
 USING (l_returnflag)"""
+
+
+def _intercept_model(name: str, terms: list[str]) -> str:
+    """CTEs that minimise the profile deviance of a random-intercept model over s = ratio / (1 + ratio).
+
+    One recursion step a round: 33 values of s around the best so far, each from
+    the sums of all levels; normal equations by Cramer's rule for two or three terms.
+    """
+    own = ["q_0", *(f"q_{t}" for t in terms), "q_y"]
+    k = len(own)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    mom = lambda i, j: f"m{min(i, j)}{max(i, j)}"
+    sums = ", ".join(
+        f"any_value(t_{own[i][2:]}_{own[j][2:]}) - sum(w * {own[i]} * {own[j]}) AS {mom(i, j)}" for i, j in pairs
+    )
+
+    def det(a, size):
+        if size == 1:
+            return a(0, 0)
+        if size == 2:
+            return f"({a(0, 0)} * {a(1, 1)} - {a(0, 1)} * {a(1, 0)})"
+        minor = lambda c: det(lambda i, j: a(i + 1, j + (j >= c)), size - 1)
+        signs = ["", "-", ""]
+        return "(" + " + ".join(f"{signs[c]}{a(0, c)} * {minor(c)}" for c in range(size)) + ")"
+
+    p = k - 1
+    # residual sum of squares = det of the whole moment matrix / det of the terms' part, by elimination of the first term
+    e = lambda i, j: f"({mom(i, j)} - {mom(0, i)} * {mom(0, j)} / m00)"
+    if p == 2:
+        rss = f"{e(2, 2)} - {e(1, 2)} * {e(1, 2)} / {e(1, 1)}"
+    else:
+        whole = det(lambda i, j: e(i + 1, j + 1), 3)
+        part = det(lambda i, j: e(i + 1, j + 1), 2)
+        rss = f"{whole} / {part}"
+    rounds = []
+    for r in range(9):
+        centre, half = (f"(SELECT s FROM {name}_b{r - 1})", f"{0.5 * 8.0 ** -r!r}") if r else ("0.5", "0.5")
+        rounds.append(f"""{name}_p{r} AS (
+  SELECT DISTINCT greatest(0.0, least(0.999999, {centre} + {half} * (i - 16) / 16.0))::DOUBLE AS s FROM range(33) g(i)),
+{name}_e{r} AS (
+  SELECT s, sum(ln(1 + s / (1 - s) * q_0)) AS logdet, any_value(t_0_0) AS n, {sums}
+  FROM (SELECT *, s / (1 - s) / (1 + s / (1 - s) * q_0) AS w FROM {name}_p{r}, lv, tot) GROUP BY s),
+{name}_b{r} AS (
+  SELECT s, -0.5 * (n * (ln(2 * pi() * ({rss}) / n) + 1) + logdet) AS ml FROM {name}_e{r} ORDER BY ml DESC, s LIMIT 1)""")
+    return ",\n".join(rounds)
+
+
+_TERMS = {"0": "1.0", "qty": "CAST(l_quantity AS DOUBLE)", "disc": "CAST(l_discount AS DOUBLE)", "y": "CAST(l_extendedprice AS DOUBLE)"}
+_TOTALS = ", ".join(
+    f"sum({_TERMS[a]} * {_TERMS[b]}) AS t_{a}_{b}" for i, a in enumerate(_TERMS) for b in list(_TERMS)[i:]
+)
+SQL["random_intercept_test"] = f"""WITH
+lv AS (SELECT l_suppkey, {", ".join(f"sum({e}) AS q_{t}" for t, e in _TERMS.items())} FROM lineitem GROUP BY l_suppkey),
+tot AS (SELECT {_TOTALS}, count(DISTINCT l_suppkey) AS levels FROM lineitem),
+{_intercept_model("a", ["qty"])},
+{_intercept_model("b", ["qty", "disc"])}
+SELECT 'l_extendedprice ~ 1 + l_quantity + (1 | l_suppkey)' AS model, 4 AS npar, t_0_0::BIGINT AS n, levels,
+  round(a_b8.ml, 2) AS "ML", NULL::DOUBLE AS "Chisq", NULL::INTEGER AS "Df" FROM a_b8, tot
+UNION ALL
+SELECT 'l_extendedprice ~ 1 + l_quantity + l_discount + (1 | l_suppkey)', 5, t_0_0::BIGINT, levels,
+  round(b_b8.ml, 2), round(greatest(2 * (b_b8.ml - a_b8.ml), 0.0), 2), 1 FROM a_b8, b_b8, tot"""
