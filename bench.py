@@ -37,7 +37,15 @@ HEADLINE = [
     "mixed_model_select",
 ]
 # the shuffle-heaviest queries, reported apart from the headline total
-MORE = ["pointer_frames_v2", "dense_frames", "overlay_anti", "csv_session_summary"]
+MORE = [
+    "pointer_frames_v2",
+    "dense_frames",
+    "overlay_anti",
+    "csv_session_summary",
+    "csv_split_rows",
+    "sorted_log",
+    "random_intercept_test",
+]
 
 
 def run(spark, name: str, sf_dir: str) -> float:
