@@ -11,18 +11,23 @@ Steps, all built-in expressions:
 2. Tokens are ordered from rare to frequent.  Rarity comes from counts over
    all words in ``SLOTS`` hash slots (a fixed-size array); any fixed order gives
    the same matches, a good one short postings.
-3. Prefix filter: matching lines share a token among the first n/5 + 1 of each.
-   Postings of up to ``SHORT`` lines are joined with themselves; in longer ones
-   a line is first paired with the first line of its length class, so a large
-   group of near copies costs one candidate a line and token, not all pairs.
-   Length and positional filters, and a bound on the overlap from 128-bit token
-   maps, cut candidates inside the join.
-4. The whole token sets of the candidates are compared.
-5. Lines that found no match and stand in longer postings are joined with all
+3. Prefix filter on keys of two neighbouring tokens.  Each token that only one
+   of two lines has parts at most one pair of neighbours among their shared
+   tokens, so matching lines of n and m tokens share a key at place (2n - m)/3 or
+   before in the first and (2m - n)/3 or before in the second.  Two
+   neighbours are far rarer than a token: their postings stay short as the
+   corpus grows, where postings of single tokens grow with it.
+4. Keys of one line are dropped.  Postings of up to ``SHORT`` lines are joined with
+   themselves; in longer ones a line is first paired with the first line of its
+   length class, so a large group of near copies costs one candidate a line and
+   key, not all pairs.  Length and positional filters cut pairs inside the join,
+   then a bound on the overlap from 128-bit token maps.
+5. The whole token sets of the candidates are compared.
+6. Lines that found no match and stand in longer postings are joined with all
    earlier lines of these postings, filtered and verified alike; nothing is cut off.
-6. Documents that lost lines are rebuilt.
+7. Documents that lost lines are rebuilt.
 
-Steps 4 and 6 need the text of few lines or documents.  A bit array of fixed
+Steps 5 and 7 need the text of few lines or documents.  A bit array of fixed
 size (``FILTER_BITS``, false positives only) thins the rows before the exact
 join; when it fills up, more rows travel and the result is the same.
 """
@@ -82,7 +87,7 @@ def slot_of(h: Column) -> Column:
 def rarity(lines: DataFrame) -> Column:
     """Array of order classes by slot: two steps per doubling of the slot's word count, in the top bits."""
     words = lines.select(F.explode(F.split("line", " ")).alias("w")).select(F.xxhash64("w").alias("h"))
-    counts = words.groupBy(slot_of(F.col("h")).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    counts = stage(words.groupBy(slot_of(F.col("h")).alias("slot")).agg(F.count(F.lit(1)).alias("n")), "line-rarity")
     step = F.least(F.floor(F.log2("n") * 2).cast("long"), F.lit(127))
     return dense_array(counts.select("slot", F.shiftleft(step, 56).alias("value")), SLOTS)
 
@@ -100,8 +105,25 @@ def similar_size(n: Column, m: Column) -> Column:
 
 
 def can_reach(n: Column, i: Column, m: Column, j: Column) -> Column:
-    """Positional filter: a first shared token at places i and j still allows the similarity."""
-    return (1 + F.least(n - i - 1, m - j - 1)) * (NUM + DEN) >= (n + m) * NUM
+    """Positional filter: the first shared key at places i and j still allows the similarity.
+
+    A line of n tokens has at most (5n - 4m)/9 that the other lacks.
+    """
+    spare = NUM + DEN
+    return (
+        (3 * i <= 2 * n - m)
+        & (3 * j <= 2 * m - n)
+        & ((i - j) * spare <= n * DEN - m * NUM)
+        & ((j - i) * spare <= m * DEN - n * NUM)
+    )
+
+
+def prefix_keys(tokens: Column) -> Column:
+    """Hashes of neighbouring tokens (the last one with an end mark) at the places where a first shared key may be."""
+    n = F.size(tokens)
+    places = F.floor((2 * n - F.ceil(n * NUM / DEN)) / 3).cast("int") + 1
+    follower = F.slice(F.concat(tokens, F.array(F.lit(0).cast("long"))), F.lit(2), places)
+    return F.zip_with(F.slice(tokens, F.lit(1), places), follower, lambda x, y: F.xxhash64(x, y))
 
 
 def size_class(n: Column) -> Column:
@@ -121,26 +143,35 @@ MAPS = ("w0", "w1")  # the two halves of a line's 128-bit token map
 
 
 def token_map(tokens: Column, half: int) -> Column:
-    """64 of 128 bits, one for each value of seven hash bits that occurs among the tokens."""
+    """64 of 128 bits; a token flips the bit that seven of its hash bits name."""
 
-    def add(a: Column, x: Column) -> Column:
+    def flip(a: Column, x: Column) -> Column:
         place = F.shiftrightunsigned(x, 16).bitwiseAND(63).cast("int")
-        marked = a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), place))
-        return F.when(F.shiftrightunsigned(x, 22).bitwiseAND(1) == half, marked).otherwise(a)
+        flipped = a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), place))
+        return F.when(F.shiftrightunsigned(x, 22).bitwiseAND(1) == half, flipped).otherwise(a)
 
-    return F.aggregate(tokens, F.lit(0).cast("long"), add)
+    return F.aggregate(tokens, F.lit(0).cast("long"), flip)
 
 
 def _fits() -> Column:
-    """Length, positional and map filters of a posting row and an earlier one (columns v...).
+    """Length and positional filters of a posting row and an earlier one (columns v...)."""
+    n, vn = F.col("n"), F.col("vn")
+    return similar_size(n, vn) & can_reach(n, F.col("i"), vn, F.col("vi"))
+
+
+def _plausible(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Distinct pairs (d, o, vd, vo) whose token maps allow the similarity.
 
     Every bit in which the maps differ stands for a token that only one line
     has, so the overlap is at most half of what the sizes leave.
     """
+    mine = firsts.select("d", "o", "n", *MAPS)
+    other = mine.withColumnsRenamed({c: f"v{c}" for c in mine.columns})
     n, vn = F.col("n"), F.col("vn")
     apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(w).bitwiseXOR(F.col(f"v{w}"))) for w in MAPS))
     room = (n + vn - apart) * (NUM + DEN) >= (n + vn) * (2 * NUM)
-    return similar_size(n, vn) & can_reach(n, F.col("i"), vn, F.col("vi")) & room
+    both = pairs.select("d", "o", "vd", "vo").distinct().join(mine, ["d", "o"]).join(other, ["vd", "vo"])
+    return both.where(room).select("d", "o", "vd", "vo")
 
 
 def _before(v: str) -> Column:
@@ -160,9 +191,9 @@ def _verified(pairs: DataFrame, lines: DataFrame, classes: Column) -> DataFrame:
 
 
 def _first_lines(lines: DataFrame, classes: Column) -> DataFrame:
-    """The first of each group of equal lines that hold a token: keys, place, size, prefix and token maps."""
+    """The first of each group of equal lines that hold a token: keys, place, size, prefix keys and token maps."""
     n = F.size("t")
-    prefix = F.slice("t", F.lit(1), n - F.ceil(n * NUM / DEN).cast("int") + 1)
+    prefix = prefix_keys(F.col("t"))
     maps = [token_map(F.col("t"), half).alias(name) for half, name in enumerate(MAPS)]
     coded = with_codes(lines, classes).select(
         *_line_keys(), F.struct("d", "o", n.alias("n"), prefix.alias("p"), *maps).alias("s")
@@ -176,23 +207,32 @@ def _line_keys() -> list[Column]:
     return [F.xxhash64("line").alias("k1"), F.xxhash64(F.lit("line"), "line").alias("k2")]
 
 
-def _candidates(firsts: DataFrame) -> DataFrame:
-    """Candidate pairs (vd set) and the rows of longer postings (token set); a row may be both."""
-    postings = firsts.select("d", "o", "n", *MAPS, F.posexplode("p").alias("i", "token"))
-    # no posting is NULL; saying so here keeps the joins from adding filters of their own, which would
-    # give each branch below an exchange of its own instead of one that they share
-    postings = postings.where(reduce(lambda x, y: x & y, (F.col(c).isNotNull() for c in postings.columns)))
-    counted = postings.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("token")))
-    short = counted.where(F.col("c").between(2, SHORT)).select("token", "d", "o", "n", *MAPS, "i")
-    earlier = short.withColumnsRenamed({c: f"v{c}" for c in short.columns})
-    pairs = short.join(earlier, (F.col("token") == F.col("vtoken")) & _before("v") & _fits())
-    longer = counted.where(F.col("c") > SHORT).withColumn("class", size_class(F.col("n")))
-    by_class = Window.partitionBy("token", "class").orderBy("d", "o")
-    head = {f"v{c}": F.first(c).over(by_class) for c in ("d", "o", "n", *MAPS, "i")}
-    led = longer.withColumns(head).withColumn("led", _before("v") & _fits())
-    led = led.withColumns({c: F.when(F.col("led"), F.col(c)) for c in ("vd", "vo")})
-    posting = ["token", "d", "o", "n", *MAPS, "i"]
-    return led.select(*posting, "vd", "vo").unionByName(pairs.select("d", "o", "vd", "vo"), allowMissingColumns=True)
+POSTING = ["key", "d", "o", "n", "i"]
+
+
+def _postings(firsts: DataFrame) -> DataFrame:
+    """Rows of keys that two lines or more share, with ``c``: the lines of the key."""
+    postings = firsts.select("d", "o", "n", F.posexplode("p").alias("i", "key"))
+    counted = postings.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    return counted.where(F.col("c") > 1).select(*POSTING, "c")
+
+
+def _earlier(rows: DataFrame) -> DataFrame:
+    return rows.select(*POSTING).withColumnsRenamed({c: f"v{c}" for c in POSTING})
+
+
+def _earlier_pairs(rows: DataFrame, others: DataFrame) -> DataFrame:
+    same_key = F.col("key") == F.col("vkey")
+    return rows.join(_earlier(others), same_key & _before("v") & _fits()).select("d", "o", "vd", "vo")
+
+
+def _first_pairs(short: DataFrame, longer: DataFrame) -> DataFrame:
+    """All pairs of short postings; in longer ones, lines with the first line of their length class."""
+    classed = longer.withColumn("class", size_class(F.col("n")))
+    leaders = classed.groupBy("key", "class").agg(F.min(F.struct("d", "o", "n", "i")).alias("v"))
+    leaders = leaders.select("key", "class", *[F.col(f"v.{c}").alias(f"v{c}") for c in ("d", "o", "n", "i")])
+    led = classed.join(leaders, ["key", "class"]).where(_before("v") & _fits())
+    return _earlier_pairs(short, short).unionByName(led.select("d", "o", "vd", "vo"))
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -206,20 +246,16 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     equal = lines.select(*_line_keys(), "d", "o").join(first, ["k1", "k2"]).where(_before("v")).select("d", "o")
     equal = stage(equal, "line-equal")
 
-    work = stage(_candidates(firsts), "line-postings")
-    pairs = work.where("vd is not null").select("d", "o", "vd", "vo").distinct()
-    pairs = stage(pairs, "line-pairs")
+    work = stage(_postings(firsts), "line-postings")
+    short, longer = work.where(F.col("c") <= SHORT), work.where(F.col("c") > SHORT)
+    pairs = stage(_plausible(_first_pairs(short, longer), firsts), "line-pairs")
     near = stage(_verified(pairs, lines, classes), "line-near")
-    drop_staged(firsts, pairs)
+    drop_staged(pairs)
 
     # lines without a match yet against all earlier lines of their longer postings
-    longer = work.where("token is not null").select("token", "d", "o", "n", *MAPS, "i")
-    earlier = longer.withColumnsRenamed({c: f"v{c}" for c in longer.columns})
-    rest = longer.join(near, ["d", "o"], "left_anti").join(
-        earlier, (F.col("token") == F.col("vtoken")) & _before("v") & _fits()
-    )
-    rest = stage(rest.select("d", "o", "vd", "vo").distinct(), "line-rest")
-    drop_staged(work)
+    unmatched = longer.join(near, ["d", "o"], "left_anti").select(*POSTING)
+    rest = stage(_plausible(_earlier_pairs(unmatched, longer), firsts), "line-rest")
+    drop_staged(work, firsts)
     far = _verified(rest, lines, classes)
     repeats = stage(equal.unionByName(near).unionByName(far).distinct(), "line-repeats")
     drop_staged(equal, near, rest)

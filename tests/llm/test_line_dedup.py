@@ -82,3 +82,21 @@ def test_empty_and_clashing(no_docs, clashing):
     out = dedup_lines(clashing)
     assert sorted(out.columns) == sorted(clashing.columns)
     assert out.count() == clashing.count()
+
+
+def test_prefix_keys_lose_no_pair(spark):
+    """Every two similar subsets of eleven tokens share a key whose places pass the filters."""
+    subsets = [[t + 1 for t in range(11) if s >> t & 1] for s in range(1, 1 << 11)]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(subsets)], "s int, t array<long>")
+    keys = table.select("s", F.size("t").alias("n"), F.posexplode(line_dedup.prefix_keys(F.col("t"))).alias("i", "key"))
+    other = keys.withColumnsRenamed({c: f"v{c}" for c in keys.columns})
+    found = keys.join(other, (F.col("key") == F.col("vkey")) & (F.col("s") < F.col("vs")) & line_dedup._fits())
+    got = {tuple(r) for r in found.select("s", "vs").distinct().collect()}
+    sets = [set(t) for t in subsets]
+    similar = {
+        (i, j)
+        for i, a in enumerate(sets)
+        for j in range(i + 1, len(sets))
+        if 9 * len(a & sets[j]) >= 4 * (len(a) + len(sets[j]))
+    }
+    assert similar and similar <= got
