@@ -23,7 +23,7 @@ from chronoframe.config import (
     EventVocab,
 )
 from chronoframe.functions.scalars import in_set, parse_log_ts, secs, to_numeric, trunc_ts, unit_micros
-from chronoframe.operators.scan import running_scan
+from chronoframe.operators.scan import CHUNK_KEYS, Stored, running_scan
 
 def _ties(df: DataFrame, ord_col: str | None) -> tuple[str, ...]:
     return (ord_col,) if ord_col and ord_col in df.columns else ()
@@ -125,6 +125,18 @@ def _with_rate_rows(df: DataFrame, keys: Sequence[str], vocab: EventVocab, bucke
     return df.withColumn("_row", F.lit(1)).unionByName(starts, allowMissingColumns=True)
 
 
+def _with_stored_rate(df: DataFrame, vocab: EventVocab, bucket: str) -> DataFrame:
+    """``_hz`` of the row's bucket on a clustered table: one map of buckets a chunk, so no row moves."""
+    timed = df.where(F.col(TS).isNotNull())
+    per = timed.groupBy(*CHUNK_KEYS, trunc_ts(TS, bucket).alias("_rb")).agg(
+        F.count_if(F.col(EVENT) == vocab.sample).alias("_n")
+    )
+    rates = per.withColumn("_hz", F.sum("_n").over(Window.partitionBy("_rb")))
+    entries = F.map_from_entries(F.collect_list(F.struct("_rb", "_hz"))).alias("_rates")
+    joined = df.join(rates.groupBy(*CHUNK_KEYS).agg(entries), list(CHUNK_KEYS), "left")
+    return joined.withColumn("_hz", F.try_element_at("_rates", trunc_ts(TS, bucket))).drop("_rates")
+
+
 def game_clock(
     df: DataFrame,
     keys: Sequence[str] = SESSION_KEYS,
@@ -169,22 +181,30 @@ def derive_session_log(
     bucket's sample count into the same scan, so the rows are not shuffled
     again; otherwise (or with ``rate_keys``, or a bucket longer than the scan's
     chunks) the counts are joined back by bucket, a second shuffle of the rows.
+    With ``Stored`` as first grain and a table bucketed by its chunks
+    (``write_clustered``) no row is shuffled at all.
     """
     df = clean_log(raw) if clean else raw
     # re-deriving a derived log replaces its derived columns (GameTimeSpent is
     # a raw column too and is replaced in place)
     df = df.drop("PlayPeriod", "Time_delta", "Hz", "GameStarted", "GameFinished", "GameTimeLeft")
-    original = df.columns
+    stored = bool(grains) and isinstance(grains[0], Stored)
+    original = [c for c in df.columns if not (stored and c in CHUNK_KEYS)]
     # Hz comes out of the scan when every rate bucket lies inside one chunk
+    own_rate = stored and not rate_keys and unit_micros(grains[0].grain) % unit_micros(rate_bucket) == 0
     fuse_rate = (
         fuse_rate
+        and not stored
         and not rate_keys
         and bool(grains)
         and grains[0] in ("minute", "hour", "day")
         and unit_micros(grains[0]) % unit_micros(rate_bucket) == 0
     )
     is_end = in_set(EVENT, vocab.end)
-    rows = _with_rate_rows(df, keys, vocab, rate_bucket) if fuse_rate else df.withColumn("_row", F.lit(1))
+    if fuse_rate:
+        rows = _with_rate_rows(df, keys, vocab, rate_bucket)
+    else:
+        rows = (_with_stored_rate(df, vocab, rate_bucket) if own_rate else df).withColumn("_row", F.lit(1))
     marked = rows.withColumns(
         {
             "_mark": in_set(EVENT, vocab.markers).cast("int"),
@@ -211,9 +231,10 @@ def derive_session_log(
             "Time_delta": F.coalesce(secs(TS, "_prev_ts"), F.lit(0.0)),
         }
     )
-    if fuse_rate:
+    if fuse_rate or own_rate:
+        rate = F.col("_rate" if fuse_rate else "_hz")
         untimed = df.where(F.col(TS).isNull()).agg(F.count_if(F.col(EVENT) == vocab.sample)).scalar()
-        out = out.withColumn("Hz", F.when(F.col(TS).isNull(), untimed).otherwise(F.col("_rate")))
+        out = out.withColumn("Hz", F.when(F.col(TS).isNull(), untimed).otherwise(rate))
     else:
         out = sample_rate(out, vocab, rate_bucket, rate_keys)
     out = _clock_columns(out)

@@ -37,6 +37,7 @@ from chronoframe.sources.tables import stage_table
 
 SCAN_KINDS = ("sum", "prev", "prev_nonnull", "prev_time", "prev_nonnull_local")
 _SK = "_scan_sk"
+CHUNK_KEYS = (_SK, "_scan_chunk0")
 # Chunk keys are longs: time in units of the grain; rows whose time is NULL are numbered from here, in tie order.
 _UNTIMED = 1 << 62
 _UNTIMED_BITS = 16  # consecutive tie values that share a chunk
@@ -57,6 +58,30 @@ class EquiDepth:
     CHUNKS_PER_PARTITION = 8
 
 
+class Stored:
+    """The finest grain of a table that ``with_chunks`` keyed: its group and chunk columns are used as they stand.
+
+    On a table bucketed by them the scan moves no row.
+    """
+
+    def __init__(self, grain: str | int):
+        self.grain = grain
+
+
+def with_chunks(df: DataFrame, keys: Sequence[str], time_col: str, ties: Sequence[str], grain: str | int) -> DataFrame:
+    """``df`` with its group and chunk columns (``CHUNK_KEYS``), for a scan with ``Stored(grain)``.
+
+    The group is text (the keys as JSON, NULL keys left out): Spark shuffles a struct with
+    floating-point fields again, since it rewrites them before it compares.
+    """
+    group, chunk = CHUNK_KEYS
+    kinds = dict(df.dtypes)
+    plain = lambda k: (F.col(k) + 0.0 if kinds[k] in ("double", "float") else F.col(k)).alias(k)  # noqa: E731 - no -0.0
+    return df.withColumns(
+        {group: F.to_json(F.struct(*map(plain, keys))), chunk: _chunk(df, time_col, ties, grain, None)}
+    )
+
+
 def _untimed_chunk(df: DataFrame, ties: Sequence[str]) -> Column:
     """Chunk of a row without a time: by its integer tie column, in tie order."""
     kinds = dict(df.dtypes)
@@ -121,7 +146,10 @@ def _scan(df, sk, time_col, ties, ops, grains, session_aggs, level=0, finer=None
     if not grains:
         return _base_scan(df, sk, time_col, ties, ops, session_aggs)
     chunk = f"_scan_chunk{level}"
-    if isinstance(grains[0], EquiDepth):
+    own = grains[0].grain if isinstance(grains[0], Stored) else grains[0]
+    if isinstance(grains[0], Stored):
+        rows, above = df, grains[1:]
+    elif isinstance(grains[0], EquiDepth):
         rows, above = _equi_depth(df, sk, time_col, ties, chunk, grains[0]), ()
     else:
         rows, above = df.withColumn(chunk, _chunk(df, time_col, ties, grains[0], finer)), grains[1:]
@@ -148,7 +176,7 @@ def _scan(df, sk, time_col, ties, ops, grains, session_aggs, level=0, finer=None
     coarser = {"prev_time": "prev_nonnull"}
     sub_ops = {f"{out}__c": (coarser.get(kind, kind), f"{out}__s") for out, (kind, _) in carried_ops.items()}
     sub_sess = {out: (fn, f"{out}__s") for out, (fn, _) in session_aggs.items()}
-    carried = _scan(chunks, sk, chunk, (), sub_ops, above, sub_sess, level + 1, grains[0])
+    carried = _scan(chunks, sk, chunk, (), sub_ops, above, sub_sess, level + 1, own)
     carry_cols = [F.col(sk), F.col(chunk)]
     for out, (kind, _) in carried_ops.items():
         c = F.col(f"{out}__c")
@@ -184,13 +212,13 @@ def running_scan(
     time_col: str,
     ties: Sequence[str] = (),
     ops: Mapping[str, tuple[str, str]] | None = None,
-    grains: Sequence[str | int | EquiDepth] = ("minute",),
+    grains: Sequence[str | int | EquiDepth | Stored] = ("minute",),
     session_aggs: Mapping[str, tuple[str, str]] | None = None,
 ) -> DataFrame:
     """Add running columns ``{out: (kind, input_col)}`` per group ``keys``.
 
     ``grains`` (finest first) choose the chunking; ``(EquiDepth(),)`` chunks of
-    equal row counts; ``()`` gives the plain single-window plan.  Group keys may be NULL (NULL is a group).
+    equal row counts; ``Stored`` first takes the chunks of a clustered table; ``()`` gives the plain single-window plan.  Group keys may be NULL (NULL is a group).
     """
     ops = dict(ops or {})
     session_aggs = dict(session_aggs or {})
@@ -204,6 +232,7 @@ def running_scan(
             raise ValueError("session_aggs supports min and max")
     # a struct of the keys compares NULL fields as equal, so plain equi-joins
     # and hash partitioning treat a NULL key as one group
-    with_key = df.withColumn(_SK, F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0))
+    stored = bool(grains) and isinstance(grains[0], Stored)
+    with_key = df if stored else df.withColumn(_SK, F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0))
     out = _scan(with_key, _SK, time_col, tuple(ties), ops, tuple(grains), session_aggs)
     return out.drop(_SK)

@@ -439,6 +439,8 @@ QUERIES["csv_session_summary"] = q_csv_session_summary
 
 # ---- persisted log, partition-pruned filters (S6-S8, F1, F2) --------------
 from chronoframe.operators import basic  # noqa: E402
+from chronoframe.operators.scan import Stored  # noqa: E402
+from chronoframe.sources.clustered import write_clustered  # noqa: E402
 
 
 def q_persisted_game_rows(spark, sf_dir):
@@ -455,6 +457,26 @@ def q_persisted_game_rows(spark, sf_dir):
 QUERIES["persisted_game_rows"] = q_persisted_game_rows
 
 
+def clustered_log(spark, sf_dir):
+    """The cleaned log as a table bucketed by session and hour."""
+    name = f"clustered_{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/chronoframe-stage/{name}"
+    table = write_clustered(cleaned(spark, sf_dir), name, path, KEYS, grain="hour")
+    _delete_on_exit(spark, path)
+    return table
+
+
+def q_clustered_derived_log(spark, sf_dir):
+    """C1 on a log persisted by session and hour: no row is shuffled after the write."""
+    log = derive_session_log(
+        clustered_log(spark, sf_dir), KEYS, VOCAB, grains=(Stored("hour"), *GRAINS[GRAINS.index("hour") + 1 :]), clean=False
+    )
+    return log.select("_ord", *KEYS, "Timestamp", "Event", "PlayPeriod", "Time_delta", "Hz", "GameTimeSpent", "GameTimeLeft")
+
+
+QUERIES["clustered_derived_log"] = q_clustered_derived_log
+
+
 # ---- operators that the queries above use only in part ----------------------
 def q_summary_first_marker(spark, sf_dir):
     """A3 with one row per session: the first end marker."""

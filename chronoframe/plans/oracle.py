@@ -460,6 +460,10 @@ SQL["persisted_game_rows"] = f"""WITH {DLOG}
 SELECT "_ord", "Participant", "Condition", "Timestamp", "Event", "GameTimeSpent", "Hz"
 FROM dlog WHERE "Condition" = 'C1' AND "PlayPeriod" = 'Game'"""
 
+SQL["clustered_derived_log"] = f"""WITH {DLOG}
+SELECT "_ord", "Participant", "Condition", "Timestamp", "Event", "PlayPeriod", "Time_delta", "Hz",
+  "GameTimeSpent", "GameTimeLeft" FROM dlog"""
+
 SQL["summary_first_marker"] = SQL["session_summary"].replace(
     """ends AS (SELECT "Participant", "Condition", "Timestamp" AS _end FROM game WHERE "Event" = 'purchase')""",
     """ends AS (SELECT "Participant", "Condition", MIN("Timestamp") AS _end FROM game WHERE "Event" = 'purchase'
