@@ -8,9 +8,14 @@ masks below are chosen so that every window with at most two substitutions
 holds a complete seed of one of them at some offset (a test enumerates all
 patterns); hence the seed join loses no overlap.
 
+An item of ``SHORTEST`` to ``WINDOW - 1`` words is its own window and must agree in
+every word; its first words are a complete seed.  Shorter items are common
+phrases rather than passages and never match.
+
 Test-side seeds are joined to the seeds of every position of every document by a
-broadcast whose size is counted first; a benchmark with more seeds than
-``BLOCK_SEEDS`` is joined in blocks of items, each block against all rows.
+broadcast whose size is counted first; a benchmark whose seeds and the words around
+them take more than ``BLOCK_BYTES`` is joined in blocks of seeds, each against all rows,
+so neither many items nor one very long item make a broadcast larger.
 Around each hit the at most ``2 * WINDOW - span`` aligned words are compared, so
 a hit costs the same whatever the length of document or item, and only verified
 windows leave the scan stage.  Everything is built-in expressions.
@@ -29,7 +34,9 @@ from chronoframe.llm.line_dedup import drop_rows
 WINDOW = 13
 MAX_SUBSTITUTIONS = 2
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
-BLOCK_SEEDS = 1_000_000  # seeds broadcast at once (about 40 bytes each)
+SHORTEST = min(m[-1] for m in MASKS) + 1  # words of the shortest item that can match
+BLOCK_BYTES = 64 << 20  # seeds broadcast at once
+SEED_BYTES = 8 * (2 * WINDOW - 1) + 64  # a seed with the words around it
 
 
 def words_of(text: Column) -> Column:
@@ -49,9 +56,8 @@ def seed(mask: int, words: Column, at: Column) -> Column:
 
 def seeds(table: DataFrame, words: str, *keep: str) -> DataFrame:
     """One row per complete or partial seed: ``keep``, ``words``, ``at``, ``mask``, ``seed``."""
-    shortest = min(m[-1] for m in MASKS)
-    started = table.where(F.size(words) >= WINDOW).select(
-        *keep, words, F.explode(F.sequence(F.lit(0), F.size(words) - 1 - shortest)).alias("at")
+    started = table.where(F.size(words) >= SHORTEST).select(
+        *keep, words, F.explode(F.sequence(F.lit(0), F.size(words) - SHORTEST)).alias("at")
     )
     both = F.array(*(seed(m, F.col(words), F.col("at")) for m in range(len(MASKS))))
     return started.select(*keep, words, "at", F.posexplode(both).alias("mask", "seed"))
@@ -61,41 +67,48 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item
     """One row per overlapping (document, item): ids, ``text_key``, ``first_word``, ``last_word``, ``n_windows``.
 
     ``first_word`` and ``last_word`` (exclusive) bound the verified windows in the
-    document, ``n_windows`` counts them.  ``text_key`` is the text's xxhash64, which tells rows of
+    document, ``n_windows`` counts where they start.  ``text_key`` is the text's xxhash64, which tells rows of
     equal id apart; rows equal in both, NULL ids included, are reported
-    together.  Texts and items shorter than a window, NULL and empty ones never
-    overlap; other columns are ignored.
+    together, and so are items of equal id.  Texts and items of fewer than ``SHORTEST`` words,
+    NULL and empty ones never overlap, nor does anything with an empty table; texts and
+    items of any length are read whole.  Other columns are ignored.
     """
     text = whole_text()
     d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_key"), word_hashes(text).alias("words"))
     items = benchmark.select(F.col(item_col).alias("item"), word_hashes(whole_text()).alias("item_words"))
-    items = items.where(F.size("item_words") >= WINDOW).distinct()
+    items = items.where(F.size("item_words") >= SHORTEST).distinct()
     n_seeds = items.agg(F.sum(F.size("item_words"))).first()[0] or 0
-    n_blocks = max(1, -(-len(MASKS) * n_seeds // BLOCK_SEEDS))
-    block = F.pmod(F.xxhash64(F.lit("block"), "item", "item_words"), F.lit(n_blocks))
-    found = [_block_overlaps(d, items.where(block == b)) for b in range(n_blocks)]
+    n_blocks = max(1, -(-len(MASKS) * n_seeds * SEED_BYTES // BLOCK_BYTES))
+    wanted = seeds(items, "item_words", "item")
+    block = F.pmod(F.xxhash64(F.lit("block"), "item", "at", "mask", "seed"), F.lit(n_blocks))
+    found = [_block_overlaps(d, wanted.where(block == b)) for b in range(n_blocks)]
     windows = reduce(DataFrame.unionByName, found)
     return (
         windows.groupBy("id", "text_key", "item")
         .agg(
             F.min("start").alias("first_word"),
-            (F.max("start") + WINDOW).alias("last_word"),
+            F.max("end").alias("last_word"),
             F.count_distinct("start").alias("n_windows"),
         )
         .withColumnsRenamed({"id": id_col, "item": item_col})
     )
 
 
-def _block_overlaps(d: DataFrame, items: DataFrame) -> DataFrame:
-    """Verified (id, text_key, item, start) windows against one block of items."""
-    wanted = seeds(items, "item_words", "item").select(
-        "seed", F.col("mask").alias("item_mask"), F.col("at").alias("item_at"), "item", "item_words"
+def _block_overlaps(d: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Verified (id, text_key, item, start, end) windows against one block of the items' seeds."""
+    n = F.size("item_words")
+    wanted = wanted.select(
+        "seed", F.col("mask").alias("item_mask"), F.col("at").alias("item_at"), "item", "item_words",
+        F.least(F.lit(WINDOW), n).alias("window"),
+        F.when(n < WINDOW, 0).otherwise(MAX_SUBSTITUTIONS).alias("most"),
     )
-    # at most BLOCK_SEEDS rows (one item more); only words around the seed travel with it
+    # about BLOCK_BYTES in all: only words around the seed travel with it
     wanted = wanted.select(
         "seed",
         "item_mask",
         "item",
+        "window",
+        "most",
         F.least(F.lit(WINDOW - 1), "item_at").alias("item_lead"),
         F.slice(
             "item_words",
@@ -112,19 +125,22 @@ def _block_overlaps(d: DataFrame, items: DataFrame) -> DataFrame:
     )
     mine = F.slice("words", F.col("at") - F.col("lead") + 1, F.col("length"))
     theirs = F.slice("item_near", F.col("item_lead") - F.col("lead") + 1, F.col("length"))
-    aligned = near.where(F.col("length") >= WINDOW).select(
+    aligned = near.where(F.col("length") >= F.col("window")).select(
         "id",
         "text_key",
         "item",
+        "window",
+        "most",
         (F.col("at") - F.col("lead")).alias("from"),
         F.zip_with(mine, theirs, lambda x, y: (x != y).cast("int")).alias("differs"),
     )
     starts = F.filter(
-        F.sequence(F.lit(0), F.size("differs") - WINDOW),
-        lambda s: F.aggregate(F.slice("differs", s + 1, WINDOW), F.lit(0), lambda a, x: a + x) <= MAX_SUBSTITUTIONS,
+        F.sequence(F.lit(0), F.size("differs") - F.col("window")),
+        lambda s: F.aggregate(F.slice("differs", s + 1, F.col("window")), F.lit(0), lambda a, x: a + x) <= F.col("most"),
     )
+    start = F.col("from") + F.col("offset")
     good = aligned.withColumn("offset", F.explode(starts))
-    return good.select("id", "text_key", "item", (F.col("from") + F.col("offset")).alias("start"))
+    return good.select("id", "text_key", "item", start.alias("start"), (start + F.col("window")).alias("end"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:

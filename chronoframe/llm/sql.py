@@ -3,24 +3,25 @@
 _SPLIT = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\v\f\r]+'), lambda w: w <> '')"
 
 # Positions where a document word equals an item word, by diagonal; windows of 13 aligned words
-# with at most two that differ are counted from the matches they hold.
+# with at most two that differ are counted from the matches they hold; an item of 8 to 12 words
+# is one window, all of whose words must agree.
 OP9 = rf"""
 WITH d AS (SELECT doc_id, {_SPLIT} AS w FROM documents),
-dw AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS p FROM d WHERE len(w) >= 13),
+dw AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS p FROM d WHERE len(w) >= 8),
 b AS (SELECT item_id, {_SPLIT} AS w FROM benchmark),
-bw AS (SELECT item_id, len(w) AS m, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS q FROM b WHERE len(w) >= 13),
+bw AS (SELECT item_id, len(w) AS m, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS q FROM b WHERE len(w) >= 8),
 same AS (SELECT doc_id, item_id, n, m, p, p - q AS diag FROM dw JOIN bw USING (word)),
-dense AS (SELECT doc_id, item_id, diag FROM same GROUP BY ALL HAVING count(*) >= 11),
+dense AS (SELECT doc_id, item_id, diag FROM same GROUP BY ALL HAVING count(*) >= least(11, any_value(m))),
 hit AS (SELECT same.* FROM same JOIN dense USING (doc_id, item_id, diag)),
 starts AS (
-  SELECT doc_id, item_id, diag, unnest(range(greatest(0, diag), least(n, m + diag) - 12)) AS s
+  SELECT doc_id, item_id, diag, least(m, 13) AS win, unnest(range(greatest(0, diag), least(n, m + diag) - least(m, 13) + 1)) AS s
   FROM (SELECT DISTINCT doc_id, item_id, diag, n, m FROM hit)),
 good AS (
-  SELECT starts.doc_id, starts.item_id, s
+  SELECT starts.doc_id, starts.item_id, s, win
   FROM starts JOIN hit ON hit.doc_id = starts.doc_id AND hit.item_id = starts.item_id AND hit.diag = starts.diag
-    AND p BETWEEN s AND s + 12
-  GROUP BY starts.doc_id, starts.item_id, starts.diag, s HAVING count(*) >= 11)
-SELECT doc_id, item_id, CAST(min(s) AS INTEGER) AS first_word, CAST(max(s) + 13 AS INTEGER) AS last_word,
+    AND p BETWEEN s AND s + win - 1
+  GROUP BY starts.doc_id, starts.item_id, starts.diag, s, win HAVING count(*) >= CASE WHEN win = 13 THEN 11 ELSE win END)
+SELECT doc_id, item_id, CAST(min(s) AS INTEGER) AS first_word, CAST(max(s + win) AS INTEGER) AS last_word,
   count(DISTINCT s) AS n_windows
 FROM good GROUP BY doc_id, item_id
 """

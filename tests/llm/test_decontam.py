@@ -23,21 +23,22 @@ def plain(docs, items):
         d = words(text)
         for item, it in items:
             b = words(it)
+            w, most = (13, 2) if len(b) >= 13 else (len(b), 0)
             starts = {
                 s
-                for s in range(len(d) - 12)
-                for q in range(len(b) - 12)
-                if sum(x != y for x, y in zip(d[s : s + 13], b[q : q + 13], strict=True)) <= 2
+                for s in range(len(d) - w + 1)
+                for q in range(len(b) - w + 1)
+                if w >= 8 and sum(x != y for x, y in zip(d[s : s + w], b[q : q + w], strict=True)) <= most
             }
             if starts:
-                out.add((i, item, min(starts), max(starts) + 13, len(starts)))
+                out.add((i, item, min(starts), max(starts) + w, len(starts)))
     return out
 
 
 def corpus(seed):
     rng = random.Random(seed)
     vocab = [f"w{i}" for i in range(25)]
-    items = [(k, " ".join(rng.choice(vocab) for _ in range(rng.choice([5, 13, 14, 30])))) for k in range(8)]
+    items = [(k, " ".join(rng.choice(vocab) for _ in range(rng.choice([5, 8, 9, 12, 13, 14, 30])))) for k in range(12)]
     items += [(90, None), (91, ""), (92, items[3][1]), (3, items[3][1])]
     docs = []
     for i in range(50):
@@ -69,7 +70,7 @@ def test_against_brute_force(spark):
 
 def test_benchmark_in_blocks(spark, monkeypatch):
     docs, items, d, b = frames(spark, 2)
-    monkeypatch.setattr(decontam, "BLOCK_SEEDS", 100)
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 100 * decontam.SEED_BYTES)
     assert result(overlaps(d, b)) == plain(docs, items)
 
 
@@ -81,3 +82,11 @@ def test_drop_and_odd_tables(spark, clashing, no_docs):
     assert overlaps(no_docs, b).count() == 0 and overlaps(d, b.where("false")).count() == 0
     out = drop_contaminated(clashing, b)
     assert out.columns == clashing.columns and out.count() == clashing.count()
+
+
+def test_short_items_match_whole(spark):
+    """Items of 8 to 12 words need every word; shorter ones, and one word changed, do not match."""
+    ten = "one two three four five six seven eight nine ten"
+    d = spark.createDataFrame([(1, "so " + ten.upper() + " end"), (2, ten.replace("nine", "9")), (3, ten), (4, "one two three four five six seven")], "doc_id long, text string")
+    b = spark.createDataFrame([(1, ten), (2, " ".join(ten.split()[:8])), (3, " ".join(ten.split()[:7]))], "item_id long, text string")
+    assert result(overlaps(d, b)) == {(1, 1, 1, 11, 1), (1, 2, 1, 9, 1), (2, 2, 0, 8, 1), (3, 1, 0, 10, 1), (3, 2, 0, 8, 1)}
