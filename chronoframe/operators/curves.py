@@ -103,6 +103,10 @@ def solve_spline(knots: np.ndarray, moments: np.ndarray, y_moments: np.ndarray,
     Penalty: lambda times the integrated squared second derivative, with
     lambda = ratio * 256^(3 spar - 1) and ratio = tr(X'WX) / tr(penalty) over
     the basis functions that are not cut off at either end.
+
+    The penalty does not see straight lines.  They have coordinates of their own, so
+    that no rounding of a large penalty reaches them: strong smoothing ends at the
+    least-squares line.
     """
     pieces = spline_pieces(knots)
     m = len(pieces)
@@ -116,7 +120,15 @@ def solve_spline(knots: np.ndarray, moments: np.ndarray, y_moments: np.ndarray,
         rough[i : i + 4, i : i + 4] += bend @ np.array([[1, 1 / 2], [1 / 2, 1 / 3]]) @ bend.T / h**3
     inner = slice(2, m) if m > 2 else slice(0, m + 3)
     ratio = np.trace(gram[inner, inner]) / np.trace(rough[inner, inner])
-    coef = np.linalg.solve(gram + ratio * 256.0 ** (3 * spar - 1) * rough, rhs)
+    padded = np.concatenate([[knots[0]] * 3, knots, [knots[-1]] * 3])
+    abscissae = (padded[1:-3] + padded[2:-2] + padded[3:-1]) / 3  # coefficients of the line y = x
+    lines = np.stack([np.ones(m + 3), abscissae - abscissae.mean()], axis=1)
+    turn = np.linalg.qr(lines, mode="complete")[0]  # two columns of lines, then their complement
+    system = turn.T @ gram @ turn
+    bent = turn[:, 2:]
+    system[2:, 2:] += ratio * 256.0 ** (3 * spar - 1) * (bent.T @ rough @ bent)
+    scale = 1 / np.sqrt(np.diag(system))
+    coef = turn @ (scale * np.linalg.solve(scale[:, None] * system * scale, scale * (turn.T @ rhs)))
     return np.stack([coef[i : i + 4] @ pieces[i] for i in range(m)])
 
 

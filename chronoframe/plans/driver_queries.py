@@ -270,8 +270,8 @@ def q_smooth_curve(spark, sf_dir):
 def q_smooth_curve_line(spark, sf_dir):
     """K2 with so much smoothing that the curve is the least-squares line."""
     li = load(spark, sf_dir, "lineitem")
-    out = curves.smooth_curve(li, "l_extendedprice", "l_quantity", spar=1.5, keys=["l_returnflag"])
-    return out.select("l_returnflag", "x", F.round(F.col("y") / 100, 0).alias("y_hundreds"))
+    out = curves.smooth_curve(li, "l_extendedprice", "l_quantity", spar=3.0, keys=["l_returnflag"])
+    return out.select("l_returnflag", "x", F.round("y", 2).alias("y"))
 
 
 QUERIES.update(

@@ -505,7 +505,7 @@ SELECT "_ord", CASE WHEN y IS NULL THEN NULL WHEN y > 500 THEN 'far' ELSE 'near'
 FROM (SELECT "_ord", TRY_CAST("WorldGazeHitPositionY" AS DOUBLE) AS y FROM raw)"""
 
 SQL["smooth_curve_line"] = """
-SELECT l_returnflag, l_quantity AS x, ROUND((icept + slope * l_quantity) / 100, 0) AS y_hundreds
+SELECT l_returnflag, l_quantity AS x, ROUND(icept + slope * l_quantity, 2) AS y
 FROM (SELECT DISTINCT l_returnflag, CAST(l_quantity AS DOUBLE) AS l_quantity FROM lineitem)
 JOIN (SELECT l_returnflag, regr_slope(l_extendedprice, l_quantity) AS slope,
              regr_intercept(l_extendedprice, l_quantity) AS icept FROM lineitem GROUP BY l_returnflag)

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StringType, StructField, StructType
 
 from chronoframe.config import EVENT, GAME_VOCAB, TS, EventVocab
-from chronoframe.functions.scalars import parse_log_ts
+from chronoframe.functions.scalars import from_epoch_micros, parse_log_ts
 
 
 def read_log_stream(
@@ -44,13 +44,14 @@ def live_sample_rate(
     watermark: str = "10 seconds",
 ) -> DataFrame:
     """W3 on a stream: samples per wall-clock bucket, final once the watermark passes."""
-    ts = F.col(TS).cast("timestamp").alias("_event_time")
+    # read as UTC: a plain cast would shift hours where the session's zone changes its clock
+    ts = F.concat(F.col(TS).cast("string"), F.lit("Z")).cast("timestamp").alias("_event_time")
     return (
         log_stream.select(ts, EVENT)
         .withWatermark("_event_time", watermark)
         .groupBy(F.window("_event_time", bucket).alias("window"))
         .agg(F.count_if(F.col(EVENT) == vocab.sample).alias("Hz"))
-        .select(F.col("window.start").cast("timestamp_ntz").alias("second"), "Hz")
+        .select(from_epoch_micros(F.unix_micros("window.start")).alias("second"), "Hz")
     )
 
 

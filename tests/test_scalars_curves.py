@@ -257,3 +257,15 @@ def test_smooth_curve_ranks_points_in_ranges(spark, monkeypatch):
     assert {(r["_g"]["k"], r["_x"], r["_r"], r["_n"]) for r in points.collect()} == want
     assert len(parts) > 2 and max(parts) < len(xs["a"]) and sum(parts) == len(want)
     assert "row_number() windowspecdefinition(_g" in plan and ", _x" not in plan.split("row_number() windowspecdefinition(_g")[1].split(",")[1]
+
+
+@pytest.mark.parametrize("spar", [1.5, 2.0, 2.6, 3.0, 4.0])
+def test_strong_smoothing_ends_at_the_line(spark, spar):
+    n = 120
+    x = np.arange(n) ** 1.3
+    y = 5e4 + 37.5 * x + 900 * np.sin(np.arange(n))
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
+    got = {r["x"]: r["y"] for r in curves.smooth_curve(df, "y", "x", spar=spar).collect()}
+    slope, start = np.polyfit(x, y, 1)
+    worst = max(abs(got[a] - start - slope * a) for a in x)
+    assert worst < (30.0 if spar < 2 else 0.05 if spar < 2.5 else 1e-4)

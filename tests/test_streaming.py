@@ -45,3 +45,24 @@ def test_ingest_and_rate(spark):
         for r in sample_rate(table).collect()
     }
     assert live == batch == {0: 2, 1: 1}
+
+
+def test_rate_where_the_zone_changes_its_clock(spark):
+    """02:30 does not exist on that day in the session's zone; the log's wall clock is kept."""
+    base = tempfile.mkdtemp(prefix="stream-", dir="/tmp")
+    os.makedirs(os.path.join(base, "in"))
+    with open(os.path.join(base, "in", "a_Sample.csv"), "w") as f:
+        f.write(";".join(COLS) + "\n2022-03-27 02:30:00.1;Sample;S\n2022-03-27 03:30:00.1;Sample;S\n")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        q = (
+            live_sample_rate(read_log_stream(spark, base + "/in/*.csv", COLS))
+            .writeStream.format("memory").queryName("live_zone").outputMode("complete")
+            .trigger(availableNow=True).start()
+        )
+        q.awaitTermination(120)
+        got = sorted((r["second"].hour, r["Hz"]) for r in spark.sql("select * from live_zone").collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == [(2, 1), (3, 1)]
