@@ -12,7 +12,7 @@ from chronoframe.operators.numbering import dense_row_number
 from chronoframe.operators.scan import _untimed_chunk
 from chronoframe.sources import csv_sessions
 from chronoframe.sources.csv_sessions import read_kind, read_session_dir, read_session_files
-from chronoframe.sources.csv_splits import INSIDE, OUTSIDE, Grammar
+from chronoframe.sources.csv_splits import INSIDE, OUTSIDE, Grammar, line_start, records
 
 CELLS = ['', 'NULL', 'plain', 'a;b', 'say ""x""', 'two\nlines', 'win\r\nlines', '\n\n', '""', 'é日', 'tail "quote', '\\', ' x ', '";\n"']
 
@@ -67,6 +67,35 @@ def test_one_large_file_goes_to_many_tasks(spark, tmp_path):
     assert [r["Note"] for r in notes[::997]] == [f'a "note"\nwith; breaks {i}' for i in range(0, 60_000, 997)]
 
 
+def test_small_splits_share_tasks_and_read_little(spark, tmp_path):
+    with open(tmp_path / "small_Sample.csv", "w") as f:
+        f.write("i;Note\n")
+        f.writelines(f'{i};"a\nb {i}"\n' for i in range(4_000))
+    df = read_kind(spark, str(tmp_path), "Sample", split_bytes=100)
+    assert df.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    assert [r["Note"] for r in df.orderBy("_ord").collect()] == [f"a\nb {i}" for i in range(4_000)]
+
+
+class _Counted(io.BytesIO):
+    taken = 0
+
+    def read(self, n=-1):
+        data = super().read(n)
+        self.taken += len(data)
+        return data
+
+
+def test_line_ends_are_found_with_short_reads():
+    data = b'1;"x\ny"\n' * 400_000
+    file = _Counted(data)
+    begin, end = (line_start(file, at, len(data)) for at in (1_000_000, 1_001_000))
+    assert data[begin - 1 : begin] == b"\n" and records(file, begin, end, len(data), OUTSIDE, Grammar(";"))
+    assert file.taken < 30_000
+    long = _Counted(b'1;"' + b"x\n" * 2_000_000 + b'"\n2;y\n')  # a record over many reads
+    size = len(long.getvalue())
+    assert records(long, 0, 5, size, OUTSIDE, Grammar(";")) == long.getvalue()[:-4]
+
+
 def test_states_of_a_split():
     g = Grammar(";")
     assert g.state_after(b'a;"b\n', OUTSIDE) == INSIDE and g.state_after(b'a;"b\n', INSIDE) == OUTSIDE
