@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ TOP_LEVELS = 8  # levels dealt out at once
 SUBTREE_WORDS = 50_000  # words of one subtree or block
 MAX_WORDS = 200_000  # distinct words a task holds while counting
 
-RUN = re.compile("[A-Za-zÀ-ÿ]+")
+RUN = re.compile(f"[A-Za-zÀ-ÿ]{{{MIN_LENGTH},}}")  # whole runs; shorter ones give no word
 UPPER = "".join(map(chr, range(65, 91)))
 LOWER = str.maketrans(UPPER, UPPER.lower())
 
@@ -47,9 +48,9 @@ LOWER = str.maketrans(UPPER, UPPER.lower())
 # ---- words -------------------------------------------------------------------
 
 
-def spelled(doc_id: bytes, run: str) -> str:
-    """The lower-cased run, without one letter if the hash of id and run says so."""
-    h = zlib.crc32(doc_id + b":" + run.encode())
+def spelled(begun: int, run: str) -> str:
+    """The lower-cased run, without one letter if the hash says so; ``begun`` is the hash of the id and the colon."""
+    h = zlib.crc32(run.encode(), begun)
     if h % DELETE_EACH:
         return run
     at = h % len(run)
@@ -72,12 +73,10 @@ def count_words(docs: DataFrame, id_col: str) -> DataFrame:
         counts: dict[str, int] = {}
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                key = utf8(doc_id.as_py())
-                own: dict[str, int] = {}
-                for run in RUN.findall(text.as_py().translate(LOWER)):
-                    own[run] = own.get(run, 0) + 1
+                begun = zlib.crc32(utf8(doc_id.as_py()) + b":")
+                own = Counter(RUN.findall(text.as_py().translate(LOWER)))
                 for run, n in own.items():  # one hash for all places of a run
-                    word = spelled(key, run)
+                    word = spelled(begun, run)
                     counts[word] = counts.get(word, 0) + n
                 if len(counts) > MAX_WORDS:
                     yield emit(counts)

@@ -108,3 +108,16 @@ def test_empty_long_and_clashing(docs, no_docs, clashing, rows):
     assert spelling_variants(no_docs).count() == 0
     extra = clashing.withColumns({c: F.lit(1) for c in ("word", "n", "form", "root", "path", "near", "size")})
     assert result(extra) == plain([(r[0], r[1]) for r in rows])
+
+
+def test_runs_too_short_for_a_word_are_not_hashed(spark):
+    assert spelling.RUN.findall("ab abcde1Éclair abcd z") == ["abcde", "Éclair"]
+    docs = spark.createDataFrame([(i, "abcde abcd fghijk ab") for i in range(400)], "doc_id int, text string")
+    want = Counter()
+    for i in range(400):
+        for run in ("abcde", "fghijk"):
+            h = zlib.crc32(f"{i}:{run}".encode())
+            word = run if h % 97 else run[: h % len(run)] + run[h % len(run) + 1 :]
+            want[word] += len(word) >= 5
+    got = {r["word"]: r["n"] for r in spelling.count_words(docs, "doc_id").collect()}
+    assert got == {w: n for w, n in want.items() if n} and len(got) > 2
