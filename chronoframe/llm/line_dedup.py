@@ -24,7 +24,9 @@ Steps, all built-in expressions:
    then a bound on the overlap from 128-bit token maps.
 5. The whole token sets of the candidates are compared.
 6. Lines that found no match and stand in longer postings are joined with all
-   earlier lines of these postings, filtered and verified alike; nothing is cut off.
+   earlier lines of these postings; nothing is cut off.  Here the token maps are
+   compared inside the join, and a pair leaves it at its first shared key only:
+   lines that share a passage without being similar make no rows.
 7. Documents that lost lines are rebuilt.
 
 Steps 5 and 7 need the text of few lines or documents.  A bit array of fixed
@@ -159,19 +161,23 @@ def _fits() -> Column:
     return similar_size(n, vn) & can_reach(n, F.col("i"), vn, F.col("vi"))
 
 
-def _plausible(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Distinct pairs (d, o, vd, vo) whose token maps allow the similarity.
+def _room() -> Column:
+    """Whether the token maps of two lines (the other's columns v...) allow the similarity.
 
     Every bit in which the maps differ stands for a token that only one line
     has, so the overlap is at most half of what the sizes leave.
     """
-    mine = firsts.select("d", "o", "n", *MAPS)
-    other = mine.withColumnsRenamed({c: f"v{c}" for c in mine.columns})
     n, vn = F.col("n"), F.col("vn")
     apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(w).bitwiseXOR(F.col(f"v{w}"))) for w in MAPS))
-    room = (n + vn - apart) * (NUM + DEN) >= (n + vn) * (2 * NUM)
+    return (n + vn - apart) * (NUM + DEN) >= (n + vn) * (2 * NUM)
+
+
+def _plausible(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Distinct pairs (d, o, vd, vo) whose token maps allow the similarity."""
+    mine = firsts.select("d", "o", "n", *MAPS)
+    other = mine.withColumnsRenamed({c: f"v{c}" for c in mine.columns})
     both = pairs.select("d", "o", "vd", "vo").distinct().join(mine, ["d", "o"]).join(other, ["vd", "vo"])
-    return both.where(room).select("d", "o", "vd", "vo")
+    return both.where(_room()).select("d", "o", "vd", "vo")
 
 
 def _before(v: str) -> Column:
@@ -235,6 +241,28 @@ def _first_pairs(short: DataFrame, longer: DataFrame) -> DataFrame:
     return _earlier_pairs(short, short).unionByName(led.select("d", "o", "vd", "vo"))
 
 
+def _rivals(longer: DataFrame, near: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Posting rows of the keys that a line outside ``near`` has, with ``met``, prefix keys and token maps."""
+    tagged = longer.join(near.withColumn("met", F.lit(True)), ["d", "o"], "left")
+    keys = tagged.where(F.col("met").isNull()).select("key").distinct()
+    return tagged.join(keys, "key", "left_semi").join(firsts.select("d", "o", "p", *MAPS), ["d", "o"])
+
+
+def _rest_pairs(rivals: DataFrame) -> DataFrame:
+    """Lines without ``met`` and all earlier lines of a key, each pair at the first key that it shares.
+
+    All filters stand in the join, so only pairs to compare leave it.  If an
+    earlier key is shared, the pair was tried there: its posting is either short or
+    in ``rivals``.
+    """
+    columns = [*POSTING, "p", *MAPS]
+    other = rivals.select(*columns).withColumnsRenamed({c: f"v{c}" for c in columns})
+    known = F.arrays_overlap(F.slice("p", F.lit(1), F.col("i")), F.slice("vp", F.lit(1), F.col("vi")))
+    same_key = F.col("key") == F.col("vkey")
+    mine = rivals.where(F.col("met").isNull())
+    return mine.join(other, same_key & _before("v") & _fits() & _room() & ~known).select("d", "o", "vd", "vo")
+
+
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """Distinct (d, o) of the lines that go; ``docs`` has d, tie, text, each document once."""
     lines = _lines(docs)
@@ -253,12 +281,12 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     drop_staged(pairs)
 
     # lines without a match yet against all earlier lines of their longer postings
-    unmatched = longer.join(near, ["d", "o"], "left_anti").select(*POSTING)
-    rest = stage(_plausible(_earlier_pairs(unmatched, longer), firsts), "line-rest")
+    rivals = stage(_rivals(longer, near, firsts), "line-rivals")
     drop_staged(work, firsts)
+    rest = stage(_rest_pairs(rivals), "line-rest")
     far = _verified(rest, lines, classes)
     repeats = stage(equal.unionByName(near).unionByName(far).distinct(), "line-repeats")
-    drop_staged(equal, near, rest)
+    drop_staged(equal, near, rivals, rest)
     return repeats
 
 

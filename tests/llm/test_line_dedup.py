@@ -100,3 +100,25 @@ def test_prefix_keys_lose_no_pair(spark):
         if 9 * len(a & sets[j]) >= 4 * (len(a) + len(sets[j]))
     }
     assert similar and similar <= got
+
+
+def test_shared_passage_makes_few_pairs(spark, monkeypatch):
+    """Lines that share a long passage, but are not similar, are told apart where they meet: hardly a pair goes on."""
+    passage = " ".join(f"common{k}" for k in range(40))
+    own = lambda i: " ".join(f"own{i}x{k}" for k in range(12))
+    rows = [(i, f"{own(i)} {passage}", None, None, None) for i in range(300)]
+    rows += [(300 + i, f"{own(i)} late{i} {passage}", None, None, None) for i in range(0, 300, 50)]
+    compared = []
+    plausible, verified = line_dedup._plausible, line_dedup._verified
+
+    def counting(step):
+        def count(pairs, *more):
+            compared.append(pairs.select("d", "o", "vd", "vo").distinct().count())
+            return step(pairs, *more)
+
+        return count
+
+    monkeypatch.setattr(line_dedup, "_plausible", counting(plausible))
+    monkeypatch.setattr(line_dedup, "_verified", counting(verified))
+    check(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), rows)
+    assert sum(compared) < 10 * len(rows)
