@@ -22,6 +22,7 @@ from chronoframe.config import DEFAULT_GRAINS, EVENT, GAME, GAME_VOCAB, ORD, SES
 from chronoframe.functions.scalars import label_text, marker_size, secs, trunc_ts, unit_micros
 from chronoframe.operators.scan import running_scan
 from chronoframe.operators.summary import pointer_mean, pointer_track, session_span
+from chronoframe.sources.tables import stage_table
 
 MOLE_NAME = "Active Mole"
 LASER_NAME = "Laser"
@@ -323,6 +324,11 @@ def _explode_gaps(gaps: DataFrame) -> DataFrame:
     return rows.withColumn("_k", F.col("_lo") + F.col("_j")).drop("_j", "_lo", "_hi")
 
 
+def _since_start(k: Column, bucket: str) -> Column:
+    """Seconds from the floored start to bucket ``k``."""
+    return (k * F.lit(_bucket_seconds(bucket))).cast("double")
+
+
 def _at_bucket(k: Column, bucket: str) -> Column:
     return F.timestamp_add("MICROSECOND", k * F.lit(unit_micros(bucket)), F.col("time_start"))
 
@@ -345,26 +351,29 @@ def animation_frames(
     Plan: J3+J4+W5 are fused.  The carried size only depends on the sparse
     object events, so the scan runs over (object, event bucket) rows and
     yields constant-size bucket ranges; dense rows are generated from those
-    ranges by explode, never sorted, windowed or anti-joined.
+    ranges by explode, never sorted, windowed or anti-joined.  The spans and
+    the sparse rows (objects, object events, states, pointer positions) feed
+    several branches and are written once each: the log is read once for each.
     """
-    grid = _span_grid(session_span(dlog, keys, vocab, bucket), keys, bucket)
-    template = object_template(dlog, keys).withColumn("_fr_sk", _sk(keys))
-    activity = object_activity(dlog, keys, vocab, bucket).withColumn("_fr_sk", _sk(keys)).join(grid, "_fr_sk")
-    activity = activity.withColumn("_k", _bucket_index(F.col("second"), bucket))
+    grid = stage_table(_span_grid(session_span(dlog, keys, vocab, bucket), keys, bucket), "frame-grid")
+    spans = grid.drop("total_time")
+    template = object_template(dlog, keys).drop("size").withColumn("_fr_sk", _sk(keys))
+    template = stage_table(template.join(grid.select("_fr_sk", "_n_last"), "_fr_sk"), "frame-objects")
+    activity = object_activity(dlog, keys, vocab, bucket).withColumn("_fr_sk", _sk(keys)).join(spans, "_fr_sk")
+    activity = stage_table(activity.withColumn("_k", _bucket_index(F.col("second"), bucket)), "frame-activity")
     order = F.struct(F.col("_ord").isNull(), F.col("_ord"))
     states = activity.groupBy("_fr_sk", "id", "_k", "second").agg(
         F.max_by("size", order).alias("state"), F.max("_n_last").alias("_n_last")
     )
-    objects = template.join(grid, "_fr_sk").select("_fr_sk", "id", "_n_last")
-    gaps = _state_gaps(states, objects, bucket, coarser_grains(bucket))
-    filled = _explode_gaps(gaps.join(template.drop("size"), ["_fr_sk", "id"]).join(grid, "_fr_sk"))
-    filled = filled.select(
+    states = stage_table(states, "frame-states")
+    gaps = _state_gaps(states, template.select("_fr_sk", "id", "_n_last"), bucket, coarser_grains(bucket))
+    filled = _explode_gaps(gaps.join(template.drop("_n_last"), ["_fr_sk", "id"])).select(
         *keys, "x", "y", "id", F.coalesce(F.col("state"), F.lit(0.0)).alias("size"), "name",
-        _at_bucket(F.col("_k"), bucket).alias("second"), "time_start", "total_time", "_n_last",
+        _since_start(F.col("_k"), bucket).alias("second"),
     )
-    moles = filled.unionByName(activity.drop("_fr_sk", "_k", ORD), allowMissingColumns=True)
 
-    track = pointer_track(dlog, keys, vocab, bucket).withColumn("_fr_sk", _sk(keys)).join(grid, "_fr_sk")
+    track = pointer_track(dlog, keys, vocab, bucket).withColumn("_fr_sk", _sk(keys)).join(spans, "_fr_sk")
+    track = stage_table(track, "frame-track")
     # the pointer's free buckets are the gaps between its observed ones, like an object's
     track_k = track.select(
         "_fr_sk", F.lit(LASER_ID).alias("id"), _bucket_index(F.col("second"), bucket).alias("_k"), "second",
@@ -372,17 +381,17 @@ def animation_frames(
     )
     pointers = grid.select("_fr_sk", F.lit(LASER_ID).alias("id"), "_n_last")
     free = _state_gaps(track_k, pointers, bucket, coarser_grains(bucket))
-    lasers = _explode_gaps(free.join(grid, "_fr_sk")).select(
+    lasers = _explode_gaps(free).select(
         *[F.col("_fr_sk")[k].alias(k) for k in keys],
         F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"),
         F.lit(LASER_ID).alias("id"), F.lit(0.0).alias("size"), F.lit(LASER_NAME).alias("name"),
-        _at_bucket(F.col("_k"), bucket).alias("second"), "time_start", "total_time", "_n_last",
-    )
-    frames = moles.unionByName(lasers, allowMissingColumns=True).unionByName(
-        track.drop("_fr_sk"), allowMissingColumns=True
+        _since_start(F.col("_k"), bucket).alias("second"),
     )
+    # gaps end with the span; observed buckets are cut there
+    observed = activity.drop("_fr_sk", "_k", ORD).unionByName(track.drop("_fr_sk"), allowMissingColumns=True)
     last_bucket = F.col("_n_last") * F.lit(_bucket_seconds(bucket))
-    frames = _relative_seconds(frames).where(F.col("second") <= last_bucket)
+    observed = _relative_seconds(observed).where(F.col("second") <= last_bucket).drop("time_start", "_n_last")
+    frames = filled.unionByName(lasers).unionByName(observed, allowMissingColumns=True)
     return frames.select(
         *keys, "x", "y", "id", "size", marker_size("size").alias("marker_size"), "name", "second", EVENT, "has_hit"
     )

@@ -167,3 +167,22 @@ def test_dense_rows_are_not_shuffled(spark):
     fused = frames.unobserved_frames(frames.object_template(dlog), spans, frames.object_activity(dlog))
     for df in (fused, frames.pointer_frames_v2(dlog)):
         assert "Exchange" not in _above_last_generate(df) and "Join" not in _above_last_generate(df)
+
+
+def test_sparse_rows_are_written_once_and_the_log_is_left_behind(spark):
+    rows = [("A", "X", "2024-01-01 00:00:00", "Game Started", None, 1), ("A", "X", "2024-01-01 00:00:02", "Mole Spawned", "m1", 2),
+            ("A", "X", "2024-01-01 00:00:05", "Game Finished", None, 3)]
+    names = ["Participant", "Condition", "Timestamp", "Event", "MoleId", "_ord"]
+    log = spark.createDataFrame(rows, ", ".join(f"{n} {'int' if n == '_ord' else 'string'}" for n in names))
+    zeros = {c: F.lit(0.5) for c in ("MolePositionWorldX", "MolePositionWorldY", *(f"RightControllerLaserPosWorld{c}" for c in "XY"))}
+    log = log.withColumns({"Timestamp": F.col("Timestamp").cast("timestamp_ntz"), "PlayPeriod": F.lit("Game"), **zeros})
+    out = frames.animation_frames(log)
+    assert "LocalRelation" not in plan_text(out) and "LogicalRDD" not in plan_text(out)
+    got = sorted((r["id"], r["second"], r["size"]) for r in out.collect())
+    mole = [("m1", float(s), 1.0 if s >= 2 else 0.0) for s in range(6)]
+    pointer = [("laser", float(s), 1.0 if s in (0, 2, 5) else 0.0) for s in range(6)]
+    assert got == sorted(mole + pointer)
+
+
+def plan_text(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()

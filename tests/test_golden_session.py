@@ -120,3 +120,16 @@ def test_rederive_is_stable(spark, dlog):
     assert sorted(twice.columns) == sorted(dlog.columns)
     key = lambda df: sorted(tuple(r) for r in df.select(sorted(dlog.columns)).collect())
     assert key(twice) == key(dlog)
+
+
+def test_an_unread_sample_rate_costs_nothing(spark):
+    log = spark.sql("SELECT timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) AS Timestamp, 'Sample' AS Event FROM range(9)")
+    plan = derive.sample_rate(log).drop("Hz")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_rows_without_a_time_share_one_rate(spark):
+    rows = [("2024-01-01 00:00:00", "Sample"), ("2024-01-01 00:00:00.5", "x"), (None, "Sample"), (None, "Sample"), (None, None)]
+    log = spark.createDataFrame(rows, "Timestamp string, Event string")
+    log = log.withColumns({"Timestamp": log["Timestamp"].cast("timestamp_ntz")})
+    assert sorted(r["Hz"] for r in derive.sample_rate(log).collect()) == [1, 1, 2, 2, 2]
