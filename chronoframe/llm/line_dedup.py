@@ -97,7 +97,9 @@ def rarity(lines: DataFrame) -> Column:
 def with_codes(lines: DataFrame, classes: Column) -> DataFrame:
     """``lines`` with ``t``: a line's distinct tokens as longs, sorted from rare to frequent."""
     classed = lines.withColumn("_classes", classes)  # referenced once: Catalyst inlines the subquery
-    code = lambda h: F.get("_classes", slot_of(h).cast("int")).bitwiseOR(h.bitwiseAND(MASK56))
+    # never NULL, and typed so by coalesce: Spark sorts arrays that may hold NULL as objects
+    rank = lambda h: F.coalesce(F.get("_classes", slot_of(h).cast("int")), F.lit(0).cast("long"))
+    code = lambda h: rank(h).bitwiseOR(h.bitwiseAND(MASK56))
     hashes = F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w))
     return classed.withColumn("t", F.array_distinct(F.sort_array(F.transform(hashes, code)))).drop("_classes")
 
@@ -330,23 +332,25 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     whole = docs.select(id_value.alias("d"), tie.alias("tie"), text.alias("text"))
     gone = repeated_lines(whole if unique else whole.distinct())
 
-    d, t, numbers = (free_name(docs, c) for c in ("_d", "_tie", "_numbers"))
+    d, t, numbers, split = (free_name(docs, c) for c in ("_d", "_tie", "_numbers", "_lines"))
     per_doc = gone.groupBy(F.col("d").alias(d), F.shiftright("o", 32).alias(t)).agg(
         F.collect_set(F.col("o").bitwiseAND((1 << 31) - 1).cast("int")).alias(numbers)
     )
     keyed = docs.withColumns({d: id_value, t: tie, "text": text})
     kept = [c for c in keyed.columns if c not in (d, t) and c.lower() not in ("n_lines", "n_removed")]
     hit = membership(per_doc, [d, t])
-    lines = F.split("text", "\n")
+    # the lines are a column of two readers, which Spark does not inline: inside a lambda, split would run for every line
+    lines = F.col(split)
     order = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(numbers))
     rebuilt = F.array_join(F.transform(order, lambda i: F.get(lines, i)), "\n")
-    touched = keyed.where(hit).join(per_doc, [d, t], "left")
+    touched = keyed.where(hit).join(per_doc, [d, t], "left").withColumn(split, F.split("text", "\n"))
     touched = touched.withColumns(
         {
             "n_lines": F.size(lines).cast("long"),
             "n_removed": F.coalesce(F.size(numbers), F.lit(0)).cast("long"),
         }
     ).withColumn("text", F.when(F.col(numbers).isNull(), F.col("text")).otherwise(rebuilt))
-    clean = keyed.where(~hit).withColumns({"n_lines": F.size(lines).cast("long"), "n_removed": F.lit(0).cast("long")})
+    n_lines = F.size(F.split("text", "\n")).cast("long")
+    clean = keyed.where(~hit).withColumns({"n_lines": n_lines, "n_removed": F.lit(0).cast("long")})
     out = [*kept, "n_lines", "n_removed"]
     return touched.select(*out).unionByName(clean.select(*out))
