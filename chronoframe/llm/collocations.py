@@ -5,12 +5,15 @@ is the run of up to ``DEPTH`` words at a place.  All counts are per language.
 
 1. Words are counted.  A phrase counts ``min_count`` times only if each of its words
    does, so a bit filter of the frequent words cuts the suffixes.
-2. Vertical partitioning: two-word prefixes are counted (by 64 hash bits, which can
-   only make a prefix look more frequent).  Prefixes under ``min_count`` open no
-   subtree.  The others are dealt into groups that hold about ``BUDGET`` suffixes
+2. Vertical partitioning: two-word prefixes are counted, by the hashes of their two
+   words.  Prefixes under ``min_count`` open no subtree.  The others are the phrases
+   of two words, and are dealt into groups that hold about ``BUDGET`` suffixes
    each; a prefix of more than ``BUDGET`` suffixes is extended to its full depth
    before it is dealt.
-3. Each task sends its suffixes, equal ones combined, to their groups.
+3. Each task sends its suffixes of three words or more, equal ones combined, to
+   their groups: a suffix of two words would only count its prefix again.  If a
+   frequent word shares its hash with another word, the counts of step 2 may be too
+   high; suffixes of two words are then sent as well, and the subtrees count them.
 4. A group is sorted and read once: the path from the root to the current leaf is
    all that a task holds of its subtree.  Leaf totals add up to the counts of the
    nodes above; only nodes of extended prefixes are summed over groups.
@@ -175,33 +178,39 @@ def count_words(rows: DataFrame) -> DataFrame:
 
 
 def count_pairs(rows: DataFrame, frequent: BitFilter | None) -> DataFrame:
-    """(hash, n) of the two-word prefixes."""
+    """(first, second, n) of the two-word prefixes, by the hashes of their words."""
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
-    def emit(held):
-        h, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["hash", "n"])
+    def emit(vocabulary, held):
+        pair, n = np.unique(np.concatenate(held), return_counts=True)
+        first, second = vocabulary.hashes[pair >> 32], vocabulary.hashes[pair & 0xFFFFFFFF]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), pa.array(n.astype(np.int64))],
+            names=["first", "second", "n"],
+        )
 
     def count(batches):
-        held, size = [], 0
+        held, size, of = [], 0, None
         for vocabulary, numbers in blocks(batches, shared.value):
+            if held and (vocabulary is not of or size >= MAX_BIGRAMS):
+                yield emit(of, held)
+                held, size = [], 0
+            of = vocabulary
             kept = vocabulary.kept[numbers]
             at = np.nonzero(kept[:-1] & kept[1:])[0]
-            held.append(pair_hashes(vocabulary.hashes[numbers[at]], vocabulary.hashes[numbers[at + 1]]))
+            held.append((numbers[at] << 32) | numbers[at + 1])
             size += len(at)
-            if size >= MAX_BIGRAMS:
-                yield emit(held)
-                held, size = [], 0
         if held:
-            yield emit(held)
+            yield emit(of, held)
 
-    return map_arrow(rows, count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    part = map_arrow(rows, count, "first long, second long, n long")
+    return part.groupBy("first", "second").agg(F.sum("n").alias("n"))
 
 
 def send_suffixes(
-    rows: DataFrame, frequent: BitFilter | None, pairs: BitFilter | None, large: np.ndarray, depth: int
+    rows: DataFrame, frequent: BitFilter | None, pairs: BitFilter | None, large: np.ndarray, depth: int, shortest: int
 ) -> DataFrame:
-    """(lang, suffix, part, whole, n): suffixes of two words or more, equal ones of a task combined.
+    """(lang, suffix, part, whole, n): suffixes of ``shortest`` (2 or 3) words or more, equal ones of a block combined.
 
     ``part`` deals rows into groups; ``whole`` says that all suffixes of the
     two-word prefix have the same ``part``.
@@ -220,6 +229,9 @@ def send_suffixes(
                 may = pair_filter.may_hold(h)
                 linked[at[~may]] = False
                 at, h = at[may], h[may]
+            if shortest > 2:
+                longer = linked[at + 1]
+                at, h = at[longer], h[longer]
             if not len(at):
                 continue
             places = np.zeros((len(at), depth), np.int64)
@@ -263,8 +275,8 @@ def send_suffixes(
     return map_arrow(rows, send, "lang string, suffix string, part long, whole boolean, n long")
 
 
-def read_subtrees(sent: DataFrame, groups: int, min_count: int) -> DataFrame:
-    """(lang, phrase, n) of the nodes of two words or more; a phrase may have several rows."""
+def read_subtrees(sent: DataFrame, groups: int, min_count: int, shortest: int) -> DataFrame:
+    """(lang, phrase, n) of the nodes of ``shortest`` words or more; a phrase may have several rows."""
 
     def read(batches):
         path: list[str] = []  # words from the root to the current leaf
@@ -274,7 +286,7 @@ def read_subtrees(sent: DataFrame, groups: int, min_count: int) -> DataFrame:
         def close(depth):
             while len(path) > depth:
                 n = totals.pop()
-                if len(path) > 1 and (n >= min_count or not whole):
+                if len(path) >= shortest and (n >= min_count or not whole):
                     for column, value in zip(out, (lang, SEP.join(path), n), strict=True):
                         column.append(value)
                 path.pop()
@@ -315,11 +327,21 @@ def read_subtrees(sent: DataFrame, groups: int, min_count: int) -> DataFrame:
 # ---- the operator ------------------------------------------------------------
 
 
-def _filter(hashes: DataFrame) -> BitFilter | None:
-    """Bits of the column ``hash``, if there are few enough to send to every task."""
-    if hashes.count() > MAX_FILTER_KEYS:
-        return None
-    return BitFilter(hashes.select("hash").toArrow().column(0).to_numpy().view(np.uint64))
+def _hashes(rows: DataFrame, *columns: str) -> list[np.ndarray]:
+    return [c.to_numpy().view(np.uint64) for c in rows.select(*columns).toArrow().columns]
+
+
+def _ambiguous(words: DataFrame, common: DataFrame) -> bool:
+    """Whether a word of ``common`` shares its hash with another word."""
+    return words.join(common.select("hash"), "hash").count() > common.count()
+
+
+def _two_words(prefixes: DataFrame, common: DataFrame) -> DataFrame:
+    """(lang, phrase, k, a) of the prefixes."""
+    first = common.select("lang", F.col("hash").alias("first"), F.col("word").alias("x"))
+    second = common.select(F.col("hash").alias("second"), F.col("word").alias("y"))
+    both = prefixes.join(first, "first").join(second, "second")
+    return both.select("lang", F.concat_ws(SEP, "x", "y").alias("phrase"), F.lit(2).alias("k"), F.col("n").alias("a"))
 
 
 def count_phrases(docs: DataFrame, min_count: int = MIN_COUNT, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
@@ -329,18 +351,22 @@ def count_phrases(docs: DataFrame, min_count: int = MIN_COUNT, depth: int = DEPT
     words = stage(count_words(rows), "phrase-words")
     sizes = words.groupBy("lang").agg(F.sum("n").alias("n"))
     common = words.where(F.col("n") >= min_count)
-    frequent = _filter(common)
+    frequent = BitFilter(*_hashes(common, "hash")) if common.count() <= MAX_FILTER_KEYS else None
+    shortest = 2 if _ambiguous(words, common) else 3
 
     prefixes = stage(count_pairs(rows, frequent).where(F.col("n") >= min_count), "phrase-prefixes")
     suffixes = prefixes.agg(F.sum("n")).first()[0] or 0
     groups = max(1, -(-suffixes // BUDGET))
-    large = prefixes.where(F.col("n") > BUDGET).select("hash").toArrow().column(0)  # at most one a group
-    sent = send_suffixes(rows, frequent, _filter(prefixes), large.to_numpy().view(np.uint64), depth)
+    pairs = BitFilter(pair_hashes(*_hashes(prefixes, "first", "second"))) if prefixes.count() <= MAX_FILTER_KEYS else None
+    large = pair_hashes(*_hashes(prefixes.where(F.col("n") > BUDGET), "first", "second"))  # at most one a group
+    sent = send_suffixes(rows, frequent, pairs, large, depth, shortest)
     spread = max(groups, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    nodes = read_subtrees(sent, spread, min_count).groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
+    nodes = read_subtrees(sent, spread, min_count, shortest).groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
     k = F.length("phrase") - F.length(F.replace("phrase", F.lit(SEP), F.lit(""))) + 1
     phrases = nodes.where(F.col("a") >= min_count).select("lang", "phrase", k.cast("int").alias("k"), "a")
     single = common.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("k"), F.col("n").alias("a"))
+    if shortest > 2:
+        phrases = phrases.unionByName(_two_words(prefixes, common))
     return stage(single.unionByName(phrases), "phrases"), sizes
 
 

@@ -94,3 +94,27 @@ def test_empty_long_and_clashing(spark, no_docs, clashing):
     plain_rows = [(r["lang"], r["text"]) for r in clashing.collect()]
     got = sorted(tuple(r) for r in collocations(extra, 20).collect())
     assert got == plain(plain_rows, 20, 5, 2000) and got
+
+
+def test_two_word_suffixes_are_not_sent(spark, monkeypatch):
+    """Counted prefixes are the phrases of two words: only longer suffixes travel, unless hashes may mix words."""
+    rows = [("en", "red fox. blue sky! red fox, one two three four.")] * 6 + [(None, "red fox")] * 5
+    sent, send = [], module.send_suffixes
+
+    def spy(*args):
+        out = send(*args)
+        sent.append([tuple(r["suffix"].split(module.SEP)) for r in out.collect()])
+        return out
+
+    monkeypatch.setattr(module, "send_suffixes", spy)
+    assert result(spark, rows, 5, 5, 2000) == plain(rows, 5, 5, 2000)
+    assert {len(s) for s in sent[0]} == {3, 4}
+    monkeypatch.setattr(module, "_ambiguous", lambda words, common: True)
+    assert result(spark, rows, 5, 5, 2000) == plain(rows, 5, 5, 2000)
+    assert ("red", "fox") in sent[1]
+
+
+def test_words_of_one_hash_are_noticed(spark):
+    words = spark.createDataFrame([("en", "a", 9, 1), ("en", "b", 2, 1), ("en", "c", 9, 3)], "lang string, word string, n long, hash long")
+    assert module._ambiguous(words, words.where("n > 5"))
+    assert not module._ambiguous(words.where("word != 'b'"), words.where("n > 5"))
