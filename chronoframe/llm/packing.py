@@ -7,13 +7,15 @@ share a bucket; so no sequence crosses documents.
 
 A task tokenises its rows and numbers its pieces per bucket; ``sequence_id``
 puts the bucket into the high bits, so a bucket's sequences are a range of ids.
-There is no shuffle and nothing is gathered.
+There is no shuffle and nothing is gathered; a task holds the ids of one document and
+about ``FLUSH_TOKENS`` tokens of pieces that wait to be sent.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ END_ID = 0
 # Fixed value: how byte-level BPE vocabularies split a text before merging.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BUCKET_SHIFT, TASK_SHIFT = 57, 33  # sequence_id: bucket, task, number within both
-FLUSH_TOKENS = 2_000_000  # tokens sent back in one record batch
+FLUSH_TOKENS = 250_000  # tokens sent back in one record batch, but for its last piece
 
 
 def binary_pieces(n: int, window: int = WINDOW) -> Iterator[tuple[int, int]]:
@@ -79,15 +81,12 @@ class TextEncoder:
 
     A byte-level BPE file is run by tiktoken, which gives the same ids several
     times faster (a test compares them); any other file, and texts that tiktoken's
-    pattern cannot split (runs of a million blanks), by tokenizers.  Special
-    tokens' strings are ordinary text.
+    pattern cannot split (runs of a million blanks), by tokenizers, which is
+    loaded when it is needed first.  Special tokens' strings are ordinary text.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.plain = Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
+        self.path = path
         self.fast = None
         with open(path, encoding="utf-8") as file:
             ranks = byte_level_ranks(json.load(file))
@@ -96,6 +95,14 @@ class TextEncoder:
 
             self.fast = tiktoken.Encoding("byte-level", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def plain(self):
+        from tokenizers import Tokenizer
+
+        plain = Tokenizer.from_file(self.path)
+        plain.encode_special_tokens = True
+        return plain
+
     def ids(self, text: str):
         if self.fast is not None:
             try:
@@ -135,9 +142,12 @@ def pack(
         names = ["id", "start", "length", "ids", "doc_tokens", "sequence_id"]
         kept = 0
 
-        def batch_of(id_type) -> pa.RecordBatch:
+        def flush(id_type) -> pa.RecordBatch:
             types = [id_type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+            for col in cols:
+                col.clear()
+            return out
 
         id_type = None
         for batch in batches:
@@ -153,14 +163,12 @@ def pack(
                     row = (doc, start, length, ids[4 * start : 4 * (start + length)], n, sequence)
                     for col, value in zip(cols, row, strict=True):
                         col.append(value)
-                kept += n
-                if kept >= FLUSH_TOKENS:
-                    yield batch_of(id_type)
-                    for col in cols:
-                        col.clear()
-                    kept = 0
+                    kept += length
+                    if kept >= FLUSH_TOKENS:
+                        yield flush(id_type)
+                        kept = 0
         if cols[0]:
-            yield batch_of(id_type)
+            yield flush(id_type)
 
     id_type = docs.schema[id_col].dataType.simpleString()
     out = f"id {id_type}, start long, length long, ids binary, doc_tokens long, sequence_id long"

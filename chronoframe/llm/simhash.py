@@ -44,6 +44,7 @@ LEAF = 512  # distinct fingerprints aimed at per leaf
 MEMBERS, VISITORS = 4096, 65536  # largest block of a leaf in one task
 PAIRS = 1 << 20  # pairs compared at once
 HASHES = 1 << 16  # shingle hashes whose bits are summed at once
+VISITS = 1 << 20  # rows that one task makes of its fingerprints, about
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -105,9 +106,16 @@ def detours(depth: int, radius: int) -> np.ndarray:
     return np.array(out, dtype=np.int8).reshape(len(out), depth)
 
 
-def visits(fps: DataFrame, depth: int, radius: int) -> DataFrame:
-    """(leaf, fp, home): a fingerprint's own leaf and the others it must visit."""
+def visits(fps: DataFrame, depth: int, radius: int, distinct: int) -> DataFrame:
+    """(leaf, fp, home): a fingerprint's own leaf and the others it must visit.
+
+    A few small files hold very many fingerprints, and each makes dozens of rows: the
+    ``distinct`` fingerprints are dealt to so many tasks that none makes much more than ``VISITS``.
+    """
     change = detours(depth, radius)
+    tasks = -(-distinct * (1 + len(change)) // VISITS)
+    if tasks > 1:
+        fps = fps.repartition(tasks, "fp")
     weight = 5 ** np.arange(depth, dtype=np.int64)
 
     def place(batches):
@@ -161,7 +169,7 @@ def link_fingerprints(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     Fingerprints are linked when they differ in at most ``max_bits`` bits.
     """
     distinct = fps.count()
-    seen = visits(fps, tree_depth(distinct), max_bits)
+    seen = visits(fps, tree_depth(distinct), max_bits, distinct)
     sizes = seen.groupBy("leaf").agg(F.count_if("home").alias("m"), F.count(F.lit(1)).alias("n"))
     large = sizes.where((F.col("m") > MEMBERS) | (F.col("n") > VISITORS)).select(
         "leaf",

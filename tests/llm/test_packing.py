@@ -1,12 +1,15 @@
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from chronoframe.llm import packing
 from chronoframe.llm.packing import TextEncoder, binary_pieces, pack
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -40,6 +43,25 @@ def test_other_kinds_of_file_run_by_the_tokenizers_library():
         assert TextEncoder(other).encode(text) == np.array(want, dtype="<u4").tobytes()
 
 
+def test_the_slow_library_is_loaded_when_needed():
+    encoder = TextEncoder(PATH)
+    assert encoder.encode("Two words") == np.array(plain_ids("Two words"), dtype="<u4").tobytes()
+    assert "plain" not in vars(encoder)
+
+
+def test_a_long_document_is_sent_in_parts(spark, monkeypatch):
+    sent = {}
+    monkeypatch.setattr(packing, "map_arrow", lambda d, fn, out: sent.update(fn=fn) or d.sparkSession.createDataFrame([], out))
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(packing, "FLUSH_TOKENS", 3000)
+    pack(spark.createDataFrame([], "doc_id long, text string"), PATH)
+    texts = ["some words " * 10_000, None, "x"]
+    out = list(sent["fn"](iter([pa.RecordBatch.from_pydict({"id": [7, 8, 9], "text": texts})])))
+    assert max(sum(b.column("length").to_pylist()) for b in out) < 3000 + packing.WINDOW
+    ids = b"".join(x for b in out for x in b.column("ids").to_pylist())
+    assert ids == np.array([i for t in texts for i in [*plain_ids(t or ""), 0]], "<u4").tobytes()
+
+
 def test_binary_pieces():
     for n in [*range(1, 70), 1023, 1024, 1025, 5000]:
         pieces = list(binary_pieces(n))

@@ -84,6 +84,19 @@ def test_blocks_of_large_leaves_find_every_link(spark, monkeypatch):
     check_links(spark, ball(6, 500))
 
 
+def test_fingerprints_are_dealt_by_the_rows_they_make(spark, monkeypatch):
+    rng = random.Random(5)
+    fps = list({rng.getrandbits(63) >> 40 << 40 | rng.getrandbits(4) for _ in range(3000)})
+    df = spark.createDataFrame([(f,) for f in fps], "fp long").coalesce(1)
+    want = sorted(link_fingerprints(df, 2).collect())
+    tasks, plain = [], simhash.map_arrow
+    monkeypatch.setattr(simhash, "map_arrow", lambda d, fn, out: tasks.append(d.rdd.getNumPartitions()) or plain(d, fn, out))
+    monkeypatch.setattr(simhash, "VISITS", 2000, raising=False)
+    assert sorted(link_fingerprints(df, 2).collect()) == want
+    made = len(fps) * (1 + len(simhash.detours(simhash.tree_depth(len(fps)), 2)))
+    assert made > 2 * 2000 and tasks[0] >= made / 2000
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in components(links, "a", "b").collect()}
